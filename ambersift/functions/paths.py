@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import any_of, contains_any, trimmed
+from .text import contains_any, trimmed
 
 # Names of folders that hold test, mock, fixture or spec code.
 TEST_DIRS = (
@@ -35,10 +36,8 @@ def dir_name(path: Column) -> Column:
 
 
 def raw_extension(path: Column) -> Column:
-    base = base_name(path)
-    return F.when(
-        F.contains(base, F.lit(".")), F.concat(F.lit("."), F.substring_index(base, ".", -1))
-    ).otherwise(F.lit(""))
+    """From the last dot of the base name, '' without one; a single look at the path."""
+    return F.regexp_extract(path, r"(\.[^./]*)\z", 1)
 
 
 def extension(path: Column) -> Column:
@@ -89,13 +88,18 @@ def is_test_like(path: Column) -> Column:
 
 
 def is_vendored(path: Column) -> Column:
-    return contains_any(path, VENDORED_PARTS)
+    return F.rlike(path, F.lit("|".join(re.escape(p) for p in VENDORED_PARTS)))
 
 
 def ext_match(path: Column, exts: Sequence[str]) -> Column:
     """Extension or whole base name (Dockerfile) is in the list, any case."""
+    return kind_match(extension(path), F.lower(base_name(path)), exts)
+
+
+def kind_match(ext: Column, base: Column, exts: Sequence[str]) -> Column:
+    """``ext_match`` on an extension and base name that are at hand, in lower case."""
     wanted = [e.lower() for e in exts]
-    return extension(path).isin(wanted) | F.lower(base_name(path)).isin(wanted)
+    return ext.isin(wanted) | base.isin(wanted)
 
 
 def exclude_paths(path: Column, fragments: Sequence[str]) -> Column:
@@ -136,10 +140,7 @@ def ancestor_dirs(path: Column) -> Column:
     return above
 
 
-def depth(path: Column) -> Column:
-    """Number of folders above a file."""
-    return F.length(path) - F.length(F.replace(path, F.lit("/"), F.lit("")))
-
 
 def in_any_dir(path: Column, names: Sequence[str]) -> Column:
-    return any_of([F.contains(F.concat(F.lit("/"), path), F.lit(f"/{n}/")) for n in names])
+    """One of the folders above the file has one of the names."""
+    return F.rlike(path, F.lit("(?:^|/)(?:" + "|".join(re.escape(n) for n in names) + ")/"))

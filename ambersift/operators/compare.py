@@ -124,14 +124,11 @@ def names_found(text: Column, names: DataFrame) -> Column:
         return F.filter(F.array(*[F.lit(n) for n in few]), lambda n: F.contains(text, n)) if few else none
     # One small integer per distinct length, whatever the number of names.
     sizes = [r[0] for r in distinct.select(F.length(name).alias("n")).distinct().orderBy("n").collect()]
-    pieces = [
-        F.when(
-            F.length(text) >= n,
-            F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda i, n=n: F.substr(text, i, F.lit(n))),
-        ).otherwise(none)
-        for n in sizes
-    ]
-    return F.array_distinct(F.concat(*pieces))
+    def pieces(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.length(text) - (n - 1))
+        return F.when(F.length(text) >= n, F.transform(starts, lambda i: F.substr(text, i, F.lit(n)))).otherwise(none)
+
+    return F.array_distinct(F.concat(*[pieces(n) for n in sizes]))
 
 
 def _location(path: Column) -> Column:

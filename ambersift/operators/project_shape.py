@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.paths import ancestor_dirs, base_name, depth, dir_name, extension, in_any_dir, is_test_like
+from ..functions.paths import ancestor_dirs, base_name, dir_name, extension, in_any_dir, is_test_like
 from ..functions.severity import port_service, port_severity
 from ..functions.text import any_of, contains_any, first_where, lines_of, trimmed
 from .file_checks import numbered_lines
@@ -386,22 +388,23 @@ KEY_SKIP_DIRS = (
     ".vscode", ".terraform", "target", "coverage",
 )
 KEY_FILE_CHARS, SECURITY_FILES = 8192, 10
+# Entry points up to three folders down, security-named code up to four.
+ENTRY_SHAPE = r"^(?:[^/]+/){0,3}(?:" + "|".join(re.escape(n) for n in ENTRY_NAMES) + r")\z"
+SECURITY_SHAPE = (
+    r"^(?:[^/]+/){0,4}(?=[^/]*(?:" + "|".join(re.escape(e) for e in KEY_CODE_EXTS) + r")\z)"
+    r"[^/]*(?:" + "|".join(SECURITY_WORDS) + r")[^/]*\z"
+)
 
 
 def key_files(files: DataFrame) -> DataFrame:
     """Manifests, configuration, entry points and security-named code, content capped."""
     path = F.col("path")
-    base, level = base_name(path), depth(path)
-    entry = (base.isin(*ENTRY_NAMES) & (level <= 3)) | (
-        F.startswith(path, F.lit("cmd/")) & (base == "main.go") & (level <= 3)
-    )
-    secure = extension(path).isin(*KEY_CODE_EXTS) & contains_any(F.lower(base), SECURITY_WORDS) & (level <= 4)
     role = first_where(
         [
-            ((level == 0) & base.isin(*MANIFEST_NAMES), "manifest"),
-            ((level == 0) & base.isin(*CONFIG_NAMES), "config"),
-            (entry, "entrypoint"),
-            (secure, "security"),
+            (path.isin(*MANIFEST_NAMES), "manifest"),
+            (path.isin(*CONFIG_NAMES), "config"),
+            (F.rlike(path, F.lit(ENTRY_SHAPE)), "entrypoint"),
+            (F.rlike(F.lower(path), F.lit(SECURITY_SHAPE)), "security"),
         ]
     )
     found = files.filter(~in_any_dir(path, KEY_SKIP_DIRS) & (F.col("content") != "")).withColumn("role", role)

@@ -8,13 +8,13 @@ rule; the array is cut to its hits before it is exploded.
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.paths import base_name, exclude_paths, ext_match, is_test_like
+from ..functions.paths import base_name, exclude_paths, ext_match, extension, is_test_like, kind_match
 from ..functions.text import all_of, any_of, lines_of, newline_count
 from .code_text import split_code_docs
 
@@ -214,16 +214,23 @@ def apply_inline_suppressions(hits: DataFrame, files: DataFrame, directive: str
 # ---- scanning -------------------------------------------------------------
 
 
+def _line_of(text: Column) -> Callable[[Column], Column]:
+    return lambda s: F.struct(s["rule_id"].alias("rule_id"), line_at(text, s["pos"]).cast("int").alias("line"))
+
+
 def scan_rules(
     files: DataFrame, rules: Sequence[Rule], *, compat: bool = False, directive: str | None = "scan"
 ) -> DataFrame:
     """(project, path, content[, stack]) -> one row per (file, rule) hit at its first match."""
     active = [r for r in rules if not r.is_project_rule]
     keep = [c for c in files.columns if c in ("project", "path", "content", "stack")]
-    base = files.select(*keep, is_test_like(F.col("path")).alias("_test"))
+    path = F.col("path")
+    base = files.select(
+        *keep, is_test_like(path).alias("_test"), extension(path).alias("_ext"), F.lower(base_name(path)).alias("_base")
+    )
     if any(_needs_views(r, compat) for r in active):
         base = split_code_docs(base)
-    gate = {r.id: ext_match(F.col("path"), r.extensions) for r in active}
+    gate = {r.id: kind_match(F.col("_ext"), F.col("_base"), r.extensions) for r in active}
     if "stack" in files.columns:
         gate = {
             r.id: gate[r.id] if r.stack == "universal" else gate[r.id] & (F.col("stack") == r.stack) for r in active
@@ -249,14 +256,7 @@ def scan_rules(
             pos = F.when(guard, match_position(text, r.pattern, compat)).otherwise(0)
             spots.append(F.struct(F.lit(r.id).alias("rule_id"), pos.alias("pos")))
         found = F.filter(F.array(*spots), lambda s: s["pos"] > 0)
-        arrays.append(
-            F.transform(
-                found,
-                lambda s, t=text: F.struct(
-                    s["rule_id"].alias("rule_id"), line_at(t, s["pos"]).cast("int").alias("line")
-                ),
-            )
-        )
+        arrays.append(F.transform(found, _line_of(text)))
     other = [r for r in active if not _is_simple(r, compat)]
     if other:
         spots = [
@@ -293,9 +293,11 @@ def with_rule_details(hits: DataFrame, rules: Sequence[Rule]) -> DataFrame:
 def rules_x_files(files: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """Candidate (file, rule) pairs by extension or base name and stack; no join, no shuffle."""
     path = F.col("path")
+    keep = [n for n in files.columns if n in ("project", "path", "stack")]
+    files = files.select(*keep, extension(path).alias("_ext"), F.lower(base_name(path)).alias("_base"))
     ids = []
     for r in rules:
-        cond = ext_match(path, r.extensions)
+        cond = kind_match(F.col("_ext"), F.col("_base"), r.extensions)
         if "stack" in files.columns and r.stack != "universal":
             cond = cond & (F.col("stack") == r.stack)
         ids.append(F.when(cond, F.lit(r.id)))
