@@ -44,8 +44,7 @@ def extension(path: Column) -> Column:
     return F.lower(raw_extension(path))
 
 
-def clean_path(path: Column) -> Column:
-    """Resolve '//', '/./' and 'a/../'; the costly fold runs only where needed."""
+def _folded(path: Column) -> Column:
     rooted = F.startswith(path, F.lit("/"))
 
     def step(acc: Column, part: Column) -> Column:
@@ -60,16 +59,21 @@ def clean_path(path: Column) -> Column:
 
     parts = F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step)
     joined = F.concat(F.when(rooted, F.lit("/")).otherwise(F.lit("")), F.array_join(parts, "/"))
-    folded = F.when(joined == "", F.lit(".")).otherwise(joined)
-    needs = F.rlike(path, F.lit(r"(^|/)\.{0,2}(/|\z)"))
-    return F.when(needs, folded).otherwise(path)
+    return F.when(joined == "", F.lit(".")).otherwise(joined)
+
+
+def clean_path(path: Column) -> Column:
+    """Resolve '//', '/./' and 'a/../'; the costly fold runs only where needed.
+
+    The path is bound once by the lambda, so a long path expression is not
+    repeated in the plan."""
+    needs = F.rlike(path, F.lit(r"(?:^|/)\.{0,2}(?:/|\z)"))
+    return F.when(needs, F.element_at(F.transform(F.array(path), _folded), 1)).otherwise(path)
 
 
 def normalize_path(path: Column) -> Column:
     """Comparable form: no scan prefix, forward slashes, cleaned, lower case."""
-    p = F.replace(trimmed(path), F.lit("\\"), F.lit("/"))
-    for prefix in ("/src/", "./", "/"):
-        p = F.when(F.startswith(p, F.lit(prefix)), F.substring(p, len(prefix) + 1, 1 << 30)).otherwise(p)
+    p = F.regexp_replace(F.replace(trimmed(path), F.lit("\\"), F.lit("/")), r"^(?:/src/)?(?:\./)?/?", "")
     return F.when(trimmed(path) == "", F.lit("")).otherwise(F.lower(clean_path(p)))
 
 
@@ -140,7 +144,6 @@ def ancestor_dirs(path: Column) -> Column:
     return above
 
 
-
 def in_any_dir(path: Column, names: Sequence[str]) -> Column:
     """One of the folders above the file has one of the names."""
     return F.rlike(path, F.lit("(?:^|/)(?:" + "|".join(re.escape(n) for n in names) + ")/"))

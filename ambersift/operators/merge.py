@@ -173,6 +173,11 @@ def canonical_sort(findings: DataFrame, *tie: str) -> DataFrame:
     return findings.orderBy(*canonical_order(), *tie)
 
 
+def canonical_places(findings: DataFrame, *tie: str) -> DataFrame:
+    """Place of every finding in the canonical order, as a column."""
+    return rank_within(findings, [], [*canonical_order(), *[F.col(t) for t in tie]], "place")
+
+
 def canonical_vuln_ids(findings: DataFrame, by: Sequence[str] = (), tie: Sequence[str] = ()) -> DataFrame:
     """Number the findings of each vulnerability class in canonical order."""
     order = {f"_k{i}": c for i, c in enumerate(canonical_order())}

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("functions_q", "corpus_q")
+MODULES = ("functions_q", "corpus_q", "inventory_q")
 
 
 def load_all() -> None:
