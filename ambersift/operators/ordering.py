@@ -32,20 +32,13 @@ def ordered_slices(df: DataFrame, group: Sequence[str], order: Sequence[Column])
     return written(out.withColumn(_POS, F.col(_POS).bitwiseAND(F.lit((1 << 33) - 1))))
 
 
-def _same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    cond = left[_SLICE] == right[_SLICE]
-    for k in keys:
-        cond = cond & left[k].eqNullSafe(right[k])
-    return cond
-
-
 def _attach(rows: DataFrame, carry: DataFrame, group: Sequence[str], values: Sequence[str]) -> DataFrame:
     """Put the per-(group, slice) ``values`` of ``carry`` next to every row."""
-    right = carry.select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], F.col(_SLICE).alias("_s"), *values)
-    cond = rows[_SLICE] == right["_s"]
+    right = carry.select(*[F.col(g).alias(f"_grp{i}") for i, g in enumerate(group)], F.col(_SLICE).alias("_at_slice"), *values)
+    cond = rows[_SLICE] == right["_at_slice"]
     for i, g in enumerate(group):
-        cond = cond & rows[g].eqNullSafe(right[f"_g{i}"])
-    return rows.join(right, cond, "left").drop("_s", *[f"_g{i}" for i in range(len(group))])
+        cond = cond & rows[g].eqNullSafe(right[f"_grp{i}"])
+    return rows.join(right, cond, "left").drop("_at_slice", *[f"_grp{i}" for i in range(len(group))])
 
 
 def _earlier(group: Sequence[str]):

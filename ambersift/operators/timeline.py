@@ -25,9 +25,9 @@ def telemetry_totals(m: DataFrame, by: Sequence[str] = ("project",)) -> DataFram
 def running_mean_score(m: DataFrame) -> DataFrame:
     """Mean score of a project up to each of its scans."""
     out = running_within(
-        m, ["project"], [F.col("scanned_at"), F.col("scan_id")], F.col("security_score").cast("long"), "_s", "_c"
+        m, ["project"], [F.col("scanned_at"), F.col("scan_id")], F.col("security_score").cast("long"), "_total", "_count"
     )
-    return out.withColumn("mean_score", F.round(F.col("_s") / F.col("_c"), 6)).drop("_s", "_c")
+    return out.withColumn("mean_score", F.round(F.col("_total") / F.col("_count"), 6)).drop("_total", "_count")
 
 
 def last_n_scans(m: DataFrame, n: int = 100) -> DataFrame:

@@ -345,7 +345,7 @@ FROM events""",
     "file_events": """
 SELECT event_id, 'ws' || CAST(user_id AS STRING) AS workspace,
   'src/' || CASE event_id % 9 WHEN 0 THEN '.hidden' WHEN 1 THEN 'x' || CAST(event_id % 50 AS STRING) || '.swp' ELSE 'f' || CAST(event_id % 50 AS STRING) || '.py' END AS path,
-  CASE event_type WHEN 'click' THEN 'write' WHEN 'signup' THEN 'create' WHEN 'purchase' THEN 'rename' WHEN 'error' THEN 'remove' ELSE 'write' END AS op, ts AS at
+  CASE event_type WHEN 'click' THEN 'write' WHEN 'signup' THEN 'create' WHEN 'purchase' THEN 'rename' WHEN 'error' THEN 'remove' ELSE 'write' END AS op, ts AS changed_at
 FROM events""",
     "notifications": """
 SELECT event_id AS id, user_id, 'Finding ' || CAST(event_id AS STRING) AS title, event_type IN ('view', 'purchase') AS is_read, ts AS created_at FROM events""",

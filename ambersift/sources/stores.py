@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.compare import make_baseline
-from ..operators.dashboard import latest_per_product
 
 SCAN_RECORD = (
     "timestamp timestamp, project_path string, report struct<security_score:int, results:array<struct<"
@@ -14,16 +13,10 @@ SCAN_RECORD = (
 )
 
 
-def read_scan_history(spark: SparkSession, path: str) -> DataFrame:
-    """JSON scan snapshots, one row per snapshot."""
-    return spark.read.schema(SCAN_RECORD).option("multiLine", "true").json(path).withColumn(
-        "file", F.col("_metadata.file_name")
-    )
-
-
-def latest_scan(history: DataFrame) -> DataFrame:
-    rows = history.withColumns({"started_at": F.col("timestamp"), "id": F.col("file")})
-    return latest_per_product(rows, "project_path")
+def read_scan_history(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """JSON scan snapshots. ``multi_line`` for one indented document per file; a
+    large scan is better kept as JSON lines, several lines per scan if need be."""
+    return spark.read.schema(SCAN_RECORD).option("multiLine", str(multi_line).lower()).json(path)
 
 
 def scan_results(history: DataFrame) -> DataFrame:
@@ -33,6 +26,12 @@ def scan_results(history: DataFrame) -> DataFrame:
     )
 
 
+def latest_scan_results(history: DataFrame) -> DataFrame:
+    """Results of the newest scan of every project."""
+    newest = history.groupBy("project_path").agg(F.max("timestamp").alias("timestamp"))
+    return scan_results(history).join(newest, ["project_path", "timestamp"], "left_semi")
+
+
 def write_baseline(findings: DataFrame, path: str) -> None:
     make_baseline(findings).write.mode("overwrite").parquet(path)
 

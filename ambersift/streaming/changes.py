@@ -12,6 +12,7 @@ from ..functions.paths import base_name
 from ..operators.file_checks import changed_files_only
 from ..operators.ordering import lag_within, running_max_within
 from ..operators.rules import Rule, scan_rules
+from .feeds import event_time
 
 # Operations that count as a change.
 CHANGE_OPS = ("write", "create", "rename")
@@ -30,10 +31,9 @@ def debounced_changes(events: DataFrame, gap: str = "300 milliseconds", late: st
 
     Works on a stream; for tables ``debounced_changes_batch`` splits hot workspaces."""
     rows = relevant_changes(events)
-    at = F.col("at")
     if events.isStreaming:
-        rows = rows.withWatermark("at", late)
-    window = F.session_window(at, gap)
+        rows = event_time(rows, "changed_at").withWatermark("changed_at", late)
+    window = F.session_window("changed_at", gap)
     out = rows.groupBy("workspace", window).agg(
         F.collect_set("path").alias("paths"), F.count(F.lit(1)).alias("events")
     )
@@ -52,14 +52,14 @@ def debounced_changes_batch(events: DataFrame, gap_seconds: float = 0.3) -> Data
     Starts of quiet-separated groups come from previous rows and running maxima over
     slices, so a workspace with a third of all events is not one task's work."""
     rows = relevant_changes(events).select(
-        "workspace", "path", "event_id", "at", _micros(F.col("at")).alias("_us")
+        "workspace", "path", "event_id", "changed_at", _micros(F.col("changed_at")).alias("_us")
     )
     order = [F.col("_us"), F.col("event_id")]
     rows = lag_within(rows, ["workspace"], order, F.col("_us"), "_before")
     fresh = F.col("_before").isNull() | (F.col("_us") - F.col("_before") >= int(gap_seconds * 1_000_000))
     rows = running_max_within(rows, ["workspace"], order, F.when(fresh, F.col("_us")), "_start")
     return rows.groupBy("workspace", "_start", "path").agg(
-        F.min("at").alias("first_change"), F.count(F.lit(1)).alias("events")
+        F.min("changed_at").alias("first_change"), F.count(F.lit(1)).alias("events")
     ).withColumn(
         "started_at",
         F.timestamp_add("MICROSECOND", F.col("_start"), F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")),
