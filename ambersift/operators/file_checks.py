@@ -209,8 +209,8 @@ def context_window(findings: DataFrame, files: DataFrame, radius: int = 30, head
     chunks = places.groupBy("project", "path", F.floor(F.col("line") / 5000).alias("_chunk")).agg(
         F.collect_list("line").alias("_wanted")
     )
-    cut = files.select("project", "path", lines_of(F.col("content")).alias("_lines"))
-    both = chunks.join(cut, ["project", "path"])
+    both = chunks.join(files.select("project", "path", "content"), ["project", "path"])
+    both = both.withColumn("_lines", lines_of(F.col("content")))
     last = F.size("_lines").cast("long")
 
     def window(line: Column) -> Column:

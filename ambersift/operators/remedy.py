@@ -67,7 +67,8 @@ def suggest_fix(findings: DataFrame, files: DataFrame) -> DataFrame:
     todo = findings.select("project", "path", "rule_id", "line", kind.alias("_kind")).filter(
         F.col("_kind").isNotNull()
     ).distinct()
-    both = todo.join(files.select("project", "path", lines_of(F.col("content")).alias("_lines")), ["project", "path"])
+    both = todo.join(files.select("project", "path", "content"), ["project", "path"])
+    both = both.withColumn("_lines", lines_of(F.col("content")))
     numbered = F.transform("_lines", lambda s, i: F.struct((i + 1).alias("n"), s.alias("t")))
     own_line = F.filter(numbered, lambda s: s["n"] == F.col("line"))
     debug_lines = F.filter(numbered, lambda s: F.rlike(s["t"], F.lit(PY_DEBUG)) | F.rlike(s["t"], F.lit(RUN_DEBUG)))

@@ -39,11 +39,16 @@ def validate_fp_evidence(verdicts: DataFrame, findings: DataFrame, files: DataFr
     same_file = normalize_path(F.col("file")) == normalize_path(F.col("ev_file"))
     cites = (F.col("disposition") == FALSE_POSITIVE) & (F.coalesce("ev_file", F.lit("")) != "") & same_file
     key = F.when(cites, normalize_path(F.col("ev_file")))
-    texts = files.select(
-        F.col("project").alias("_p"), normalize_path(F.col("path")).alias("_f"), lines_of(F.col("content")).alias("_lines")
-    )
     rows = rows.withColumn("_key", key)
+    # Texts nobody cites are dropped by a semi-join on keys before any content moves.
+    cited_files = rows.filter(F.col("_key").isNotNull()).select(
+        F.col("project").alias("_p"), F.col("_key").alias("_f")
+    ).distinct()
+    texts = files.select(
+        F.col("project").alias("_p"), normalize_path(F.col("path")).alias("_f"), F.col("content").alias("_text")
+    ).join(cited_files, ["_p", "_f"], "left_semi")
     rows = rows.join(texts, (F.col("project") == F.col("_p")) & (F.col("_key") == F.col("_f")), "left")
+    rows = rows.withColumn("_lines", lines_of(F.col("_text")))
     there = F.col("_lines").isNotNull()
     test_only, code = F.col("basis") == "test_only", F.col("basis") == "code_mitigation"
     line, ev_line = F.coalesce("line", F.lit(0)), F.coalesce("ev_line", F.lit(0))

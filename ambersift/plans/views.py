@@ -219,7 +219,7 @@ FROM lineitem""",
 SELECT l_orderkey AS scan_id, 'proj' || CAST(l_suppkey AS STRING) AS project, {rule_case('l_partkey')} AS rule_id,
   {message_case('l_partkey')} AS name, CASE l_returnflag WHEN 'N' THEN 'PRESENT' ELSE 'ABSENT' END AS status,
   CASE l_linenumber WHEN 1 THEN 'CRITICAL' WHEN 2 THEN 'HIGH' WHEN 3 THEN 'MEDIUM' WHEN 4 THEN 'LOW' ELSE 'INFO' END AS severity,
-  CASE WHEN l_linenumber = 7 THEN '' ELSE '/svc' || CAST(l_suppkey % 20 AS STRING) || '/f' || CAST(l_partkey % 30 AS STRING) || '.py' END AS file,
+  CASE WHEN l_linenumber = 7 THEN '' ELSE '/svc' || CAST(l_suppkey % 20 AS STRING) || '/f' || CAST(l_partkey AS STRING) || '.py' END AS file,
   CASE WHEN l_linenumber >= 6 THEN 0 ELSE CAST(floor(l_quantity / 10) AS INT) END AS line,
   'seen in ' || CAST(l_partkey % 12 AS STRING) AS evidence, 'Fix step ' || CAST(l_partkey % 9 AS STRING) AS suggestion,
   l_linestatus AS scan_round

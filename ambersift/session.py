@@ -57,4 +57,6 @@ def written(df: DataFrame) -> DataFrame:
 
 
 def slice_count(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+    """Partitions of an explicit range layout: what shuffles start with here."""
+    first = spark.conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum", None)
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(first or 0))
