@@ -63,12 +63,14 @@ def _folded(path: Column) -> Column:
 
 
 def clean_path(path: Column) -> Column:
-    """Resolve '//', '/./' and 'a/../'; the costly fold runs only where needed.
-
-    The path is bound once by the lambda, so a long path expression is not
-    repeated in the plan."""
-    needs = F.rlike(path, F.lit(r"(?:^|/)\.{0,2}(?:/|\z)"))
-    return F.when(needs, F.element_at(F.transform(F.array(path), _folded), 1)).otherwise(path)
+    """Resolve '//', '/./' and 'a/../'. Only paths with '..' need the fold over their
+    parts; it binds the path once, so a long path expression is not repeated."""
+    flat = F.regexp_replace(path, r"^(?:\./+)+|(?<=/)(?:\.?/)+", "")
+    flat = F.regexp_replace(flat, r"(?<=[^/])/\.?\z|(?<=^/)\.\z", "")
+    climbs = F.rlike(path, F.lit(r"(?:^|/)\.\.(?:/|\z)"))
+    return F.when(climbs, F.element_at(F.transform(F.array(path), _folded), 1)).otherwise(
+        F.coalesce(F.nullif(flat, F.lit("")), F.lit("."))
+    )
 
 
 def normalize_path(path: Column) -> Column:

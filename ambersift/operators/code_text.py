@@ -5,21 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# One token per alternative: triple-quoted block, C block, line comment with its
-# line end, quoted string, anything else. Possessive loops keep the matcher flat
-# on long strings.
+# One token per alternative: plain text, triple-quoted block, C block, line
+# comment with its line end, quoted string, a lone slash. Possessive loops keep
+# the matcher flat on long strings.
 TOKEN = (
-    r'"""[\s\S]*?(?:"""|\z)'
+    r"""[^"'`/#]++"""
+    r'|"""[\s\S]*?(?:"""|\z)'
     r"|'''[\s\S]*?(?:'''|\z)"
     r"|/\*[\s\S]*?(?:\*/|\z)"
     r"|(?://|#)[^\n\r]*+[\n\r]?"
     r'|"(?:[^"\\]|\\[\s\S])*+(?:"|\\?\z)'
     r"|'(?:[^'\\]|\\[\s\S])*+(?:'|\\?\z)"
     r"|`(?:[^`\\]|\\[\s\S])*+(?:`|\\?\z)"
-    r"""|(?:[^"'`/#]|/(?![/*]))++"""
+    r"|/"
 )
 
 
+def _is_plain(t: Column) -> Column:
+    return ~F.left(t, F.lit(1)).isin('"', "'", "`", "/", "#")
+
+
 def _is_block(t: Column) -> Column:
     return F.startswith(t, F.lit('"""')) | F.startswith(t, F.lit("'''")) | F.startswith(t, F.lit("/*"))
 
@@ -40,7 +45,8 @@ def _code_of(t: Column, compat: bool) -> Column:
     closed = (F.length(bare) > 1) & (F.right(bare, F.lit(1)) == quote)
     inner = F.regexp_replace(bare if compat else t, r"[^\n]", "")
     return (
-        F.when(_is_block(t), F.lit("") if compat else newlines)
+        F.when(_is_plain(t), t)
+        .when(_is_block(t), F.lit("") if compat else newlines)
         .when(_is_line_comment(t), ends)
         .when(_is_string(t), F.concat(quote, inner, F.when(closed, quote).otherwise(F.lit(""))))
         .otherwise(t)
@@ -48,7 +54,7 @@ def _code_of(t: Column, compat: bool) -> Column:
 
 
 def _docs_of(t: Column) -> Column:
-    readable = _is_block(t) | _is_line_comment(t) | _is_string(t)
+    readable = ~_is_plain(t) & (_is_string(t) | _is_line_comment(t) | _is_block(t))
     return F.when(readable, t).otherwise(F.regexp_replace(t, r"[^\n]", " "))
 
 

@@ -35,6 +35,11 @@ SECRET_PATTERNS = (
     ("Stripe Key", r"sk_live_[0-9a-zA-Z]{24,}"),
     ("SendGrid Key", r"SG\.[A-Za-z0-9_-]{22}\.[A-Za-z0-9_-]{43}"),
 )
+# Text that every match of a secret format contains, as is or in any case.
+SECRET_MARKS = ("AKIA", "PRIVATE KEY-----", "ghp_", "ghs_", "glpat-", "xox", "AIza", "eyJ", "sk_live_", "SG.")
+SECRET_WORDS = (
+    "aws_secret_access_key", "api_key", "apikey", "api-key", "secret", "password", "passwd", "token",
+)
 ANY_SECRET = "|".join(f"(?:{p})" for _, p in SECRET_PATTERNS)
 
 # File kinds of the two secret heuristics.
@@ -99,12 +104,17 @@ def numbered_lines(files: DataFrame, keep: Sequence[str], only: Callable[[Column
     return files.select(*keep, F.explode(hits).alias("s")).select(*keep, "s.line", "s.text")
 
 
+def may_hold_secret(text: Column) -> Column:
+    """Byte searches that no secret format gets past; the regexes run on what is left."""
+    return contains_any(text, SECRET_MARKS) | contains_any(F.lower(text), SECRET_WORDS)
+
+
 def secret_scan(files: DataFrame, keep: Sequence[str] = ("project", "path")) -> DataFrame:
     """Lines with a known secret format; the first format in the list wins."""
     text = F.col("text")
     # A whole-file test first: most files never become lines.
-    suspects = files.filter(F.rlike("content", F.lit(ANY_SECRET)))
-    hits = numbered_lines(suspects, keep, lambda t: F.rlike(t, F.lit(ANY_SECRET)))
+    suspects = files.filter(may_hold_secret(F.col("content")))
+    hits = numbered_lines(suspects, keep, lambda t: may_hold_secret(t) & F.rlike(t, F.lit(ANY_SECRET)))
     name = first_where([(F.rlike(text, F.lit(p)), n) for n, p in SECRET_PATTERNS])
     return hits.select(*keep, "line", name.alias("pattern"), redact_preview(text).alias("preview"))
 
@@ -127,14 +137,13 @@ def secret_assignments(files: DataFrame) -> DataFrame:
     signatures = assigns | extension(path).isin(*CONFIG_EXTS)
     vendor = [(n, p) for n, p in SECRET_PATTERNS if not n.startswith("Generic")]
     any_vendor = "|".join(f"(?:{p})" for _, p in vendor)
-    scope = files.filter(signatures & ~is_test_like(path) & ~is_vendored(path)).filter(
-        F.rlike("content", F.lit(any_vendor)) | F.rlike("content", F.lit(ASSIGNMENT))
-    )
+    scope = files.filter(signatures & ~is_test_like(path) & ~is_vendored(path))
+    scope = scope.filter(may_hold_secret(F.col("content")))
     calls = F.transform(F.regexp_extract_all("content", F.lit(LOG_CALL), F.lit(0)), lambda c: F.lower(c))
     scope = scope.withColumns({"_assign": assigns, "_calls": calls})
     lines = numbered_lines(
         scope, ["project", "path", "_assign", "_calls"],
-        lambda t: F.rlike(t, F.lit(any_vendor)) | F.rlike(t, F.lit(ASSIGNMENT)),
+        lambda t: may_hold_secret(t) & (F.rlike(t, F.lit(any_vendor)) | F.rlike(t, F.lit(ASSIGNMENT))),
     )
     var = F.regexp_extract(text, ASSIGNMENT, 1)
     value = F.regexp_extract(text, ASSIGNMENT, 2)

@@ -117,11 +117,17 @@ def dedup_semantic(findings: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Merge findings that report one problem, keeping all origins.
 
     Preferred: core, then external, then nfr; located before unlocated; lower id.
-    Two aggregates with map-side combine, the first per origin, so a problem
-    repeated in a third of the feed is thinned before it is shuffled."""
+    Exact repeats are counted first by a hash aggregate with map-side combine, so a
+    problem repeated in a third of the feed is thinned before anything is hashed,
+    sorted or shuffled by merge key."""
+    parts = ["rule_id", "type", "source", "severity", "file", "line", "message"]
+    rows = findings.groupBy(*by, *parts).agg(F.count(F.lit(1)).alias("_n"))
     file = F.coalesce(F.col("file"), F.lit(""))
     source = F.coalesce(F.nullif(trimmed(F.col("source")), F.lit("")), F.col("type"))
-    origin = F.struct(F.col("type").alias("type"), source.alias("source"), F.col("rule_id").alias("rule_id"))
+    origin = F.struct(
+        F.lower(joined("\x00", F.col("type"), source, F.col("rule_id"))).alias("key"),
+        F.struct(F.col("type").alias("type"), source.alias("source"), F.col("rule_id").alias("rule_id")).alias("o"),
+    )
     prefer = F.struct(
         (-choose(norm_lower(F.col("type")), TYPE_PREFERENCE, 0)).alias("p"),
         (file == "").alias("unlocated"), F.lower("rule_id").alias("id"),
@@ -131,26 +137,22 @@ def dedup_semantic(findings: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     )
     worst = F.struct(severity_rank(F.col("severity")).alias("rank"), norm_upper(F.col("severity")).alias("severity"))
     place = F.when(file != "", F.struct(file.alias("file"), F.col("line").alias("line")))
-    keyed = findings.select(
-        *by, semantic_key().alias("merge_key"), F.lower(joined("\x00", F.col("type"), source, F.col("rule_id"))).alias("_ok"),
-        origin.alias("_o"), prefer.alias("_p"), worst.alias("_w"), place.alias("_at"),
-    )
-    per_origin = keyed.groupBy(*by, "merge_key", "_ok").agg(
-        F.min("_o").alias("_o"), F.min("_p").alias("_p"), F.min("_w").alias("_w"), F.min("_at").alias("_at"),
-        F.count(F.lit(1)).alias("_n"),
-    )
-    merged = per_origin.groupBy(*by, "merge_key").agg(
-        F.min("_p").alias("p"), F.min("_w").alias("w"), F.min("_at").alias("at"), F.sum("_n").alias("merged"),
-        F.array_sort(F.collect_list(F.struct("_ok", "_o"))).alias("os"),
+    merged = rows.groupBy(*by, semantic_key().alias("merge_key")).agg(
+        F.min(prefer).alias("p"), F.min(worst).alias("w"), F.min(place).alias("at"), F.sum("_n").alias("merged"),
+        # Distinct (type, source, rule) only: as many as a merged problem has scanners and rules.
+        F.collect_set(origin).alias("os"),
     )
     moved = (F.col("p.file") == "") & F.col("at").isNotNull()
+    firsts = F.transform(F.array_sort("os"), lambda s: s["key"])
+    os = F.array_sort("os")
+    one_each = F.filter(os, lambda s, i: (i == 0) | (s["key"] != F.try_element_at(firsts, i)))
     return merged.select(
         *by, "merge_key", F.col("p.rule_id").alias("rule_id"), F.col("p.type").alias("type"),
         F.col("p.source").alias("source"), F.col("w.severity").alias("severity"),
         F.when(moved, F.col("at.file")).otherwise(F.col("p.file")).alias("file"),
         F.when(moved, F.col("at.line")).otherwise(F.col("p.line")).alias("line"),
         F.col("p.message").alias("message"), F.col("merged"),
-        F.transform("os", lambda o: o["_o"]).alias("origins"),
+        F.transform(one_each, lambda s: s["o"]).alias("origins"),
     )
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions.identity import joined, sha256_hex
@@ -162,8 +162,11 @@ def dep_closure(edges: DataFrame, roots: DataFrame, max_depth: int = 20) -> Data
     seen = frontier
     for level in range(1, max_depth + 1):
         step = frontier.join(edges, frontier["node"] == edges["parent"]).select(F.col("child").alias("node")).distinct()
-        fresh = written(step.join(seen, "node", "left_anti").withColumn("depth", F.lit(level)))
-        if fresh.isEmpty():
+        found = Observation()
+        fresh = step.join(seen, "node", "left_anti").withColumn("depth", F.lit(level))
+        # The count comes from the write itself, not from another job.
+        fresh = written(fresh.observe(found, F.count(F.lit(1)).alias("n")))
+        if found.get["n"] == 0:
             break
         seen = seen.unionByName(fresh)
         frontier = fresh

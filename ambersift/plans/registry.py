@@ -6,9 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import written
 from .views import BASE, DERIVED, duck_sql, spark_sql_text
 
 
+# Corpora whose rows cost far more to match than to move.
+TEXT_VIEWS = ("source_files", "code_files", "project_files", "repo_files", "git_lines")
+
+
+_STORED: dict[tuple[str, str, str], DataFrame] = {}
+_STORE_VIEWS = False
+
+
+def store_views(on: bool = True) -> None:
+    """Write each derived table once per session and scale folder and read it from
+    there, as a findings store would be read; a bench then times operators alone."""
+    global _STORE_VIEWS
+    _STORE_VIEWS = on
+
+
 class Tables:
     """Fixture tables and derived views of one scale folder, as attributes."""
 
@@ -16,23 +32,44 @@ class Tables:
         self.spark, self.sf_dir = spark, sf_dir
         self._ready: set[str] = set()
 
+    def _read(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+
     def _mount(self, name: str) -> None:
         if name not in self._ready:
-            self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet").createOrReplaceTempView(name)
+            self._read(name).createOrReplaceTempView(name)
             self._ready.add(name)
 
+    def _mount_spread(self, name: str) -> None:
+        """A table of fewer files than cores is spread first, or one task would match
+        all of its texts; a table of many files is left as it is."""
+        df, cores = self._read(name), self.spark.sparkContext.defaultParallelism
+        if len(df.inputFiles()) < cores:
+            df = df.repartition(cores, df.columns[0])
+        df.createOrReplaceTempView(name)
+        self._ready.discard(name)
+
     def __getattr__(self, name: str) -> DataFrame:
         if name in BASE:
             self._mount(name)
             return self.spark.table(name)
+        if name in DERIVED and _STORE_VIEWS:
+            key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+            if key not in _STORED:
+                _STORED[key] = written(self._derived(name))
+            return _STORED[key]
         if name in DERIVED:
-            text = spark_sql_text(name)
-            for base in BASE:
-                if base in text:
-                    self._mount(base)
-            return self.spark.sql(text)
+            return self._derived(name)
         raise AttributeError(name)
 
+    def _derived(self, name: str) -> DataFrame:
+        text = spark_sql_text(name)
+        mount = self._mount_spread if name in TEXT_VIEWS else self._mount
+        for base in BASE:
+            if base in text:
+                mount(base)
+        return self.spark.sql(text)
+
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
