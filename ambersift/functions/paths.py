@@ -62,9 +62,13 @@ def _folded(path: Column) -> Column:
     return F.when(joined == "", F.lit(".")).otherwise(joined)
 
 
-def clean_path(path: Column) -> Column:
-    """Resolve '//', '/./' and 'a/../'. Only paths with '..' need the fold over their
-    parts; it binds the path once, so a long path expression is not repeated."""
+# What makes a path differ from its cleaned form: empty parts, '.' or '..'.
+UNCLEAN = r"//|(?:^|/)\.{1,2}(?:/|\z)|/\z|^\z"
+# The same, or white space and backslashes that normalising removes first.
+UNUSUAL = rf"{UNCLEAN}|\\|^\s|\s\z"
+
+
+def _cleaned(path: Column) -> Column:
     flat = F.regexp_replace(path, r"^(?:\./+)+|(?<=/)(?:\.?/)+", "")
     flat = F.regexp_replace(flat, r"(?<=[^/])/\.?\z|(?<=^/)\.\z", "")
     climbs = F.rlike(path, F.lit(r"(?:^|/)\.\.(?:/|\z)"))
@@ -73,10 +77,20 @@ def clean_path(path: Column) -> Column:
     )
 
 
+def clean_path(path: Column) -> Column:
+    """Resolve '//', '/./' and 'a/../'.
+
+    One cheap test sends ordinary paths straight through; only those with '..' need
+    the fold over their parts."""
+    return F.when(F.rlike(path, F.lit(UNCLEAN)), _cleaned(path)).otherwise(path)
+
+
 def normalize_path(path: Column) -> Column:
     """Comparable form: no scan prefix, forward slashes, cleaned, lower case."""
     p = F.regexp_replace(F.replace(trimmed(path), F.lit("\\"), F.lit("/")), r"^(?:/src/)?(?:\./)?/?", "")
-    return F.when(trimmed(path) == "", F.lit("")).otherwise(F.lower(clean_path(p)))
+    unusual = F.when(trimmed(path) == "", F.lit("")).otherwise(_cleaned(p))
+    plain = F.regexp_replace(path, r"^(?:/src/|\./|/)", "")
+    return F.lower(F.when(F.rlike(path, F.lit(UNUSUAL)), unusual).otherwise(plain))
 
 
 def is_test_like(path: Column) -> Column:

@@ -27,11 +27,10 @@ def blank_to_null(col: Column) -> Column:
 
 
 def choose(col: Column, mapping: Mapping, default=None) -> Column:
-    """Constant lookup as one CASE expression (stays in generated code)."""
-    out = None
-    for key, value in mapping.items():
-        out = F.when(col == key, F.lit(value)) if out is None else out.when(col == key, F.lit(value))
-    return out.otherwise(F.lit(default))
+    """Lookup in a constant map: ``col`` is evaluated once, however long it is."""
+    table = F.create_map(*[F.lit(x) for pair in mapping.items() for x in pair])
+    found = F.try_element_at(table, col)
+    return found if default is None else F.coalesce(found, F.lit(default))
 
 
 def first_where(pairs: Sequence[tuple[Column, object]], default=None) -> Column:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.paths import base_name, exclude_paths, ext_match, extension, is_test_like, kind_match
-from ..functions.text import all_of, any_of, lines_of, newline_count
+from ..functions.text import all_of, any_of, contains_any, lines_of, newline_count
 from .code_text import split_code_docs
 
 PROJECT_CONDITIONS = ("missing_lockfile", "missing", "required_pattern")
@@ -42,6 +42,9 @@ class Rule:
     pattern_not: str = ""
     mode: str = ""
     languages: tuple[str, ...] = field(default=())
+    # Optional hint: words (any case) of which every match holds at least one. A byte
+    # search for them keeps the regex off most files.
+    needs: tuple[str, ...] = ()
 
     @property
     def is_project_rule(self) -> bool:
@@ -98,6 +101,10 @@ def match_position(text: Column, pattern: str, compat: bool = False) -> Column:
     return F.regexp_instr(text, F.lit(java_pattern(pattern)))
 
 
+def _hinted(rule: Rule, text: Column) -> Column:
+    return contains_any(F.lower(text), [w.lower() for w in rule.needs]) if rule.needs else F.lit(True)
+
+
 def line_at(text: Column, position: Column) -> Column:
     return newline_count(F.left(text, position - 1)) + 1
 
@@ -166,7 +173,7 @@ def rule_line(rule: Rule, is_test: Column, compat: bool = False) -> Column:
     if kind == "threshold" and not compat:
         return F.when(guard, _threshold_line(text, rule.pattern, float(arg))).otherwise(0)
     pos = match_position(text, rule.pattern, compat)
-    return F.when(guard & (pos > 0), line_at(text, pos)).otherwise(0)
+    return F.when(guard & _hinted(rule, text) & (pos > 0), line_at(text, pos)).otherwise(0)
 
 
 def _is_simple(rule: Rule, compat: bool) -> bool:
@@ -253,7 +260,7 @@ def scan_rules(
                 guard = guard & F.contains(F.col("content"), F.lit(arg))
             if kind == "not_contains":
                 guard = guard & ~F.contains(F.lower(text), F.lit(arg.lower()))
-            pos = F.when(guard, match_position(text, r.pattern, compat)).otherwise(0)
+            pos = F.when(guard & _hinted(r, text), match_position(text, r.pattern, compat)).otherwise(0)
             spots.append(F.struct(F.lit(r.id).alias("rule_id"), pos.alias("pos")))
         found = F.filter(F.array(*spots), lambda s: s["pos"] > 0)
         arrays.append(F.transform(found, _line_of(text)))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths as P
 from ..functions import text as T
+from ..functions.severity import PORT_SERVICES
 from ..operators import file_checks as C
 from ..operators import project_shape as S
 from ..operators import rules as R
@@ -18,6 +19,11 @@ from .registry import query
 c = F.col
 ALL_EXTS = (".py", ".js", ".go", ".md", ".env", ".ts", ".yaml", "Dockerfile", ".dockerfile")
 
+# Words every match of a signal rule holds.
+NEEDS = {
+    "T-TOKEN": ("secret", "password", "passwd", "token"), "T-TRACK": ("track(",), "T-EMAIL": ("@",),
+    "T-AD": ('class="ad"',), "T-LICENSE": ("copyright", "license"),
+}
 # Rules with signal on the fixture corpora: (id, pattern, severity).
 SIGNAL = (
     ("T-TOKEN", r"""(?i)(secret|password|passwd|token)\s*[=:]\s*["'][^"']{8,}["']""", "CRITICAL"),
@@ -32,7 +38,8 @@ SIGNAL = (
     ("T-MULTI", r"\.\n[A-Z]", "LOW"),
 )
 SIGNAL_RULES = tuple(
-    Rule(id=i, name=f"Signal {i}", extensions=ALL_EXTS, target="all", pattern=p, severity=s, suggestion=f"Review {i}")
+    Rule(id=i, name=f"Signal {i}", extensions=ALL_EXTS, target="all", pattern=p, severity=s, suggestion=f"Review {i}",
+         needs=NEEDS.get(i, ()))
     for i, p, s in SIGNAL
 )
 
@@ -234,7 +241,7 @@ def _(t):
 
 
 @query(
-    "large_files",
+    "large_file",
     f"SELECT project, path, {D.newlines('content')} AS newlines FROM (SELECT project, path, repeat(content || chr(10), 60) AS content FROM source_files) WHERE {D.newlines('content')} > 1500",
 )
 def _(t):
@@ -534,7 +541,7 @@ _PORT = "^\\s*-\\s*[\"'']?((?:[\\d.]+:)?(?:\\d+:)?\\d+(?:/\\w+)?)[\"'']?\\s*$"
     f"""WITH ports AS (SELECT project, path, CAST(u.line AS INT) AS line, string_split(regexp_extract(u.text, '{_PORT}', 1), ':') AS p FROM repo_files f, {D.lines()}
       WHERE {D.base('path')} IN ('docker-compose.yml', 'docker-compose.yaml', 'compose.yml', 'compose.yaml') AND regexp_matches(u.text, '{_PORT}')),
     nums AS (SELECT project, path, line, TRY_CAST(string_split(CASE WHEN len(p) <= 2 THEN p[1] ELSE p[-2] END, '/')[1] AS INT) AS port FROM ports)
-    SELECT project, path, line, port, {D.case('port', __import__('ambersift.functions.severity', fromlist=['PORT_SERVICES']).PORT_SERVICES, 'unknown')} AS service,
+    SELECT project, path, line, port, {D.case('port', PORT_SERVICES, 'unknown')} AS service,
       CASE WHEN port IN (21, 23, 25) THEN 'CRITICAL' WHEN port IN (3306, 5432, 27017, 6379, 11211, 9200, 2181, 9092, 50070, 22, 3389) THEN 'HIGH' ELSE 'INFO' END AS severity
     FROM nums WHERE port > 0""",
 )
@@ -542,6 +549,17 @@ def _(t):
     return S.compose_ports(t.repo_files)
 
 
+@query(
+    "port_service",
+    f"""WITH ports AS (SELECT string_split(regexp_extract(u.text, '{_PORT}', 1), ':') AS p FROM repo_files f, {D.lines()}
+      WHERE {D.base('path')} = 'docker-compose.yml' AND regexp_matches(u.text, '{_PORT}')),
+    nums AS (SELECT TRY_CAST(string_split(CASE WHEN len(p) <= 2 THEN p[1] ELSE p[-2] END, '/')[1] AS INT) AS port FROM ports)
+    SELECT port, {D.case('port', PORT_SERVICES, 'unknown')} AS service, count(*) AS n FROM nums WHERE port > 0 GROUP BY ALL""",
+)
+def _(t):
+    return S.compose_ports(t.repo_files).groupBy("port", "service").agg(F.count(F.lit(1)).alias("n"))
+
+
 _ROOT_FILES = "path IN ('go.mod', 'package.json', 'requirements.txt', 'docker-compose.yml', 'docker-compose.yaml')"
 
 

@@ -167,7 +167,9 @@ def _(t):
 
 
 def _groups(by: str, key: str) -> None:
-    @query(f"group_findings_{by}", f"SELECT {key} AS \"group\", count(*) AS n FROM findings f LEFT JOIN products p ON f.product_id = p.id GROUP BY ALL")
+    name = "group_findings" if by == "product" else f"group_findings_{by}"
+
+    @query(name, f"SELECT {key} AS \"group\", count(*) AS n FROM findings f LEFT JOIN products p ON f.product_id = p.id GROUP BY ALL")
     def _(t):
         return B.group_findings(t.findings, by, t.products)
 

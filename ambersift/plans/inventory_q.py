@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.text import SENSITIVE_SHAPES
 from ..operators import health as H
 from ..operators import merge as M
 from ..operators import triage as G
@@ -465,7 +466,7 @@ def _(t):
 
 
 _SENS = " OR ".join(
-    f"regexp_matches({{x}}, {D.q(p)})" for p in __import__("ambersift.functions.text", fromlist=["x"]).SENSITIVE_SHAPES
+    f"regexp_matches({{x}}, {D.q(p)})" for p in SENSITIVE_SHAPES
 )
 
 

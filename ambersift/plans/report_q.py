@@ -161,6 +161,17 @@ def _(t):
     return S.read_baseline(t.spark, path).select("fingerprint", "rule_id", "file")
 
 
+@query(
+    "read_baseline",
+    """SELECT severity, count(*) AS accepted FROM (SELECT left(sha256(rule_id || '|' || file || '|' || evidence), 24) AS fp, rule_id, file, line, severity FROM results
+    QUALIFY row_number() OVER (PARTITION BY fp ORDER BY rule_id, file, line, severity) = 1) GROUP BY ALL""",
+)
+def _(t):
+    path = _folder(t, "baseline")
+    S.write_baseline(t.results, path)
+    return S.read_baseline(t.spark, path).groupBy("severity").agg(F.count(F.lit(1)).alias("accepted"))
+
+
 @query(
     "read_findings_store",
     """SELECT id, product_id, coalesce(nullif(status, ''), 'open') AS status, CASE WHEN kanban_column = 'done' THEN 'backlog' ELSE kanban_column END AS kanban_column,

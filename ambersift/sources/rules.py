@@ -57,6 +57,7 @@ def rule_from_dict(d: dict) -> Rule:
         severity=str(d.get("severity", "")), patterns=subs("patterns"),
         pattern_either=subs("pattern-either", "pattern_either"),
         pattern_not=str(d.get("pattern-not", d.get("pattern_not", ""))), mode=str(d.get("mode", "")),
+        needs=texts("needs"),
     )
 
 
