@@ -165,6 +165,7 @@ def extract_json(col: Column) -> Column:
     )
 
 
+# Verdict states, and what precedes a reply that could not be read.
 VERDICT_STATES = ("true_positive", "false_positive", "needs_review")
 UNPARSED_PREFIX = (
     "AI analysis could not return a structured response. Manual review required. AI response: "

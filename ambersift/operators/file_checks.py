@@ -184,6 +184,7 @@ def critical_files(files: DataFrame) -> DataFrame:
     ).filter(F.col("reason").isNotNull())
 
 
+# Shapes of the two kinds of id.
 CVE_ID = r"CVE-\d{4}-\d{4,}"
 VULN_ID = r"CS-[A-Z0-9]+-\d{3,}"
 

@@ -14,6 +14,7 @@ from ..functions.text import (
     display_message, first_where, has_sensitive_value, lines_of, norm_upper, trimmed,
 )
 
+# Dispositions, and the texts of verdicts nobody gave.
 TRUE_POSITIVE, FALSE_POSITIVE, REVIEW = "True Positive", "False Positive", "Needs Manual Review"
 DISPOSITIONS = (TRUE_POSITIVE, FALSE_POSITIVE, REVIEW)
 BUDGET_RATIONALE = (
@@ -152,8 +153,7 @@ def gate_severity(findings: DataFrame, on: bool) -> DataFrame:
     label = F.coalesce(F.nullif(sev, F.lit("")), F.lit("UNKNOWN"))
     note = F.concat(
         F.lit("Severity "), label,
-        F.lit(" is below the LLM triage threshold (gating). Not auto-suppressed; manual review recommended per the"
-              " SecureCoder ruleset."),
+        F.lit(" is below the LLM triage threshold (gating). Not auto-suppressed; manual review recommended."),
     )
     return findings.select(
         *findings.columns, passes.alias("to_triage"), F.when(~passes, F.lit(REVIEW)).alias("disposition"),

@@ -381,7 +381,7 @@ _LOW = "upper(trim(severity)) NOT IN ('CRITICAL', 'HIGH')"
 @query(
     "gate_severity",
     f"""SELECT idx, NOT {_LOW} AS to_triage, CASE WHEN {_LOW} THEN 'Needs Manual Review' END AS disposition,
-    CASE WHEN {_LOW} THEN 'Severity ' || coalesce(nullif(upper(trim(severity)), ''), 'UNKNOWN') || ' is below the LLM triage threshold (gating). Not auto-suppressed; manual review recommended per the SecureCoder ruleset.' END AS rationale,
+    CASE WHEN {_LOW} THEN 'Severity ' || coalesce(nullif(upper(trim(severity)), ''), 'UNKNOWN') || ' is below the LLM triage threshold (gating). Not auto-suppressed; manual review recommended.' END AS rationale,
     CASE WHEN {_LOW} THEN 'deterministic' END AS disposition_source FROM inventory""",
 )
 def _(t):
