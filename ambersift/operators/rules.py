@@ -237,7 +237,9 @@ def scan_rules(
     )
     if any(_needs_views(r, compat) for r in active):
         base = split_code_docs(base)
-    gate = {r.id: kind_match(F.col("_ext"), F.col("_base"), r.extensions) for r in active}
+    # Rules share few extension lists: one expression per list.
+    kinds = {e: kind_match(F.col("_ext"), F.col("_base"), e) for e in {r.extensions for r in active}}
+    gate = {r.id: kinds[r.extensions] for r in active}
     if "stack" in files.columns:
         gate = {
             r.id: gate[r.id] if r.stack == "universal" else gate[r.id] & (F.col("stack") == r.stack) for r in active
@@ -251,16 +253,25 @@ def scan_rules(
             text = _target(r, compat)
             simple.setdefault(str(text), []).append(r)
             texts[str(text)] = text
+    lowered = {
+        key: f"_low{i}" for i, (key, group) in enumerate(simple.items())
+        if any(r.needs or r.condition.startswith("not_contains:") for r in group)
+    }
+    # Lower-case text is made once per file, not once per rule that looks into it.
+    base = base.withColumns({name: F.lower(texts[key]) for key, name in lowered.items()})
     for key, group in simple.items():
         text, spots = texts[key], []
+        low = F.col(lowered[key]) if key in lowered else None
         for r in group:
             guard = gate[r.id] & _own_guard(r, F.col("_test"))
             kind, _, arg = r.condition.partition(":")
             if kind == "contains" and not compat:
                 guard = guard & F.contains(F.col("content"), F.lit(arg))
             if kind == "not_contains":
-                guard = guard & ~F.contains(F.lower(text), F.lit(arg.lower()))
-            pos = F.when(guard & _hinted(r, text), match_position(text, r.pattern, compat)).otherwise(0)
+                guard = guard & ~F.contains(low, F.lit(arg.lower()))
+            if r.needs:
+                guard = guard & contains_any(low, [w.lower() for w in r.needs])
+            pos = F.when(guard, match_position(text, r.pattern, compat)).otherwise(0)
             spots.append(F.struct(F.lit(r.id).alias("rule_id"), pos.alias("pos")))
         found = F.filter(F.array(*spots), lambda s: s["pos"] > 0)
         arrays.append(F.transform(found, _line_of(text)))

@@ -231,3 +231,20 @@ def test_filters_reach_the_scan(tables):
     assert "PushedFilters: [IsNotNull(event_type), EqualTo(event_type,error)]" in plan
     plan = plan_of(dashboard.open_by_severity(tables.findings))
     assert "props" not in plan.split("ReadSchema")[1]
+
+
+def test_catalog_of_two_hundred_rules(spark, tables):
+    from ambersift.operators.rules import Rule, scan_rules
+
+    targets = ("all", "code", "docs")
+    many = [
+        Rule(id=f"R{i}", extensions=(".py", ".js"), target=targets[i % 3], pattern=rf"(?i)word{i}\b|total = \d*{i}\d*",
+             condition="not_contains:never" if i % 5 else "", severity="LOW")
+        for i in range(200)
+    ]
+    rows = scan_rules(tables.code_files, many)
+    per_rule = rows.groupBy("rule_id").count().count()
+    want = tables.code_files.filter(F.rlike("path", F.lit(r"\.(py|js)\z"))).filter(
+        F.rlike("content", F.lit("(?i)total = ")) & ~F.contains("content", F.lit("scan-ignore-file"))
+    )
+    assert per_rule > 50 and rows.select("path").distinct().count() <= want.count()
