@@ -15,3 +15,10 @@ def free(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name = f"_{name}"
     return name
+
+
+def tokenizer(name: str) -> str:
+    """Path of a public vocabulary file, as installed on driver and executors."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
