@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,3 +23,18 @@ def tokenizer(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
+
+
+def join_counted(left: DataFrame, right: DataFrame, key: str, n: str, parts: int = 1000) -> DataFrame:
+    """Inner join of ``left`` with ``right``, which holds every key once and in ``n`` how
+    many rows of ``left`` have it.
+
+    A key that holds more than one part in ``parts`` of the matching rows would make a
+    long task; there are fewer than ``parts`` such keys, so they are broadcast and the
+    rows stay where they are. All other keys are joined by a shuffle. Both tables are
+    read more than once and should be written ones.
+    """
+    total = right.agg(F.sum(n)).first()[0] or 0
+    hot = F.broadcast(right.filter(F.col(n) * parts > total))
+    cold = left.join(F.broadcast(hot.select(key)), key, "left_anti").join(right.filter(F.col(n) * parts <= total), key)
+    return cold.unionByName(left.join(hot, key))
