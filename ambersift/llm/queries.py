@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import toxicity
 from .exact_dedup import exact_dedup
+from .jaccard_join import similar
 from .packing import pack_documents
 from .secrets import find_secrets, span_digest
 from .substring_dedup import substring_dedup
@@ -66,3 +67,8 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.learn(docs, read(spark, sf_dir, "labels")))
+
+
+@query("op1_ngram_jaccard_join")
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar(read(spark, sf_dir, "documents"))
