@@ -9,6 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import toxicity
+from .decontaminate import find_items
 from .exact_dedup import exact_dedup
 from .jaccard_join import similar
 from .packing import pack_documents
@@ -72,3 +73,9 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_ngram_jaccard_join")
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar(read(spark, sf_dir, "documents"))
+
+
+@query("op3_benchmark_decontamination")
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_items(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return found.drop("text_hash")
