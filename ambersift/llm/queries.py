@@ -7,15 +7,18 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import toxicity
 from .decontaminate import find_items
 from .exact_dedup import exact_dedup
 from .jaccard_join import similar
+from .licenses import find_licenses, license_sql
 from .packing import pack_documents
 from .secrets import find_secrets, span_digest
 from .substring_dedup import substring_dedup
 from .tables import read, tokenizer
+from .token_counts import token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -79,3 +82,14 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_items(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     return found.drop("text_hash")
+
+
+@query("op6_token_counts")
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(read(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
+
+
+@query("op9_license_scan", license_sql())
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_licenses(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.array_join("licenses", ",").alias("licenses"), "sentences")
