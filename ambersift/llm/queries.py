@@ -14,6 +14,7 @@ from .decontaminate import find_items
 from .exact_dedup import exact_dedup
 from .jaccard_join import similar
 from .licenses import find_licenses, license_sql
+from .ngram_lm import score_held_out
 from .packing import pack_documents
 from .secrets import find_secrets, span_digest
 from .substring_dedup import substring_dedup
@@ -93,3 +94,8 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_licenses(read(spark, sf_dir, "documents"))
     return found.select("doc_id", F.array_join("licenses", ",").alias("licenses"), "sentences")
+
+
+@query("op2_lm_scoring")
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_held_out(read(spark, sf_dir, "documents"))

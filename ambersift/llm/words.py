@@ -23,11 +23,11 @@ _POWERS: dict[str, np.ndarray] = {}
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse, kept by the worker up to a chunk's length."""
     if not _POWERS or len(_POWERS["up"]) < n:
-        size = max(n, CHUNK)
+        size = max(n, CHUNK) if n <= CHUNK else max(n, 2 * CHUNK)
         up, down = np.full(size, _BASE, np.uint64), np.full(size, pow(_BASE, -1, 1 << 64), np.uint64)
         up[0] = down[0] = 1
         up, down = np.multiply.accumulate(up), np.multiply.accumulate(down)
-        if size > CHUNK:
+        if size > 2 * CHUNK:
             return up, down
         _POWERS.update(up=up, down=down)
     return _POWERS["up"], _POWERS["down"]
