@@ -90,7 +90,13 @@ class WordIds:
     def ids(self, data: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the rows' texts, and where each row's ids start, the end included."""
         pair = np.flatnonzero((_LETTER[data[:-1]] & _PUNCT[data[1:]]) | (_PUNCT[data[:-1]] & _LETTER[data[1:]])) + 1
-        words = Words(data, rows, lower=True, cut=pair)
+        marks = np.flatnonzero((data[:-1] == 60) & (data[1:] == 124))
+        if len(marks):  # "<|": special tokens are found in the text as it is, so their words stay whole
+            whole = Words(data, rows)
+            odd = np.searchsorted(whole.start, marks, "right") - 1
+            inside = np.searchsorted(whole.start, pair, "right") - 1
+            pair = pair[~np.isin(inside, odd)]
+        words = Words(data, rows, lower=not len(marks), cut=pair)
         hashes, at, back = np.unique(words.hash, return_index=True, return_inverse=True)
         spot = np.searchsorted(self.known, hashes)
         new = np.ones(len(hashes), bool)
