@@ -108,27 +108,34 @@ def resolve_scan_path(f: DataFrame, engagements: DataFrame, products: DataFrame)
     return out.withColumn("resolved_path", path).drop("_scan", "_repo")
 
 
-MAX_INLINE_NAMES = 500
+GRAM = 4
 
 
-def names_found(text: Column, names: DataFrame) -> Column:
-    """Array of the names (one string column) that occur in a text.
+def _grams(text: Column, n: int) -> Column:
+    """Distinct substrings of ``n`` characters."""
+    starts = F.sequence(F.lit(1), F.length(text) - (n - 1))
+    some = F.transform(starts, lambda i: F.substr(text, i, F.lit(n)))
+    return F.when(F.length(text) >= n, F.array_distinct(some)).otherwise(F.array().cast("array<string>"))
 
-    A bounded set of names is tested in place. Beyond that the text's substrings
-    of the known name lengths stand in for it, to be met by an equi-join."""
-    name = names.columns[0]
-    distinct = names.filter(F.coalesce(name, F.lit("")) != "").distinct()
-    few = sorted(r[0] for r in distinct.limit(MAX_INLINE_NAMES + 1).collect())
-    none = F.array().cast("array<string>")
-    if len(few) <= MAX_INLINE_NAMES:
-        return F.filter(F.array(*[F.lit(n) for n in few]), lambda n: F.contains(text, n)) if few else none
-    # One small integer per distinct length, whatever the number of names.
-    sizes = [r[0] for r in distinct.select(F.length(name).alias("n")).distinct().orderBy("n").collect()]
-    def pieces(n: int) -> Column:
-        starts = F.sequence(F.lit(1), F.length(text) - (n - 1))
-        return F.when(F.length(text) >= n, F.transform(starts, lambda i: F.substr(text, i, F.lit(n)))).otherwise(none)
 
-    return F.array_distinct(F.concat(*[pieces(n) for n in sizes]))
+def texts_naming(texts: DataFrame, names: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by.., text, name): the names that occur in a text, each pair once.
+
+    A name is met by the one of its four-character pieces that fewest names have (a
+    shorter name by itself), so candidates are few, and is then looked for in full.
+    Null and empty names occur nowhere."""
+    by = list(by)
+    texts = texts.select(*by, "text").filter(F.col("text") != "").distinct()
+    names = names.select(*by, "name").filter(F.col("name") != "").distinct()
+    pieces = F.when(F.length("name") < GRAM, F.array("name")).otherwise(_grams(F.col("name"), GRAM))
+    held = names.select(*by, "name", F.explode(pieces).alias("_gram"))
+    common = held.groupBy(*by, "_gram").agg(F.count(F.lit(1)).alias("_n"))
+    # min_by carries two values, the piece and its count.
+    least = held.join(common, [*by, "_gram"]).groupBy(*by, "name").agg(F.min("_n").alias("_n"), F.min_by("_gram", "_n").alias("_gram"))
+    every = F.concat(*[_grams(F.col("text"), n) for n in range(1, GRAM + 1)])
+    spread = texts.select(*by, "text", F.explode(every).alias("_gram"))
+    pairs = spread.join(least.drop("_n"), [*by, "_gram"])
+    return pairs.filter(F.contains("text", F.col("name"))).select(*by, "text", "name")
 
 
 def _location(path: Column) -> Column:
@@ -156,22 +163,18 @@ def still_present(stored: DataFrame, rescan: DataFrame, by: Sequence[str] = ())
     def key(mark: str, value: Column) -> Column:
         return F.when(value != "", F.concat(F.lit(mark), value))
 
-    targets = names_found(F.col("_t"), r.filter(F.col("_type") == "network").select("_rt"))
-    stored_keys = F.concat(
-        F.array_compact(
-            F.array(
-                key("r:", F.col("rule_id")), key("t:", F.col("_t")),
-                F.when(F.startswith("rule_id", F.lit("gitleak-")), F.lit("leak")),
-            )
-        ),
-        F.transform(targets, lambda n: F.concat(F.lit("h:"), n)),
+    base = F.array_compact(
+        F.array(
+            key("r:", F.col("rule_id")), key("t:", F.col("_t")),
+            F.when(F.startswith("rule_id", F.lit("gitleak-")), F.lit("leak")),
+        )
     )
-    sk = s.withColumn("_k", F.explode(stored_keys))
-
     kind = F.col("_type")
-    in_message = F.transform(
-        names_found(F.col("_rt"), s.select("_t").distinct()), lambda n: F.concat(F.lit("t:"), n)
-    )
+    hosts = r.filter(kind == "network").select(*by, F.col("_rt").alias("name"))
+    targets = texts_naming(s.select(*by, F.col("_t").alias("text")), hosts, by)
+    targets = targets.select(*by, F.col("text").alias("_t"), F.concat(F.lit("h:"), "name").alias("_k"))
+    sk = s.withColumn("_k", F.explode(base)).unionByName(s.join(targets, [*by, "_t"]))
+
     one = F.array_compact(
         F.array(
             F.when(kind != "leak", key("r:", F.col("_rule"))),
@@ -180,8 +183,13 @@ def still_present(stored: DataFrame, rescan: DataFrame, by: Sequence[str] = ())
             F.when(kind == "leak", F.lit("leak")),
         )
     )
-    rescan_keys = F.when(kind == "external", F.concat(one, in_message)).otherwise(one)
-    rk = r.withColumn("_k", F.explode(rescan_keys)).select(*by, "_type", "_k", "_rf")
+    messages = r.filter(kind == "external").select(*by, F.col("_rt").alias("text"))
+    told = texts_naming(messages, s.select(*by, F.col("_t").alias("name")), by)
+    told = told.select(*by, F.col("text").alias("_rt"), F.concat(F.lit("t:"), "name").alias("_k"))
+    cols = [*by, "_type", "_k", "_rf"]
+    rk = r.withColumn("_k", F.explode(one)).select(*cols).unionByName(
+        r.filter(kind == "external").join(told, [*by, "_rt"]).select(*cols)
+    )
     no_place = F.col("_type").isin("nfr", "network") | (
         (F.col("_type") == "deploy") & F.startswith("_k", F.lit("r:"))
     )
@@ -210,8 +218,10 @@ def component_risk(components: DataFrame, f: DataFrame, by: str = "product_id")
     text = F.lower(F.concat_ws("\n", F.coalesce("title", F.lit("")), F.coalesce("description", F.lit(""))))
     worst = f.select(by, text.alias("_text"), level.alias("_level")).filter(F.col("_level") > 0)
     worst = worst.groupBy(by, "_text").agg(F.max("_level").alias("_level"))
-    found = names_found(F.col("_text"), components.select(F.lower("component").alias("_n")))
-    named = worst.select(by, "_level", F.explode(found).alias("_n"))
+    names = components.select(by, F.lower("component").alias("name"))
+    found = texts_naming(worst.select(by, F.col("_text").alias("text")), names, [by])
+    found = found.select(by, F.col("text").alias("_text"), F.col("name").alias("_n"))
+    named = worst.join(found, [by, "_text"]).select(by, "_level", "_n")
     top = named.groupBy(by, "_n").agg(F.max("_level").alias("_level"))
     out = components.withColumn("_n", F.lower("component")).join(top, [by, "_n"], "left")
     risk = F.coalesce(choose(F.col("_level"), {1: "MEDIUM", 2: "HIGH", 3: "CRITICAL"}), F.lit("LOW"))
@@ -258,11 +268,11 @@ def apply_verification(f: DataFrame, results: DataFrame, at: Column) -> DataFram
         {
             "status": change("status", F.lit("resolved"), F.lit("verification_failed")),
             "kanban_column": change("kanban_column", F.lit("done"), F.lit("in_progress")),
-            "is_verified": F.when(seen, fixed).otherwise(F.lit(False)),
-            "verified_at": F.when(seen & fixed, at).otherwise(null_at),
+            "is_verified": F.when(seen, fixed).otherwise(F.col("is_verified")),
+            "verified_at": change("verified_at", at, null_at),
             "resolved_at": change("resolved_at", at, null_at),
-            "verification_status": F.when(seen & fixed, F.lit("fixed")).when(seen, F.lit("not_fixed")),
-            "verification_summary": F.when(seen, F.col("summary")),
+            "verification_status": change("verification_status", F.lit("fixed"), F.lit("not_fixed")),
+            "verification_summary": F.when(seen, F.col("summary")).otherwise(F.col("verification_summary")),
         }
     )
     return out.drop("fixed", "summary")
@@ -316,19 +326,20 @@ def purge_cascade(tables: dict[str, DataFrame], product_ids: DataFrame) -> dict[
 
 
 def apply_triage(f: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """AI verdict to status: false positives are flagged, true ones go to triage."""
-    v = verdicts.select("id", F.col("verdict").alias("_v"), F.col("summary").alias("_s"))
+    """AI verdict to status: false positives are flagged, true ones go to triage;
+    findings without a verdict stay as they are."""
+    v = verdicts.select("id", F.col("verdict").alias("_v"), F.col("summary").alias("_s"), F.lit(True).alias("_seen"))
     out = f.join(v, "id", "left")
     is_fp, is_tp = F.col("_v") == "false_positive", F.col("_v") == "true_positive"
     return out.withColumns(
         {
             "status": F.when(is_fp, F.lit("false_positive")).when(is_tp, F.lit("triage")).otherwise(F.col("status")),
             "is_false_positive": F.coalesce(is_fp, F.lit(False)) | F.coalesce("is_false_positive", F.lit(False)),
-            "fp_reason": F.when(is_fp, F.col("_s")),
-            "ai_triage_status": F.col("_v"),
-            "ai_triage_summary": F.col("_s"),
+            "fp_reason": F.when(is_fp, F.col("_s")).otherwise(F.col("fp_reason")),
+            "ai_triage_status": F.when(F.col("_seen"), F.col("_v")).otherwise(F.col("ai_triage_status")),
+            "ai_triage_summary": F.when(F.col("_seen"), F.col("_s")).otherwise(F.col("ai_triage_summary")),
         }
-    ).drop("_v", "_s")
+    ).drop("_v", "_s", "_seen")
 
 
 def rule_coverage(rules: DataFrame) -> DataFrame:

@@ -515,9 +515,10 @@ def _(t):
     "apply_verification",
     f"""WITH r AS (SELECT DISTINCT o_orderkey AS id, o_orderstatus = 'F' AS fixed, o_orderpriority AS summary FROM orders WHERE o_orderstatus <> 'P')
     SELECT f.id, CASE WHEN r.fixed THEN 'resolved' WHEN NOT r.fixed THEN 'verification_failed' ELSE f.status END AS status,
-      CASE WHEN r.fixed THEN 'done' WHEN NOT r.fixed THEN 'in_progress' ELSE f.kanban_column END AS kanban_column, coalesce(r.fixed, false) AS is_verified,
-      CASE WHEN r.fixed THEN TIMESTAMP '{AS_OF}' END AS verified_at, CASE WHEN r.fixed THEN TIMESTAMP '{AS_OF}' WHEN NOT r.fixed THEN NULL ELSE f.resolved_at END AS resolved_at,
-      CASE WHEN r.fixed THEN 'fixed' WHEN NOT r.fixed THEN 'not_fixed' END AS verification_status, r.summary AS verification_summary
+      CASE WHEN r.fixed THEN 'done' WHEN NOT r.fixed THEN 'in_progress' ELSE f.kanban_column END AS kanban_column, coalesce(r.fixed, f.is_verified) AS is_verified,
+      CASE WHEN r.fixed THEN TIMESTAMP '{AS_OF}' WHEN NOT r.fixed THEN NULL ELSE f.verified_at END AS verified_at, CASE WHEN r.fixed THEN TIMESTAMP '{AS_OF}' WHEN NOT r.fixed THEN NULL ELSE f.resolved_at END AS resolved_at,
+      CASE WHEN r.fixed THEN 'fixed' WHEN NOT r.fixed THEN 'not_fixed' ELSE f.verification_status END AS verification_status,
+      CASE WHEN r.id IS NULL THEN f.verification_summary ELSE r.summary END AS verification_summary
     FROM findings f LEFT JOIN r ON r.id = f.id""",
 )
 def _(t):
@@ -572,8 +573,8 @@ def _(t):
     "apply_triage",
     """WITH v AS (SELECT o_orderkey AS id, CASE o_orderstatus WHEN 'F' THEN 'true_positive' WHEN 'O' THEN 'false_positive' ELSE 'needs_review' END AS verdict, o_orderpriority AS summary FROM orders)
     SELECT f.id, CASE v.verdict WHEN 'false_positive' THEN 'false_positive' WHEN 'true_positive' THEN 'triage' ELSE f.status END AS status,
-      coalesce(v.verdict = 'false_positive', false) OR f.is_false_positive AS is_false_positive, CASE WHEN v.verdict = 'false_positive' THEN v.summary END AS fp_reason,
-      v.verdict AS ai_triage_status, v.summary AS ai_triage_summary FROM findings f LEFT JOIN v ON v.id = f.id""",
+      coalesce(v.verdict = 'false_positive', false) OR f.is_false_positive AS is_false_positive, CASE WHEN v.verdict = 'false_positive' THEN v.summary ELSE f.fp_reason END AS fp_reason,
+      CASE WHEN v.id IS NULL THEN f.ai_triage_status ELSE v.verdict END AS ai_triage_status, CASE WHEN v.id IS NULL THEN f.ai_triage_summary ELSE v.summary END AS ai_triage_summary FROM findings f LEFT JOIN v ON v.id = f.id""",
 )
 def _(t):
     status = c("o_orderstatus")

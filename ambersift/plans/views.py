@@ -200,7 +200,13 @@ SELECT event_id AS id, user_id * 7 + event_id % 7 AS engagement_id, user_id AS p
   event_id % 9 = 3 AS is_false_positive, event_id % 10 = 0 AS sla_breached, ts AS created_at,
   CASE event_type WHEN 'error' THEN ts + INTERVAL 1 DAY WHEN 'purchase' THEN ts + INTERVAL 7 DAY
        WHEN 'signup' THEN ts + INTERVAL 30 DAY WHEN 'click' THEN ts + INTERVAL 90 DAY ELSE NULL END AS sla_deadline,
-  CASE event_id % 9 WHEN 0 THEN ts + INTERVAL 3 DAY WHEN 1 THEN ts + INTERVAL 12 DAY ELSE NULL END AS resolved_at
+  CASE event_id % 9 WHEN 0 THEN ts + INTERVAL 3 DAY WHEN 1 THEN ts + INTERVAL 12 DAY ELSE NULL END AS resolved_at,
+  event_id % 9 = 0 AND event_id % 2 = 0 AS is_verified, CASE WHEN event_id % 18 = 0 THEN ts + INTERVAL 4 DAY END AS verified_at,
+  CASE event_id % 18 WHEN 0 THEN 'fixed' WHEN 5 THEN 'not_fixed' END AS verification_status,
+  CASE WHEN event_id % 18 IN (0, 5) THEN 'checked ' || CAST(event_id % 7 AS STRING) END AS verification_summary,
+  CASE WHEN event_id % 9 = 3 THEN 'reason ' || CAST(event_id % 5 AS STRING) END AS fp_reason,
+  CASE event_id % 9 WHEN 3 THEN 'false_positive' WHEN 4 THEN 'true_positive' END AS ai_triage_status,
+  CASE WHEN event_id % 9 IN (3, 4) THEN 'earlier verdict ' || CAST(event_id % 11 AS STRING) END AS ai_triage_summary
 FROM events""",
     "raw_findings": f"""
 SELECT l_orderkey AS scan_id, l_suppkey AS product_id, 'proj' || CAST(l_suppkey AS STRING) AS project,

@@ -87,18 +87,24 @@ NAMES = ["redis", "nginx", "post", "gres", "x", "long name"]
 TEXTS = ["uses postgres and redis", "xx", "", "a long name here", "nothing"]
 
 
-def test_names_found_both_ways(spark, monkeypatch):
-    texts = spark.createDataFrame([(t,) for t in TEXTS], "t string")
-    names = spark.createDataFrame([(n,) for n in NAMES], "n string")
-
-    def hits(wide):
-        if wide:
-            monkeypatch.setattr(compare, "MAX_INLINE_NAMES", 2)
-        found = texts.select("t", F.explode(compare.names_found(F.col("t"), names)).alias("n"))
-        return sorted((r["t"], r["n"]) for r in found.join(names, "n").collect())
-
-    want = sorted((t, n) for t in TEXTS for n in NAMES if n in t)
-    assert hits(False) == want == hits(True)
+def test_names_in_texts(spark):
+    """More names than any list in a plan should hold, and names shorter than a piece."""
+    many = [f"package name {i}" for i in range(700)] + NAMES + ["", None]
+    told = TEXTS + [f"see package name {i} twice: package name {i + 1}!" for i in range(0, 700, 9)] + [None]
+    texts = spark.createDataFrame([(k, t) for t in told for k in (1, 2)], "g int, text string")
+    names = spark.createDataFrame([(1, n) for n in many], "g int, name string")
+    got = [tuple(r) for r in compare.texts_naming(texts, names, ["g"]).collect()]
+    want = {(1, t, n) for t in told for n in many if t and n and n in t}
+    assert len(got) == len(want) and set(got) == want
+
+
+def test_results_leave_other_findings_alone(tables):
+    none = tables.orders.limit(0)
+    results = none.selectExpr("o_orderkey AS id", "true AS fixed", "'s' AS summary")
+    verdicts = none.selectExpr("o_orderkey AS id", "'true_positive' AS verdict", "'s' AS summary")
+    for out in (compare.apply_verification(tables.findings, results, F.current_timestamp()),
+                compare.apply_triage(tables.findings, verdicts)):
+        same(out.select(*tables.findings.columns), tables.findings)
 
 
 def brute_still_present(stored, rescan):
