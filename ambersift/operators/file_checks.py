@@ -6,10 +6,12 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.paths import base_name, ext_match, extension, is_test_like, is_vendored
 from ..functions.text import (
     any_of, contains_any, first_where, is_high_entropy, lines_of, newline_count, redact_preview,
+    redact_secrets,
 )
 from .rules import GOD_FILE_LINES
 
@@ -119,13 +121,17 @@ def secret_scan(files: DataFrame, keep: Sequence[str] = ("project", "path")) ->
     return hits.select(*keep, "line", name.alias("pattern"), redact_preview(text).alias("preview"))
 
 
-def history_leaks(hits: DataFrame, limit: int = 50) -> DataFrame:
-    """First leak per (file, pattern, commit); the report holds ``limit`` of them, oldest first."""
-    first = hits.groupBy("path", "pattern", "commit_id").agg(
-        F.min(F.struct("committed_at", "line", "author", "preview")).alias("m")
-    )
-    flat = first.select("path", "pattern", "commit_id", "m.*")
-    return flat.orderBy("committed_at", "commit_id", "path", "line", "pattern").limit(limit)
+def history_leaks(hits: DataFrame, limit: int | None = 50, by: Sequence[str] = ("project",)) -> DataFrame:
+    """First leak per (file, pattern, commit) of each project; a project's report holds
+    ``limit`` of them, oldest first (``None``: all)."""
+    keys = [*by, "path", "pattern", "commit_id"]
+    first = hits.groupBy(*keys).agg(F.min(F.struct("committed_at", "line", "author", "preview")).alias("m"))
+    flat = first.select(*keys, "m.*")
+    if limit is None:
+        return flat
+    # The cap is the feature; a rank limit this small is applied before the shuffle.
+    order = Window.partitionBy(*by).orderBy("committed_at", "commit_id", "path", "line", "pattern")
+    return flat.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= limit).drop("_n")
 
 
 def secret_assignments(files: DataFrame) -> DataFrame:
@@ -175,7 +181,7 @@ def drop_test_findings(findings: DataFrame, file_col: str = "file") -> DataFrame
 
 
 def critical_files(files: DataFrame) -> DataFrame:
-    """(path, ...) -> security-critical files with reason and risk."""
+    """(file_path, ...) -> security-critical files with reason and risk; other columns stay."""
     low = F.lower(base_name(F.col("file_path")))
     reason = first_where([(F.contains(low, F.lit(p)), why) for p, why in CRITICAL_NAMES])
     key_file = F.rlike(low, F.lit(r"\.(?:pem|key|p12)\z")) | (low == ".env")
@@ -210,12 +216,17 @@ def integrity_check(docs: DataFrame, findings: DataFrame, key: Sequence[str], te
 IMPORT_LINE = r"^(?:import |from |require\(|const .*require\()"
 
 
-def context_window(findings: DataFrame, files: DataFrame, radius: int = 30, head: int = 30) -> DataFrame:
-    """Lines around each distinct finding location, the hit line marked.
+def context_window(
+    findings: DataFrame, files: DataFrame, radius: int = 30, head: int = 30, fallback: int = 12
+) -> DataFrame:
+    """Lines around each distinct finding location, the hit line marked; secrets redacted.
 
-    Locations are gathered per file in chunks of line numbers, so a file's text
-    is split once per chunk and meets one row, not one per finding."""
-    places = findings.select("project", "path", F.col("line").cast("long").alias("line")).distinct()
+    A location without a usable line (null, below 1, beyond the end) gets the first
+    ``fallback`` lines. ``head`` lines are searched for imports. Locations are gathered
+    per file in chunks of line numbers, so a file's text is split once per chunk and
+    meets one row, not one per finding; files nobody cites do not take part."""
+    line = F.col("line").cast("long")
+    places = findings.select("project", "path", F.coalesce(line, F.lit(0)).alias("line")).distinct()
     chunks = places.groupBy("project", "path", F.floor(F.col("line") / 5000).alias("_chunk")).agg(
         F.collect_list("line").alias("_wanted")
     )
@@ -223,26 +234,33 @@ def context_window(findings: DataFrame, files: DataFrame, radius: int = 30, head
     both = both.withColumn("_lines", lines_of(F.col("content")))
     last = F.size("_lines").cast("long")
 
+    def clean(s: Column) -> Column:
+        return F.replace(redact_secrets(s), F.lit("```"), F.lit("'''"))
+
     def window(line: Column) -> Column:
-        start, end = F.greatest(line - radius, F.lit(1)), F.least(line + radius, last)
+        usable = line.between(1, last)
+        start = F.when(usable, F.greatest(line - radius, F.lit(1))).otherwise(F.lit(1))
+        end = F.when(usable, F.least(line + radius, last)).otherwise(F.least(last, F.lit(fallback)))
         part = F.slice("_lines", start.cast("int"), (end - start + 1).cast("int"))
-        marked = F.transform(
+        shown = F.transform(
             part,
-            lambda s, i: F.concat(
-                F.when(i + start == line, F.lit(">> ")).otherwise(F.lit("   ")),
-                (i + start).cast("string"), F.lit(": "), s,
-            ),
+            lambda s, i: F.when(
+                usable,
+                F.concat(
+                    F.when(i + start == line, F.lit(">> ")).otherwise(F.lit("   ")),
+                    (i + start).cast("string"), F.lit(": "), clean(s),
+                ),
+            ).otherwise(clean(s)),
         )
         return F.struct(
-            line.alias("line"), start.alias("start_line"), end.alias("end_line"),
-            F.array_join(marked, "\n").alias("snippet"),
+            line.alias("line"), start.cast("long").alias("start_line"), end.cast("long").alias("end_line"),
+            F.array_join(shown, "\n").alias("snippet"),
         )
 
-    wanted = F.filter("_wanted", lambda n: n.between(1, last))
     imports = F.filter(F.slice("_lines", 1, head), lambda s: F.rlike(F.ltrim(s), F.lit(IMPORT_LINE)))
     return both.select(
         "project", "path", F.array_join(imports, "\n").alias("imports"),
-        F.explode(F.transform(wanted, window)).alias("w"),
+        F.explode(F.transform("_wanted", window)).alias("w"),
     ).select("project", "path", "w.line", "w.start_line", "w.end_line", "w.snippet", "imports")
 
 
@@ -250,9 +268,5 @@ def ext_filter(files: DataFrame, exts: Sequence[str]) -> DataFrame:
     return files.filter(ext_match(F.col("path"), exts))
 
 
-def vendored_files(files: DataFrame) -> DataFrame:
-    return files.filter(is_vendored(F.col("path")))
-
-
 def fragment_filter(files: DataFrame, fragments: Sequence[str]) -> DataFrame:
     return files.filter(~contains_any(F.col("path"), fragments))

@@ -8,114 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.paths import ancestor_dirs, base_name, dir_name, extension, in_any_dir, is_test_like
+from ..functions.paths import base_name, extension, in_any_dir
 from ..functions.severity import port_service, port_severity
 from ..functions.text import any_of, contains_any, first_where, lines_of, trimmed
 from .file_checks import numbered_lines
-
-# ---- stacks and roots -----------------------------------------------------
-
-# Stack names and the points of their marker files.
-GENERIC = "unknown"
-EXPRESS_IMPORT = r"""(?m)(?:\bfrom\s*["']express["']|\brequire\s*\(\s*["']express["']\s*\))"""
-SCRIPT_EXTS = (".js", ".cjs", ".mjs", ".ts", ".tsx")
-MIN_STACK_POINTS, MIN_GENERIC_POINTS = 80, 50
-
-
-def json_names(content: Column, *sections: str) -> Column:
-    """Dependency names in the named sections of a JSON manifest; empty if it does not parse."""
-    ddl = ", ".join(f"{s} map<string,string>" for s in sections)
-    doc = F.from_json(content, ddl)
-    keys = [F.coalesce(F.map_keys(doc[s]), F.array().cast("array<string>")) for s in sections]
-    return F.array_distinct(F.concat(*keys))
-
-
-def detect_stack(files: DataFrame) -> DataFrame:
-    """Winning stack of each folder by the points of its marker files."""
-    path, content = F.col("path"), F.col("content")
-    base, low = base_name(path), F.lower(content)
-    live = files.filter(~is_test_like(path))
-
-    uses_express = live.filter(extension(path).isin(*SCRIPT_EXTS) & F.rlike(content, F.lit(EXPRESS_IMPORT)))
-    express_dirs = uses_express.select("project", F.explode(ancestor_dirs(path)).alias("dir")).distinct()
-
-    def points(stack: str, n: int) -> Column:
-        return F.struct(F.lit(stack).alias("stack"), F.lit(n).alias("points"))
-
-    deps = json_names(content, "dependencies", "devDependencies")
-    in_requirements = F.contains(dir_name(path), F.lit("requirements"))
-    python_deps = base.isin("requirements.txt", "pyproject.toml", "Pipfile") | (
-        in_requirements & F.rlike(base, F.lit(r"\.(?:txt|in)\z"))
-    )
-
-    def has(word: str) -> Column:
-        return F.contains(low, F.lit(word))
-
-    def imports(word: str) -> Column:
-        return has(f"from {word}") | has(f"import {word}")
-
-    manifest = F.when(
-        base == "package.json",
-        F.when(F.array_contains(deps, "next"), points("nextjs", 100))
-        .when(F.array_contains(deps, "express") & F.col("_express"), points("express", 100))
-        .otherwise(points(GENERIC, 50)),
-    )
-    python = F.when(
-        python_deps,
-        first_where(
-            [(has(w), points(w, 100)) for w in ("fastapi", "django", "flask")], points(GENERIC, 50)
-        ),
-    )
-    entry = F.when(
-        base.isin("main.py", "app.py", "asgi.py"),
-        first_where([(imports(w), points(w, 80)) for w in ("fastapi", "django", "flask")]),
-    )
-    dotnet = F.when(
-        F.rlike(base, F.lit(r"\.(?:csproj|fsproj)\z"))
-        & (
-            (F.contains(content, F.lit("PackageReference")) & F.contains(content, F.lit("Microsoft.AspNetCore")))
-            | F.rlike(content, F.lit(r"""Sdk=["']Microsoft\.NET\.Sdk\.Web["']"""))
-        ),
-        points("aspnetcore", 100),
-    )
-    others = [
-        F.when(base.isin("next.config.js", "next.config.mjs"), points("nextjs", 80)),
-        F.when(base == "tsconfig.json", points(GENERIC, 20)),
-        F.when(base == "manage.py", points("django", 90)),
-        F.when(base == "go.mod", points("go", 100)),
-    ]
-    marker = (
-        base.isin("package.json", "next.config.js", "next.config.mjs", "tsconfig.json", "manage.py", "go.mod",
-                  "main.py", "app.py", "asgi.py")
-        | python_deps
-        | F.rlike(base, F.lit(r"\.(?:csproj|fsproj)\z"))
-    )
-    marked = live.filter(marker).withColumn("dir", dir_name(path))
-    flagged = marked.join(
-        express_dirs.withColumn("_express", F.lit(True)), ["project", "dir"], "left"
-    ).withColumn("_express", F.coalesce("_express", F.lit(False)))
-    scored = flagged.select(
-        "project", "dir", F.explode(F.array_compact(F.array(manifest, python, entry, dotnet, *others))).alias("s")
-    )
-    sums = scored.groupBy("project", "dir", F.col("s.stack").alias("stack")).agg(F.sum("s.points").alias("points"))
-    # Ties go to the first stack by name.
-    best = sums.groupBy("project", "dir").agg(F.min(F.struct((-F.col("points")).alias("n"), "stack")).alias("b"))
-    out = best.select("project", F.col("dir").alias("root"), F.col("b.stack").alias("stack"), (-F.col("b.n")).alias("points"))
-    return out.filter(
-        (F.col("points") >= MIN_STACK_POINTS)
-        | ((F.col("points") >= MIN_GENERIC_POINTS) & (F.col("stack") == GENERIC))
-    )
-
-
-def assign_project(files: DataFrame, roots: DataFrame) -> DataFrame:
-    """Each live file to the deepest root above it: an equi-join on its ancestor folders."""
-    live = files.filter(~is_test_like(F.col("path"))).select("project", "path")
-    up = live.select("project", "path", F.explode(ancestor_dirs(F.col("path"))).alias("root"))
-    hits = up.join(roots.select("project", "root", "stack"), ["project", "root"])
-    level = F.when(F.col("root") == ".", 0).otherwise(F.length("root"))
-    best = hits.groupBy("project", "path").agg(F.max(F.struct(level.alias("n"), "root", "stack")).alias("b"))
-    return best.select("project", "path", "b.root", "b.stack")
-
+from .roots import json_names
 
 # ---- components and threats ----------------------------------------------
 
@@ -396,8 +293,9 @@ SECURITY_SHAPE = (
 )
 
 
-def key_files(files: DataFrame) -> DataFrame:
-    """Manifests, configuration, entry points and security-named code, content capped."""
+def key_files(files: DataFrame, chars: int = KEY_FILE_CHARS, security: int = SECURITY_FILES) -> DataFrame:
+    """Manifests, configuration, entry points and security-named code: an excerpt of
+    ``chars`` characters, ``security`` files of the last kind."""
     path = F.col("path")
     role = first_where(
         [
@@ -409,17 +307,17 @@ def key_files(files: DataFrame) -> DataFrame:
     )
     found = files.filter(~in_any_dir(path, KEY_SKIP_DIRS) & (F.col("content") != "")).withColumn("role", role)
     found = found.filter(F.col("role").isNotNull())
-    # The cap is the feature: the first ten security-named files of a project.
+    # The cap is the feature: the first few security-named files of a project.
     # A rank limit this small is also applied before the shuffle.
     first = Window.partitionBy("project", "role").orderBy("path")
     capped = (
         found.filter(F.col("role") == "security").select("project", "role", "path")
-        .withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= SECURITY_FILES)
+        .withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= security)
         .select("project", "path")
     )
     cut = F.when(
-        F.octet_length("content") > KEY_FILE_CHARS,
-        F.concat(F.left("content", F.lit(KEY_FILE_CHARS)), F.lit("\n... (truncated)")),
+        F.length("content") > chars,
+        F.concat(F.left("content", F.lit(chars)), F.lit("\n... (truncated)")),
     ).otherwise(F.col("content"))
     shaped = found.withColumn("excerpt", cut).select("project", "path", "role", "excerpt")
     chosen = shaped.filter(F.col("role") == "security").join(capped, ["project", "path"], "left_semi")

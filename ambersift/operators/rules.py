@@ -14,13 +14,13 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.paths import base_name, exclude_paths, ext_match, extension, is_test_like, kind_match
+from ..functions.paths import base_name, dir_name, exclude_paths, ext_match, extension, is_test_like, kind_match
 from ..functions.text import all_of, any_of, contains_any, lines_of, newline_count
 from .code_text import split_code_docs
+from .roots import assign_project
 
 PROJECT_CONDITIONS = ("missing_lockfile", "missing", "required_pattern")
 GOD_FILE_LINES = 1500
-MAX_BROADCAST_RULES = 10_000
 
 
 @dataclass(frozen=True)
@@ -298,14 +298,13 @@ def scan_rules(
 
 
 def with_rule_details(hits: DataFrame, rules: Sequence[Rule]) -> DataFrame:
-    """Name, severity and suggestion next to the rule id."""
+    """Name, severity and suggestion next to the rule id: constants of the plan, like the
+    rules themselves."""
     rows = {r.id: (r.id, r.name, r.severity, r.suggestion) for r in reversed(rules)}
     details = hits.sparkSession.createDataFrame(
         list(rows.values()), "rule_id string, name string, severity string, suggestion string"
     )
-    if len(rows) <= MAX_BROADCAST_RULES:
-        details = F.broadcast(details)
-    return hits.join(details, "rule_id", "left")
+    return hits.join(F.broadcast(details), "rule_id", "left")
 
 
 def rules_x_files(files: DataFrame, rules: Sequence[Rule]) -> DataFrame:
@@ -329,18 +328,33 @@ def _candidate(rule: Rule, is_test: Column) -> Column:
     return ext_match(F.col("path"), rule.extensions) & _own_guard(rule, is_test)
 
 
-def _per_project(files: DataFrame, flags: dict[str, Column]) -> DataFrame:
+def _per_project(files: DataFrame, flags: dict[str, Column], keys: Sequence[str] = ("project",)) -> DataFrame:
     """Boolean ORs per project: partial aggregates, so content never moves."""
-    return files.groupBy("project").agg(*[F.max(F.coalesce(c, F.lit(False))).alias(n) for n, c in flags.items()])
+    return files.groupBy(*keys).agg(*[F.max(F.coalesce(c, F.lit(False))).alias(n) for n, c in flags.items()])
 
 
-def _fired(per_project: DataFrame, rules: Sequence[Rule], fires: Sequence[Column]) -> DataFrame:
+def _per_root(files: DataFrame, flags: dict[str, Column], roots: DataFrame) -> DataFrame:
+    """The same per root, of the files assigned to it. Flags are worked out where the
+    text is read; what is joined are paths and flags."""
+    marks = files.select("project", "path", *[F.coalesce(c, F.lit(False)).alias(n) for n, c in flags.items()])
+    marks = marks.filter(any_of([F.col(n) for n in flags]))
+    mine = assign_project(files.select("project", "path"), roots).filter(F.col("root").isNotNull()).select("project", "path", "root")
+    found = _per_project(marks.join(mine, ["project", "path"]), {n: F.col(n) for n in flags}, ("project", "root"))
+    return roots.select("project", "root", "stack").join(found, ["project", "root"], "left").fillna(False, list(flags))
+
+
+def _fired(per: DataFrame, rules: Sequence[Rule], fires: Sequence[Column]) -> DataFrame:
+    """One row per rule that fires; per root only rules of the root's stack do."""
+    keys = [c for c in ("project", "root", "stack") if c in per.columns]
+    if "stack" in keys:
+        fires = [c if r.stack == "universal" else c & (F.col("stack") == r.stack) for r, c in zip(rules, fires)]
     ids = F.array_compact(F.array(*[F.when(c, F.lit(r.id)) for r, c in zip(rules, fires)]))
-    return with_rule_details(per_project.select("project", F.explode(ids).alias("rule_id")), rules)
+    return with_rule_details(per.select(*keys, F.explode(ids).alias("rule_id")), rules)
 
 
-def required_pattern(files: DataFrame, rules: Sequence[Rule]) -> DataFrame:
-    """Projects with candidate files of which none matches."""
+def required_pattern(files: DataFrame, rules: Sequence[Rule], roots: DataFrame | None = None) -> DataFrame:
+    """Projects with candidate files of which none matches; with ``roots`` (project, root,
+    stack) every root by itself, for rules of its stack."""
     rules = [r for r in rules if r.condition == "required_pattern"]
     base = files.withColumn("_test", is_test_like(F.col("path")))
     if any(r.target in ("code", "docs") for r in rules):
@@ -352,29 +366,43 @@ def required_pattern(files: DataFrame, rules: Sequence[Rule]) -> DataFrame:
         flags[f"c{i}"] = cand
         flags[f"m{i}"] = F.when(cand, matches(text, r.pattern))
     fires = [F.col(f"c{i}") & ~F.col(f"m{i}") for i in range(len(rules))]
-    return _fired(_per_project(base, flags), rules, fires)
+    return _fired(_per_project(base, flags) if roots is None else _per_root(base, flags, roots), rules, fires)
 
 
-def missing_filename(files: DataFrame, projects: DataFrame, rules: Sequence[Rule]) -> DataFrame:
-    """Projects without a file of the listed kinds whose base name matches."""
+def missing_filename(
+    files: DataFrame, projects: DataFrame, rules: Sequence[Rule], roots: DataFrame | None = None
+) -> DataFrame:
+    """Projects (with ``roots``: roots) without a file of the listed kinds whose base name matches."""
     rules = [r for r in rules if r.condition == "missing" and r.target == "filename"]
     flags = {
         f"f{i}": ext_match(F.col("path"), r.extensions) & matches(base_name(F.col("path")), r.pattern)
         for i, r in enumerate(rules)
     }
-    found = _per_project(files, flags)
-    per = projects.select("project").distinct().join(found, "project", "left")
+    if roots is None:
+        per = projects.select("project").distinct().join(_per_project(files, flags), "project", "left")
+    else:
+        per = _per_root(files, flags, roots)
     fires = [~F.coalesce(F.col(f"f{i}"), F.lit(False)) for i in range(len(rules))]
     return _fired(per, rules, fires)
 
 
-def missing_lockfile(files: DataFrame, projects: DataFrame, rules: Sequence[Rule]) -> DataFrame:
-    """Projects with none of the rule's lock files at their root."""
+def missing_lockfile(
+    files: DataFrame, projects: DataFrame, rules: Sequence[Rule], roots: DataFrame | None = None
+) -> DataFrame:
+    """Projects with none of the rule's lock files at their top; with ``roots`` every root by itself."""
     rules = [r for r in rules if r.condition == "missing_lockfile"]
     wanted = sorted({f for r in rules for f in r.files})
-    at_root = files.filter(F.col("path").isin(wanted))
-    found = _per_project(at_root, {f"f{i}": F.col("path").isin(list(r.files)) for i, r in enumerate(rules)})
-    per = projects.select("project").distinct().join(found, "project", "left")
+    if roots is None:
+        at_root = files.filter(F.col("path").isin(wanted))
+        found = _per_project(at_root, {f"f{i}": F.col("path").isin(list(r.files)) for i, r in enumerate(rules)})
+        per = projects.select("project").distinct().join(found, "project", "left")
+    else:
+        base = base_name(F.col("path"))
+        held = files.filter(base.isin(wanted)).select("project", dir_name(F.col("path")).alias("root"), base.alias("name"))
+        flags = {f"f{i}": F.col("name").isin(list(r.files)) for i, r in enumerate(rules)}
+        per = roots.select("project", "root", "stack").join(
+            _per_project(held, flags, ("project", "root")), ["project", "root"], "left"
+        )
     fires = [~F.coalesce(F.col(f"f{i}"), F.lit(False)) for i in range(len(rules))]
     return _fired(per, rules, fires)
 
@@ -439,4 +467,4 @@ def nfr_rules(files: DataFrame, projects: DataFrame, rules: Sequence[NfrRule]) -
         [(r.id, r.name, r.severity, r.message, r.advice) for r in rules],
         "rule_id string, name string, severity string, message string, advice string",
     )
-    return flat.join(F.broadcast(details) if len(rules) <= MAX_BROADCAST_RULES else details, "rule_id")
+    return flat.join(F.broadcast(details), "rule_id")

@@ -87,12 +87,14 @@ def scanner_coverage(executions: DataFrame, required: Sequence[str]) -> DataFram
 HIGH_CHURN_COMMITS, HIGH_CHURN_LINES = 30, 1000
 
 
-def git_file_stats(numstat: DataFrame) -> DataFrame:
-    """Commits, authors, lines and last change per file, with the bulk-addition score."""
-    per_commit = numstat.groupBy("file_path", "commit_id", "author_email").agg(
+def git_file_stats(numstat: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Commits, authors, lines and last change per file, with the bulk-addition score;
+    ``by`` names the columns that tell projects apart."""
+    file = [*by, "file_path"]
+    per_commit = numstat.groupBy(*file, "commit_id", "author_email").agg(
         F.sum("additions").alias("_a"), F.sum("deletions").alias("_d"), F.max("committed_at").alias("_at")
     )
-    per = per_commit.groupBy("file_path").agg(
+    per = per_commit.groupBy(*file).agg(
         F.countDistinct("commit_id").alias("commits"), F.countDistinct("author_email").alias("authors"),
         F.sum("_a").alias("additions"), F.sum(F.col("_a") + F.col("_d")).alias("lines_changed"),
         F.max("_at").alias("last_modified"),
@@ -101,9 +103,11 @@ def git_file_stats(numstat: DataFrame) -> DataFrame:
     return per.withColumn("agentic_score", F.when(each > 500, 0.8).when(each > 200, 0.4).otherwise(0.0))
 
 
-def high_churn(numstat: DataFrame) -> DataFrame:
-    return git_file_stats(numstat).filter(
-        (F.col("commits") >= HIGH_CHURN_COMMITS) & (F.col("authors") <= 1) & (F.col("lines_changed") > HIGH_CHURN_LINES)
+def high_churn(
+    numstat: DataFrame, by: Sequence[str] = (), commits: int = HIGH_CHURN_COMMITS, lines: int = HIGH_CHURN_LINES
+) -> DataFrame:
+    return git_file_stats(numstat, by).filter(
+        (F.col("commits") >= commits) & (F.col("authors") <= 1) & (F.col("lines_changed") > lines)
     )
 
 
@@ -129,53 +133,55 @@ def tree_fingerprint(files: DataFrame, levels: Sequence[int] = (4, 2)) -> DataFr
 # ---- dependency graph -----------------------------------------------------
 
 
-def dep_nodes(edges: DataFrame) -> DataFrame:
+def dep_nodes(edges: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Per package: direct and reverse dependencies, root and leaf marks."""
     ends = edges.select(
+        *by,
         F.explode(
             F.array(
                 F.struct(F.col("parent").alias("node"), F.lit(1).alias("o"), F.lit(0).alias("i")),
                 F.struct(F.col("child").alias("node"), F.lit(0).alias("o"), F.lit(1).alias("i")),
             )
-        ).alias("e")
-    ).select("e.*")
-    per = ends.groupBy("node").agg(F.sum("o").alias("direct"), F.sum("i").alias("reverse"))
+        ).alias("e"),
+    ).select(*by, "e.*")
+    per = ends.groupBy(*by, "node").agg(F.sum("o").alias("direct"), F.sum("i").alias("reverse"))
     return per.withColumns({"is_root": F.col("reverse") == 0, "is_leaf": F.col("direct") == 0})
 
 
-def dep_graph_stats(edges: DataFrame) -> DataFrame:
-    nodes = dep_nodes(edges.select("parent", "child").distinct())
-    return nodes.agg(
+def dep_graph_stats(edges: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    nodes = dep_nodes(edges.select(*by, "parent", "child").distinct(), by)
+    return nodes.groupBy(*by).agg(
         F.count(F.lit(1)).alias("nodes"), F.sum("direct").alias("edges"), F.count_if(F.col("is_root")).alias("roots"),
         F.count_if(F.col("is_leaf")).alias("leaves"), F.max("direct").alias("max_direct"),
         F.max("reverse").alias("max_reverse"),
     )
 
 
-def dep_closure(edges: DataFrame, roots: DataFrame, max_depth: int = 20) -> DataFrame:
+def dep_closure(edges: DataFrame, roots: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Packages reachable from the roots with their depth; each is entered once.
 
     Every round is one equi-join of the frontier and writes its new nodes to the
-    shared folder, so lineage stays short and a lost executor costs one round."""
-    edges = written(edges.select("parent", "child").distinct())
-    frontier = written(roots.select("node").distinct().withColumn("depth", F.lit(0)))
-    seen = frontier
-    for level in range(1, max_depth + 1):
-        step = frontier.join(edges, frontier["node"] == edges["parent"]).select(F.col("child").alias("node")).distinct()
+    shared folder, so lineage stays short and a lost executor costs one round. It
+    ends when a round finds nothing new, however deep that is."""
+    by = list(by)
+    edges = written(edges.select(*by, "parent", "child").distinct())
+    frontier = written(roots.select(*by, "node").distinct().withColumn("depth", F.lit(0)))
+    seen, level = frontier, 0
+    while True:
+        level += 1
+        step = edges.join(frontier.select(*by, F.col("node").alias("parent")), [*by, "parent"], "left_semi")
+        step = step.select(*by, F.col("child").alias("node")).distinct()
         found = Observation()
-        fresh = step.join(seen, "node", "left_anti").withColumn("depth", F.lit(level))
+        fresh = step.join(seen, [*by, "node"], "left_anti").withColumn("depth", F.lit(level))
         # The count comes from the write itself, not from another job.
         fresh = written(fresh.observe(found, F.count(F.lit(1)).alias("n")))
         if found.get["n"] == 0:
-            break
+            return seen
         seen = seen.unionByName(fresh)
         frontier = fresh
-    return seen
 
 
-def dep_roots(edges: DataFrame) -> DataFrame:
+def dep_roots(edges: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Packages nothing depends on."""
-    children = edges.select(F.col("child").alias("node")).distinct()
-    return edges.select(F.col("parent").alias("node")).distinct().join(children, "node", "left_anti")
-
-
+    children = edges.select(*by, F.col("child").alias("node")).distinct()
+    return edges.select(*by, F.col("parent").alias("node")).distinct().join(children, [*by, "node"], "left_anti")

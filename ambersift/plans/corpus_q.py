@@ -9,6 +9,7 @@ from ..functions import text as T
 from ..functions.severity import PORT_SERVICES
 from ..operators import file_checks as C
 from ..operators import project_shape as S
+from ..operators import roots as N
 from ..operators import rules as R
 from ..operators.code_text import split_code_docs
 from ..operators.rules import Rule
@@ -458,11 +459,11 @@ def _(t):
 @query(
     "history_leaks",
     f"""WITH hits AS (SELECT f.*, CAST(u.line AS INT) AS line, {_first_secret('u.text')} AS pattern, {_preview('u.text')} AS preview FROM git_lines f, {D.lines()} WHERE {_first_secret('u.text')} IS NOT NULL),
-    firsts AS (SELECT path, pattern, commit_id, committed_at, line, author, preview FROM hits QUALIFY row_number() OVER (PARTITION BY path, pattern, commit_id ORDER BY committed_at, line) = 1)
-    SELECT * FROM firsts ORDER BY committed_at, commit_id, path, line, pattern LIMIT 50""",
+    firsts AS (SELECT project, path, pattern, commit_id, committed_at, line, author, preview FROM hits QUALIFY row_number() OVER (PARTITION BY project, path, pattern, commit_id ORDER BY committed_at, line) = 1)
+    SELECT * FROM firsts QUALIFY row_number() OVER (PARTITION BY project ORDER BY committed_at, commit_id, path, line, pattern) <= 50""",
 )
 def _(t):
-    hits = C.secret_scan(t.git_lines, ("path", "commit_id", "committed_at", "author"))
+    hits = C.secret_scan(t.git_lines, ("project", "path", "commit_id", "committed_at", "author"))
     return C.history_leaks(hits)
 
 
@@ -471,29 +472,33 @@ _IMPORTS = "list_filter(string_split(f.content, chr(10))[1:30], lambda s: regexp
 
 @query(
     "context_window",
-    f"""WITH places AS (SELECT DISTINCT project, file AS path, line + idx % 7 AS line FROM enriched)
-    SELECT p.project, p.path, p.line, greatest(p.line - 3, 1) AS start_line, least(p.line + 3, len(string_split(f.content, chr(10)))) AS end_line,
-      array_to_string(list_transform(string_split(f.content, chr(10))[greatest(p.line - 3, 1):least(p.line + 3, len(string_split(f.content, chr(10))))],
-        lambda s, i: CASE WHEN i - 1 + greatest(p.line - 3, 1) = p.line THEN '>> ' ELSE '   ' END || CAST(i - 1 + greatest(p.line - 3, 1) AS VARCHAR) || ': ' || s), chr(10)) AS snippet,
-      array_to_string({_IMPORTS}, chr(10)) AS imports
-    FROM places p JOIN repo_files f ON p.project = f.project AND p.path = f.path WHERE p.line <= len(string_split(f.content, chr(10)))""",
-)
-def _(t):
-    places = t.enriched.select("project", c("file").alias("path"), (c("line") + c("idx") % 7).alias("line"))
+    f"""WITH places AS (SELECT DISTINCT project, file AS path, CASE WHEN idx % 13 = 0 THEN 0 ELSE line + idx % 7 END AS line FROM enriched),
+    j AS (SELECT p.project, p.path, p.line, f.content, string_split(f.content, chr(10)) AS ls FROM places p JOIN repo_files f ON p.project = f.project AND p.path = f.path),
+    k AS (SELECT *, line BETWEEN 1 AND len(ls) AS ok FROM j),
+    w AS (SELECT *, CASE WHEN ok THEN greatest(line - 3, 1) ELSE 1 END AS a, CASE WHEN ok THEN least(line + 3, len(ls)) ELSE least(len(ls), 12) END AS b FROM k)
+    SELECT project, path, line, a AS start_line, b AS end_line,
+      array_to_string(list_transform(ls[a:b], lambda s, i: CASE WHEN ok THEN CASE WHEN i - 1 + a = line THEN '>> ' ELSE '   ' END || CAST(i - 1 + a AS VARCHAR) || ': ' ELSE '' END
+        || {_redacted('s')}), chr(10)) AS snippet,
+      array_to_string({_IMPORTS.replace('f.content', 'content')}, chr(10)) AS imports
+    FROM w""",
+)
+def _(t):
+    line = F.when(c("idx") % 13 == 0, 0).otherwise(c("line") + c("idx") % 7)
+    places = t.enriched.select("project", c("file").alias("path"), line.alias("line"))
     return C.context_window(places, t.repo_files, radius=3)
 
 
 @query(
     "critical_files",
-    "WITH stats AS (SELECT file_path, count(DISTINCT commit_id) AS commits, count(DISTINCT author_email) AS authors, CAST(sum(additions + deletions) AS BIGINT) AS lines_changed FROM git_numstat GROUP BY file_path), "
+    "WITH stats AS (SELECT project, file_path, count(DISTINCT commit_id) AS commits, count(DISTINCT author_email) AS authors, CAST(sum(additions + deletions) AS BIGINT) AS lines_changed FROM git_numstat GROUP BY ALL), "
     "named AS (SELECT *, CASE " + " ".join(f"WHEN contains(lower({D.base('file_path')}), {D.q(p)}) THEN {D.q(w)}" for p, w in C.CRITICAL_NAMES)
     + f" END AS reason, CASE WHEN regexp_matches(lower({D.base('file_path')}), '\\.(pem|key|p12)$') OR lower({D.base('file_path')}) = '.env' THEN 'HIGH' ELSE 'MEDIUM' END AS risk FROM stats) "
-    "SELECT file_path, commits, authors, lines_changed, reason, risk FROM named WHERE reason IS NOT NULL",
+    "SELECT project, file_path, commits, authors, lines_changed, reason, risk FROM named WHERE reason IS NOT NULL",
 )
 def _(t):
     from ..operators.timeline import git_file_stats
 
-    stats = git_file_stats(t.git_numstat).select("file_path", "commits", "authors", "lines_changed")
+    stats = git_file_stats(t.git_numstat, ["project"]).select("project", "file_path", "commits", "authors", "lines_changed")
     return C.critical_files(stats)
 
 
@@ -652,8 +657,8 @@ def _imp(w: str) -> str:
     return f"(contains(low, 'from {w}') OR contains(low, 'import {w}'))"
 
 
-STACK_SQL = f"""WITH {_LIVE},
- expr AS (SELECT DISTINCT project, path FROM live WHERE {D.ext('path')} IN ('.js', '.cjs', '.mjs', '.ts', '.tsx') AND regexp_matches(content, '(?m)(?:\\bfrom\\s*["'']express["'']|\\brequire\\s*\\(\\s*["'']express["'']\\s*\\))')),
+STACK_SQL = f"""WITH {_LIVE.replace('live AS (', 'live AS MATERIALIZED (')},
+ expr AS MATERIALIZED (SELECT DISTINCT project, path FROM repo_files WHERE {D.ext('path')} IN ('.js', '.cjs', '.mjs', '.ts', '.tsx') AND regexp_matches(content, '(?m)(?:\\bfrom\\s*["'']express["'']|\\brequire\\s*\\(\\s*["'']express["'']\\s*\\))')),
  pts AS (
   SELECT project, dir, CASE WHEN list_contains({_DEPS}, 'next') THEN 'nextjs' WHEN list_contains({_DEPS}, 'express') AND EXISTS (SELECT 1 FROM expr e WHERE e.project = l.project AND (l.dir = '.' OR starts_with(e.path, l.dir || '/'))) THEN 'express' ELSE 'unknown' END AS stack,
     CASE WHEN list_contains({_DEPS}, 'next') OR (list_contains({_DEPS}, 'express') AND EXISTS (SELECT 1 FROM expr e WHERE e.project = l.project AND (l.dir = '.' OR starts_with(e.path, l.dir || '/')))) THEN 100 ELSE 50 END AS points FROM live l WHERE b = 'package.json'
@@ -667,22 +672,23 @@ STACK_SQL = f"""WITH {_LIVE},
   UNION ALL SELECT project, dir, 'go', 100 FROM live WHERE b = 'go.mod'),
  sums AS (SELECT project, dir, stack, CAST(sum(points) AS BIGINT) AS points FROM pts GROUP BY ALL),
  best AS (SELECT * FROM sums QUALIFY row_number() OVER (PARTITION BY project, dir ORDER BY points DESC, stack) = 1),
- roots AS (SELECT project, dir AS root, stack, points FROM best WHERE points >= 80 OR (points >= 50 AND stack = 'unknown'))
+ found AS MATERIALIZED (SELECT project, dir AS root, stack, points FROM best WHERE points >= 80 OR (points >= 50 AND stack = 'unknown')),
+ roots AS (SELECT * FROM found UNION ALL SELECT DISTINCT project, '.', 'unknown', CAST(0 AS BIGINT) FROM repo_files WHERE project NOT IN (SELECT project FROM found))
  """
 
 
 @query("detect_stack", STACK_SQL + "SELECT * FROM roots")
 def _(t):
-    return S.detect_stack(t.repo_files)
+    return N.detect_stack(t.repo_files)
 
 
 @query(
     "assign_project",
-    STACK_SQL + """SELECT l.project, l.path, r.root, r.stack FROM live l JOIN roots r ON l.project = r.project AND (r.root = '.' OR starts_with(l.path, r.root || '/'))
+    STACK_SQL + """SELECT l.project, l.path, r.root, r.stack FROM live l LEFT JOIN roots r ON l.project = r.project AND (r.root = '.' OR starts_with(l.path, r.root || '/'))
     QUALIFY row_number() OVER (PARTITION BY l.project, l.path ORDER BY CASE WHEN r.root = '.' THEN 0 ELSE length(r.root) END DESC) = 1""",
 )
 def _(t):
-    return S.assign_project(t.repo_files, S.detect_stack(t.repo_files))
+    return N.assign_project(t.repo_files, N.detect_stack(t.repo_files))
 
 
 _KEY_SKIP = "NOT list_has_any(string_split(path, '/')[1:-2], [" + ", ".join(D.q(d) for d in S.KEY_SKIP_DIRS) + "])"
@@ -700,7 +706,7 @@ def _in(names) -> str:
       WHEN ({D.base('path')} IN {_in(S.ENTRY_NAMES)} OR (starts_with(path, 'cmd/') AND {D.base('path')} = 'main.go')) AND {_DEPTH} <= 3 THEN 'entrypoint'
       WHEN {D.ext('path')} IN {_in(S.KEY_CODE_EXTS)} AND {_DEPTH} <= 4 AND regexp_matches(lower({D.base('path')}), '{"|".join(S.SECURITY_WORDS)}') THEN 'security' END AS role
       FROM repo_files WHERE {_KEY_SKIP} AND content <> '')
-    SELECT project, path, role, CASE WHEN strlen(content) > 8192 THEN left(content, 8192) || chr(10) || '... (truncated)' ELSE content END AS excerpt FROM roles WHERE role IS NOT NULL
+    SELECT project, path, role, CASE WHEN length(content) > 8192 THEN left(content, 8192) || chr(10) || '... (truncated)' ELSE content END AS excerpt FROM roles WHERE role IS NOT NULL
     QUALIFY role <> 'security' OR row_number() OVER (PARTITION BY project, role ORDER BY path) <= 10""",
 )
 def _(t):
@@ -783,3 +789,79 @@ def _(t):
 @query("drop_test_findings", f"SELECT idx, project, file FROM enriched WHERE NOT {D.test_like('file')}")
 def _(t):
     return C.drop_test_findings(t.enriched).select("idx", "project", "file")
+
+
+# ---- project rules by root ------------------------------------------------
+
+ROOT_RULES = (
+    Rule(id="Q-USER", name="container user", extensions=("Dockerfile", ".dockerfile"), target="all",
+         pattern=r"(?m)^USER ", condition="required_pattern", severity="HIGH", suggestion="set a user"),
+    Rule(id="Q-FLASK", name="flask limit", stack="flask", extensions=(".py", ".txt"), target="all", pattern=r"rate_limit",
+         condition="required_pattern", severity="MEDIUM"),
+    Rule(id="Q-GO", name="go logging", stack="go", extensions=(".go",), target="all", pattern=r"log_info",
+         condition="required_pattern", severity="LOW"),
+)
+ROOT_NAME_RULES = (
+    Rule(id="Q-MIDDLE", name="middleware", stack="nextjs", extensions=(".ts", ".js"), target="filename",
+         pattern=r"middleware\.(ts|js)", condition="missing", severity="HIGH"),
+    Rule(id="Q-MAIN", name="entry", extensions=(".py", ".js", ".go"), target="filename", pattern=r"^(app|server|main)\.",
+         condition="missing", severity="LOW"),
+)
+ROOT_LOCK_RULES = (
+    LOCK_RULE,
+    Rule(id="Q-NPM", name="npm lock", stack="express", condition="missing_lockfile", severity="HIGH",
+         files=("package-lock.json", "yarn.lock")),
+)
+_MINE = STACK_SQL + """, mine AS (SELECT l.project, l.path, l.content, r.root, r.stack FROM live l JOIN roots r ON l.project = r.project AND (r.root = '.' OR starts_with(l.path, r.root || '/'))
+    QUALIFY row_number() OVER (PARTITION BY l.project, l.path ORDER BY CASE WHEN r.root = '.' THEN 0 ELSE length(r.root) END DESC) = 1) """
+
+
+def _gate(r: Rule) -> str:
+    return "true" if r.stack == "universal" else f"r.stack = {D.q(r.stack)}"
+
+
+def _head(r: Rule) -> str:
+    return f"SELECT r.project, r.root, r.stack, {D.q(r.id)} AS rule_id, {D.q(r.name)} AS name, {D.q(r.severity)} AS severity, {D.q(r.suggestion)} AS suggestion"
+
+
+def _kinds(r: Rule) -> str:
+    exts = ", ".join(D.q(e.lower()) for e in r.extensions)
+    return f"({D.ext('m.path')} IN ({exts}) OR lower({D.base('m.path')}) IN ({exts}))"
+
+
+def _own(r: Rule) -> str:
+    return f"SELECT 1 FROM mine m WHERE m.project = r.project AND m.root = r.root AND {_kinds(r)}"
+
+
+@query(
+    "required_pattern_by_root",
+    _MINE + " UNION ALL ".join(
+        f"{_head(r)} FROM roots r WHERE {_gate(r)} AND EXISTS ({_own(r)}) AND NOT EXISTS ({_own(r)} AND regexp_matches(m.content, {D.q(r.pattern)}))"
+        for r in ROOT_RULES
+    ),
+)
+def _(t):
+    return R.required_pattern(t.repo_files, ROOT_RULES, N.detect_stack(t.repo_files))
+
+
+@query(
+    "missing_filename_by_root",
+    _MINE + " UNION ALL ".join(
+        f"{_head(r)} FROM roots r WHERE {_gate(r)} AND NOT EXISTS ({_own(r)} AND regexp_matches({D.base('m.path')}, {D.q(r.pattern)}))"
+        for r in ROOT_NAME_RULES
+    ),
+)
+def _(t):
+    return R.missing_filename(t.repo_files, t.projects, ROOT_NAME_RULES, N.detect_stack(t.repo_files))
+
+
+@query(
+    "missing_lockfile_by_root",
+    STACK_SQL + " UNION ALL ".join(
+        f"{_head(r)} FROM roots r WHERE {_gate(r)} AND NOT EXISTS (SELECT 1 FROM repo_files f WHERE f.project = r.project AND f.path IN ("
+        + ", ".join(f"CASE WHEN r.root = '.' THEN {D.q(n)} ELSE r.root || {D.q('/' + n)} END" for n in r.files) + "))"
+        for r in ROOT_LOCK_RULES
+    ),
+)
+def _(t):
+    return R.missing_lockfile(t.repo_files, t.projects, ROOT_LOCK_RULES, N.detect_stack(t.repo_files))

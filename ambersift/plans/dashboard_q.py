@@ -647,18 +647,18 @@ def _(t):
     return L.scanner_coverage(t.executions, ["semgrep", "trivy", "gitleaks", "bandit"])
 
 
-GIT_SQL = """SELECT file_path, count(DISTINCT commit_id) AS commits, count(DISTINCT author_email) AS authors, CAST(sum(additions) AS BIGINT) AS additions, CAST(sum(additions + deletions) AS BIGINT) AS lines_changed,
+GIT_SQL = """SELECT project, file_path, count(DISTINCT commit_id) AS commits, count(DISTINCT author_email) AS authors, CAST(sum(additions) AS BIGINT) AS additions, CAST(sum(additions + deletions) AS BIGINT) AS lines_changed,
   max(committed_at) AS last_modified, CASE WHEN sum(additions) / count(DISTINCT commit_id) > 500 THEN 0.8::DOUBLE WHEN sum(additions) / count(DISTINCT commit_id) > 200 THEN 0.4::DOUBLE ELSE 0.0::DOUBLE END AS agentic_score FROM git_numstat GROUP BY ALL"""
 
 
 @query("git_file_stats", GIT_SQL)
 def _(t):
-    return L.git_file_stats(t.git_numstat)
+    return L.git_file_stats(t.git_numstat, ["project"])
 
 
-@query("high_churn", f"SELECT * FROM ({GIT_SQL}) WHERE commits >= 30 AND authors <= 1 AND lines_changed > 1000")
+@query("high_churn", f"SELECT * FROM ({GIT_SQL}) WHERE commits >= 3 AND authors <= 1 AND lines_changed > 1000")
 def _(t):
-    return L.high_churn(t.git_numstat)
+    return L.high_churn(t.git_numstat, ["project"], commits=3)
 
 
 @query(
@@ -672,30 +672,35 @@ def _(t):
     return L.tree_fingerprint(t.repo_files)
 
 
+_DEP_ENDS = "n AS (SELECT project, parent AS node, 1 AS o, 0 AS i FROM dep_edges UNION ALL SELECT project, child, 0, 1 FROM dep_edges)"
+
+
 @query(
     "dep_nodes",
-    """WITH n AS (SELECT parent AS node, 1 AS o, 0 AS i FROM dep_edges UNION ALL SELECT child, 0, 1 FROM dep_edges)
-    SELECT node, CAST(sum(o) AS BIGINT) AS direct, CAST(sum(i) AS BIGINT) AS reverse, sum(i) = 0 AS is_root, sum(o) = 0 AS is_leaf FROM n GROUP BY node""",
+    f"""WITH {_DEP_ENDS}
+    SELECT project, node, CAST(sum(o) AS BIGINT) AS direct, CAST(sum(i) AS BIGINT) AS reverse, sum(i) = 0 AS is_root, sum(o) = 0 AS is_leaf FROM n GROUP BY ALL""",
 )
 def _(t):
-    return L.dep_nodes(t.dep_edges)
+    return L.dep_nodes(t.dep_edges, ["project"])
 
 
 @query(
     "dep_graph_stats",
-    """WITH n AS (SELECT parent AS node, 1 AS o, 0 AS i FROM dep_edges UNION ALL SELECT child, 0, 1 FROM dep_edges), d AS (SELECT node, sum(o) AS o, sum(i) AS i FROM n GROUP BY node)
-    SELECT count(*) AS nodes, CAST(sum(o) AS BIGINT) AS edges, count(*) FILTER (WHERE i = 0) AS roots, count(*) FILTER (WHERE o = 0) AS leaves, CAST(max(o) AS BIGINT) AS max_direct, CAST(max(i) AS BIGINT) AS max_reverse FROM d""",
+    f"""WITH {_DEP_ENDS}, d AS (SELECT project, node, sum(o) AS o, sum(i) AS i FROM n GROUP BY ALL)
+    SELECT project, count(*) AS nodes, CAST(sum(o) AS BIGINT) AS edges, count(*) FILTER (WHERE i = 0) AS roots, count(*) FILTER (WHERE o = 0) AS leaves, CAST(max(o) AS BIGINT) AS max_direct,
+      CAST(max(i) AS BIGINT) AS max_reverse FROM d GROUP BY project""",
 )
 def _(t):
-    return L.dep_graph_stats(t.dep_edges)
+    return L.dep_graph_stats(t.dep_edges, ["project"])
 
 
+# The walk of the SQL goes round in cycles until its bound, which lies beyond any depth here.
 @query(
     "dep_closure",
-    """WITH RECURSIVE walk AS (SELECT DISTINCT parent AS node, 0 AS depth FROM dep_edges WHERE parent NOT IN (SELECT child FROM dep_edges)
-      UNION SELECT e.child, w.depth + 1 FROM walk w JOIN dep_edges e ON e.parent = w.node WHERE w.depth < 20)
-    SELECT node, min(depth) AS depth FROM walk GROUP BY node""",
+    """WITH RECURSIVE walk AS (SELECT DISTINCT project, parent AS node, 0 AS depth FROM dep_edges d WHERE NOT EXISTS (SELECT 1 FROM dep_edges c WHERE c.project = d.project AND c.child = d.parent)
+      UNION SELECT e.project, e.child, w.depth + 1 FROM walk w JOIN dep_edges e ON e.project = w.project AND e.parent = w.node WHERE w.depth < 60)
+    SELECT project, node, min(depth) AS depth FROM walk GROUP BY project, node""",
 )
 def _(t):
     edges = t.dep_edges
-    return L.dep_closure(edges, L.dep_roots(edges))
+    return L.dep_closure(edges, L.dep_roots(edges, ["project"]), ["project"])

@@ -93,10 +93,10 @@ PURL = (
     "to_sbom",
     f"""SELECT project, 'components' AS section, CASE WHEN type = 'dev' THEN to_json({{'type': 'library', 'name': name, 'version': version, 'purl': {PURL}, 'scope': 'optional'}})::VARCHAR
       ELSE to_json({{'type': 'library', 'name': name, 'version': version, 'purl': {PURL}}})::VARCHAR END AS value FROM deps
-    UNION ALL SELECT 'corpus', 'dependencies', to_json({{'ref': parent, 'dependsOn': list(child ORDER BY child)}})::VARCHAR FROM dep_edges GROUP BY parent""",
+    UNION ALL SELECT project, 'dependencies', to_json({{'ref': parent, 'dependsOn': list(child ORDER BY child)}})::VARCHAR FROM dep_edges GROUP BY project, parent""",
 )
 def _(t):
-    return O.to_sbom(t.deps, t.dep_edges.withColumn("project", F.lit("corpus")))
+    return O.to_sbom(t.deps, t.dep_edges)
 
 
 @query(

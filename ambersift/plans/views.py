@@ -252,7 +252,7 @@ SELECT o_orderkey AS id, o_custkey AS product_id, 'scan-' || CAST(o_orderkey AS
   CASE WHEN o_orderstatus = 'F' THEN o_orderdate + INTERVAL 2 DAY ELSE NULL END AS completed_at
 FROM orders""",
     "git_numstat": """
-SELECT o_orderkey AS commit_id,
+SELECT 'proj' || CAST(o_custkey % 5 AS STRING) AS project, o_orderkey AS commit_id,
   CASE WHEN l_partkey % 5 = 0 THEN 'solo@x.io' ELSE 'dev' || CAST(o_custkey % 7 AS STRING) || '@x.io' END AS author_email,
   o_orderdate AS committed_at,
   'svc' || CAST(l_partkey % 20 AS STRING) || '/' || CASE l_partkey % 8 WHEN 0 THEN 'Auth' WHEN 1 THEN '.env' WHEN 2 THEN 'server'
@@ -265,7 +265,7 @@ SELECT 'proj' || CAST(o_custkey AS STRING) AS project, 'svc' || CAST(o_custkey A
   substr({_MD5}, 1, 8) AS commit_id, o_orderdate AS committed_at, 'dev' || CAST(o_custkey % 7 AS STRING) || '@x.io' AS author
 FROM orders""",
     "dep_edges": """
-SELECT DISTINCT 'pkg' || CAST(l_partkey AS STRING) AS parent,
+SELECT DISTINCT 'proj' || CAST(l_suppkey % 3 AS STRING) AS project, 'pkg' || CAST(l_partkey AS STRING) AS parent,
   'pkg' || CAST(CASE WHEN l_linenumber = 7 THEN CAST(floor(l_partkey / 2) AS BIGINT) + 1 ELSE l_partkey * 2 + 1 + l_linenumber % 2 END AS STRING) AS child
 FROM lineitem""",
     "deps": """

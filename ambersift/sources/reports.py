@@ -115,23 +115,19 @@ def sbom_components(deps: DataFrame, fmt: str = "cyclonedx") -> DataFrame:
     return deps.select("project", "name", "version", "type", "ecosystem", url.alias("purl"))
 
 
-def to_sbom(deps: DataFrame, edges: DataFrame | None = None, fmt: str = "cyclonedx", fan: int = 1000) -> DataFrame:
+def to_sbom(deps: DataFrame, edges: DataFrame | None = None, fmt: str = "cyclonedx") -> DataFrame:
     """Rows of (project, section, value) with JSON parts of the bill of materials.
 
-    ``dependsOn`` lists hold at most ``fan`` children each; a package with more gets
-    several entries, so no list grows with a popular package."""
+    A ``ref`` has one ``dependsOn`` entry whatever its size: its list is what the
+    document format puts in one value, and it is as long as one package's own
+    manifest, not as the corpus."""
     parts = sbom_components(deps, fmt)
     cols = [c for c in parts.columns if c != "project"]
     out = parts.select(
         "project", F.lit("components").alias("section"), F.to_json(F.struct(*cols)).alias("value")
     )
     if edges is not None and fmt == "cyclonedx":
-        bucket = F.pmod(F.xxhash64("child"), F.lit(fan))
-        sized = edges.groupBy("project", "parent").agg(F.count(F.lit(1)).alias("_n"))
-        spread = edges.join(sized, ["project", "parent"]).withColumn(
-            "_part", F.pmod(bucket, F.ceil(F.col("_n") / fan))
-        )
-        lists = spread.groupBy("project", "parent", "_part").agg(F.array_sort(F.collect_list("child")).alias("c"))
+        lists = edges.groupBy("project", "parent").agg(F.array_sort(F.collect_set("child")).alias("c"))
         doc = F.struct(F.col("parent").alias("ref"), F.col("c").alias("dependsOn"))
         out = out.unionByName(
             lists.select("project", F.lit("dependencies").alias("section"), F.to_json(doc).alias("value"))
