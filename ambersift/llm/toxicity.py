@@ -72,7 +72,7 @@ def features(w: Words, hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
         packed = (packed << np.uint64(8)) | padded[8 + start + length - ENDING + k]
     f = (mix(packed ^ np.uint64(0x5EED5EED5EED)) >> shift).astype(np.int64)
     out.append(np.where(length >= ENDING, f, none))
-    return np.stack(out, 1)
+    return np.stack(out, 1).astype(np.int32)
 
 
 @dataclass
@@ -138,8 +138,10 @@ def fit(
     known = np.concatenate([h for h, _ in parts])
     order = np.argsort(known)
     known, feats = known[order], np.concatenate([f for _, f in parts])[order]
+    del parts, seen, order
     row, tf = np.concatenate(rows), SCALE * np.concatenate(shares)
-    word = np.searchsorted(known, np.concatenate(words))
+    word = np.searchsorted(known, np.concatenate(words)).astype(np.int32)
+    del rows, words, shares, data
 
     # Swaps: for every identity term in a text, each other term of its group.
     term_word = np.searchsorted(known, term_hash)
@@ -153,10 +155,11 @@ def fit(
     weight = load[i] / size / max(1, len(hit)) if len(i) else np.zeros(0)
 
     used, feat_at = np.unique(feats, return_inverse=True)
-    feat_at = feat_at.reshape(feats.shape)
+    feat_at = feat_at.reshape(feats.shape).astype(np.int32)
+    del feats
     none = used == 1 << BITS
     texts_with = np.full((2, len(used)), 0.5)
-    edges = np.searchsorted(row, np.arange(0, len(labels) + 200, 200))
+    edges = np.searchsorted(row, np.arange(0, len(labels) + 100, 100))
     for a, b in zip(edges[:-1], edges[1:]):
         cell = np.unique((row[a:b].astype(np.int64)[:, None] * len(used) + feat_at[word[a:b]]).ravel())
         for y in (0, 1):
@@ -207,14 +210,26 @@ def learn(
     label_col: str = "toxic", **how,
 ) -> Model:
     """Fit on at most ``sample_rows`` labelled texts outside the held-out fold: those whose
-    hashed id comes first. Only the sample's texts leave the executors."""
+    hashed id comes first."""
     chosen = labels.select(F.col(id_col).cast("long").alias("label_id"), F.col(label_col).cast("int").alias("label"))
     chosen = chosen.filter("label_id is not null and label is not null").filter(~held_out(F.col("label_id")))
     chosen = chosen.orderBy(F.xxhash64("label_id"), "label_id", "label").limit(sample_rows)
     texts = docs.select(F.col(id_col).cast("long").alias("own_id"), F.col(text_col).cast("string").alias("own_text"))
-    got = texts.join(F.broadcast(chosen), F.col("own_id") == F.col("label_id")).orderBy("own_id", "label", "own_text")
-    got = got.select("own_text", "label").limit(sample_rows).toArrow()
-    return fit(got.column("own_text").combine_chunks(), got.column("label").to_numpy(), **how)
+    sample = texts.join(F.broadcast(chosen), F.col("own_id") == F.col("label_id")).select("own_id", "own_text", "label")
+
+    def in_task(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("own_id", "ascending"), ("label", "ascending"), ("own_text", "ascending")]).slice(0, sample_rows)
+        model = fit(table["own_text"].combine_chunks(), table["label"].to_numpy(), **how)
+        at = np.flatnonzero(model.weights).astype(np.int32)
+        return pa.table({"at": [at.tobytes()], "weights": [model.weights[at].tobytes()], "bias": [model.bias]})
+
+    # One task fits the model: the sample is bounded, and the driver gets the weights alone.
+    got = sample.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(in_task, "at binary, weights binary, bias double").collect()
+    if not got:
+        return fit(pa.array([], pa.string()), np.zeros(0))
+    weights = np.zeros((1 << BITS) + 1, np.float32)
+    weights[np.frombuffer(got[0].at, np.int32)] = np.frombuffer(got[0].weights, np.float32)
+    return Model(weights, got[0].bias)
 
 
 def with_logit(docs: DataFrame, model: Model, text_col: str, name: str) -> DataFrame:
