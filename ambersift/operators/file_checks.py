@@ -13,6 +13,7 @@ from ..functions.text import (
     any_of, contains_any, first_where, is_high_entropy, lines_of, newline_count, redact_preview,
     redact_secrets,
 )
+from .citations import cited_only
 from .rules import GOD_FILE_LINES
 
 CODE_EXTS = (".go", ".ts", ".tsx", ".js", ".jsx", ".py")
@@ -173,7 +174,10 @@ def secret_logged(files: DataFrame) -> DataFrame:
 
 
 def changed_files_only(files: DataFrame, changed: DataFrame) -> DataFrame:
-    return files.join(changed.select("project", "path").distinct(), ["project", "path"], "left_semi")
+    """The changed files; texts of others are dropped where they are read."""
+    keys = changed.select("project", "path").distinct()
+    # Keys are distinct. (A semi-join would be pushed below the filter by the optimizer.)
+    return cited_only(files, keys, ["project", "path"]).join(keys, ["project", "path"]).select(*files.columns)
 
 
 def drop_test_findings(findings: DataFrame, file_col: str = "file") -> DataFrame:
@@ -230,7 +234,8 @@ def context_window(
     chunks = places.groupBy("project", "path", F.floor(F.col("line") / 5000).alias("_chunk")).agg(
         F.collect_list("line").alias("_wanted")
     )
-    both = chunks.join(files.select("project", "path", "content"), ["project", "path"])
+    texts = cited_only(files.select("project", "path", "content"), chunks, ["project", "path"])
+    both = chunks.join(texts, ["project", "path"])
     both = both.withColumn("_lines", lines_of(F.col("content")))
     last = F.size("_lines").cast("long")
 

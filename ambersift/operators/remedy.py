@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import extension
 from ..functions.text import first_where, lines_of
+from .citations import cited_only
 
 # Fix prompt by rule id, then the default.
 FIX_PROMPTS = {
@@ -67,7 +68,8 @@ def suggest_fix(findings: DataFrame, files: DataFrame) -> DataFrame:
     todo = findings.select("project", "path", "rule_id", "line", kind.alias("_kind")).filter(
         F.col("_kind").isNotNull()
     ).distinct()
-    both = todo.join(files.select("project", "path", "content"), ["project", "path"])
+    texts = cited_only(files.select("project", "path", "content"), todo, ["project", "path"])
+    both = todo.join(texts, ["project", "path"])
     both = both.withColumn("_lines", lines_of(F.col("content")))
     numbered = F.transform("_lines", lambda s, i: F.struct((i + 1).alias("n"), s.alias("t")))
     own_line = F.filter(numbered, lambda s: s["n"] == F.col("line"))

@@ -13,6 +13,7 @@ from ..functions.severity import normalize_confidence, severity_rank
 from ..functions.text import (
     display_message, first_where, has_sensitive_value, lines_of, norm_upper, trimmed,
 )
+from .citations import cited_only
 
 # Dispositions, and the texts of verdicts nobody gave.
 TRUE_POSITIVE, FALSE_POSITIVE, REVIEW = "True Positive", "False Positive", "Needs Manual Review"
@@ -24,63 +25,80 @@ FALLBACK_RATIONALE = "No verdict was returned; defaulting to Needs Manual Review
 
 
 def is_triage_test_path(path: Column) -> Column:
-    """The narrower test-path notion of evidence checks."""
-    p = F.concat(F.lit("/"), normalize_path(path))
-    return F.rlike(p, F.lit(r"/tests?/|_test\.(?:go|py)\z|\.(?:test|spec)\.[^/]*\z"))
+    """The narrower test-path notion of evidence checks; a last segment ``test`` counts."""
+    p = F.concat(F.lit("/"), F.lower(normalize_path(path)), F.lit("/"))
+    return F.rlike(p, F.lit(r"/tests?/|_test\.(?:go|py)/\z|\.(?:test|spec)\.[^/]*/\z"))
 
 
-def validate_fp_evidence(verdicts: DataFrame, findings: DataFrame, files: DataFrame) -> DataFrame:
+def _inside(path: Column, root: str | None) -> Column:
+    """``path`` relative to the project folder ``root`` if it is an absolute one below it."""
+    if not root:
+        return normalize_path(path)
+    top = root.rstrip("/") + "/"
+    return normalize_path(F.when(F.startswith(path, F.lit(top)), F.substr(path, F.lit(len(top) + 1))).otherwise(path))
+
+
+def validate_fp_evidence(verdicts: DataFrame, findings: DataFrame, files: DataFrame, root: str | None = None) -> DataFrame:
     """Check identity and, for false positives, the cited evidence.
 
     verdicts: idx, seq, finding_id, v_fingerprint, disposition, basis, ev_file,
     ev_line, observed; findings: idx, vuln_id, fingerprint, project, file, line.
-    Only false positives that cite a file take part in the join with texts."""
+    Absolute paths below ``root`` are those of the project. Citations are gathered per
+    file first: a text is split once and gives only the cited lines to the verdicts."""
     known = findings.select("idx", "vuln_id", "fingerprint", "project", "file", "line")
     rows = verdicts.join(known, "idx", "left")
-    same_file = normalize_path(F.col("file")) == normalize_path(F.col("ev_file"))
+    same_file = _inside(F.col("file"), root) == _inside(F.col("ev_file"), root)
     cites = (F.col("disposition") == FALSE_POSITIVE) & (F.coalesce("ev_file", F.lit("")) != "") & same_file
-    key = F.when(cites, normalize_path(F.col("ev_file")))
-    rows = rows.withColumn("_key", key)
-    # Texts nobody cites are dropped by a semi-join on keys before any content moves.
-    cited_files = rows.filter(F.col("_key").isNotNull()).select(
-        F.col("project").alias("_p"), F.col("_key").alias("_f")
-    ).distinct()
+    rows = rows.withColumns(
+        {
+            "_f": F.when(cites, _inside(F.col("ev_file"), root)),
+            "_at": F.when(cites, F.greatest(F.coalesce("ev_line", F.lit(0)), F.lit(1)).cast("int")),
+            "_p": F.col("project"),
+        }
+    )
+    # Chunks of line numbers bound the list of a file that very many verdicts cite.
+    spots = rows.select("_p", "_f", "_at").dropna().distinct().groupBy("_p", "_f", F.floor(F.col("_at") / 5000).alias("_c"))
+    spots = spots.agg(F.collect_list("_at").alias("_wanted"))
     texts = files.select(
-        F.col("project").alias("_p"), normalize_path(F.col("path")).alias("_f"), F.col("content").alias("_text")
-    ).join(cited_files, ["_p", "_f"], "left_semi")
-    rows = rows.join(texts, (F.col("project") == F.col("_p")) & (F.col("_key") == F.col("_f")), "left")
-    rows = rows.withColumn("_lines", lines_of(F.col("_text")))
-    there = F.col("_lines").isNotNull()
+        F.col("project").alias("_p"), _inside(F.col("path"), root).alias("_f"), F.col("content").alias("_text")
+    )
+    texts = cited_only(texts, spots, ["_p", "_f"]).join(spots, ["_p", "_f"])
+    texts = texts.withColumn("_lines", lines_of(F.col("_text"))).select(
+        "_p", "_f",
+        F.explode(F.transform("_wanted", lambda n: F.struct(n.alias("_at"), F.try_element_at("_lines", n).alias("_cited")))).alias("s"),
+    )
+    texts = texts.select("_p", "_f", "s._at", "s._cited", F.lit(True).alias("_there"))
+    rows = rows.join(texts, ["_p", "_f", "_at"], "left")
+    there, cited = F.col("_there").isNotNull(), F.col("_cited")
     test_only, code = F.col("basis") == "test_only", F.col("basis") == "code_mitigation"
     line, ev_line = F.coalesce("line", F.lit(0)), F.coalesce("ev_line", F.lit(0))
-    cited = F.try_element_at("_lines", F.greatest(ev_line, F.lit(1)).cast("int"))
     observed = F.coalesce("observed", F.lit(""))
     no_file = F.coalesce("ev_file", F.lit("")) == ""
     fp_reason = first_where(
         [
-            (F.col("basis").isNull(), "false positive has no evidence"),
+            (F.col("basis").isNull(), "no_evidence"),
             (test_only & ~is_triage_test_path(F.coalesce("file", F.lit(""))),
-             "test_only evidence does not reference a test finding"),
-            (test_only & no_file, "test_only evidence file is missing"),
-            (test_only & ~there, "test_only evidence file is invalid"),
+             "test_only_not_a_test"),
+            (test_only & no_file, "test_only_no_file"),
+            (test_only & ~there, "test_only_bad_file"),
             (test_only & (ev_line > 0) & (line > 0) & (ev_line != line),
-             "test_only evidence line does not match finding line"),
+             "test_only_other_line"),
             (test_only, ""),
             (code & (no_file | (ev_line < 1) | (F.octet_length(trimmed(observed)) < 4)),
-             "code_mitigation evidence is incomplete"),
-            (code & ~there, "code_mitigation evidence file is invalid"),
-            (code & cited.isNull(), "code_mitigation evidence is unreadable"),
-            (code & ~F.contains(cited, observed), "code_mitigation observed text is absent from source"),
+             "code_incomplete"),
+            (code & ~there, "code_bad_file"),
+            (code & cited.isNull(), "code_no_such_line"),
+            (code & ~F.contains(cited, observed), "code_not_in_source"),
             (code, ""),
         ],
-        "false positive evidence basis is not deterministically verifiable",
+        "unverifiable_basis",
     )
     reason = first_where(
         [
-            (F.col("vuln_id").isNull(), "out-of-range finding_index"),
-            (~F.col("disposition").isin(*DISPOSITIONS), "unsupported disposition"),
-            (F.col("finding_id") != F.col("vuln_id"), "finding_id does not match requested finding"),
-            (F.col("v_fingerprint") != F.col("fingerprint"), "fingerprint does not match requested finding"),
+            (F.col("vuln_id").isNull(), "unknown_finding"),
+            (~F.col("disposition").isin(*DISPOSITIONS), "unknown_disposition"),
+            (F.col("finding_id") != F.col("vuln_id"), "other_finding_id"),
+            (F.col("v_fingerprint") != F.col("fingerprint"), "other_fingerprint"),
             (F.col("disposition") == FALSE_POSITIVE, fp_reason),
         ],
         "",
@@ -94,8 +112,8 @@ def validate_verdicts(raw: DataFrame, findings: DataFrame, files: DataFrame) ->
     taken = checked.filter(F.col("reason") == "").groupBy("idx").agg(F.min("seq").alias("_taken"))
     out = checked.join(taken, "idx", "left")
     late = F.col("_taken").isNotNull() & (F.col("seq") > F.col("_taken"))
-    shape_error = F.col("reason").isin("out-of-range finding_index", "unsupported disposition")
-    reason = F.when(late & ~shape_error, F.lit("duplicate disposition")).otherwise(F.col("reason"))
+    shape_error = F.col("reason").isin("unknown_finding", "unknown_disposition")
+    reason = F.when(late & ~shape_error, F.lit("later_duplicate")).otherwise(F.col("reason"))
     return out.withColumn("reason", reason).withColumn("accepted", F.col("reason") == "").drop("_taken")
 
 

@@ -299,24 +299,24 @@ def _(t):
 
 # ---- triage ---------------------------------------------------------------
 
-_TEST = "regexp_matches('/' || {f}, '/tests?/|_test\\.(go|py)$|\\.(test|spec)\\.[^/]*$')"
+_TEST = "regexp_matches('/' || {f} || '/', '/tests?/|_test\\.(go|py)/$|\\.(test|spec)\\.[^/]*/$')"
 VALID_SQL = f"""chk AS (SELECT v.*, i.vuln_id, i.fingerprint, i.project, i.file, i.line, string_split(f.content, chr(10)) AS ls,
    {D.normal('i.file')} = {D.normal('v.ev_file')} AS same, {_TEST.replace('{f}', 'lower(i.file)')} AS istest
    FROM raw_verdicts v LEFT JOIN inventory i USING (idx) LEFT JOIN repo_files f ON f.project = i.project AND f.path = i.file),
  why AS (SELECT *, ls IS NOT NULL AND same AS there FROM chk),
  fpr AS (SELECT idx, seq, disposition, CASE
-   WHEN vuln_id IS NULL THEN 'out-of-range finding_index'
-   WHEN disposition NOT IN ('True Positive', 'False Positive', 'Needs Manual Review') THEN 'unsupported disposition'
-   WHEN finding_id <> vuln_id THEN 'finding_id does not match requested finding'
-   WHEN v_fingerprint <> fingerprint THEN 'fingerprint does not match requested finding'
+   WHEN vuln_id IS NULL THEN 'unknown_finding'
+   WHEN disposition NOT IN ('True Positive', 'False Positive', 'Needs Manual Review') THEN 'unknown_disposition'
+   WHEN finding_id <> vuln_id THEN 'other_finding_id'
+   WHEN v_fingerprint <> fingerprint THEN 'other_fingerprint'
    WHEN disposition <> 'False Positive' THEN ''
-   WHEN basis IS NULL THEN 'false positive has no evidence'
-   WHEN basis = 'test_only' THEN CASE WHEN NOT istest THEN 'test_only evidence does not reference a test finding' WHEN ev_file = '' THEN 'test_only evidence file is missing'
-     WHEN NOT there THEN 'test_only evidence file is invalid' WHEN ev_line > 0 AND line > 0 AND ev_line <> line THEN 'test_only evidence line does not match finding line' ELSE '' END
-   WHEN basis = 'code_mitigation' THEN CASE WHEN ev_file = '' OR ev_line < 1 OR strlen({D.strip('observed')}) < 4 THEN 'code_mitigation evidence is incomplete'
-     WHEN NOT there THEN 'code_mitigation evidence file is invalid' WHEN ev_line > len(ls) THEN 'code_mitigation evidence is unreadable'
-     WHEN NOT contains(ls[ev_line], observed) THEN 'code_mitigation observed text is absent from source' ELSE '' END
-   ELSE 'false positive evidence basis is not deterministically verifiable' END AS reason FROM why)"""
+   WHEN basis IS NULL THEN 'no_evidence'
+   WHEN basis = 'test_only' THEN CASE WHEN NOT istest THEN 'test_only_not_a_test' WHEN ev_file = '' THEN 'test_only_no_file'
+     WHEN NOT there THEN 'test_only_bad_file' WHEN ev_line > 0 AND line > 0 AND ev_line <> line THEN 'test_only_other_line' ELSE '' END
+   WHEN basis = 'code_mitigation' THEN CASE WHEN ev_file = '' OR ev_line < 1 OR strlen({D.strip('observed')}) < 4 THEN 'code_incomplete'
+     WHEN NOT there THEN 'code_bad_file' WHEN ev_line > len(ls) THEN 'code_no_such_line'
+     WHEN NOT contains(ls[ev_line], observed) THEN 'code_not_in_source' ELSE '' END
+   ELSE 'unverifiable_basis' END AS reason FROM why)"""
 
 
 def _checked(t):
@@ -334,7 +334,7 @@ def _(t):
 @query(
     "validate_verdicts",
     f"""WITH {VALID_SQL}, got AS (SELECT idx, min(seq) AS first FROM fpr WHERE reason = '' GROUP BY idx),
-    done AS (SELECT f.idx, f.seq, f.disposition, CASE WHEN f.seq > g.first AND reason NOT IN ('out-of-range finding_index', 'unsupported disposition') THEN 'duplicate disposition' ELSE reason END AS reason FROM fpr f LEFT JOIN got g USING (idx))
+    done AS (SELECT f.idx, f.seq, f.disposition, CASE WHEN f.seq > g.first AND reason NOT IN ('unknown_finding', 'unknown_disposition') THEN 'later_duplicate' ELSE reason END AS reason FROM fpr f LEFT JOIN got g USING (idx))
     SELECT *, reason = '' AS accepted FROM done""",
 )
 def _(t):

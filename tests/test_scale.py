@@ -257,3 +257,61 @@ def test_catalog_of_two_hundred_rules(spark, tables):
         F.rlike("content", F.lit("(?i)total = ")) & ~F.contains("content", F.lit("scan-ignore-file"))
     )
     assert per_rule > 50 and rows.select("path").distinct().count() <= want.count()
+
+
+def test_cited_files_are_kept_and_others_stay_in_place(spark):
+    from ambersift.operators.citations import cited_only
+
+    files = spark.range(3000).selectExpr("concat('p', id % 7) AS project", "concat('f', id) AS path", "repeat('x', 50) AS content")
+    keys = files.filter("path LIKE '%00'").select("project", "path")
+    keys = keys.unionByName(spark.createDataFrame([(None, "f1"), ("p9", "nowhere")], "project string, path string"))
+    kept = cited_only(files, keys, ["project", "path"])
+    assert kept.columns == files.columns
+    same(kept.join(keys, ["project", "path"], "left_semi"), files.join(keys, ["project", "path"], "left_semi"))
+    assert kept.count() <= 30 + 5
+
+
+@pytest.fixture
+def no_broadcast(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_texts_move_only_if_cited(spark, tables, no_broadcast):
+    """Below every exchange that carries content, uncited files have been dropped already."""
+    from ambersift.operators import remedy
+
+    files = tables.documents.select(F.col("source").alias("project"), F.lit("a.py").alias("path"), F.col("text").alias("content"))
+    places = spark.createDataFrame([("src0", "a.py", 3, "R")], "project string, path string, line int, rule_id string")
+    plans = [
+        file_checks.context_window(places, files), file_checks.changed_files_only(files, places),
+        remedy.suggest_fix(places, files),
+    ]
+    for df in plans:
+        lines = plan_of(df).splitlines()
+        depth = [len(x) - len(x.lstrip(" :+-")) for x in lines]
+        checked = 0
+        for k, line in enumerate(lines):
+            if "Exchange hashpartitioning" not in line:
+                continue
+            end = next((j for j in range(k + 1, len(lines)) if depth[j] <= depth[k]), len(lines))
+            below = lines[k + 1 : end]
+            if any("FileScan" in x and "text#" in x for x in below):
+                checked += 1
+                assert any("BroadcastHashJoin" in x for x in below), "\n".join(lines)
+        assert checked
+
+
+def test_absolute_evidence_below_the_project_root(spark):
+    files = spark.createDataFrame([("p", "src/a.py", "one\ntwo api_key\n")], "project string, path string, content string")
+    findings = spark.createDataFrame(
+        [(1, "V1", "f", "p", "/workspace/src/a.py", 2)], "idx long, vuln_id string, fingerprint string, project string, file string, line int"
+    )
+    verdicts = spark.createDataFrame(
+        [(1, n, "V1", "f", triage.FALSE_POSITIVE, "code_mitigation", path, 2, "api_key")
+         for n, path in enumerate(["/workspace/src/a.py", "src/a.py", "/elsewhere/src/a.py"])],
+        "idx long, seq long, finding_id string, v_fingerprint string, disposition string, basis string, ev_file string, ev_line int, observed string",
+    )
+    got = {r["seq"]: r["reason"] for r in triage.validate_fp_evidence(verdicts, findings, files, root="/workspace").collect()}
+    assert got == {0: "", 1: "", 2: "code_bad_file"}
