@@ -175,13 +175,15 @@ def canonical_sort(findings: DataFrame, *tie: str) -> DataFrame:
     return findings.orderBy(*canonical_order(), *tie)
 
 
-def canonical_places(findings: DataFrame, *tie: str) -> DataFrame:
-    """Place of every finding in the canonical order, as a column."""
-    return rank_within(findings, [], [*canonical_order(), *[F.col(t) for t in tie]], "place")
+def canonical_places(findings: DataFrame, *tie: str, by: Sequence[str] = ()) -> DataFrame:
+    """Place of every finding (within its project, if ``by`` names one) in the canonical
+    order, as a column."""
+    return rank_within(findings, list(by), [*canonical_order(), *[F.col(t) for t in tie]], "place")
 
 
 def canonical_vuln_ids(findings: DataFrame, by: Sequence[str] = (), tie: Sequence[str] = ()) -> DataFrame:
-    """Number the findings of each vulnerability class in canonical order."""
+    """Number the findings of each vulnerability class in canonical order. With ``by`` a
+    project numbers its own, so findings elsewhere do not change its ids."""
     order = {f"_k{i}": c for i, c in enumerate(canonical_order())}
     keyed = findings.withColumns({**order, "class_code": vuln_class_code(F.col("message"))})
     keys = [F.col(c) for c in order] + [F.col(t) for t in tie]

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.identity import joined, sha256_hex
 from ..functions.paths import normalize_path
@@ -14,6 +15,7 @@ from ..functions.text import (
     display_message, first_where, has_sensitive_value, lines_of, norm_upper, trimmed,
 )
 from .citations import cited_only
+from .ordering import rank_within
 
 # Dispositions, and the texts of verdicts nobody gave.
 TRUE_POSITIVE, FALSE_POSITIVE, REVIEW = "True Positive", "False Positive", "Needs Manual Review"
@@ -180,19 +182,21 @@ def gate_severity(findings: DataFrame, on: bool) -> DataFrame:
     )
 
 
-def llm_budget(findings: DataFrame, order: Sequence[str], budget: int) -> DataFrame:
-    """The first ``budget`` findings are sent, the rest fall back to review.
-
-    A top-N and an equi-join: the table itself is never sorted in one task."""
+def llm_budget(findings: DataFrame, order: Sequence[str], budget: int, by: Sequence[str] = ()) -> DataFrame:
+    """The first ``budget`` findings (of each run, if ``by`` names one) are sent, the rest
+    fall back to review. Ranks come from slices, so neither a large budget nor a hot run
+    is sorted in one task; order columns must tell rows apart."""
     if budget < 0:
         return findings.withColumn("sent", F.lit(True))
-    first = findings.select(*order).orderBy(*order).limit(budget).withColumn("_in", F.lit(True))
-    out = findings.join(first, list(order), "left")
+    keys = findings.select(*by, *[c for c in order if c not in by])
+    ranked = rank_within(keys, list(by), [F.col(c) for c in order], "_rank").filter(F.col("_rank") <= budget)
+    out = findings.join(ranked.withColumn("_in", F.lit(True)).drop("_rank"), keys.columns, "left")
     return out.withColumn("sent", F.coalesce("_in", F.lit(False))).drop("_in")
 
 
-def budget_fallback(findings: DataFrame, order: Sequence[str], budget: int) -> DataFrame:
-    over = llm_budget(findings, order, budget).filter(~F.col("sent"))
+def budget_fallback(findings: DataFrame, order: Sequence[str], budget: int, by: Sequence[str] = ()) -> DataFrame:
+    """Review verdicts for the findings beyond the budget."""
+    over = llm_budget(findings, order, budget, by).filter(~F.col("sent"))
     return _review(over, BUDGET_RATIONALE, "nr-fallback")
 
 
@@ -239,11 +243,14 @@ def actionable(findings: DataFrame, verdicts: DataFrame) -> DataFrame:
     )
 
 
-def top_critical(findings: DataFrame, verdicts: DataFrame, n: int = 5) -> DataFrame:
-    """Up to ``n`` actionable findings, CRITICAL before HIGH, then in index order."""
+def top_critical(findings: DataFrame, verdicts: DataFrame, n: int = 5, by: Sequence[str] = ()) -> DataFrame:
+    """Up to ``n`` actionable findings (of each run, if ``by`` names one), CRITICAL before
+    HIGH, then in index order, with their ``place``."""
     sev = F.upper("severity")
     rows = actionable(findings, verdicts).filter(sev.isin("CRITICAL", "HIGH"))
-    return rows.orderBy(severity_rank(F.col("severity")), "idx").limit(n)
+    # The cap is the feature; a rank limit this small is applied before the shuffle.
+    order = Window.partitionBy(*by).orderBy(severity_rank(F.col("severity")), "idx")
+    return rows.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= n)
 
 
 def handoff(findings: DataFrame, verdicts: DataFrame, gates: DataFrame, by: Sequence[str]) -> DataFrame:

@@ -79,24 +79,24 @@ _ORDER = (
 @query(
     "canonical_vuln_ids",
     f"""SELECT idx, project, class_code, 'CS-' || class_code || '-' || CASE WHEN length(CAST(n AS VARCHAR)) < 3 THEN lpad(CAST(n AS VARCHAR), 3, '0') ELSE CAST(n AS VARCHAR) END AS vuln_id
-    FROM (SELECT *, row_number() OVER (PARTITION BY class_code ORDER BY {_ORDER}, idx) AS n FROM (SELECT *, {D.vuln_code('message')} AS class_code FROM enriched))""",
+    FROM (SELECT *, row_number() OVER (PARTITION BY project, class_code ORDER BY {_ORDER}, idx) AS n FROM (SELECT *, {D.vuln_code('message')} AS class_code FROM enriched))""",
 )
 def _(t):
-    # One hot class holds a large share of the table: the numbering is spread over slices.
-    return M.canonical_vuln_ids(t.enriched.drop("vuln_id"), tie=["idx"]).select("idx", "project", "class_code", "vuln_id")
+    # A hot project or class is spread over slices.
+    return M.canonical_vuln_ids(t.enriched.drop("vuln_id"), ["project"], tie=["idx"]).select("idx", "project", "class_code", "vuln_id")
 
 
-@query("canonical_sort", f"SELECT idx, row_number() OVER (ORDER BY {_ORDER}, idx) AS place FROM enriched")
+@query("canonical_sort", f"SELECT idx, project, row_number() OVER (PARTITION BY project ORDER BY {_ORDER}, idx) AS place FROM enriched")
 def _(t):
-    return M.canonical_places(t.enriched, "idx").select("idx", "place")
+    return M.canonical_places(t.enriched, "idx", by=["project"]).select("idx", "project", "place")
 
 
 @query(
     "batches",
-    f"SELECT idx, position, CAST(floor((position - 1) / 150) AS BIGINT) AS batch FROM (SELECT idx, row_number() OVER (ORDER BY {_ORDER}, idx) AS position FROM enriched)",
+    f"SELECT idx, project, position, CAST(floor((position - 1) / 5) AS BIGINT) AS batch FROM (SELECT idx, project, row_number() OVER (PARTITION BY project ORDER BY {_ORDER}, idx) AS position FROM enriched)",
 )
 def _(t):
-    return M.batches(t.enriched, [*M.canonical_order(), c("idx")]).select("idx", "position", "batch")
+    return M.batches(t.enriched, [*M.canonical_order(), c("idx")], 5, ["project"]).select("idx", "project", "position", "batch")
 
 
 @query(
@@ -390,11 +390,11 @@ def _(t):
 
 @query(
     "llm_budget",
-    "SELECT idx, row_number() OVER (ORDER BY idx) <= 200 AS sent FROM inventory WHERE severity IN ('CRITICAL', 'HIGH')",
+    "SELECT idx, project, row_number() OVER (PARTITION BY project ORDER BY idx) <= 2 AS sent FROM inventory WHERE severity IN ('CRITICAL', 'HIGH')",
 )
 def _(t):
     todo = t.inventory.filter(c("severity").isin("CRITICAL", "HIGH"))
-    return G.llm_budget(todo, ["idx"], 200).select("idx", "sent")
+    return G.llm_budget(todo, ["idx"], 2, ["project"]).select("idx", "project", "sent")
 
 
 @query(
@@ -420,11 +420,11 @@ def _(t):
 
 @query(
     "top_critical",
-    """SELECT i.idx, i.vuln_id, i.severity, i.file, i.line FROM inventory i JOIN verdicts v USING (idx) WHERE v.disposition <> 'False Positive' AND i.severity IN ('CRITICAL', 'HIGH')
-    ORDER BY CASE i.severity WHEN 'CRITICAL' THEN 0 ELSE 1 END, i.idx LIMIT 5""",
+    """SELECT i.idx, i.project, i.vuln_id, i.severity, i.file, i.line, CAST(row_number() OVER w AS INT) AS place FROM inventory i JOIN verdicts v USING (idx) WHERE v.disposition <> 'False Positive' AND i.severity IN ('CRITICAL', 'HIGH')
+    WINDOW w AS (PARTITION BY i.project ORDER BY CASE i.severity WHEN 'CRITICAL' THEN 0 ELSE 1 END, i.idx) QUALIFY row_number() OVER w <= 5""",
 )
 def _(t):
-    return G.top_critical(t.inventory, t.verdicts).select("idx", "vuln_id", "severity", "file", "line")
+    return G.top_critical(t.inventory, t.verdicts, by=["project"]).select("idx", "project", "vuln_id", "severity", "file", "line", "place")
 
 
 @query(

@@ -62,6 +62,18 @@ def test_numbering_ignores_input_order(tables):
     same(first, again)
 
 
+def test_findings_elsewhere_leave_ids_alone(tables):
+    base = tables.enriched.drop("vuln_id")
+    name = base.groupBy("project").count().orderBy(F.desc("count"), "project").first()["project"]
+    own = base.filter(F.col("project") == name)
+    first, again = (
+        merge.canonical_vuln_ids(d, ["project"], tie=["idx"]).filter(F.col("project") == name).select("idx", "vuln_id")
+        for d in (own, base)
+    )
+    same(first, again)
+    assert first.count() > 1
+
+
 def test_no_finding_is_lost_in_groups(tables):
     rows = merge.dedup_exact(tables.enriched, "idx", ["project"])
     n = tables.enriched.count()
