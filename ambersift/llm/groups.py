@@ -54,7 +54,7 @@ def components(edges: DataFrame) -> DataFrame:
         move = written(move.select(F.col("u").alias("node"), to.alias("to"), "n"))
         # A node holds n ends in all, on either side: an upper bound for each join.
         left = join_counted(edges.withColumnRenamed("u", "node"), move, "node", "n").select("v", F.col("to").alias("a"))
-        both = join_counted(written(left).withColumnRenamed("v", "node"), move, "node", "n")
+        both = join_counted(left.withColumnRenamed("v", "node"), move, "node", "n")
         edges = written(both.select(F.col("a").alias("u"), F.col("to").alias("v")).filter("u <> v").distinct())
         step = move.select("node", F.col("to").alias("root"))
         if where is None:

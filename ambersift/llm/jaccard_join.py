@@ -4,8 +4,10 @@ Documents with equal shingle sets form a class; one set of a class takes part. A
 embedded as 64 min-hash tokens. Each run starts from one bucket that holds everything
 and splits it by sampled positions: a set goes to the child named by its token there, so
 two sets follow each other with the probability of their similarity. A bucket is split
-until it is small enough for brute force; one that similar sets keep large is compared
-in blocks instead, so nothing is dropped and no task grows with it. Two positions are
+until it is small enough for brute force; one that hardly shrinks when it is split is
+full of similar sets and is compared as it is, block by block, so nothing is dropped
+and no task grows with it. (The exact links of n different near copies take n * n
+comparisons by any method.) Two positions are
 sampled per bucket: at the least similarity a pair is lost in one run with the
 probability that such a branching process dies out, at any depth, and the number of
 runs follows from the recall asked for.
@@ -139,15 +141,16 @@ def _shingle_sets(docs: DataFrame, size: int) -> DataFrame:
     return docs.select("uid", "text", "fp").mapInArrow(run, "uid long, items binary")
 
 
-_NODE = "uid long, key long, used long"
+_NODE = "uid long, key long, used long, was long"
 
 
 def _split(nodes: DataFrame, roots: int | None = None) -> DataFrame:
     """Children of every row's bucket: ``SAMPLED`` positions that its path has not used,
-    chosen by the bucket's key alone. With ``roots``, the children of that many runs' roots."""
-    schema = pa.schema([("uid", pa.int64()), ("key", pa.int64()), ("used", pa.int64())])
+    chosen by the bucket's key alone; ``was`` is its size. With ``roots``, the children of
+    that many runs' roots."""
+    schema = pa.schema([("uid", pa.int64()), ("key", pa.int64()), ("used", pa.int64()), ("was", pa.int64())])
 
-    def children(uid: np.ndarray, key: np.ndarray, used: np.ndarray, sig: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def children(uid: np.ndarray, key: np.ndarray, used: np.ndarray, was: pa.Array, sig: np.ndarray) -> Iterator[pa.RecordBatch]:
         one, taken = np.uint64(1), used.copy()
         for k in range(SAMPLED):
             at = mix(key + np.uint64(k + 1)) % np.uint64(TOKENS)
@@ -156,7 +159,7 @@ def _split(nodes: DataFrame, roots: int | None = None) -> DataFrame:
             taken |= one << at
             child = mix(mix(key ^ (at + one)) + sig[np.arange(len(uid)), at.astype(np.int64)])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(uid), pa.array(child.view(np.int64)), pa.array((used | one << at).view(np.int64))], schema=schema
+                [pa.array(uid), pa.array(child.view(np.int64)), pa.array((used | one << at).view(np.int64)), was], schema=schema
             )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,27 +169,31 @@ def _split(nodes: DataFrame, roots: int | None = None) -> DataFrame:
             uid = batch.column(0).to_numpy()
             sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(-1, TOKENS)
             if roots is None:
-                yield from children(uid, batch.column(2).to_numpy().view(np.uint64), batch.column(3).to_numpy().view(np.uint64), sig)
+                key, used = (batch.column(c).to_numpy().view(np.uint64) for c in (2, 3))
+                yield from children(uid, key, used, batch.column(4), sig)
             for r in range(roots or 0):
                 root = mix(np.full(len(uid), r, np.uint64) + np.uint64(0xC0FFEE))
-                yield from children(uid, root, np.zeros(len(uid), np.uint64), sig)
+                yield from children(uid, root, np.zeros(len(uid), np.uint64), pa.nulls(len(uid), pa.int64()), sig)
 
-    cols = ["uid", "sig"] + ([] if roots else ["key", "used"])
+    cols = ["uid", "sig"] + ([] if roots else ["key", "used", "n"])
     return nodes.select(*cols).mapInArrow(run, _NODE)
 
 
 def _buckets(sets: DataFrame, runs: int, limit: int, depth: int) -> DataFrame:
-    """(uid, key, n) of the buckets in which sets are compared."""
+    """(uid, key, n) of the buckets in which sets are compared. Buckets of up to four
+    times ``limit`` are not worth a split either: they make a few blocks."""
     level, done = written(_split(sets, runs)), None
+    large = F.col("n") > 4 * limit
+    dense = F.coalesce(2 * F.col("n") > F.col("was"), F.lit(False))
     for d in range(1, depth + 1):
         sizes = written(level.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
         here = join_counted(level, sizes, "key", "n")
-        last = d == depth
-        small = written((here if last else here.filter(F.col("n") <= limit)).select("uid", "key", "n"))
-        done = small if done is None else done.unionByName(small)
-        if last or not sizes.filter(F.col("n") > limit).limit(1).count():
+        more = d < depth and sizes.filter(large).limit(1).count()
+        ready = written((here.filter(~large | dense) if more else here).select("uid", "key", "n"))
+        done = ready if done is None else done.unionByName(ready)
+        if not more:
             break
-        big = here.filter(F.col("n") > limit).select("uid", "key", "used")
+        big = here.filter(large & ~dense).select("uid", "key", "used", "n")
         level = written(_split(big.join(sets.select("uid", "sig"), "uid")))
     return done
 
@@ -199,8 +206,8 @@ def _pairs(grp: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         i = i[grp[i] == grp[i + d]]
         if not len(i):
             return
-        for a in range(0, len(i), 1 << 16):
-            yield i[a : a + (1 << 16)], i[a : a + (1 << 16)] + d
+        for a in range(0, len(i), 1 << 14):
+            yield i[a : a + (1 << 14)], i[a : a + (1 << 14)] + d
 
 
 def _candidates(t: pa.Table, near: int) -> tuple[np.ndarray, np.ndarray]:

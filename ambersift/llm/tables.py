@@ -25,16 +25,19 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def join_counted(left: DataFrame, right: DataFrame, key: str, n: str, parts: int = 1000) -> DataFrame:
+def join_counted(left: DataFrame, right: DataFrame, key: str, n: str, parts: int = 1000, least: int = 10_000) -> DataFrame:
     """Inner join of ``left`` with ``right``, which holds every key once and in ``n`` how
     many rows of ``left`` have it.
 
-    A key that holds more than one part in ``parts`` of the matching rows would make a
-    long task; there are fewer than ``parts`` such keys, so they are broadcast and the
-    rows stay where they are. All other keys are joined by a shuffle. Both tables are
-    read more than once and should be written ones.
+    A key that holds more than one part in ``parts`` of the matching rows, and more than
+    ``least``, would make a long task. There are fewer than ``parts`` such keys, so they
+    are broadcast and their rows stay where they are. All other keys are joined by a
+    shuffle. ``right`` is read more than once, and so is ``left`` if there are such keys.
     """
-    total = right.agg(F.sum(n)).first()[0] or 0
-    hot = F.broadcast(right.filter(F.col(n) * parts > total))
-    cold = left.join(F.broadcast(hot.select(key)), key, "left_anti").join(right.filter(F.col(n) * parts <= total), key)
+    total, most = right.agg(F.sum(n), F.max(n)).first()
+    bound = max((total or 0) / parts, least)
+    if (most or 0) <= bound:
+        return left.join(right, key)
+    hot = F.broadcast(right.filter(F.col(n) > bound))
+    cold = left.join(F.broadcast(hot.select(key)), key, "left_anti").join(right.filter(F.col(n) <= bound), key)
     return cold.unionByName(left.join(hot, key))
