@@ -10,7 +10,7 @@ from ..session import written
 from .views import BASE, DERIVED, duck_sql, spark_sql_text
 
 
-# Corpora whose rows cost far more to match than to move.
+# Corpora: written as many files when they are stored.
 TEXT_VIEWS = ("source_files", "code_files", "project_files", "repo_files", "git_lines")
 
 
@@ -40,15 +40,6 @@ class Tables:
             self._read(name).createOrReplaceTempView(name)
             self._ready.add(name)
 
-    def _mount_spread(self, name: str) -> None:
-        """A table of fewer files than cores is spread first, or one task would match
-        all of its texts; a table of many files is left as it is."""
-        df, cores = self._read(name), self.spark.sparkContext.defaultParallelism
-        if len(df.inputFiles()) < cores:
-            df = df.repartition(cores, df.columns[0])
-        df.createOrReplaceTempView(name)
-        self._ready.discard(name)
-
     def __getattr__(self, name: str) -> DataFrame:
         if name in BASE:
             self._mount(name)
@@ -56,7 +47,11 @@ class Tables:
         if name in DERIVED and _STORE_VIEWS:
             key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
             if key not in _STORED:
-                _STORED[key] = written(self._derived(name))
+                rows = self._derived(name)
+                # A landed corpus is a table of many files; here its source is a single one.
+                if name in TEXT_VIEWS:
+                    rows = rows.repartition(self.spark.sparkContext.defaultParallelism)
+                _STORED[key] = written(rows)
             return _STORED[key]
         if name in DERIVED:
             return self._derived(name)
@@ -64,10 +59,9 @@ class Tables:
 
     def _derived(self, name: str) -> DataFrame:
         text = spark_sql_text(name)
-        mount = self._mount_spread if name in TEXT_VIEWS else self._mount
         for base in BASE:
             if base in text:
-                mount(base)
+                self._mount(base)
         return self.spark.sql(text)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -204,14 +205,31 @@ def _stream(t: Tables, view: str) -> DataFrame:
     return out
 
 
-def _run(t: Tables, stream: DataFrame, mode: str) -> DataFrame:
-    """Run a stream over what is there and return its final table."""
+def _ddl(df: DataFrame) -> str:
+    return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields)
+
+
+def _run(t: Tables, stream: DataFrame, mode: str, key: Sequence[str] = ()) -> DataFrame:
+    """Run a stream over what is there and return its final table; in update mode the last
+    row of every ``key``."""
     out, marks = _folder(t, "stream-out"), _folder(t, "stream-marks")
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", marks).trigger(availableNow=True)
     if mode == "append":
         writer.format("parquet").option("path", out).start().awaitTermination()
         return t.spark.read.schema(stream.schema).parquet(out)
 
+    if mode == "update":
+
+        def add(batch: DataFrame, epoch: int) -> None:
+            # An epoch that is run again writes its own folder again.
+            batch.withColumn("_epoch", F.lit(epoch)).write.mode("overwrite").parquet(f"{out}/epoch-{epoch}")
+
+        writer.foreachBatch(add).start().awaitTermination()
+        rows = t.spark.read.schema(f"{_ddl(stream)}, _epoch long").option("recursiveFileLookup", "true").parquet(out)
+        rest = [n for n in stream.columns if n not in key]
+        last = rows.groupBy(*key).agg(*[F.max_by(n, "_epoch").alias(n) for n in rest])
+        return last.select(*stream.columns)
+
     def save(batch: DataFrame, epoch: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/latest")
 
@@ -289,7 +307,7 @@ def _(t):
     "SELECT project, count(*) AS scans, CAST(sum(files_scanned) AS BIGINT) AS files, CAST(sum(findings_total) AS BIGINT) AS findings, round(avg(security_score), 6) AS mean_score FROM scan_metrics GROUP BY ALL",
 )
 def _(t):
-    out = _run(t, feeds.running_telemetry(_stream(t, "scan_metrics")), "complete")
+    out = _run(t, feeds.running_telemetry(_stream(t, "scan_metrics")), "update", ["project"])
     return out.withColumn("mean_score", F.round("mean_score", 6))
 
 
@@ -298,7 +316,7 @@ def _(t):
     f"SELECT date_trunc('day', created_at) AS window_start, upper({D.strip('severity')}) AS severity, count(*) AS n FROM findings GROUP BY ALL",
 )
 def _(t):
-    out = _run(t, feeds.severity_windows(_feed(_stream(t, "findings")), "1 day"), "complete")
+    out = _run(t, feeds.severity_windows(_feed(_stream(t, "findings")), "1 day"), "update", ["window_start", "severity"])
     return out.withColumn("window_start", _plain("window_start"))
 
 
@@ -308,7 +326,7 @@ def _(t):
     SELECT window_start, severity, count(*) AS n FROM w GROUP BY ALL""",
 )
 def _(t):
-    out = _run(t, feeds.severity_windows(_feed(_stream(t, "findings")), "1 day", "12 hours"), "complete")
+    out = _run(t, feeds.severity_windows(_feed(_stream(t, "findings")), "1 day", "12 hours"), "update", ["window_start", "severity"])
     return out.withColumn("window_start", _plain("window_start"))
 
 

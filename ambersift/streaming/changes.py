@@ -68,9 +68,11 @@ def debounced_changes_batch(events: DataFrame, gap_seconds: float = 0.3) -> Data
 
 def incremental_scan(
     events: DataFrame, files: DataFrame, rules: Sequence[Rule], sink: Callable[[DataFrame, int], None],
-    checkpoint: str, directive: str | None = "scan",
+    checkpoint: str, directive: str | None = "scan", trigger: dict | None = None,
 ) -> StreamingQuery:
-    """Per micro-batch, scan the changed files only and hand the hits to ``sink``."""
+    """Per micro-batch, scan the changed files only and hand the hits to ``sink``; texts of
+    other files are dropped where they are read. ``trigger``: as Spark takes it, by default
+    what is there and then stop; a live watch gives ``{"processingTime": ...}``."""
 
     def run(batch: DataFrame, epoch: int) -> None:
         changed = relevant_changes(batch).select(F.col("workspace").alias("project"), "path").distinct()
@@ -78,5 +80,5 @@ def incremental_scan(
         sink(hits, epoch)
 
     return (
-        events.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        events.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
     )

@@ -66,29 +66,45 @@ def run_summary(events: DataFrame) -> DataFrame:
     )
 
 
-def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    before = state.get[0] if state.exists else None
-    rows = pd.concat(list(batches)).sort_values("seq")
-    out = []
-    for seq, status in zip(rows["seq"], rows["status"]):
-        if status not in MOVES:
-            move = "invalid"
-        elif before is None:
-            move = "start"
-        elif before == status:
-            move = "same"
-        else:
-            move = "ok" if status == "failed" or status in MOVES.get(before, ()) else "illegal"
-        out.append((key[0], int(seq), before or "", status, move, status in TERMINAL))
-        before = status
-    state.update((before,))
-    yield pd.DataFrame(out, columns=["run_id", "seq", "before", "status", "move", "terminal"])
-
-
-def stream_run_lifecycle(events: DataFrame) -> DataFrame:
-    """The same checks on a stream; one status per run is kept as state."""
+def _advance(keep: int | None):
+    def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        last = state.get[0] if state.exists else None
+        rows = pd.concat(list(batches)).sort_values("seq")
+        status = rows["status"]
+        before = status.shift(1)
+        before.iloc[0] = last
+        # None becomes NaN in a shift; an empty text stands for "nothing before".
+        before = before.where(before.notna(), "")
+        moves = pd.Series("illegal", index=rows.index)
+        allowed = pd.Series(list(zip(before, status)), index=rows.index).isin(_ALLOWED)
+        moves[allowed | (status == "failed")] = "ok"
+        moves[before == status] = "same"
+        moves[before == ""] = "start"
+        moves[~status.isin(list(MOVES))] = "invalid"
+        last = status.iloc[-1]
+        state.update((last,))
+        if keep and last in TERMINAL:
+            state.setTimeoutDuration(keep)
+        yield pd.DataFrame(
+            {"run_id": key[0], "seq": rows["seq"], "before": before, "status": status, "move": moves,
+             "terminal": status.isin(TERMINAL)}
+        )
+
+    return advance
+
+
+_ALLOWED = [(a, b) for a, targets in MOVES.items() for b in targets]
+
+
+def stream_run_lifecycle(events: DataFrame, keep: int | None = None) -> DataFrame:
+    """The same checks on a stream. One status per run is kept as state; with ``keep`` that
+    of a run that has ended leaves after so many milliseconds without an event. (A query
+    that has such timeouts never finishes by itself, so a run over what is there has none.)"""
     return events.groupBy("run_id").applyInPandasWithState(
-        _advance,
+        _advance(keep),
         "run_id long, seq long, before string, status string, move string, terminal boolean",
-        "last string", "append", GroupStateTimeout.NoTimeout,
+        "last string", "append", GroupStateTimeout.ProcessingTimeTimeout if keep else GroupStateTimeout.NoTimeout,
     )
