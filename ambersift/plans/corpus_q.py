@@ -743,6 +743,20 @@ def _(t):
     return files.select("project", "path", F.octet_length("content").cast("long").alias("bytes"))
 
 
+@query(
+    "skipped_files",
+    f"""SELECT * FROM (SELECT project, path, CASE
+      WHEN list_has_any(string_split(path, '/')[1:-2], ['.git', 'node_modules', 'venv', '.venv', '__pycache__', '.next', 'dist', 'build', '.nuxt', 'vendor']) THEN 'ignored folder'
+      WHEN regexp_matches({D.ext('path')}, '^\\.(png|jpg|jpeg|gif|ico|mp4|webm|mp3|wav|pdf|zip|tar|gz|exe|dll|so|dylib|pyc|class)$') THEN 'ignored kind'
+      WHEN regexp_matches(lower({D.base('path')}), '\\.min\\.js$|\\.min\\.css$|\\.bundle\\.|swagger-ui|redoc\\.standalone') THEN 'bundle'
+      WHEN contains(path, 'notes/k8s') THEN 'excluded' WHEN strlen(content) > 10485760 THEN 'too large' WHEN contains(left(content, 512), chr(0)) THEN 'binary'
+      WHEN {D.ext('path')} IN ('.md', '.markdown') AND strlen(content) > 0 AND contains(left(content, 512), '<!-- generated-report -->') THEN 'report' END AS skipped
+    FROM {ALL_FILES} f) WHERE skipped IS NOT NULL""",
+)
+def _(t):
+    return corpus.skipped_files(t.repo_files.unionByName(t.source_files), ignore_paths=("notes/k8s",))
+
+
 @query("is_test_like", f"SELECT project, path, {D.test_like('path')} AS is_test FROM repo_files")
 def _(t):
     return t.repo_files.select("project", "path", P.is_test_like(c("path")).alias("is_test"))

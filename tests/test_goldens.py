@@ -287,6 +287,11 @@ def test_read_corpus(spark, tmp_path):
     assert sorted((r["project"], r["path"], r["content"]) for r in rows) == [
         ("app", "ok.md", "text"), ("app", "src/a.py", "print(1)"), ("lib", "e.py", "é"),
     ]
+    left_out = corpus.skipped_files(corpus.read_tree(spark, str(tmp_path)), ignore_paths=("skip/",)).collect()
+    assert sorted((r["path"], r["skipped"]) for r in left_out) == [
+        ("bin.dat", "binary"), ("logo.png", "ignored kind"), ("node_modules/x.js", "ignored folder"), ("r.md", "report"),
+        ("skip/me.py", "excluded"), ("v.min.js", "bundle"),
+    ]
 
 
 def test_scan_history(spark, tmp_path):
