@@ -42,9 +42,14 @@ def _penalty(tenths: Column) -> Column:
     return 100.0 * (1.0 - F.exp(-(tenths / 10.0) / SATURATION))
 
 
-def health_score(findings: DataFrame, by: Sequence[str], positives: DataFrame | None = None) -> DataFrame:
-    """Score, grade and parts per project. ``positives`` has ``by`` and ``positives``."""
+def health_score(
+    findings: DataFrame, by: Sequence[str], positives: DataFrame | None = None, count: Sequence[tuple[str, str]] = ()
+) -> DataFrame:
+    """Score, grade and parts per project. ``positives`` has ``by`` and ``positives``.
+    ``count``: (``source`` or ``class``, value) pairs whose active findings are counted in
+    the same pass, as ``n0``, ``n1``, .."""
     active = ~F.col("ignored")
+    extra = [F.count_if(active & (F.col(d) == v)).alias(f"n{i}") for i, (d, v) in enumerate(count)]
     per = health_representative(findings, by).groupBy(*by).agg(
         F.coalesce(F.sum(F.when(active, F.col("tenths"))), F.lit(0)).alias("_t"),
         F.count_if(active).alias("active_findings"),
@@ -53,6 +58,7 @@ def health_score(findings: DataFrame, by: Sequence[str], positives: DataFrame |
         F.count_if(active & (F.col("severity") == "CRITICAL")).alias("critical"),
         F.count_if(active & (F.col("severity") == "HIGH")).alias("high"),
         F.count_if(active & (F.col("severity") == "MEDIUM")).alias("medium"),
+        *extra,
     )
     if positives is not None:
         per = per.join(positives, list(by), "left")
@@ -65,7 +71,7 @@ def health_score(findings: DataFrame, by: Sequence[str], positives: DataFrame |
         *by, score.alias("score"), grade(score).alias("grade"), blocked.alias("has_critical_failures"),
         F.round(F.col("_t") / 10.0, 2).alias("raw_weight"), F.round(penalty).cast("long").alias("penalty"),
         bonus.cast("long").alias("bonus"), "active_findings", "ignored_findings", "deduped_findings",
-        "critical", "high", "medium",
+        "critical", "high", "medium", *[f"n{i}" for i in range(len(count))],
     )
 
 
@@ -195,22 +201,16 @@ def _blocked(policies: Sequence[Policy]) -> list[tuple[str, str]]:
     return list(dict.fromkeys(pairs))
 
 
-def gate_reasons(
-    scores: DataFrame, counts: DataFrame, by: Sequence[str], policies: Sequence[Policy]
+def gate_scores(
+    findings: DataFrame, by: Sequence[str], policies: Sequence[Policy], positives: DataFrame | None = None
 ) -> DataFrame:
-    """Blocking reasons per project and policy. ``scores`` and ``counts`` come from
-    ``health_score`` and ``health_counts``; policies are constants of the plan."""
-    policies = [normalize_policy(p) for p in policies]
-    blocked = _blocked(policies)
-    if blocked:
-        names = {pair: f"_b{i}" for i, pair in enumerate(blocked)}
-        per = counts.groupBy(*by).agg(
-            *[
-                F.coalesce(F.max(F.when((F.col("dimension") == d) & (F.col("value") == v), F.col("n"))), F.lit(0)).alias(c)
-                for (d, v), c in names.items()
-            ]
-        )
-        scores = scores.join(per, list(by), "left").fillna(0, subset=list(names.values()))
+    """Scores with all that the policies look at, from one pass over the findings."""
+    return health_score(findings, by, positives, _blocked([normalize_policy(p) for p in policies]))
+
+
+def _reasons(policies: Sequence[Policy]) -> Column:
+    """Array of the blocking reasons of all policies; policies are constants of the plan."""
+    names = {pair: f"n{i}" for i, pair in enumerate(_blocked(policies))}
 
     def reason(p: Policy, code: str, cond: Column, count: Column, limit: int, sev="", source="", cls="") -> Column:
         return F.when(
@@ -244,19 +244,24 @@ def gate_reasons(
         for c in p.block_classes:
             n = F.col(names["class", c])
             items.append(reason(p, "blocked_class", n > 0, n, 0, cls=c))
-    return scores.select(*by, F.explode(F.array_compact(F.array(*items))).alias("r")).select(*by, "r.*")
+    return F.array_compact(F.array(*items))
 
 
-def gate_verdict(
-    scores: DataFrame, counts: DataFrame, by: Sequence[str], policies: Sequence[Policy]
-) -> DataFrame:
-    """Passed or failed per project and policy, with the number of reasons."""
+def gate_reasons(scores: DataFrame, by: Sequence[str], policies: Sequence[Policy]) -> DataFrame:
+    """Blocking reasons per project and policy; ``scores`` come from ``gate_scores``."""
+    reasons = _reasons([normalize_policy(p) for p in policies])
+    return scores.select(*by, F.explode(reasons).alias("r")).select(*by, "r.*")
+
+
+def gate_verdict(scores: DataFrame, by: Sequence[str], policies: Sequence[Policy]) -> DataFrame:
+    """Passed or failed per project and policy, with the number of reasons; no join."""
     policies = [normalize_policy(p) for p in policies]
-    reasons = gate_reasons(scores, counts, by, policies).groupBy(*by, "profile").agg(
-        F.count(F.lit(1)).alias("reasons")
-    )
-    profiles = F.array(*[F.lit(p.profile) for p in policies])
-    every = scores.select(*by, F.explode(profiles).alias("profile"))
-    out = every.join(reasons, [*by, "profile"], "left").fillna(0, subset=["reasons"])
+
+    def verdict(p: Policy) -> Column:
+        n = F.size(F.filter("_r", lambda r: r["profile"] == p.profile)).cast("long")
+        return F.struct(F.lit(p.profile).alias("profile"), n.alias("reasons"))
+
+    every = scores.select(*by, _reasons(policies).alias("_r"))
+    out = every.select(*by, F.explode(F.array(*[verdict(p) for p in policies])).alias("v")).select(*by, "v.*")
     passed = F.col("reasons") == 0
     return out.withColumn("status", F.when(passed, F.lit("passed")).otherwise(F.lit("failed")))

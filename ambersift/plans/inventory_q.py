@@ -278,14 +278,13 @@ REASONS_SQL = SCORE_SQL.rstrip() + f""", {COUNTS_SQL}, reasons AS (
 """
 
 
-def _gate_input(t):
-    scan = _scan(t)
-    return H.health_score(scan, ["product_id"], _positives(t)), H.health_counts(scan, ["product_id"])
+def _gate_scores(t):
+    return H.gate_scores(_scan(t), ["product_id"], POLICIES, _positives(t))
 
 
 @query("gate_reasons", REASONS_SQL + "SELECT * FROM reasons")
 def _(t):
-    return H.gate_reasons(*_gate_input(t), ["product_id"], POLICIES)
+    return H.gate_reasons(_gate_scores(t), ["product_id"], POLICIES)
 
 
 @query(
@@ -294,7 +293,7 @@ def _(t):
     FROM health h CROSS JOIN (SELECT unnest(['baseline', 'standard', 'strict']) AS profile) p LEFT JOIN reasons r ON r.product_id = h.product_id AND r.profile = p.profile GROUP BY ALL""",
 )
 def _(t):
-    return H.gate_verdict(*_gate_input(t), ["product_id"], POLICIES)
+    return H.gate_verdict(_gate_scores(t), ["product_id"], POLICIES)
 
 
 # ---- triage ---------------------------------------------------------------
