@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("functions_q", "corpus_q", "scan_q", "inventory_q", "dashboard_q", "report_q")
+MODULES = ("functions_q", "corpus_q", "scan_q", "catalog_q", "inventory_q", "dashboard_q", "report_q")
 
 
 def load_all() -> None:

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.text import SENSITIVE_SHAPES
+from ..operators import file_checks as C
 from ..operators import health as H
 from ..operators import merge as M
 from ..operators import triage as G
 from . import duck as D
+from .corpus_q import _first_secret, _preview
 from .registry import query
 
 c = F.col
@@ -154,8 +156,13 @@ UNION ALL SELECT product_id, rule_id, '[' || source || '] ' || CASE WHEN rule_id
 UNION ALL SELECT product_id, rule_id, rule_id, coalesce(nullif(upper(severity), ''), 'LOW'), NULL, 0, message, message, 'open', 'backlog', 'nfr' FROM raw_findings WHERE type = 'nfr'
 UNION ALL SELECT product_id, 'deploy-' || string_split(file, '/')[-1] || '-' || CAST(line AS VARCHAR), rule_id, coalesce(nullif(upper(severity), ''), 'MEDIUM'), file, line, rule_id, message, 'open', 'backlog', 'deploy' FROM raw_findings WHERE type = 'deploy'
 UNION ALL SELECT product_id, 'net-' || project || '-' || CAST(scan_id % 100 AS VARCHAR), 'Open port ' || CAST(scan_id % 100 AS VARCHAR) || ' (' || source || ') on ' || project, coalesce(nullif(upper(severity), ''), 'HIGH'), project, 0, message, message, 'open', 'backlog', 'network' FROM raw_findings WHERE type = 'network'
-UNION ALL SELECT o_custkey, 'gitleak-' || commit_id, 'Secret leak: Stripe Key in ' || path, 'HIGH', path, 0, note, note, 'open', 'backlog', 'git-history'
-  FROM (SELECT CAST(substr(project, 5) AS BIGINT) AS o_custkey, path, commit_id, 'Pattern ''Stripe Key'' found in commit ' || commit_id || ' by ' || author || ': x' AS note FROM git_lines WHERE contains(content, 'sk_live_'))"""
+UNION ALL SELECT CAST(substr(project, 5) AS BIGINT), 'gitleak-' || left(commit_id, 8), 'Secret leak: ' || pattern || ' in ' || path, 'HIGH', path, 0, note, note, 'open', 'backlog', 'git-history'
+  FROM (SELECT *, 'Pattern ' || chr(39) || pattern || chr(39) || ' found in commit ' || commit_id || ' by ' || author || ': ' || preview AS note FROM (
+    SELECT f.project, f.path, f.commit_id, f.committed_at, f.author, u.line, {FIRST_SECRET} AS pattern, {PREVIEW} AS preview FROM git_lines f, {LINES} WHERE {FIRST_SECRET} IS NOT NULL)
+    QUALIFY row_number() OVER (PARTITION BY project, path, pattern, commit_id ORDER BY committed_at, line) = 1)"""
+
+
+INGEST_SQL = INGEST_SQL.replace("{FIRST_SECRET}", _first_secret("u.text")).replace("{PREVIEW}", _preview("u.text")).replace("{LINES}", D.lines())
 
 
 @query("ingest_union", INGEST_SQL)
@@ -171,10 +178,8 @@ def _(t):
     net = r.filter(c("type") == "network").withColumns(
         {"port": c("scan_id") % 100, "service": c("source"), "target": c("project")}
     )
-    leaks = t.git_lines.filter(F.contains("content", F.lit("sk_live_"))).select(
-        F.substring("project", 5, 20).cast("long").alias("product_id"), "path", "commit_id", "author",
-        F.lit("Stripe Key").alias("pattern"), F.lit("x").alias("preview"),
-    )
+    hits = C.secret_scan(t.git_lines, ("project", "path", "commit_id", "committed_at", "author"))
+    leaks = C.history_leaks(hits, limit=None).withColumn("product_id", F.substring("project", 5, 20).cast("long"))
     return M.ingest_union(core, ext, nfr, dep, net, leaks)
 
 
@@ -341,21 +346,28 @@ def _(t):
     return out.select("idx", "seq", "disposition", "reason", "accepted")
 
 
+_ACCEPTED = f"WITH {VALID_SQL}, got AS (SELECT DISTINCT idx FROM fpr WHERE reason = '') "
+
+
+def _accepted(t):
+    return G.validate_verdicts(_checked(t), t.inventory, t.repo_files).filter("accepted")
+
+
 @query(
     "verdict_completeness",
-    "SELECT i.idx, count(v.idx) AS verdicts FROM inventory i LEFT JOIN raw_verdicts v ON v.idx = i.idx AND v.disposition = 'True Positive' GROUP BY i.idx HAVING count(v.idx) <> 1",
+    _ACCEPTED + "SELECT idx, CAST(0 AS BIGINT) AS verdicts FROM inventory WHERE idx NOT IN (SELECT idx FROM got)",
 )
 def _(t):
-    return G.incomplete_findings(t.inventory, t.raw_verdicts.filter(c("disposition") == "True Positive"))
+    return G.incomplete_findings(t.inventory, _accepted(t))
 
 
 @query(
     "fallback_verdicts",
-    f"""SELECT idx, fingerprint, 'Needs Manual Review' AS disposition, {D.q(G.FALLBACK_RATIONALE)} AS rationale, 'low' AS confidence, 'nr-fallback' AS disposition_source
-    FROM inventory WHERE idx NOT IN (SELECT idx FROM raw_verdicts WHERE disposition = 'True Positive')""",
+    _ACCEPTED + f"""SELECT idx, fingerprint, 'Needs Manual Review' AS disposition, {D.q(G.FALLBACK_RATIONALE)} AS rationale, 'low' AS confidence, 'nr-fallback' AS disposition_source
+    FROM inventory WHERE idx NOT IN (SELECT idx FROM got)""",
 )
 def _(t):
-    return G.fallback_verdicts(t.inventory, t.raw_verdicts.filter(c("disposition") == "True Positive"))
+    return G.fallback_verdicts(t.inventory, _accepted(t))
 
 
 @query(
