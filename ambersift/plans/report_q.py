@@ -69,6 +69,39 @@ def _(t):
     return results
 
 
+_RESULT_JSON = f"""SELECT project, to_json({{'ruleId': rule_id, 'message': {{'text': '[' || severity || '] ' || name || ': ' || suggestion}},
+    'level': {D.case('severity', {'CRITICAL': 'error', 'HIGH': 'error', 'LOW': 'note'}, 'warning')},
+    'locations': [{{'physicalLocation': {{'artifactLocation': {{'uri': regexp_replace(file, '^/+', '')}}, 'region': {{'startLine': greatest(line, 1)}}}}}}]}})::VARCHAR AS value FROM audited WHERE {REPORTABLE}"""
+_RULE_JSON = f"""SELECT project, to_json({{'id': rule_id, 'name': name, 'shortDescription': {{'text': name}}, 'help': {{'text': evidence || chr(10) || chr(10) || 'Suggestion: ' || suggestion}},
+    'properties': {{'security-severity': {D.case('severity', {'CRITICAL': '9.0', 'HIGH': '7.0', 'MEDIUM': '5.0', 'LOW': '2.0'}, '5.0')}}}}})::VARCHAR AS value FROM audited WHERE {REPORTABLE}
+    QUALIFY row_number() OVER (PARTITION BY project, rule_id ORDER BY name, severity, evidence, suggestion) = 1"""
+
+
+def _listed_sql(section: int, rows: str) -> str:
+    return (
+        f"SELECT project, {section} AS section, place, CASE WHEN place > 1 THEN ',' ELSE '' END || value AS value "
+        f"FROM (SELECT *, row_number() OVER (PARTITION BY project ORDER BY value) AS place FROM ({rows}))"
+    )
+
+
+def _fixed_sql(section: int, text: str, table: str) -> str:
+    return f"SELECT DISTINCT project, {section} AS section, CAST(1 AS BIGINT) AS place, {text} AS value FROM {table}"
+
+
+@query(
+    "sarif_document",
+    " UNION ALL ".join(
+        [
+            _fixed_sql(0, """'{"version":"2.1.0","$schema":"https://json.schemastore.org/sarif-2.1.0.json","runs":[{"tool":{"driver":{"name": "ambersift", "version": "1","rules":['""", "audited"),
+            _listed_sql(1, _RULE_JSON), _fixed_sql(2, """']}},"results":['""", "audited"), _listed_sql(3, _RESULT_JSON),
+            _fixed_sql(4, "']}]}'", "audited"),
+        ]
+    ),
+)
+def _(t):
+    return O.sarif_document(t.audited, "ambersift", "1")
+
+
 @query("write_report_csv", "SELECT severity AS \"Severity\", count(*) AS \"Count\" FROM findings GROUP BY ALL")
 def _(t):
     path = _folder(t, "severity-csv")
@@ -100,6 +133,25 @@ def _(t):
     return O.to_sbom(t.deps, t.dep_edges)
 
 
+_COMPONENT_JSON = f"""SELECT project, CASE WHEN type = 'dev' THEN to_json({{'type': 'library', 'name': name, 'version': version, 'purl': {PURL}, 'scope': 'optional'}})::VARCHAR
+      ELSE to_json({{'type': 'library', 'name': name, 'version': version, 'purl': {PURL}}})::VARCHAR END AS value FROM deps"""
+
+
+@query(
+    "sbom_document",
+    " UNION ALL ".join(
+        [
+            _fixed_sql(0, """'{"bomFormat":"CycloneDX","specVersion":"1.5","version":1,"serialNumber":"urn:scan:' || project || '","components":['""", "deps"),
+            _listed_sql(1, _COMPONENT_JSON), _fixed_sql(2, """'],"dependencies":['""", "deps"),
+            _listed_sql(3, "SELECT project, to_json({'ref': parent, 'dependsOn': list(child ORDER BY child)})::VARCHAR AS value FROM dep_edges WHERE project IN (SELECT project FROM deps) GROUP BY project, parent"),
+            _fixed_sql(4, "']}'", "deps"),
+        ]
+    ),
+)
+def _(t):
+    return O.sbom_document(t.deps, t.dep_edges, "urn:scan:")
+
+
 @query(
     "to_sbom_spdx",
     f"""SELECT project, 'SPDXRef-Package-' || left(sha256(ecosystem || '|' || name || '|' || version), 16) AS spdx_id, name, version AS version_info, 'NOASSERTION' AS download_location,

@@ -1,17 +1,21 @@
 """Report formats: JSON, SARIF, CSV, bills of materials, CI annotations.
 
-Every format is a table of document parts, one row each. A document that wraps
-all rows of a scan would have to be built in one task."""
+Every format is a table of document parts, one row each. Documents that wrap all rows
+of a scan are ordered parts too, a header and a trailer among them: building one value
+would take one task for all rows."""
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.identity import purl
 from ..functions.severity import sarif_level, sarif_number
+from ..operators.ordering import rank_within
 
 SUPPRESSED_AUDIT = ("IGNORED", "TRIAGE")
 
@@ -76,6 +80,56 @@ def to_sarif(f: DataFrame, by: Sequence[str] = ("project",)) -> tuple[DataFrame,
     return results, sarif_rules(f, by).select(*by, F.to_json(rule).alias("value"))
 
 
+def _listed(parts: DataFrame, by: Sequence[str], section: int, order: Sequence[str]) -> DataFrame:
+    """JSON parts as elements of one array: a comma before all but the first."""
+    ranked = rank_within(parts, list(by), [F.col(c) for c in order], "place")
+    value = F.when(F.col("place") > 1, F.concat(F.lit(","), F.col("value"))).otherwise(F.col("value"))
+    return ranked.select(*by, F.lit(section).alias("section"), "place", value.alias("value"))
+
+
+def _fixed(groups: DataFrame, by: Sequence[str], section: int, text: str) -> DataFrame:
+    return groups.select(*by, F.lit(section).alias("section"), F.lit(1).cast("long").alias("place"), F.lit(text).alias("value"))
+
+
+# The frame of a SARIF log and of a bill of materials.
+SARIF_SCHEMA = "https://json.schemastore.org/sarif-2.1.0.json"
+
+
+def sarif_document(f: DataFrame, tool: str, version: str, by: Sequence[str] = ("project",)) -> DataFrame:
+    """One SARIF log per project as ordered parts (by.., section, place, value): the values
+    put together in this order are the document, and no task ever holds one."""
+    results, rules = to_sarif(f, by)
+    groups = f.select(*by).distinct()
+    driver = json.dumps({"name": tool, "version": version})[:-1]
+    head = f'{{"version":"2.1.0","$schema":"{SARIF_SCHEMA}","runs":[{{"tool":{{"driver":{driver},"rules":['
+    parts = [
+        _fixed(groups, by, 0, head), _listed(rules, by, 1, ["value"]), _fixed(groups, by, 2, ']}},"results":['),
+        _listed(results, by, 3, ["value"]), _fixed(groups, by, 4, "]}]}"),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def sbom_document(deps: DataFrame, edges: DataFrame, serial: str) -> DataFrame:
+    """One CycloneDX document per project of ``deps`` as ordered parts, as above; ``serial``
+    goes before the project's name."""
+    rows = to_sbom(deps, edges)
+    groups = deps.select("project").distinct()
+    name = F.to_json(F.struct(F.concat(F.lit(serial), F.col("project")).alias("serialNumber")))
+    head = groups.select(
+        "project", F.lit(0).alias("section"), F.lit(1).cast("long").alias("place"),
+        F.concat(F.lit('{"bomFormat":"CycloneDX","specVersion":"1.5","version":1,'), F.substr(name, F.lit(2), F.length(name) - 2),
+                 F.lit(',"components":[')).alias("value"),
+    )
+    own = rows.join(groups, "project", "left_semi")
+    parts = [
+        head, _listed(own.filter("section = 'components'").select("project", "value"), ["project"], 1, ["value"]),
+        _fixed(groups, ["project"], 2, '],"dependencies":['),
+        _listed(own.filter("section = 'dependencies'").select("project", "value"), ["project"], 3, ["value"]),
+        _fixed(groups, ["project"], 4, "]}"),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def severity_csv(f: DataFrame) -> DataFrame:
     return f.groupBy(F.col("severity").alias("Severity")).agg(F.count(F.lit(1)).alias("Count"))
 

@@ -1,5 +1,6 @@
 """Hot keys, order independence and exactness against brute force."""
 
+import json
 import random
 
 import pytest
@@ -327,3 +328,12 @@ def test_absolute_evidence_below_the_project_root(spark):
     )
     got = {r["seq"]: r["reason"] for r in triage.validate_fp_evidence(verdicts, findings, files, root="/workspace").collect()}
     assert got == {0: "", 1: "", 2: "code_bad_file"}
+
+
+def test_documents_are_json(tables):
+    for parts in (reports.sarif_document(tables.audited, "t", "1"), reports.sbom_document(tables.deps, tables.dep_edges, "urn:x:")):
+        held = {}
+        for r in sorted(parts.collect(), key=lambda r: (r["section"], r["place"])):
+            held.setdefault(r["project"], []).append(r["value"])
+        docs = [json.loads("".join(v)) for v in held.values()]
+        assert docs and any(d.get("components") or d["runs"][0]["results"] for d in docs)
