@@ -43,6 +43,9 @@ def _documents(root: str | Path) -> Iterable:
 
 
 def rule_from_dict(d: dict) -> Rule:
+    """A rule as a catalog states it. The search hint ``needs`` is not taken from files: a
+    wrong one would silently drop hits."""
+
     def texts(name: str) -> tuple[str, ...]:
         return tuple(str(v) for v in d.get(name) or ())
 
@@ -57,7 +60,6 @@ def rule_from_dict(d: dict) -> Rule:
         severity=str(d.get("severity", "")), patterns=subs("patterns"),
         pattern_either=subs("pattern-either", "pattern_either"),
         pattern_not=str(d.get("pattern-not", d.get("pattern_not", ""))), mode=str(d.get("mode", "")),
-        needs=texts("needs"),
     )
 
 
