@@ -77,6 +77,16 @@ class EliasFano:
         word = np.searchsorted(before, k, "right") - 1
         return word * 64 + _nth_one(self.high[word] ^ _FULL, k - before[word])
 
+    def _ones_from(self, at: np.ndarray, k: np.ndarray) -> np.ndarray:
+        """How many ones stand from ``at`` on, before the ``k``-th zero."""
+        word, shift = at >> 6, (at & 63).astype(np.uint64)
+        window = (self.high[word] >> shift) | ((self.high[word + 1] << (np.uint64(63) - shift)) << _ONE)
+        gap = window ^ _FULL
+        out = np.bitwise_count((gap & (~gap + _ONE)) - _ONE).astype(np.int64)
+        far = np.flatnonzero(gap == 0)
+        out[far] = self._zero(k[far]) - at[far]
+        return out
+
     def value(self, i: np.ndarray) -> np.ndarray:
         """The numbers at ``i``."""
         if self._ones is None:
@@ -86,6 +96,22 @@ class EliasFano:
         at = word * 64 + _nth_one(self.high[word], i - before[word])
         return ((at - i).astype(np.uint64) << np.uint64(self.bits)) | self._low(i)
 
+    def span(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers at ``i`` and at ``i + 1``."""
+        if self._ones is None:
+            self._ones = 64 * np.arange(len(self.zeros)) - self.zeros.view(np.int64)
+        word = np.searchsorted(self._ones, i, "right") - 1
+        at = word * 64 + _nth_one(self.high[word], i - self._ones[word])
+        after = at + 1
+        word, shift = after >> 6, (after & 63).astype(np.uint64)
+        window = (self.high[word] >> shift) | ((self.high[word + 1] << (np.uint64(63) - shift)) << _ONE)
+        after += np.bitwise_count((window & (~window + _ONE)) - _ONE).astype(np.int64)
+        bits = np.uint64(self.bits)
+        ends = ((after - i - 1).astype(np.uint64) << bits) | self._low(i + 1)
+        far = np.flatnonzero(window == 0)
+        ends[far] = self.value(i[far] + 1)
+        return ((at - i).astype(np.uint64) << bits) | self._low(i), ends
+
     def find(self, x: np.ndarray, first: np.ndarray | None = None, end: np.ndarray | None = None) -> np.ndarray:
         """Place of each ``x`` (below the universe), -1 if it is not there: the successor
         within its high part, and within ``first`` to ``end`` if given."""
@@ -93,10 +119,11 @@ class EliasFano:
         if not self.n or not len(x):
             return np.full(len(x), -1)
         top, want = (x >> np.uint64(self.bits)).astype(np.int64), x & np.uint64((1 << self.bits) - 1)
-        lo = np.zeros(len(x), np.int64)
+        start = np.zeros(len(x), np.int64)  # where the numbers with this high part start in the unary part
         later = top > 0
-        lo[later] = self._zero(top[later] - 1) + 1 - top[later]
-        hi = self._zero(top) - top
+        start[later] = self._zero(top[later] - 1) + 1
+        lo = start - top
+        hi = lo + self._ones_from(start, top)
         if first is not None:
             lo, hi = np.maximum(lo, first), np.minimum(hi, end)
         stop = hi.copy()

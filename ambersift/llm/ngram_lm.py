@@ -39,11 +39,12 @@ from pyspark.sql import functions as F
 
 from ..session import shared_dir, written
 from .elias_fano import EliasFano
-from .words import CHUNK, mix, words_of
+from .words import absent, words_of
 
 END = 0xE4D0E4D0E4D0E4D1  # the end token's hash
 GRID = 16 / 65535  # codes: minus log10, from 0 to 16
 SHARD_ENTRIES = 1 << 19
+MERGED_ROWS = 500_000  # n-grams a task adds up before it hands them on
 _SHIFT = np.uint64(32)
 
 
@@ -158,16 +159,21 @@ class Vocabulary:
         return (counts + 0.5) / (self.total + 0.5 * (self.size + 1))
 
 
-def _home(pair: np.ndarray, bits: int) -> np.ndarray:
-    return (mix(pair ^ np.uint64(0x7F4A7C15)) >> np.uint64(1) >> np.uint64(63 - bits)).astype(np.int64)
+def _by_shard(home: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(shard, places in ``home``, ascending) of the shards that occur."""
+    order = np.argsort(home.astype(np.uint16) if shards < 1 << 16 else home, kind="stable")
+    cut = np.cumsum(np.bincount(home, minlength=shards))
+    for s in np.flatnonzero(np.diff(cut, prepend=0)):
+        yield int(s), order[cut[s - 1] if s else 0 : cut[s]]
 
 
 @dataclass
 class Pairs:
-    """Levels 2 and 3: shard by the hash of the pair (context id, word id)."""
+    """Levels 2 and 3: the shard is the pair (context id, word id), as one number, modulo
+    the number of shards, so the successors of a frequent word lie in all of them."""
 
     folder: str
-    bits: int
+    shards: int
     words: int  # V
     open_: dict = field(default_factory=dict)
 
@@ -182,40 +188,45 @@ class Pairs:
         return self.open_[s]
 
     def find(self, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Shard of each pair and its place on level 2 there, -1 if it is not kept."""
-        home, out = _home(pair, self.bits), np.full(len(pair), -1)
-        for s in np.unique(home):
-            seqs, _ = self.shard(int(s))
+        """Shard of each of the sorted pairs and its place on level 2 there, -1 if it is not kept."""
+        home, out = np.mod(pair.view(np.int64), self.shards), np.full(len(pair), -1)
+        for s, mine in _by_shard(home, self.shards):
+            seqs, _ = self.shard(s)
             if not seqs:
                 continue
-            mine = np.flatnonzero(home == s)
-            context = seqs["context"].find(pair[mine] >> _SHIFT)
-            mine, context = mine[context >= 0], context[context >= 0]
-            if len(mine):
-                # Successors of the context: its range by the pointers, then the search in it.
-                first, end = seqs["first"].value(context).astype(np.int64), seqs["first"].value(context + 1).astype(np.int64)
-                word = pair[mine] & np.uint64(0xFFFFFFFF)
-                out[mine] = seqs["word"].find(context.astype(np.uint64) * np.uint64(self.words) + word, first, end)
+            # Each context once: its place on the top level, and by the pointers the range of
+            # its successors, in which the word is searched.
+            above = pair[mine] >> _SHIFT
+            new = np.flatnonzero(np.concatenate([[True], above[1:] != above[:-1]]))
+            context = seqs["context"].find(above[new])
+            known = context >= 0
+            first, end = np.zeros(len(new), np.int64), np.zeros(len(new), np.int64)
+            low, high = seqs["first"].span(context[known])
+            first[known], end[known] = low, high
+            which = np.repeat(np.arange(len(new)), np.diff(np.append(new, len(mine))))
+            some = known[which]
+            mine, which = mine[some], which[some]
+            key = context[which].astype(np.uint64) * np.uint64(self.words) + (pair[mine] & np.uint64(0xFFFFFFFF))
+            out[mine] = seqs["word"].find(key, first[which], end[which])
         return home, out
 
-    def values(self, home: np.ndarray, at: np.ndarray, name: str, missing: float) -> np.ndarray:
-        out = np.full(len(at), missing)
-        for s in np.unique(home[at >= 0]):
-            arrays = self.shard(int(s))[1]
-            mine = np.flatnonzero((home == s) & (at >= 0))
-            if name in arrays:
-                out[mine] = decode(arrays[name][at[mine]])
+    def values(self, home: np.ndarray, at: np.ndarray, names: dict[str, float]) -> list[np.ndarray]:
+        """What the shards hold for the pairs ``at``: an array per name, with the given value
+        where a pair is not kept."""
+        out = [np.full(len(at), missing) for missing in names.values()]
+        kept = np.flatnonzero(at >= 0)
+        for s, mine in _by_shard(home[kept], self.shards):
+            arrays, mine = self.shard(s)[1], kept[mine]
+            for o, name in zip(out, names):
+                o[mine] = decode(arrays[name][at[mine]])
         return out
 
     def third(self, home: np.ndarray, at: np.ndarray, word: np.ndarray) -> np.ndarray:
         """d(uvw) of each kept pair ``at`` and third word, 0 if it is not kept."""
         out = np.zeros(len(at))
-        for s in np.unique(home):
-            seqs, arrays = self.shard(int(s))
-            if "third" not in seqs:
-                continue
-            mine = np.flatnonzero(home == s)
-            first, end = seqs["children"].value(at[mine]).astype(np.int64), seqs["children"].value(at[mine] + 1).astype(np.int64)
+        for s, mine in _by_shard(home, self.shards):
+            seqs, arrays = self.shard(s)
+            first, end = (x.astype(np.int64) for x in seqs["children"].span(at[mine]))
             some = first < end
             mine, first, end = mine[some], first[some], end[some]
             key = at[mine].astype(np.uint64) * np.uint64(self.words) + word[mine].astype(np.uint64)
@@ -230,20 +241,20 @@ class Pairs:
 
 def _tokens(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, hashes, where each row starts) chunk by chunk."""
-    for a, b, w in words_of(column, lower=True, most=2 * CHUNK):
+    for a, b, w in words_of(column, lower=True):
         yield a, b, np.insert(w.hash, w.at[1:], np.uint64(END)), w.at + np.arange(b - a + 1)
 
 
 class Lookup:
     """Word ids and counts by hash; a task remembers the words it has met."""
 
-    def __init__(self, vocabulary: Vocabulary, most: int = 2_000_000):
+    def __init__(self, vocabulary: Vocabulary, most: int = 1_000_000):
         self.vocabulary, self.most = vocabulary, most
         self.hash, self.id, self.count = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def __call__(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         met, back = np.unique(hashes, return_inverse=True)
-        fresh = met[~np.isin(met, self.hash, assume_unique=True)]
+        fresh = met[absent(met, self.hash)]
         if len(self.hash) + len(fresh) > self.most:
             self.hash, self.id, self.count, fresh = self.hash[:0], self.id[:0], self.count[:0], met
         if len(fresh):
@@ -281,13 +292,22 @@ def _counted(docs: DataFrame, names: list[str], emit) -> DataFrame:
     """Sums of what ``emit(column)`` yields: key columns and a count."""
     schema = pa.schema([(n, pa.int64()) for n in [*names, "c"]])
 
+    def out(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        cols = _merged(parts)
+        return pa.RecordBatch.from_arrays([pa.array(c.astype(np.uint64).view(np.int64)) for c in cols], schema=schema)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each = emit()
         for batch in batches:
-            parts = list(each(batch.column(0)))
+            parts, rows = [], 0
+            for part in each(batch.column(0)):
+                parts.append(part)
+                rows += len(part[0])
+                if rows > MERGED_ROWS:
+                    yield out(parts)
+                    parts, rows = [], 0
             if parts:
-                cols = _merged(parts)
-                yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.uint64).view(np.int64)) for c in cols], schema=schema)
+                yield out(parts)
 
     rows = docs.select("text").mapInArrow(run, ", ".join(f"{n} long" for n in [*names, "c"]))
     return rows.groupBy(*names).agg(F.sum("c").alias("c"))
@@ -314,8 +334,8 @@ def _save_shards(rows: DataFrame, key: str, order: list[str], build) -> None:
 class NgramModel:
     """Fit with ``train``; score with ``score``. The files stay in the shared folder."""
 
-    def __init__(self, vocabulary: Vocabulary, pairs: Pairs):
-        self.vocabulary, self.pairs = vocabulary, pairs
+    def __init__(self, vocabulary: Vocabulary, pairs: Pairs, least: int):
+        self.vocabulary, self.pairs, self.least = vocabulary, pairs, least
 
     @classmethod
     def train(cls, texts: DataFrame, least: int = 2, discount: float = 0.75) -> NgramModel:
@@ -369,15 +389,10 @@ class NgramModel:
 
         bigrams = written(_counted(texts, ["pair"], pairs).filter(F.col("c") >= least))
         n_pairs = bigrams.count()
-        bits2 = _shard_bits(n_pairs)
+        shards = n_pairs // SHARD_ENTRIES | 1  # odd, or the remainder would not see the context
 
         def with_home(rows):
-            def run(batches):
-                for batch in batches:
-                    home = _home(batch.column("pair").to_numpy().view(np.uint64), bits2)
-                    yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(home)], names=[*batch.schema.names, "shard"])
-
-            return rows.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + ", shard long")
+            return rows.withColumn("shard", F.pmod("pair", F.lit(shards)))
 
         def level2(cols, order):
             pair = cols["pair"].view(np.uint64)[order]
@@ -392,7 +407,7 @@ class NgramModel:
             save(f"{folder}/a/pairs-{shard}", level2(cols, np.argsort(cols["pair"].view(np.uint64))))
 
         _save_shards(with_home(bigrams.select("pair")), "shard", ["pair"], save_pairs)
-        kept = Pairs(f"{folder}/a", bits2, vocabulary.size)
+        kept = Pairs(f"{folder}/a", shards, vocabulary.size)
 
         # Level 3: triples both of whose pairs are kept.
         def triples():
@@ -407,7 +422,7 @@ class NgramModel:
                     there = np.zeros(len(ids) + 1, bool)
                     there[spot] = (kept.find(pair)[1] >= 0)[back]
                     t = np.flatnonzero(there[:-1] & there[1:])
-                    yield _merged([(_pair(ids[t], ids[t + 1]), ids[t + 2], np.ones(len(t), np.int64))])
+                    yield _pair(ids[t], ids[t + 1]), ids[t + 2], np.ones(len(t), np.int64)
 
             return each
 
@@ -459,32 +474,34 @@ class NgramModel:
             trigrams.select("pair", "third", "c", F.lit(None).cast("double").alias("kept"))
         )
         _save_shards(with_home(both), "shard", ["pair"], save_trie)
-        return cls(Vocabulary(f"{folder}/b", bits, base, int(total)), Pairs(f"{folder}/b", bits2, int(size)))
+        return cls(Vocabulary(f"{folder}/b", bits, base, int(total)), Pairs(f"{folder}/b", shards, int(size)), least)
 
-    def probabilities(self, look: Lookup, hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """p(token | up to two before it in its row) and the token's own p."""
+    def probabilities(self, look: Lookup, hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """p(token | up to two before it in its row), the token's own p, and its count."""
         ids, counts = look(hashes)
         own = self.vocabulary.base_p(counts)
         p = own.copy()
         n = len(ids)
         one = np.flatnonzero(_neighbours(at, n, 1) & (np.concatenate([[-1], ids[:-1]]) >= 0))
         if not len(one):
-            return p, own
+            return p, own, counts
         context, back = np.unique(ids[one - 1], return_inverse=True)
         p[one] = self.vocabulary.backoff(context)[back] * own[one]
-        known = one[ids[one] >= 0]
+        # A kept pair is made of words, and a kept triple of pairs, that are kept.
+        known = one[(counts[one] >= self.least) & (counts[one - 1] >= self.least)]
         pair, back = np.unique(_pair(ids[known - 1], ids[known]), return_inverse=True)
         home, spot = self.pairs.find(pair)
-        p[known] += self.pairs.values(home, spot, "word.d", 0.0)[back]
+        d, backoff = self.pairs.values(home, spot, {"word.d": 0.0, "word.backoff": 1.0})
+        p[known] += d[back]
         weight = np.ones(n)
-        weight[known] = self.pairs.values(home, spot, "word.backoff", 1.0)[back]
+        weight[known] = backoff[back]
         place, shard = np.full(n, -1), np.zeros(n, np.int64)
         place[known], shard[known] = spot[back], home[back]
         two = np.flatnonzero(_neighbours(at, n, 2) & (np.concatenate([[-1], place[:-1]]) >= 0))
         p[two] *= weight[two - 1]
-        two = two[ids[two] >= 0]
+        two = two[place[two] >= 0]
         p[two] += self.pairs.third(shard[two - 1], place[two - 1], ids[two])
-        return p, own
+        return p, own, counts
 
     def score(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """doc_id, n_tokens, n_known, train_tokens, base_score, score (log10)."""
@@ -498,8 +515,7 @@ class NgramModel:
             for batch in batches:
                 cols: list[list[np.ndarray]] = [[], [], [], [], []]
                 for a, b, hashes, at in _tokens(batch.column(1)):
-                    p, own = self.probabilities(look, hashes, at)
-                    _, counts = look(hashes)
+                    p, own, counts = self.probabilities(look, hashes, at)
                     for c, v in zip(
                         cols,
                         (np.diff(at), np.add.reduceat((counts > 0).astype(np.int64), at[:-1]), np.full(b - a, self.vocabulary.total),

@@ -42,6 +42,13 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def absent(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which of the sorted ``values`` are not among the sorted ``known`` ones."""
+    if not len(known):
+        return np.ones(len(values), bool)
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] != values
+
+
 def table(of: bytes) -> np.ndarray:
     out = np.zeros(256, bool)
     out[list(of)] = True
