@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import slice_count, written
-from .words import Words, row_chunks, table, text_bytes
+from .words import Words, absent, row_chunks, table, text_bytes
 
 _LETTER = table(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
 _PUNCT = table(b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~")  # no apostrophe: contractions stay whole
@@ -98,17 +98,13 @@ class WordIds:
             pair = pair[~np.isin(inside, odd)]
         words = Words(data, rows, lower=not len(marks), cut=pair)
         hashes, at, back = np.unique(words.hash, return_index=True, return_inverse=True)
-        spot = np.searchsorted(self.known, hashes)
-        new = np.ones(len(hashes), bool)
-        inside = spot < len(self.known)
-        new[inside] = self.known[spot[inside]] != hashes[inside]
-        if new.any():
-            fresh = np.flatnonzero(new)
+        fresh = np.flatnonzero(absent(hashes, self.known))
+        if len(fresh):
             if len(self.known) + len(fresh) > MOST_KNOWN:
                 self._forget()
                 fresh = np.arange(len(hashes))
             self._learn(hashes[fresh], [words.text(k).decode("utf-8", "replace") for k in at[fresh].tolist()])
-            spot = np.searchsorted(self.known, hashes)
+        spot = np.searchsorted(self.known, hashes)
         count, first = self.count[spot][back], self.first[spot][back]
         ends = np.cumsum(count)
         total = int(ends[-1]) if len(ends) else 0
