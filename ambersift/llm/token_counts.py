@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import Words, words_of
+from .words import Words, absent, words_of
 
 MARK = "▁".encode()
 MOST_KNOWN = 2_000_000  # words a task remembers at once
@@ -156,13 +156,13 @@ def token_counts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
             out: list[tuple[np.ndarray, ...]] = []
             for a, b, w in words_of(batch.column(1)):
                 hashes, first, back = np.unique(w.hash, return_index=True, return_inverse=True)
-                fresh = np.flatnonzero(~np.isin(hashes, known, assume_unique=True))
+                fresh = np.flatnonzero(absent(hashes, known))
                 if len(known) + len(fresh) > MOST_KNOWN:
                     known, counts, values, fresh = known[:0], counts[:0], values[:0], np.arange(len(hashes))
                 if len(fresh):
                     n, s = automaton.words(w, first[fresh])
                     known, counts, values = (np.concatenate(p) for p in ((known, hashes[fresh]), (counts, n), (values, s)))
-                    order = np.argsort(known)
+                    order = np.argsort(known, kind="stable")
                     known, counts, values = known[order], counts[order], values[order]
                 spot = np.searchsorted(known, hashes)
                 n_row, row = b - a, w.row
