@@ -8,10 +8,11 @@ repeated with other walks until the recall asked for. Windows and items that agr
 repetition are compared exactly: edit distance in words between the item and the best
 stretch of the window and its surroundings.
 
-Embedding every window of a corpus would cost far more than reading it, so windows must
-first hold as many q-grams of benchmark items as an item with the allowed edits still
-has, and start and end near such q-grams. The q-grams are looked up in a bit table of a
-fixed size; if it is too small for a benchmark, more windows pass and none is lost.
+Embedding every window of a corpus would cost far more than reading it, so windows start
+where q-grams of items of their size say: each hit puts the item's start at its place in
+the text less its place in the item, and as many hits as an item with the allowed edits
+keeps must agree on the start up to those edits. No occurrence within the edits is left
+out by this. Hits pass a bit table first; if it is too small, more are looked up.
 
 * Words are runs of letters and digits (anything but blanks and ASCII punctuation), lower
   case. Null and empty texts have none.
@@ -37,6 +38,8 @@ from .tables import free, join_counted
 from .words import Words, mix, rolling, row_chunks, table, text_bytes, whole
 
 TABLE_BITS = 22
+PAIRS = 1 << 21  # pairs of a text's and an item's q-gram worked on at once
+SLICE = 1 << 22  # q-grams of items that a task holds
 _SPREAD = np.arange(256, dtype=np.uint8)
 _SPREAD[table(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")] = 32
 
@@ -52,22 +55,18 @@ def allowed(n: int, share: float) -> int:
 
 
 def gram_rule(n: int, share: float) -> tuple[int, int]:
-    """Longest q-gram (3 at most), and how many of them an item of ``n`` words keeps in a
-    window of its size under the allowed edits; each may also push a word out of it."""
+    """Longest q-gram (3 at most), and how many of them an item of ``n`` words keeps under
+    the allowed edits, each of which breaks at most ``q``."""
     e = allowed(n, share)
     for q in (3, 2):
-        if n - q + 1 - (q + 1) * e >= 1:
-            return q, n - q + 1 - (q + 1) * e
-    return 1, max(1, n - 2 * e)
-
-
-def _spot(grams: np.ndarray, q: int) -> np.ndarray:
-    return (mix(grams + np.uint64(q)) >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+        if n - q + 1 - q * e >= 1:
+            return q, n - q + 1 - q * e
+    return 1, max(1, n - e)
 
 
 def _items(benchmark: DataFrame, id_col: str, text_col: str, share: float, min_words: int) -> DataFrame:
-    """item_id, n, words (32-bit hashes), spots (of its q-grams in the bit table)."""
-    schema = pa.schema([("item_id", pa.int64()), ("n", pa.int32()), ("words", pa.binary()), ("spots", pa.list_(pa.int32()))])
+    """item_id, n, words (32-bit hashes), grams (hashes of its q-grams in order)."""
+    schema = pa.schema([("item_id", pa.int64()), ("n", pa.int32()), ("words", pa.binary()), ("grams", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -78,73 +77,128 @@ def _items(benchmark: DataFrame, id_col: str, text_col: str, share: float, min_w
                     own = h[w.at[k] : w.at[k + 1]]
                     if len(own) >= min_words:
                         q, _ = gram_rule(len(own), share)
-                        spots = np.unique(_spot(rolling(own, q), q)).tolist()
-                        rows.append((ids[a + k], len(own), own.astype(np.uint32).tobytes(), spots))
+                        grams = rolling(own, q).view(np.int64).tolist()
+                        rows.append((ids[a + k], len(own), own.astype(np.uint32).tobytes(), grams))
             cols = list(zip(*rows)) or [(), (), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
 
     rows = benchmark.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).cast("string").alias("text"))
-    items = rows.mapInArrow(run, "item_id long, n int, words binary, spots array<int>")
-    return items.groupBy("n", "words").agg(F.min("item_id").alias("item_id"), F.first("spots").alias("spots"))
-
-
-def _windows(docs: DataFrame, lengths: list[int], packed: np.ndarray, share: float) -> DataFrame:
+    items = rows.mapInArrow(run, "item_id long, n int, words binary, grams array<long>")
+    return items.groupBy("n", "words").agg(F.min("item_id").alias("item_id"), F.first("grams").alias("grams"))
+
+
+class Places:
+    """Where q-grams stand in items: a bit table, then the (size, place) pairs of a q-gram."""
+
+    def __init__(self, gram: np.ndarray, n: np.ndarray, j: np.ndarray, q: int, share: float):
+        order = np.lexsort((j, n, gram))
+        gram, n, j = gram[order], n[order], j[order]
+        self.q = q
+        self.known, first = np.unique(gram, return_index=True)
+        self.first = np.append(first, len(gram))
+        self.sizes, self.size = np.unique(n, return_inverse=True)
+        self.size, self.j = self.size.astype(np.int32), j.astype(np.int32)
+        self.edits = np.array([allowed(int(x), share) for x in self.sizes])
+        self.need = np.array([gram_rule(int(x), share)[1] for x in self.sizes])
+        self.shift = np.uint64(64 - TABLE_BITS)
+        bits = np.zeros(1 << TABLE_BITS, bool)
+        bits[(self.known >> self.shift).astype(np.int64)] = True
+        self.packed = np.packbits(bits)
+
+    def windows(self, w: Words, h: np.ndarray, bits: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Rows, first words in the row (below 0 if the item would start before it) and sizes.
+
+        An item with at most ``e`` edits keeps ``need`` q-grams, and their places in the
+        text less those in the item differ by ``e`` at most. Each such difference of a
+        band with ``need`` hits is a window's start."""
+        grams = rolling(h, self.q)
+        p = np.flatnonzero(bits[(grams >> self.shift).astype(np.int64)] & whole(w.at, self.q, len(w.start)))
+        k = np.minimum(np.searchsorted(self.known, grams[p]), len(self.known) - 1)
+        same = self.known[k] == grams[p]
+        p, k = p[same], k[same]
+        row, most = w.row[p], int(self.sizes.max())
+        count = self.first[k + 1] - self.first[k]
+        total = np.concatenate([[0], np.cumsum(count)])
+        wide = int(np.diff(w.at).max(initial=0)) + 2 * most + 1
+        a = 0
+        while a < len(p):
+            b = max(a + 1, int(np.searchsorted(total, total[a] + PAIRS, "right")) - 1)
+            if b < len(p) and row[b] == row[b - 1]:  # a row's hits stay together
+                b = int(np.searchsorted(row, row[b]))
+                b = b if b > a else int(np.searchsorted(row, row[a], "right"))
+            n = count[a:b]
+            entry = np.repeat(self.first[k[a:b]] - total[a:b], n) + np.arange(total[a], total[b])
+            start = np.repeat(p[a:b] - w.at[row[a:b]], n) - self.j[entry]
+            own = np.repeat(row[a:b] - row[a], n)
+            rows = int(row[b - 1] - row[a]) + 1
+            c = np.sort((self.size[entry] * rows + own) * wide + start + most)
+            size = c // (rows * wide)
+            end = np.searchsorted(c, c + self.edits[size], "right")
+            full = np.flatnonzero(end - np.arange(len(c)) >= self.need[size])
+            edge = np.zeros(len(c) + 1, np.int64)
+            np.add.at(edge, full, 1)
+            np.add.at(edge, end[full], -1)
+            c = np.unique(c[np.cumsum(edge[:-1]) > 0])
+            if len(c):
+                yield c // wide % rows + row[a], c % wide - most, c // (rows * wide)
+            a = b
+
+
+def _windows(docs: DataFrame, places: list[Places]) -> DataFrame:
     """Windows that may hold an item: where (document, text hash, first word), their size,
     the words with ``lead`` words before and as many as edits may add after."""
     schema = pa.schema(
         [("doc_id", pa.int64()), ("text_hash", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("lead", pa.int32()),
          ("wh", pa.int64()), ("region", pa.binary())]
     )
-    rules: dict[int, list[tuple[int, int]]] = {}
-    for n in lengths:
-        q, need = gram_rule(n, share)
-        rules.setdefault(q, []).append((n, need))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(packed).astype(bool)
+        tables = [np.unpackbits(x.packed).astype(bool) for x in places]
         for batch in batches:
             ids, hashes = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for a, _, w in plain_words(batch.column(2)):
-                rows: list[tuple] = []
-                h, total = w.hash, len(w.start)
-                small, row = h.astype(np.uint32), w.row
-                for q, sizes in rules.items():
-                    grams = rolling(h, q)
-                    hit = np.zeros(total + 1, bool)
-                    hit[: len(grams)] = bits[_spot(grams, q)] & whole(w.at, q, total)
-                    if not hit.any():
-                        continue
-                    before = np.concatenate([[0], np.cumsum(hit)])
-                    first = np.flatnonzero(hit[:-1] & ~np.concatenate([[False], hit[:-2]]))
-                    last = np.flatnonzero(hit[:-1] & ~hit[1:]) + q
-                    near_end = np.zeros(total + 2 * q + 2, bool)
-                    for d in range(-q, q + 1):
-                        near_end[np.maximum(last + d, 0)] = True
-                    starts = np.unique((first[:, None] - np.arange(q + 1)).ravel())
-                    starts = starts[starts >= 0]
-                    room = w.at[row[starts] + 1] - starts
-                    for n, need in sizes:
-                        s = starts[room >= n]
-                        s = s[near_end[s + n]]
-                        s = s[before[s + n - q + 1] - before[s] >= need]
-                        e = allowed(n, share)
-                        for x in s.tolist():
-                            r = int(row[x])
-                            lo, hi = max(int(w.at[r]), x - e), min(int(w.at[r + 1]), x + n + e)
-                            rows.append((ids[a + r], hashes[a + r], x - int(w.at[r]), n, x - lo, x, small[lo:hi].tobytes()))
-                if rows:
-                    cols = [list(c) for c in zip(*rows)]
-                    at, size = np.array(cols[5]), np.array(cols[3])
-                    key = np.zeros(len(at), np.uint64)
-                    for n in np.unique(size):
-                        mine = size == n
-                        key[mine] = mix(rolling(h, int(n))[at[mine]] + np.uint64(n))
-                    cols[5] = key.view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
+                h = w.hash
+                small = h.astype(np.uint32)
+                for x, bits in zip(places, tables):
+                    for row, start, size in x.windows(w, h, bits):
+                        n, e = x.sizes[size], x.edits[size]
+                        first, last = w.at[row], w.at[row + 1]
+                        at = first + start
+                        whole_ones = (start >= 0) & (at + n <= last)
+                        row, start, n, e, first, last, at = (v[whole_ones] for v in (row, start, n, e, first, last, at))
+                        lo, hi = np.maximum(first, at - e), np.minimum(last, at + n + e)
+                        key = np.zeros(len(at), np.uint64)
+                        for size in np.unique(n):
+                            mine = n == size
+                            key[mine] = mix(rolling(h, int(size))[at[mine]] + np.uint64(size))
+                        for b in range(0, len(at), 8192):
+                            part = slice(b, b + 8192)
+                            r = (row[part] + a).tolist()
+                            cols = [
+                                [ids[i] for i in r], [hashes[i] for i in r], start[part], n[part], (at - lo)[part],
+                                key[part].view(np.int64), [small[y:z].tobytes() for y, z in zip(lo[part], hi[part])],
+                            ]
+                            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
 
     return docs.mapInArrow(run, "doc_id long, text_hash long, start int, n int, lead int, wh long, region binary")
 
 
+def _proposed(rows: DataFrame, items: DataFrame, share: float) -> DataFrame:
+    """Windows of all items; those of a large benchmark go in slices of a bounded size, with
+    all q-grams of an item in one slice and one pass over the texts for each."""
+    slices = max(1, -(-(items.agg(F.sum(F.size("grams"))).first()[0] or 0) // SLICE))
+    out = None
+    for k in range(slices):
+        mine = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(slices)) == k)
+        seeds = mine.select("n", F.posexplode("grams").alias("j", "gram")).distinct().toPandas()
+        gram, n, j = seeds["gram"].to_numpy(np.int64).view(np.uint64), seeds["n"].to_numpy(), seeds["j"].to_numpy()
+        q = np.array([gram_rule(int(x), share)[0] for x in n], np.int64)
+        places = [Places(gram[q == x], n[q == x], j[q == x], int(x), share) for x in np.unique(q)]
+        part = written(_windows(rows, places))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def lsh_keys(words: list[np.ndarray], repeats: int, places: int) -> np.ndarray:
     """One key per row and repetition: the words at sampled places of the row's CGK walk."""
     n = np.array([len(x) for x in words])
@@ -240,12 +294,9 @@ def find_items(
     words, at most ``share`` of the item's), start (word of the window) and n_words."""
     spark = docs.sparkSession
     items = written(_items(benchmark, item_col, item_text, share, min_words))
-    lengths = [r.n for r in items.select("n").distinct().orderBy("n").collect()]  # at most the longest item's words
-    bits = np.zeros(1 << TABLE_BITS, bool)
-    bits[items.select(F.explode("spots").alias("spot")).distinct().toPandas()["spot"].to_numpy(np.int64)] = True
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    windows = written(_windows(rows, lengths, np.packbits(bits), share))
+    windows = _proposed(rows, items, share)
 
     # Equal windows are embedded once; a passage that a third of the documents share is one row here.
     counts = windows.groupBy("wh").agg(F.count(F.lit(1)).alias("n_rows"))
