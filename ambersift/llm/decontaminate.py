@@ -146,7 +146,8 @@ class Places:
 
 def _windows(docs: DataFrame, places: list[Places]) -> DataFrame:
     """Windows that may hold an item: where (document, text hash, first word), their size,
-    the words with ``lead`` words before and as many as edits may add after."""
+    the words with ``lead`` words before and as many as edits may add after. A window that
+    starts before its text has a start and a lead below 0."""
     schema = pa.schema(
         [("doc_id", pa.int64()), ("text_hash", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("lead", pa.int32()),
          ("wh", pa.int64()), ("region", pa.binary())]
@@ -164,13 +165,14 @@ def _windows(docs: DataFrame, places: list[Places]) -> DataFrame:
                         n, e = x.sizes[size], x.edits[size]
                         first, last = w.at[row], w.at[row + 1]
                         at = first + start
-                        whole_ones = (start >= 0) & (at + n <= last)
-                        row, start, n, e, first, last, at = (v[whole_ones] for v in (row, start, n, e, first, last, at))
+                        # Where an item would begin before its text or end after it, what there is of it.
                         lo, hi = np.maximum(first, at - e), np.minimum(last, at + n + e)
+                        begin, end = np.maximum(first, at), np.minimum(last, at + n)
                         key = np.zeros(len(at), np.uint64)
-                        for size in np.unique(n):
-                            mine = n == size
-                            key[mine] = mix(rolling(h, int(size))[at[mine]] + np.uint64(size))
+                        for size in np.unique(end - begin):
+                            mine = end - begin == size
+                            key[mine] = rolling(h, int(size))[begin[mine]]
+                        key = mix(mix(key + n.astype(np.uint64)) + (begin - at).astype(np.uint64))
                         for b in range(0, len(at), 8192):
                             part = slice(b, b + 8192)
                             r = (row[part] + a).tolist()
@@ -199,12 +201,20 @@ def _proposed(rows: DataFrame, items: DataFrame, share: float) -> DataFrame:
     return out
 
 
+def padded(region: np.ndarray, lead: int, n: int) -> np.ndarray:
+    """The ``n`` words from ``lead`` on, each plus one; 0 stands for those that ``region`` lacks."""
+    out = np.zeros(n, np.uint64)
+    own = region[max(lead, 0) : lead + n].astype(np.uint64) + np.uint64(1)
+    out[max(-lead, 0) :][: len(own)] = own
+    return out
+
+
 def lsh_keys(words: list[np.ndarray], repeats: int, places: int) -> np.ndarray:
     """One key per row and repetition: the words at sampled places of the row's CGK walk."""
     n = np.array([len(x) for x in words])
     m = int(n.max(initial=0))
     grid = np.zeros((len(words), m + 1), np.uint64)  # past the end stands 0
-    grid[np.arange(m + 1) < n[:, None]] = np.concatenate(words).astype(np.uint64) + np.uint64(1)
+    grid[np.arange(m + 1) < n[:, None]] = np.concatenate(words)
     rows, out = np.arange(len(words)), np.zeros((len(words), repeats), np.uint64)
     for r in range(repeats):
         rng = np.random.default_rng(r)
@@ -234,7 +244,7 @@ def _keys(rows: DataFrame, repeats: int, places: int, name: str, kind: str) -> D
             for a in range(0, batch.num_rows, 4096):
                 part = batch.slice(a, 4096)
                 who, lead, n, region = (c.to_pylist() for c in part.columns)
-                words = [np.frombuffer(b, np.uint32)[x : x + k] for b, x, k in zip(region, lead, n)]
+                words = [padded(np.frombuffer(b, np.uint32), x, k) for b, x, k in zip(region, lead, n)]
                 keys = lsh_keys(words, repeats, places).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.repeat(np.array(who, np.int64), repeats)), pa.array(keys.ravel())], schema=schema
@@ -309,9 +319,8 @@ def find_items(
     pairs = join_counted(windows.select("doc_id", "text_hash", "start", "wh", "region"), _lists(met), "wh", "n_rows")
     pairs = pairs.withColumn("item_id", F.explode("item_ids")).join(items.select("item_id", "words"), "item_id")
     found = _verify(pairs, share).groupBy("doc_id", "text_hash", "item_id")
-    return found.agg(F.min(F.struct("edits", "start", "n_words")).alias("best")).select(
-        "doc_id", "text_hash", "item_id", "best.edits", "best.start", "best.n_words"
-    )
+    found = found.agg(F.min(F.struct("edits", F.greatest("start", F.lit(0)).alias("start"), "n_words")).alias("best"))
+    return found.select("doc_id", "text_hash", "item_id", "best.edits", "best.start", "best.n_words")
 
 
 def _lists(met: DataFrame) -> DataFrame:

@@ -34,3 +34,21 @@ def test_missing_blocks_and_edits_at_both_ends(spark):
             rows.append((10 * k + j, f"{sentence(rng, 40)} {' '.join(passage)} {sentence(rng, 40)}"))
     got, want = leaks(spark, items, rows)
     assert len(want) == len(rows) and got == want
+
+
+def test_shortened_items_at_the_ends_of_texts(spark):
+    rng = random.Random(5)
+    items = [(i, sentence(rng, n)) for i, n in enumerate([5, 10, 20, 40, 59] * 3)]
+    rows = []
+    for k, item in items:
+        w, e = item.split(), decontaminate.allowed(len(item.split()), 0.2)
+        gone = set(rng.sample(range(len(w)), e))
+        some = [x for j, x in enumerate(w) if j not in gone]
+        for j, passage in enumerate((w[1:], w[:-1], w[e:], w[:-e], some)):
+            own, more = " ".join(passage), sentence(rng, 30)
+            for m, text in enumerate((own, f"{own} {more}", f"{more} {own}")):
+                rows.append((100 * k + 10 * j + m, text))
+    got, want = leaks(spark, items, rows)
+    assert len(want) == len(rows) and len(got) >= 0.98 * len(want)
+    short = {100 * k + 10 * j for k, _ in items for j in range(4)}  # texts that are all of an item but for one end
+    assert {x for x in want if x[0] in short} <= got
