@@ -12,7 +12,8 @@ Embedding every window of a corpus would cost far more than reading it, so windo
 where q-grams of items of their size say: each hit puts the item's start at its place in
 the text less its place in the item, and as many hits as an item with the allowed edits
 keeps must agree on the start up to those edits. No occurrence within the edits is left
-out by this. Hits pass a bit table first; if it is too small, more are looked up.
+out by this, also not where items lie in one another. Hits pass a bit table first, which
+grows with the number of q-grams.
 
 * Words are runs of letters and digits (anything but blanks and ASCII punctuation), lower
   case. Null and empty texts have none.
@@ -37,7 +38,7 @@ from ..session import slice_count, written
 from .tables import free, join_counted
 from .words import Words, mix, rolling, row_chunks, table, text_bytes, whole
 
-TABLE_BITS = 22
+TABLE_BITS = 22  # of the bit table at least; at most 1 in 16 of its bits are set
 PAIRS = 1 << 21  # pairs of a text's and an item's q-gram worked on at once
 SLICE = 1 << 22  # q-grams of items that a task holds
 _SPREAD = np.arange(256, dtype=np.uint8)
@@ -100,8 +101,9 @@ class Places:
         self.size, self.j = self.size.astype(np.int32), j.astype(np.int32)
         self.edits = np.array([allowed(int(x), share) for x in self.sizes])
         self.need = np.array([gram_rule(int(x), share)[1] for x in self.sizes])
-        self.shift = np.uint64(64 - TABLE_BITS)
-        bits = np.zeros(1 << TABLE_BITS, bool)
+        size = max(TABLE_BITS, (16 * len(self.known) - 1).bit_length())
+        self.shift = np.uint64(64 - size)
+        bits = np.zeros(1 << size, bool)
         bits[(self.known >> self.shift).astype(np.int64)] = True
         self.packed = np.packbits(bits)
 

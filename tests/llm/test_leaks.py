@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 from ambersift.llm import decontaminate
 
 from .conftest import frame, sentence
@@ -52,3 +54,31 @@ def test_shortened_items_at_the_ends_of_texts(spark):
     assert len(want) == len(rows) and len(got) >= 0.98 * len(want)
     short = {100 * k + 10 * j for k, _ in items for j in range(4)}  # texts that are all of an item but for one end
     assert {x for x in want if x[0] in short} <= got
+
+
+def test_items_inside_items(spark):
+    rng = random.Random(6)
+    items, rows = [], []
+    for k in range(8):
+        w = sentence(rng, 50).split()
+        parts = (w, w[:30], w[10:40], w[20:], w[2:-2], w[15:25])
+        items += [(10 * k + j, " ".join(x)) for j, x in enumerate(parts)]
+        rows += [(2 * k, f"{sentence(rng, 40)} {' '.join(w)} {sentence(rng, 40)}"), (2 * k + 1, " ".join(w))]
+    got, want = leaks(spark, items, rows)
+    assert len(want) >= len(rows) * 6 and got == want
+
+
+def test_many_items(spark, monkeypatch):
+    """A bit table that is full or one that grows, and one slice of items or several."""
+    rng = random.Random(7)
+    items = [(i, sentence(rng, 40)) for i in range(60)]
+    rows = [(i, f"{sentence(rng, 50)} {item} {sentence(rng, 50)}") for i, item in items]
+    for bits, n in ((4, 1 << 22), (22, 500)):
+        monkeypatch.setattr(decontaminate, "TABLE_BITS", bits)
+        monkeypatch.setattr(decontaminate, "SLICE", n)
+        got, want = leaks(spark, items, rows)
+        assert got == want == {(i, i) for i, _ in items}
+    rng = np.random.default_rng(0)
+    gram = rng.integers(0, 1 << 63, 600_000, dtype=np.uint64) * np.uint64(2)
+    places = decontaminate.Places(gram, np.full(len(gram), 40), np.arange(len(gram)) % 38, 3, 0.2)
+    assert np.unpackbits(places.packed).mean() <= 1 / 16
