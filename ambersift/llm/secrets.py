@@ -14,7 +14,9 @@ Kinds, in the order in which equal starts are listed:
   rest, in base 62
 * ``jwt``: three base64url parts, the first two of which decode to JSON objects and the
   first of which names an algorithm
-* ``pem``: a private key block whose body is base64 of a DER sequence of the right length
+* ``pem``: a private key block whose body is base64 of a DER sequence of the right length,
+  of an OpenSSH key whose length fields fit (``OPENSSH``), or, below RFC 1421 header lines
+  that say so, of whole blocks of the cipher they name
 
 Matches of a kind are leftmost and do not overlap; a match that is too short or whose
 checksum fails is consumed but not reported. Positions are code points, end exclusive.
@@ -58,10 +60,19 @@ EXPRESSIONS = {
     "github": re.compile(rb"gh[pousr]_([0-9A-Za-z]{30})([0-9A-Za-z]{6})(?![0-9A-Za-z])"),
     "npm": re.compile(rb"npm_([0-9A-Za-z]{30})([0-9A-Za-z]{6})(?![0-9A-Za-z])"),
     "jwt": re.compile(rb"(eyJ[0-9A-Za-z_-]+)\.(eyJ[0-9A-Za-z_-]+)\.([0-9A-Za-z_-]+)"),
-    "pem": re.compile(rb"-----BEGIN ([A-Z ]*PRIVATE KEY)-----([0-9A-Za-z+/=\s]+)-----END \1-----"),
+    "pem": re.compile(
+        # Header lines with their continuations up to a blank line; possessive, so that no text is read twice.
+        rb"-----BEGIN ([A-Z ]*PRIVATE KEY)-----"
+        rb"((?>\s*(?:[A-Za-z][A-Za-z0-9-]*+:[^\r\n]*+(?:\r\n?|\n)"
+        rb"[\x20\t]*+(?:(?<=[\x20\t])(?![A-Za-z][A-Za-z0-9-]*+:)[^\s][^\r\n]*+(?:\r\n?|\n)[\x20\t]*+)*+)++(?:\r\n?|\n))?+)"
+        rb"([0-9A-Za-z+/=\s]+)-----END \1-----"
+    ),
 }
 SHORTEST_VALUE, SHORTEST_ACCESS, SHORTEST_HEX = 12, 18, 16
 _BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+_OPENSSH = b"openssh-key-v1\0"
+_ENCRYPTED = re.compile(rb"(?im)^[\x20\t]*Proc-Type:[\x20\t]*4[\x20\t]*,[\x20\t]*ENCRYPTED")
+_CIPHER = re.compile(rb"(?im)^[\x20\t]*DEK-Info:[\x20\t]*([A-Z0-9-]+)[\x20\t]*,[\x20\t]*((?:[0-9A-F]{16}){1,2})(?![0-9A-F])")
 _IS_HEX = table(b"0123456789abcdef")
 
 
@@ -81,12 +92,8 @@ def _json_part(part: bytes) -> object:
         return None
 
 
-def _der_sequence(body: bytes) -> bool:
-    """Whether base64 ``body`` is one DER sequence whose length field fits."""
-    try:
-        der = base64.b64decode(b"".join(body.split()), validate=True)
-    except ValueError:
-        return False
+def _der_sequence(der: bytes) -> bool:
+    """Whether ``der`` is one DER sequence whose length field fits."""
     if len(der) < 2 or der[0] != 0x30:
         return False
     if der[1] < 0x80:
@@ -95,6 +102,43 @@ def _der_sequence(body: bytes) -> bool:
     return 0 < n <= 4 and len(der) == 2 + n + int.from_bytes(der[2 : 2 + n], "big")
 
 
+def _openssh_key(key: bytes) -> bool:
+    """Whether ``key`` is a file of the openssh-key-v1 format: cipher, key derivation and its
+    options, number of keys, public keys, private part; all lengths must fit."""
+    if not key.startswith(_OPENSSH):
+        return False
+    at, parts, left = len(_OPENSSH), [], 4
+    while left:
+        if len(parts) == 3:
+            left = int.from_bytes(key[at : at + 4], "big") + 1
+            at += 4
+            if not 1 < left <= len(key):
+                return False
+        n = int.from_bytes(key[at : at + 4], "big")
+        if at + 4 + n > len(key):
+            return False
+        parts.append(key[at + 4 : at + 4 + n])
+        at, left = at + 4 + n, left - 1
+    cipher, private = parts[0], parts[-1]
+    if cipher == b"none":  # the private part begins with a number, twice
+        return at == len(key) and len(private) > 8 and private[:4] == private[4:8]
+    return bool(cipher) and len(private) > 0 and len(private) % 8 == 0 and len(key) - at in (0, 16)  # some ciphers add a tag
+
+
+def _pem_key(label: bytes, head: bytes, body: bytes) -> bool:
+    try:
+        key = base64.b64decode(b"".join(body.split()), validate=True)
+    except ValueError:
+        return False
+    if label == b"OPENSSH PRIVATE KEY":
+        return _openssh_key(key)
+    if _ENCRYPTED.search(head):
+        m = _CIPHER.search(head)
+        block = len(m[2]) // 2 if m else 0
+        return block > 0 and len(key) > 0 and (len(key) % block == 0 or not m[1].upper().endswith(b"-CBC"))
+    return _der_sequence(key)
+
+
 def valid(kind: str, m: re.Match) -> bool:
     if kind == "assign":
         return len(m[1]) >= SHORTEST_VALUE
@@ -105,7 +149,7 @@ def valid(kind: str, m: re.Match) -> bool:
     if kind == "jwt":
         head, body = _json_part(m[1]), _json_part(m[2])
         return isinstance(head, dict) and "alg" in head and isinstance(body, dict)
-    return _der_sequence(m[2])
+    return _pem_key(m[1], m[2], m[3])
 
 
 def keyword_automaton() -> ahocorasick.Automaton:
