@@ -4,7 +4,8 @@ Candidate windows have the size of an item. A CGK random walk embeds a window (a
 item) so that few edits change few places: at each step the current word is written
 down and a random bit of (step, word) says whether to go on to the next word. Sampling
 places of the embedding is then a locality-sensitive hash for edit distance; it is
-repeated with other walks until the recall asked for. Windows and items that agree in a
+repeated with other walks, as often as the recall asked for takes at an item's size and
+full edit budget (``repeats_for`` measures it on edited random words). Windows and items that agree in a
 repetition are compared exactly: edit distance in words between the item and the best
 stretch of the window and its surroundings.
 
@@ -31,7 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import slice_count, written
@@ -41,6 +42,7 @@ from .words import Words, mix, rolling, row_chunks, table, text_bytes, whole
 TABLE_BITS = 22  # of the bit table at least; at most 1 in 16 of its bits are set
 PAIRS = 1 << 21  # pairs of a text's and an item's q-gram worked on at once
 SLICE = 1 << 22  # q-grams of items that a task holds
+PROBES, WALKS = 48, 64  # random items and walks by which repetitions are measured
 _SPREAD = np.arange(256, dtype=np.uint8)
 _SPREAD[table(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")] = 32
 
@@ -107,21 +109,23 @@ class Places:
         bits[(self.known >> self.shift).astype(np.int64)] = True
         self.packed = np.packbits(bits)
 
-    def windows(self, w: Words, h: np.ndarray, bits: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    def windows(
+        self, at: np.ndarray, rows: np.ndarray, h: np.ndarray, bits: np.ndarray
+    ) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Rows, first words in the row (below 0 if the item would start before it) and sizes.
 
         An item with at most ``e`` edits keeps ``need`` q-grams, and their places in the
         text less those in the item differ by ``e`` at most. Each such difference of a
         band with ``need`` hits is a window's start."""
         grams = rolling(h, self.q)
-        p = np.flatnonzero(bits[(grams >> self.shift).astype(np.int64)] & whole(w.at, self.q, len(w.start)))
+        p = np.flatnonzero(bits[(grams >> self.shift).astype(np.int64)] & whole(at, self.q, len(h)))
         k = np.minimum(np.searchsorted(self.known, grams[p]), len(self.known) - 1)
         same = self.known[k] == grams[p]
         p, k = p[same], k[same]
-        row, most = w.row[p], int(self.sizes.max())
+        row, most = rows[p], int(self.sizes.max())
         count = self.first[k + 1] - self.first[k]
         total = np.concatenate([[0], np.cumsum(count)])
-        wide = int(np.diff(w.at).max(initial=0)) + 2 * most + 1
+        wide = int(np.diff(at).max(initial=0)) + 2 * most + 1
         a = 0
         while a < len(p):
             b = max(a + 1, int(np.searchsorted(total, total[a] + PAIRS, "right")) - 1)
@@ -130,11 +134,11 @@ class Places:
                 b = b if b > a else int(np.searchsorted(row, row[a], "right"))
             n = count[a:b]
             entry = np.repeat(self.first[k[a:b]] - total[a:b], n) + np.arange(total[a], total[b])
-            start = np.repeat(p[a:b] - w.at[row[a:b]], n) - self.j[entry]
+            start = np.repeat(p[a:b] - at[row[a:b]], n) - self.j[entry]
             own = np.repeat(row[a:b] - row[a], n)
-            rows = int(row[b - 1] - row[a]) + 1
-            c = np.sort((self.size[entry] * rows + own) * wide + start + most)
-            size = c // (rows * wide)
+            held = int(row[b - 1] - row[a]) + 1
+            c = np.sort((self.size[entry] * held + own) * wide + start + most)
+            size = c // (held * wide)
             end = np.searchsorted(c, c + self.edits[size], "right")
             full = np.flatnonzero(end - np.arange(len(c)) >= self.need[size])
             edge = np.zeros(len(c) + 1, np.int64)
@@ -142,7 +146,7 @@ class Places:
             np.add.at(edge, end[full], -1)
             c = np.unique(c[np.cumsum(edge[:-1]) > 0])
             if len(c):
-                yield c // wide % rows + row[a], c % wide - most, c // (rows * wide)
+                yield c // wide % held + row[a], c % wide - most, c // (held * wide)
             a = b
 
 
@@ -161,9 +165,9 @@ def _windows(docs: DataFrame, places: list[Places]) -> DataFrame:
             ids, hashes = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for a, _, w in plain_words(batch.column(2)):
                 h = w.hash
-                small = h.astype(np.uint32)
+                small, rows_of = h.astype(np.uint32), w.row
                 for x, bits in zip(places, tables):
-                    for row, start, size in x.windows(w, h, bits):
+                    for row, start, size in x.windows(w.at, rows_of, h, bits):
                         n, e = x.sizes[size], x.edits[size]
                         first, last = w.at[row], w.at[row + 1]
                         at = first + start
@@ -237,8 +241,74 @@ def lsh_keys(words: list[np.ndarray], repeats: int, places: int) -> np.ndarray:
     return out
 
 
-def _keys(rows: DataFrame, repeats: int, places: int, name: str, kind: str) -> DataFrame:
-    """(``name``, key) for all repetitions; ``rows`` has ``name``, lead, n and region."""
+def repeats_for(n: int, share: float, places: int, recall: float, kind: int) -> int:
+    """Repetitions after which ``recall`` of the items of ``n`` words agree with one of their
+    windows at the full edit budget, for substituted (``kind`` 0), inserted or deleted words.
+
+    Each of ``PROBES`` random items has its own chance to agree, estimated from ``WALKS``
+    walks."""
+    e, rng = allowed(n, share), np.random.default_rng(4 * n + kind)
+    if not e:
+        return 1
+    q, _ = gram_rule(n, share)
+    items, texts = [], []
+    for _ in range(PROBES):
+        w, new, before, after = rng.integers(1, 1 << 32, (4, n), dtype=np.uint64)
+        at = np.sort(rng.choice(n, e, replace=False))
+        if kind == 0:
+            own = w.copy()
+            own[at] = new[at]
+        elif kind == 1:
+            own = np.insert(w, at, new[:e])
+        else:
+            own = np.delete(w, at)
+        items.append(w)
+        texts.append(np.concatenate([before, own, after]))
+    grams = np.concatenate([rolling(w, q) for w in items])
+    found = Places(grams, np.full(len(grams), n), np.tile(np.arange(n - q + 1), PROBES), q, share)
+    size, h = len(texts[0]), np.concatenate(texts)
+    at = np.arange(PROBES + 1) * size
+    got = list(found.windows(at, np.repeat(np.arange(PROBES), size), h, np.unpackbits(found.packed).astype(bool)))
+    if not got:  # no word need be left
+        return 1
+    row, start = (np.concatenate([x[k] for x in got]) for k in (0, 1))
+    near = [padded(texts[r].astype(np.uint32), x, n) for r, x in zip(row.tolist(), start.tolist())]
+    keys = lsh_keys([padded(w.astype(np.uint32), 0, n) for w in items] + near, WALKS, places)
+    agree = np.zeros((PROBES, WALKS), bool)
+    np.logical_or.at(agree, row, keys[PROBES:] == keys[row])
+    # Half a hit for no hit: a chance is never taken for none.
+    miss, low, high = 1 - np.clip(agree.mean(1), 0.5 / WALKS, 1), 0, 1
+    while (1 - miss**high).mean() < recall:
+        low, high = high, 2 * high
+    while high - low > 1:
+        mid = (low + high) // 2
+        low, high = (low, mid) if (1 - miss**mid).mean() >= recall else (mid, high)
+    return high
+
+
+def _repeats(spark: SparkSession, lengths: list[int], share: float, places: int, recall: float) -> dict[int, int]:
+    """Repetitions by item size, the most that any kind of edit needs; measured in tasks, at
+    every quarter of a power of two."""
+    up = {n: -(-n // step) * step for n in lengths for step in [max(1, 1 << max(0, n.bit_length() - 3))]}
+    jobs = [(size, kind) for size in sorted(set(up.values())) for kind in range(3)]
+    schema = pa.schema([("size", pa.int32()), ("need", pa.int32())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in batch.column(0).to_pylist():
+                size, kind = jobs[k]
+                need = repeats_for(size, share, places, recall, kind)
+                yield pa.RecordBatch.from_arrays([pa.array([size], pa.int32()), pa.array([need], pa.int32())], schema=schema)
+
+    if not jobs:
+        return {}
+    rows = spark.range(0, len(jobs), 1, len(jobs)).mapInArrow(run, "size int, need int")
+    need = {r.size: r.need for r in rows.groupBy("size").agg(F.max("need").alias("need")).collect()}
+    return {n: need[size] for n, size in up.items()}
+
+
+def _keys(rows: DataFrame, repeats: dict[int, int], places: int, name: str, kind: str) -> DataFrame:
+    """(``name``, key) for all repetitions of a size; ``rows`` has ``name``, lead, n and region."""
     schema = pa.schema([(name, pa.int64()), ("key", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,11 +316,13 @@ def _keys(rows: DataFrame, repeats: int, places: int, name: str, kind: str) -> D
             for a in range(0, batch.num_rows, 4096):
                 part = batch.slice(a, 4096)
                 who, lead, n, region = (c.to_pylist() for c in part.columns)
-                words = [padded(np.frombuffer(b, np.uint32), x, k) for b, x, k in zip(region, lead, n)]
-                keys = lsh_keys(words, repeats, places).view(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(np.array(who, np.int64), repeats)), pa.array(keys.ravel())], schema=schema
-                )
+                often = np.array([repeats[k] for k in n])
+                for r in np.unique(often).tolist():
+                    mine = np.flatnonzero(often == r).tolist()
+                    words = [padded(np.frombuffer(region[i], np.uint32), lead[i], n[i]) for i in mine]
+                    keys = lsh_keys(words, r, places).view(np.int64)
+                    own = np.repeat(np.array([who[i] for i in mine], np.int64), r)
+                    yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(keys.ravel())], schema=schema)
 
     return rows.select(name, "lead", "n", "region").mapInArrow(run, f"{name} {kind}, key long")
 
@@ -299,16 +371,19 @@ def _verify(rows: DataFrame, share: float) -> DataFrame:
 
 
 def find_items(
-    docs: DataFrame, benchmark: DataFrame, share: float = 0.2, repeats: int = 24, places: int = 2, min_words: int = 5,
+    docs: DataFrame, benchmark: DataFrame, share: float = 0.2, recall: float = 0.995, places: int = 2, min_words: int = 5,
     id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
 ) -> DataFrame:
     """One row for each text and benchmark item in it: doc_id, text_hash, item_id, edits (in
-    words, at most ``share`` of the item's), start (word of the window) and n_words."""
+    words, at most ``share`` of the item's), start (word of the window) and n_words. Of the
+    items at the full edit budget ``recall`` are found, of others more."""
     spark = docs.sparkSession
     items = written(_items(benchmark, item_col, item_text, share, min_words))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
     windows = _proposed(rows, items, share)
+    lengths = [r.n for r in items.select("n").distinct().orderBy("n").collect()]  # at most the longest item's words
+    repeats = _repeats(spark, lengths, share, places, recall)
 
     # Equal windows are embedded once; a passage that a third of the documents share is one row here.
     counts = windows.groupBy("wh").agg(F.count(F.lit(1)).alias("n_rows"))

@@ -82,3 +82,16 @@ def test_many_items(spark, monkeypatch):
     gram = rng.integers(0, 1 << 63, 600_000, dtype=np.uint64) * np.uint64(2)
     places = decontaminate.Places(gram, np.full(len(gram), 40), np.arange(len(gram)) % 38, 3, 0.2)
     assert np.unpackbits(places.packed).mean() <= 1 / 16
+
+
+def test_recall_at_the_full_budget(spark):
+    rng = random.Random(8)
+    items = [(i, sentence(rng, 100)) for i in range(150)]
+    rows = []
+    for k, item in items:
+        gone = set(rng.sample(range(100), 20))
+        kept = " ".join(x for j, x in enumerate(item.split()) if j not in gone)
+        rows.append((k, f"{sentence(rng, 60)} {kept} {sentence(rng, 60)}"))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.find_items(frame(spark, rows), bench).collect()}
+    assert got <= {(i, i) for i in range(150)} and len(got) >= 0.98 * 150
