@@ -102,8 +102,10 @@ def _print(s: np.ndarray) -> bytes:
 
 
 def _sets(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, fp (of the shingle set, null if empty), n (its size), sig (tokens)."""
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.binary()), ("n", pa.int64()), ("sig", pa.binary())])
+    """doc_id, text_hash, fp (of the shingle set, null if empty), n (its size), sig (tokens)."""
+    schema = pa.schema(
+        [("doc_id", pa.int64()), ("text_hash", pa.int64()), ("fp", pa.binary()), ("n", pa.int64()), ("sig", pa.binary())]
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -116,11 +118,14 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
                     counts.append(len(s))
                     sigs.append(next(rows).tobytes() if len(s) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(fps, pa.binary()), pa.array(counts, pa.int64()), pa.array(sigs, pa.binary())],
+                [
+                    batch.column(0), batch.column(2), pa.array(fps, pa.binary()), pa.array(counts, pa.int64()),
+                    pa.array(sigs, pa.binary()),
+                ],
                 schema=schema,
             )
 
-    return docs.mapInArrow(run, "doc_id long, fp binary, n long, sig binary")
+    return docs.select("doc_id", "text", "text_hash").mapInArrow(run, "doc_id long, text_hash long, fp binary, n long, sig binary")
 
 
 def _shingle_sets(docs: DataFrame, size: int) -> DataFrame:
@@ -326,11 +331,12 @@ def similar(
     docs: DataFrame, least: float = 0.8, recall: float = 0.999, size: int = 5, limit: int = 1024, depth: int = 8,
     id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
-    """One row per document: doc_id, class_id (smallest id of its near-copy group), copy_of
+    """One row per document: doc_id, text_hash, class_id (smallest id of its near-copy group), copy_of
     (smallest id with the same shingles), n_copies (documents with the same shingles) and
     n_links (different shingle sets of similarity ``least`` or more)."""
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    texts = texts.withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
     every = written(_sets(texts, size).withColumn("uid", F.monotonically_increasing_id()))
     whole_sets = every.filter("fp is not null and doc_id is not null")
     classes = written(
@@ -371,21 +377,24 @@ def similar(
     linked = join_counted(linked.drop("copy_of"), name, "root", "n").select("uid", "n_links", "class_id")
     full = written(classes.join(linked, "uid", "left").select("fp", "copy_of", "n", "n_links", "class_id"))
 
-    found = join_counted(whole_sets.select("doc_id", "fp"), full, "fp", "n").select(
-        "doc_id", F.coalesce("class_id", "copy_of").alias("class_id"), "copy_of", F.col("n").alias("n_copies"),
+    found = join_counted(whole_sets.select("doc_id", "text_hash", "fp"), full, "fp", "n").select(
+        "doc_id", "text_hash", F.coalesce("class_id", "copy_of").alias("class_id"), "copy_of", F.col("n").alias("n_copies"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
     )
     alone = every.filter("fp is null or doc_id is null").select(
-        "doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("copy_of"), F.lit(1).cast("long").alias("n_copies"),
-        F.lit(0).cast("long").alias("n_links"),
+        "doc_id", "text_hash", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("copy_of"),
+        F.lit(1).cast("long").alias("n_copies"), F.lit(0).cast("long").alias("n_links"),
     )
     return found.unionByName(alone)
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """``docs`` with one document of each group, the one with the smallest id; rows without
-    an id stay."""
-    key = free(docs, "near_id")
-    groups = similar(docs, id_col=id_col, text_col=text_col, **how)
-    gone = groups.filter("doc_id <> class_id").select(F.col("doc_id").alias(key)).distinct()
-    return docs.withColumn(key, F.col(id_col).cast("long")).join(gone, key, "left_anti").select(*docs.columns)
+    an id stay, and so do other texts under the id of a copy."""
+    key, own = free(docs, "near_id"), free(docs, "near_hash")
+    groups = similar(docs, id_col=id_col, text_col=text_col, **how).filter("doc_id <> class_id")
+    gone = groups.select(F.col("doc_id").alias(key), F.col("text_hash").alias(own)).distinct()
+    rows = docs.withColumn(key, F.col(id_col).cast("long")).withColumn(
+        own, F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    )
+    return rows.join(gone, [key, own], "left_anti").select(*docs.columns)

@@ -76,7 +76,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op1_ngram_jaccard_join")
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similar(read(spark, sf_dir, "documents"))
+    return similar(read(spark, sf_dir, "documents")).drop("text_hash")
 
 
 @query("op3_benchmark_decontamination")
