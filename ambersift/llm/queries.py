@@ -14,6 +14,7 @@ from .decontaminate import find_items
 from .exact_dedup import exact_dedup
 from .jaccard_join import similar
 from .licenses import find_licenses, license_sql
+from .mixture import MIXTURE_SQL, curriculum
 from .ngram_lm import score_held_out
 from .packing import pack_documents
 from .secrets import find_secrets, span_digest
@@ -99,3 +100,9 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_lm_scoring")
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_held_out(read(spark, sf_dir, "documents"))
+
+
+@query("op11_source_mixture", MIXTURE_SQL)
+def op11_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = curriculum(read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "size", "source_size", "target", "taken", "position")
