@@ -18,6 +18,7 @@ from .mixture import MIXTURE_SQL, curriculum
 from .ngram_lm import score_held_out
 from .packing import pack_documents
 from .secrets import find_secrets, span_digest
+from .spelling import SPELLING_SQL, spelling_variants
 from .substring_dedup import substring_dedup
 from .tables import read, tokenizer
 from .token_counts import token_counts
@@ -106,3 +107,8 @@ def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = curriculum(read(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "source_size", "target", "taken", "position")
+
+
+@query("op13_spelling_variants", SPELLING_SQL)
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(read(spark, sf_dir, "documents"))
