@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import toxicity
+from .alignment import align
 from .decontaminate import find_items
 from .exact_dedup import exact_dedup
 from .jaccard_join import similar
@@ -112,3 +113,8 @@ def op11_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op13_spelling_variants", SPELLING_SQL)
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(read(spark, sf_dir, "documents"))
+
+
+@query("op12_token_alignment")
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align(read(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"))
