@@ -14,6 +14,7 @@ from ..functions.text import (
     redact_secrets,
 )
 from .citations import cited_only
+from .directives import directive_index, hidden_by
 from .rules import GOD_FILE_LINES
 
 CODE_EXTS = (".go", ".ts", ".tsx", ".js", ".jsx", ".py")
@@ -135,9 +136,10 @@ def history_leaks(hits: DataFrame, limit: int | None = 50, by: Sequence[str] = (
     return flat.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= limit).drop("_n")
 
 
-def secret_assignments(files: DataFrame) -> DataFrame:
+def secret_assignments(files: DataFrame, directive: str | None = None) -> DataFrame:
     """Vendor formats in code and configuration, named high-entropy literals in
-    code and env files; escalated when the variable is also logged."""
+    code and env files; escalated when the variable is also logged. A directive hides a
+    secret if it names the id of the hit, or that of any secret."""
     path, text = F.col("path"), F.col("text")
     base = F.lower(base_name(path))
     assigns = extension(path).isin(*ASSIGN_EXTS) | F.contains(base, F.lit(".env"))
@@ -148,8 +150,11 @@ def secret_assignments(files: DataFrame) -> DataFrame:
     scope = scope.filter(may_hold_secret(F.col("content")))
     calls = F.transform(F.regexp_extract_all("content", F.lit(LOG_CALL), F.lit(0)), lambda c: F.lower(c))
     scope = scope.withColumns({"_assign": assigns, "_calls": calls})
+    kept = ["project", "path", "_assign", "_calls"]
+    if directive:
+        scope, kept = scope.withColumn("_marks", directive_index(F.col("content"), directive)), [*kept, "_marks"]
     lines = numbered_lines(
-        scope, ["project", "path", "_assign", "_calls"],
+        scope, kept,
         lambda t: may_hold_secret(t) & (F.rlike(t, F.lit(any_vendor)) | F.rlike(t, F.lit(ASSIGNMENT))),
     )
     var = F.regexp_extract(text, ASSIGNMENT, 1)
@@ -160,9 +165,12 @@ def secret_assignments(files: DataFrame) -> DataFrame:
         F.col("kind").isNotNull()
     )
     logged = (F.col("var_name") != "") & F.exists("_calls", lambda c: F.contains(c, F.lower(F.col("var_name"))))
+    found = found.withColumn("rule_id", F.when(logged, F.lit(LEAK_ID)).otherwise(F.lit(SECRET_ID)))
+    if directive:
+        hidden = hidden_by(F.col("_marks"))
+        found = found.filter(~hidden(F.col("line"), F.col("rule_id")) & ~hidden(F.col("line"), F.lit(SECRET_ID)))
     return found.select(
-        "project", "path", "line", "var_name", "kind",
-        F.when(logged, F.lit(LEAK_ID)).otherwise(F.lit(SECRET_ID)).alias("rule_id"),
+        "project", "path", "line", "var_name", "kind", "rule_id",
         F.lit("CRITICAL").alias("severity"),
         redact_preview(text).alias("preview"),
     )

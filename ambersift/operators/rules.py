@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.paths import base_name, dir_name, exclude_paths, ext_match, extension, is_test_like, kind_match
 from ..functions.text import all_of, any_of, contains_any, lines_of, newline_count
 from .code_text import split_code_docs
+from .directives import Hidden, directive_index, hidden_by, never
 from .roots import assign_project
 
 PROJECT_CONDITIONS = ("missing_lockfile", "missing", "required_pattern")
@@ -146,18 +147,31 @@ def _own_guard(rule: Rule, is_test: Column) -> Column:
     return all_of(conds)
 
 
-def rule_line(rule: Rule, is_test: Column, compat: bool = False) -> Column:
-    """Line of the rule's hit in a file, 0 if it does not fire."""
+def _shown(found: Column, line: Column, hidden: Hidden, rule_id: str) -> Column:
+    """``line`` where something was found and no directive hides it, else 0."""
+    if hidden is never:
+        return F.when(found, line).otherwise(0)
+    # A one-element array: the line is worked out once and then asked about.
+    seen = F.filter(F.array(line), lambda n: ~hidden(n, F.lit(rule_id)))
+    return F.when(found, F.coalesce(F.get(seen, F.lit(0)), F.lit(0))).otherwise(0)
+
+
+def rule_line(rule: Rule, is_test: Column, compat: bool = False, hidden: Hidden = never) -> Column:
+    """Line of the rule's hit in a file, 0 if it does not fire.
+
+    Directives are asked for each pattern by itself, with the id of the (sub-)rule that
+    states it: a hidden branch counts as not found, so an OR goes on to its next one and
+    a negation holds. Conditions on the whole file are never hidden."""
     guard = _own_guard(rule, is_test)
     if rule.patterns:
-        subs = [rule_line(s, is_test, compat) for s in rule.patterns]
+        subs = [rule_line(s, is_test, compat, hidden) for s in rule.patterns]
         return F.when(guard & all_of([s > 0 for s in subs]), subs[0]).otherwise(0)
     if rule.pattern_either:
-        subs = [rule_line(s, is_test, compat) for s in rule.pattern_either]
-        return F.when(guard, F.coalesce(*[F.when(s > 0, s) for s in subs], F.lit(0))).otherwise(0)
+        subs = [rule_line(s, is_test, compat, hidden) for s in rule.pattern_either]
+        return F.when(guard, F.coalesce(*[F.nullif(s, F.lit(0)) for s in subs], F.lit(0))).otherwise(0)
     if rule.pattern_not:
-        absent = rule_line(replace(rule, pattern=rule.pattern_not, pattern_not=""), is_test, compat) == 0
-        found = F.lit(1) if not rule.pattern else rule_line(replace(rule, pattern_not=""), is_test, compat)
+        absent = rule_line(replace(rule, pattern=rule.pattern_not, pattern_not=""), is_test, compat, hidden) == 0
+        found = F.lit(1) if not rule.pattern else rule_line(replace(rule, pattern_not=""), is_test, compat, hidden)
         return F.when(absent, found).otherwise(0)
     if rule.target == "condition":
         big = newline_count(F.col("content")) > GOD_FILE_LINES
@@ -171,9 +185,9 @@ def rule_line(rule: Rule, is_test: Column, compat: bool = False) -> Column:
     elif kind == "contains" and not compat:
         guard = guard & F.contains(F.col("content"), F.lit(arg))
     if kind == "threshold" and not compat:
-        return F.when(guard, _threshold_line(text, rule.pattern, float(arg))).otherwise(0)
+        return _shown(guard, _threshold_line(text, rule.pattern, float(arg)).cast("int"), hidden, rule.id)
     pos = match_position(text, rule.pattern, compat)
-    return F.when(guard & _hinted(rule, text) & (pos > 0), line_at(text, pos)).otherwise(0)
+    return _shown(guard & _hinted(rule, text) & (pos > 0), line_at(text, pos), hidden, rule.id)
 
 
 def _is_simple(rule: Rule, compat: bool) -> bool:
@@ -184,40 +198,6 @@ def _is_simple(rule: Rule, compat: bool) -> bool:
     )
 
 
-# ---- suppression directives ----------------------------------------------
-
-
-def has_directive(content: Column, directive: str) -> Column:
-    return F.contains(content, F.lit(f"{directive}-ignore")) | F.contains(content, F.lit(f"{directive}:ignore"))
-
-
-def is_suppressed(content: Column, line: Column, rule_id: Column, directive: str) -> Column:
-    """A file directive in the first ten lines, or one on the hit's line or the line before."""
-    lines = lines_of(content)
-    head = F.slice(lines, 1, 10)
-    whole = F.exists(
-        head,
-        lambda s: F.contains(s, F.lit(f"{directive}-ignore-file")) | F.contains(s, F.lit(f"{directive}:ignore-file")),
-    )
-    near = F.slice(lines, F.greatest(line - 1, F.lit(1)), F.when(line > 1, 2).otherwise(1))
-    named = F.exists(
-        near,
-        lambda s: has_directive(s, directive) & (F.contains(s, F.lit("all")) | F.contains(s, rule_id)),
-    )
-    return whole | ((line >= 1) & (line <= F.size(lines)) & named)
-
-
-def apply_inline_suppressions(hits: DataFrame, files: DataFrame, directive: str = "scan") -> DataFrame:
-    """Drop suppressed hits. Only files that hold a directive take part in the join."""
-    marked = files.filter(has_directive(F.col("content"), directive)).select(
-        F.col("project").alias("_p"), F.col("path").alias("_f"), F.col("content").alias("_c")
-    )
-    cond = (F.col("project") == F.col("_p")) & (F.col("path") == F.col("_f"))
-    joined = hits.join(marked, cond, "left")
-    hidden = is_suppressed(F.col("_c"), F.col("line"), F.col("rule_id"), directive)
-    return joined.filter(F.col("_c").isNull() | ~hidden).drop("_p", "_f", "_c")
-
-
 # ---- scanning -------------------------------------------------------------
 
 
@@ -257,6 +237,11 @@ def scan_rules(
         key: f"_low{i}" for i, (key, group) in enumerate(simple.items())
         if any(r.needs or r.condition.startswith("not_contains:") for r in group)
     }
+    hidden = never
+    if directive:
+        # The index is null, and nothing is hidden, in most files.
+        base = base.withColumn("_marks", directive_index(F.col("content"), directive))
+        hidden = hidden_by(F.col("_marks"))
     # Lower-case text is made once per file, not once per rule that looks into it.
     base = base.withColumns({name: F.lower(texts[key]) for key, name in lowered.items()})
     for key, group in simple.items():
@@ -274,24 +259,21 @@ def scan_rules(
             pos = F.when(guard, match_position(text, r.pattern, compat)).otherwise(0)
             spots.append(F.struct(F.lit(r.id).alias("rule_id"), pos.alias("pos")))
         found = F.filter(F.array(*spots), lambda s: s["pos"] > 0)
-        arrays.append(F.transform(found, _line_of(text)))
+        found = F.transform(found, _line_of(text))
+        if directive:
+            found = F.filter(found, lambda h: ~hidden(h["line"], h["rule_id"]))
+        arrays.append(found)
     other = [r for r in active if not _is_simple(r, compat)]
     if other:
         spots = [
             F.struct(
                 F.lit(r.id).alias("rule_id"),
-                F.when(gate[r.id], rule_line(r, F.col("_test"), compat)).otherwise(0).cast("int").alias("line"),
+                F.when(gate[r.id], rule_line(r, F.col("_test"), compat, hidden)).otherwise(0).cast("int").alias("line"),
             )
             for r in other
         ]
         arrays.append(F.filter(F.array(*spots), lambda s: s["line"] > 0))
     hits = F.concat(*arrays) if len(arrays) > 1 else arrays[0]
-    if directive:
-        content = F.col("content")
-        hits = F.when(
-            has_directive(content, directive),
-            F.filter(hits, lambda h: ~is_suppressed(content, h["line"], h["rule_id"], directive)),
-        ).otherwise(hits)
     out_cols = [c for c in keep if c != "content"]
     flat = base.select(*out_cols, F.explode(hits).alias("h")).select(*out_cols, "h.rule_id", "h.line")
     return with_rule_details(flat, active)

@@ -40,7 +40,7 @@ def file_results(files: DataFrame, rules: Sequence[Rule], directive: str | None
     hits = scan_rules(texts, rules, directive=directive).select(
         "project", "path", "rule_id", "name", "severity", "line", "suggestion"
     )
-    secrets = file_checks.secret_assignments(texts).select(
+    secrets = file_checks.secret_assignments(texts, directive).select(
         "project", "path", "rule_id", F.lit(SECRET[0]).alias("name"), "severity", F.col("line").cast("int").alias("line"),
         F.lit(SECRET[1]).alias("suggestion"),
     )

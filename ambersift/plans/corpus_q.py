@@ -12,6 +12,7 @@ from ..operators import project_shape as S
 from ..operators import roots as N
 from ..operators import rules as R
 from ..operators.code_text import split_code_docs
+from ..operators.directives import apply_inline_suppressions
 from ..operators.rules import Rule
 from ..sources import corpus
 from . import duck as D
@@ -181,6 +182,53 @@ def _directive(s: str) -> str:
     return f"(contains({s}, 'scan-ignore') OR contains({s}, 'scan:ignore'))"
 
 
+def _hidden(line: str, rule_id: str, ls: str = _LS) -> str:
+    """Whether a directive hides a hit of ``rule_id`` (SQL text) on ``line``."""
+
+    def names(s: str) -> str:
+        return f"({_directive(s)} AND (contains({s}, 'all') OR contains({s}, {rule_id})))"
+
+    whole = f"len(list_filter({ls}[1:10], lambda s: contains(s, 'scan-ignore-file') OR contains(s, 'scan:ignore-file'))) > 0"
+    return f"({whole} OR coalesce({line} >= 1 AND {line} <= len({ls}) AND ({names(f'{ls}[{line}]')} OR ({line} > 1 AND {names(f'{ls}[{line} - 1]')})), false))"
+
+
+# Rules of several branches, whose directives count branch by branch.
+BRANCH_RULES = (
+    Rule(id="B-OR", name="or", extensions=(".py", ".js", ".ts", ".go"), severity="HIGH", pattern_either=(
+        _all(r"eval\("), _all(r"x = 1"), Rule(id="B-KEY", target="all", pattern="api_key"), _all(r"total"))),
+    Rule(id="B-AND", name="and", extensions=(".py", ".js"), severity="LOW", patterns=(
+        _all(r"import"), Rule(id="T-EVAL", target="all", pattern=r"eval\("))),
+    Rule(id="B-NOT", name="not", extensions=(".py", ".js", ".ts"), severity="LOW", target="all", pattern=r"total", pattern_not=r"eval\("),
+    Rule(id="B-SHARE", name="share", extensions=(".py",), severity="LOW", target="all", pattern=r"=", condition="threshold:0.1"),
+    Rule(id="B-BIG", name="large", extensions=(".py", ".js"), severity="LOW", target="condition", condition="large_file"),
+)
+
+
+def _branch_line(r: Rule) -> str:
+    ls = "string_split(content, chr(10))"
+
+    def line(p: str, own: str) -> str:
+        at = f"({D.hit_line('content', p)})"
+        return f"(CASE WHEN {at} > 0 AND NOT {_hidden(at, D.q(own), ls)} THEN {at} ELSE 0 END)"
+
+    if r.target == "condition":
+        return f"CASE WHEN {D.newlines('content')} > 1500 THEN 1 ELSE 0 END"
+    if r.patterns:
+        return f"CASE WHEN {' AND '.join(line(s.pattern, s.id) + ' > 0' for s in r.patterns)} THEN {line(r.patterns[0].pattern, r.patterns[0].id)} ELSE 0 END"
+    if r.pattern_either:
+        return "CASE " + " ".join(f"WHEN {line(s.pattern, s.id)} > 0 THEN {line(s.pattern, s.id)}" for s in r.pattern_either) + " ELSE 0 END"
+    if r.condition:
+        hit = f"list_transform({ls}, lambda s: contains(s, '='))"
+        at = f"list_position({hit}, true)"
+        return f"CASE WHEN len(list_filter({hit}, lambda b: b)) / len({hit}) > 0.1 AND NOT {_hidden(at, D.q(r.id), ls)} THEN {at} ELSE 0 END"
+    return f"CASE WHEN {line(r.pattern_not, r.id)} > 0 THEN 0 ELSE {line(r.pattern, r.id)} END"
+
+
+@query("branch_directives", "SELECT * FROM (" + _rule_rows(BRANCH_RULES, "code_files", _branch_line) + ") WHERE line > 0")
+def _(t):
+    return R.scan_rules(t.code_files, BRANCH_RULES)
+
+
 SUPPRESS_SQL = f"""SELECT h.project, h.path, h.rule_id, h.line FROM {_HITS} h JOIN code_files f ON h.project = f.project AND h.path = f.path
 WHERE h.line > 0 AND NOT (
   len(list_filter({_LS}[1:10], lambda s: contains(s, 'scan-ignore-file') OR contains(s, 'scan:ignore-file'))) > 0
@@ -196,7 +244,7 @@ def _(t):
 @query("apply_inline_suppressions", SUPPRESS_SQL)
 def _(t):
     hits = R.scan_rules(t.code_files, SUPPRESS_RULES, directive=None).select("project", "path", "rule_id", "line")
-    return R.apply_inline_suppressions(hits, t.code_files)
+    return apply_inline_suppressions(hits, t.code_files)
 
 
 DOCUMENTED_RULES = (
@@ -451,6 +499,15 @@ def _(t):
     return C.secret_assignments(t.repo_files)
 
 
+ASSIGN_SHOWN = f"""SELECT a.* FROM ({ASSIGN_SQL}) a JOIN repo_files f ON f.project = a.project AND f.path = a.path
+WHERE NOT {_hidden('a.line', 'a.rule_id')} AND NOT {_hidden('a.line', "'ENTROPY-SECRET'")}"""
+
+
+@query("secret_directives", ASSIGN_SHOWN)
+def _(t):
+    return C.secret_assignments(t.repo_files, "scan")
+
+
 @query("secret_logged", f"{ASSIGN_SQL.replace('SELECT project, path, CAST(line', 'SELECT * FROM (SELECT project, path, CAST(line')}) WHERE rule_id = 'SECRET-LEAK-LOG'")
 def _(t):
     return C.secret_logged(t.repo_files)

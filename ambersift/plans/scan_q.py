@@ -6,7 +6,7 @@ from ..operators import scan as W
 from ..operators.rules import Rule
 from . import duck as D
 from .corpus_q import (
-    _LS, _MINE, _PLACE, ASSIGN_SQL, ROOT_LOCK_RULES, ROOT_NAME_RULES, ROOT_RULES, SUPPRESS_RULES, _directive, _gate,
+    _LS, _MINE, _PLACE, ASSIGN_SHOWN, ROOT_LOCK_RULES, ROOT_NAME_RULES, ROOT_RULES, SUPPRESS_RULES, _directive, _gate,
     _head, _own, _rule_rows,
 )
 from .registry import query
@@ -34,7 +34,7 @@ def _flag(rule, where: str) -> str:
 _FILES = " UNION ALL ".join(
     [
         f"SELECT * FROM ({_FILE_HITS})",
-        f"SELECT project, path, rule_id, {D.q(W.SECRET[0])}, severity, line, {D.q(W.SECRET[1])} FROM ({ASSIGN_SQL})",
+        f"SELECT project, path, rule_id, {D.q(W.SECRET[0])}, severity, line, {D.q(W.SECRET[1])} FROM ({ASSIGN_SHOWN})",
         _flag(W.LARGE, f"{D.newlines('content')} > 1500"),
         _flag(W.RESIDUE, f"regexp_matches(path, '\\.(go|ts|tsx|js|jsx|py)$') AND NOT contains(path, 'node_modules') AND len(regexp_extract_all(content, '{_PLACE}')) > 5"),
         _flag(W.BRITTLE, f"{D.ext('path')} IN ('.go', '.js', '.ts') AND strlen(content) > 2000 AND NOT contains(content, 'err') AND NOT contains(content, 'catch')"),
