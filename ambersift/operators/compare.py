@@ -11,6 +11,8 @@ from ..functions.identity import baseline_fingerprint, content_hash
 from ..functions.paths import clean_path, dir_name, path_suffixes
 from ..functions.severity import rule_category
 from ..functions.text import blank_to_null, choose, first_where
+from ..session import written
+from .naming import distinct_texts, names_in, text_id
 
 # What the reason of an ignore entry does to the status.
 IGNORE_REASONS = {"False Positive": "false_positive", "Accepted Risk": "risk_accepted", "Won't Fix": "risk_accepted"}
@@ -85,7 +87,9 @@ def suppress_by_content(f: DataFrame, ignored: DataFrame) -> DataFrame:
     )
     snippet = F.coalesce("code_snippet", F.lit(""))
     keyed = f.withColumn("content_hash", F.when(snippet != "", content_hash(snippet)))
-    out = keyed.join(first, "content_hash", "left")
+    # Findings without a snippet have no hash to look up: they do not share a key in the join.
+    with_hash = keyed.filter(F.col("content_hash").isNotNull()).join(first, "content_hash", "left")
+    out = with_hash.unionByName(keyed.filter(F.col("content_hash").isNull()).withColumn("_reason", F.lit(None).cast("string")))
     base = F.coalesce(blank_to_null(F.col("status")), F.lit("open"))
     return out.withColumn("status", F.coalesce(choose(F.col("_reason"), IGNORE_REASONS), base)).drop("_reason")
 
@@ -108,36 +112,6 @@ def resolve_scan_path(f: DataFrame, engagements: DataFrame, products: DataFrame)
     return out.withColumn("resolved_path", path).drop("_scan", "_repo")
 
 
-GRAM = 4
-
-
-def _grams(text: Column, n: int) -> Column:
-    """Distinct substrings of ``n`` characters."""
-    starts = F.sequence(F.lit(1), F.length(text) - (n - 1))
-    some = F.transform(starts, lambda i: F.substr(text, i, F.lit(n)))
-    return F.when(F.length(text) >= n, F.array_distinct(some)).otherwise(F.array().cast("array<string>"))
-
-
-def texts_naming(texts: DataFrame, names: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """(by.., text, name): the names that occur in a text, each pair once.
-
-    A name is met by the one of its four-character pieces that fewest names have (a
-    shorter name by itself), so candidates are few, and is then looked for in full.
-    Null and empty names occur nowhere."""
-    by = list(by)
-    texts = texts.select(*by, "text").filter(F.col("text") != "").distinct()
-    names = names.select(*by, "name").filter(F.col("name") != "").distinct()
-    pieces = F.when(F.length("name") < GRAM, F.array("name")).otherwise(_grams(F.col("name"), GRAM))
-    held = names.select(*by, "name", F.explode(pieces).alias("_gram"))
-    common = held.groupBy(*by, "_gram").agg(F.count(F.lit(1)).alias("_n"))
-    # min_by carries two values, the piece and its count.
-    least = held.join(common, [*by, "_gram"]).groupBy(*by, "name").agg(F.min("_n").alias("_n"), F.min_by("_gram", "_n").alias("_gram"))
-    every = F.concat(*[_grams(F.col("text"), n) for n in range(1, GRAM + 1)])
-    spread = texts.select(*by, "text", F.explode(every).alias("_gram"))
-    pairs = spread.join(least.drop("_n"), [*by, "_gram"])
-    return pairs.filter(F.contains("text", F.col("name"))).select(*by, "text", "name")
-
-
 def _location(path: Column) -> Column:
     return F.btrim(clean_path(F.coalesce(path, F.lit(""))), F.lit("/"))
 
@@ -147,68 +121,68 @@ def still_present(stored: DataFrame, rescan: DataFrame, by: Sequence[str] = ())
 
     stored: id, rule_id, title, file_path. rescan: type, rule_id, title, file, where
     title is the name (core, nfr), message (external), issue (deploy) or target
-    (network). Rules and titles become keys; what needs the same place is joined
-    once more on the '/'-suffixes of either path, since places are the same if one
-    path ends with the other. All joins are equi-joins, no pairs are compared."""
+    (network). Rules and titles become keys, and with a place they become tokens: places
+    are the same if one path ends with the other, so a token holds a path or one of its
+    '/'-suffixes. A finding is present if it has a token of the re-scan: one equi-join,
+    no pairs are compared."""
+    by = list(by)
     title = F.lower(F.trim(F.coalesce("title", F.lit(""))))
-    s = stored.select(
+    s = written(stored.select(
         *by, "id", F.col("rule_id"), title.alias("_t"), _location(F.col("file_path")).alias("_f"),
         (F.coalesce("file_path", F.lit("")) == "").alias("_anywhere"),
-    )
-    r = rescan.select(
+    ))
+    r = written(rescan.select(
         *by, F.col("type").alias("_type"), F.col("rule_id").alias("_rule"), title.alias("_rt"),
         _location(F.col("file")).alias("_rf"),
-    ).distinct()
+    ).distinct())
 
     def key(mark: str, value: Column) -> Column:
         return F.when(value != "", F.concat(F.lit(mark), value))
 
-    base = F.array_compact(
-        F.array(
-            key("r:", F.col("rule_id")), key("t:", F.col("_t")),
-            F.when(F.startswith("rule_id", F.lit("gitleak-")), F.lit("leak")),
-        )
-    )
+    def told(texts: DataFrame, names: DataFrame) -> DataFrame:
+        """Names in texts, as (by.., tid, names): few per text."""
+        found = names_in(distinct_texts(texts, by), names, by)
+        return found.groupBy(*by, "tid").agg(F.collect_set("name").alias("_names"))
+
     kind = F.col("_type")
     hosts = r.filter(kind == "network").select(*by, F.col("_rt").alias("name"))
-    targets = texts_naming(s.select(*by, F.col("_t").alias("text")), hosts, by)
-    targets = targets.select(*by, F.col("text").alias("_t"), F.concat(F.lit("h:"), "name").alias("_k"))
-    sk = s.withColumn("_k", F.explode(base)).unionByName(s.join(targets, [*by, "_t"]))
-
-    one = F.array_compact(
-        F.array(
-            F.when(kind != "leak", key("r:", F.col("_rule"))),
-            F.when(kind.isin("core", "nfr", "deploy"), key("t:", F.col("_rt"))),
-            F.when(kind == "network", key("h:", F.col("_rt"))),
-            F.when(kind == "leak", F.lit("leak")),
-        )
+    targets = told(s.select(*by, F.col("_t").alias("text")), hosts)
+    own = F.array(
+        key("r:", F.col("rule_id")), key("t:", F.col("_t")), F.when(F.startswith("rule_id", F.lit("gitleak-")), F.lit("leak"))
     )
+    sk = s.withColumn("tid", text_id(F.col("_t"))).join(targets, [*by, "tid"], "left")
+    named = F.transform(F.coalesce("_names", F.array().cast("array<string>")), lambda n: F.concat(F.lit("h:"), n))
+    sk = sk.select(*by, "id", "_f", "_anywhere", F.explode(F.array_compact(F.concat(own, named))).alias("_k"))
+
     messages = r.filter(kind == "external").select(*by, F.col("_rt").alias("text"))
-    told = texts_naming(messages, s.select(*by, F.col("_t").alias("name")), by)
-    told = told.select(*by, F.col("text").alias("_rt"), F.concat(F.lit("t:"), "name").alias("_k"))
-    cols = [*by, "_type", "_k", "_rf"]
-    rk = r.withColumn("_k", F.explode(one)).select(*cols).unionByName(
-        r.filter(kind == "external").join(told, [*by, "_rt"]).select(*cols)
-    )
-    no_place = F.col("_type").isin("nfr", "network") | (
-        (F.col("_type") == "deploy") & F.startswith("_k", F.lit("r:"))
+    titles = told(messages, s.select(*by, F.col("_t").alias("name")))
+    one = F.array(
+        F.when(kind != "leak", key("r:", F.col("_rule"))),
+        F.when(kind.isin("core", "nfr", "deploy"), key("t:", F.col("_rt"))),
+        F.when(kind == "network", key("h:", F.col("_rt"))),
+        F.when(kind == "leak", F.lit("leak")),
     )
-    free = sk.join(rk.filter(no_place).select(*by, "_k").distinct(), [*by, "_k"], "left_semi")
-    located = rk.filter(~no_place)
-    unplaced = sk.filter(F.col("_anywhere")).join(located.select(*by, "_k").distinct(), [*by, "_k"], "left_semi")
-    placed = sk.filter(~F.col("_anywhere"))
-    long_rescan = located.filter(F.col("_rf") != "").select(
-        *by, "_k", F.explode(path_suffixes(F.col("_rf"))).alias("_f")
-    ).distinct()
-    as_suffix = placed.join(long_rescan, [*by, "_k", "_f"], "left_semi")
-    long_stored = placed.select(*by, "id", "_k", F.explode(path_suffixes(F.col("_f"))).alias("_rf"))
-    as_prefix = long_stored.join(
-        located.filter(F.col("_rf") != "").select(*by, "_k", "_rf").distinct(), [*by, "_k", "_rf"], "left_semi"
-    )
-    out = free.select(*by, "id")
-    for df in (unplaced, as_suffix, as_prefix):
-        out = out.unionByName(df.select(*by, "id"))
-    return out.distinct()
+    rk = r.withColumn("tid", F.when(kind == "external", text_id(F.col("_rt")))).join(titles, [*by, "tid"], "left")
+    named = F.transform(F.coalesce("_names", F.array().cast("array<string>")), lambda n: F.concat(F.lit("t:"), n))
+    rk = rk.select(*by, "_type", "_rf", F.explode(F.array_compact(F.concat(one, named))).alias("_k"))
+
+    def token(mark: str, place: Column) -> Column:
+        return F.struct(F.lit(mark).alias("mark"), place.alias("place"))
+
+    def suffixes(mark: str, path: Column) -> Column:
+        return F.transform(path_suffixes(path), lambda p: token(mark, p))
+
+    nowhere, none = F.lit(""), F.array().cast("array<struct<mark:string,place:string>>")
+    deploy_rule = (kind == "deploy") & F.startswith("_k", F.lit("r:"))
+    free = kind.isin("nfr", "network") | deploy_rule
+    placed = F.concat(F.array(token("path", F.col("_rf"))), suffixes("end", F.col("_rf")))
+    placed = F.concat(F.array(token("somewhere", nowhere)), F.when(F.col("_rf") != "", placed).otherwise(none))
+    have = F.when(free, F.array(token("free", nowhere))).otherwise(placed)
+    have = rk.select(*by, "_k", F.explode(have).alias("_token")).distinct()
+    mine = F.concat(F.array(token("end", F.col("_f"))), suffixes("path", F.col("_f")))
+    mine = F.when(F.col("_anywhere"), F.array(token("somewhere", nowhere))).otherwise(mine)
+    want = sk.select(*by, "id", "_k", F.explode(F.concat(F.array(token("free", nowhere)), mine)).alias("_token"))
+    return want.join(have, [*by, "_k", "_token"], "left_semi").select(*by, "id").distinct()
 
 
 def component_risk(components: DataFrame, f: DataFrame, by: str = "product_id") -> DataFrame:
@@ -216,13 +190,13 @@ def component_risk(components: DataFrame, f: DataFrame, by: str = "product_id")
     component; LOW without any. Texts are reduced to distinct ones first."""
     level = choose(F.upper("severity"), {"MEDIUM": 1, "HIGH": 2, "CRITICAL": 3}, 0)
     text = F.lower(F.concat_ws("\n", F.coalesce("title", F.lit("")), F.coalesce("description", F.lit(""))))
-    worst = f.select(by, text.alias("_text"), level.alias("_level")).filter(F.col("_level") > 0)
-    worst = worst.groupBy(by, "_text").agg(F.max("_level").alias("_level"))
+    worst = f.select(by, text.alias("text"), level.alias("_level")).filter(F.col("_level") > 0)
+    worst = worst.groupBy(by, "text").agg(F.max("_level").alias("_level"))
+    worst = written(worst.select(by, text_id(F.col("text")).alias("tid"), "text", "_level"))
     names = components.select(by, F.lower("component").alias("name"))
-    found = texts_naming(worst.select(by, F.col("_text").alias("text")), names, [by])
-    found = found.select(by, F.col("text").alias("_text"), F.col("name").alias("_n"))
-    named = worst.join(found, [by, "_text"]).select(by, "_level", "_n")
-    top = named.groupBy(by, "_n").agg(F.max("_level").alias("_level"))
+    found = names_in(worst.select(by, "tid", "text"), names, [by])
+    named = worst.select(by, "tid", "_level").join(found, [by, "tid"])
+    top = named.groupBy(by, F.col("name").alias("_n")).agg(F.max("_level").alias("_level"))
     out = components.withColumn("_n", F.lower("component")).join(top, [by, "_n"], "left")
     risk = F.coalesce(choose(F.col("_level"), {1: "MEDIUM", 2: "HIGH", 3: "CRITICAL"}), F.lit("LOW"))
     return out.select(*components.columns, risk.alias("risk"))

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ambersift.operators import compare, file_checks, merge, ordering, timeline, triage
+from ambersift.operators import compare, file_checks, merge, naming, ordering, timeline, triage
 from ambersift.sources import reports
 from ambersift.streaming import changes
 
@@ -106,11 +106,44 @@ def test_names_in_texts(spark):
     told = TEXTS + [f"see package name {i} twice: package name {i + 1}!" for i in range(0, 700, 9)] + [None]
     texts = spark.createDataFrame([(k, t) for t in told for k in (1, 2)], "g int, text string")
     names = spark.createDataFrame([(1, n) for n in many], "g int, name string")
-    got = [tuple(r) for r in compare.texts_naming(texts, names, ["g"]).collect()]
+    got = [tuple(r) for r in naming.texts_naming(texts, names, ["g"]).collect()]
     want = {(1, t, n) for t in told for n in many if t and n and n in t}
     assert len(got) == len(want) and set(got) == want
 
 
+def test_ten_thousand_names_against_brute_force(spark):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdeé-_. ") for _ in range(rng.randint(1, 12)))
+    names = sorted({word() for _ in range(12_000)})[:10_000]
+    told = ["".join(rng.choice("abcdeé-_. xyz") for _ in range(rng.randint(0, 300))) for _ in range(150)]
+    told += [told[0]] * 40 + [" ".join(rng.sample(names, 30)) for _ in range(30)] + ["x" * 20_000]
+    texts = spark.createDataFrame([(t,) for t in told], "text string")
+    got = [tuple(r) for r in naming.texts_naming(texts, spark.createDataFrame([(n,) for n in names], "name string")).collect()]
+    want = {(t, n) for t in told for n in names if n in t}
+    assert len(got) == len(want) > 10_000 and set(got) == want
+
+
+def test_texts_leave_the_scan_as_few_pieces(spark):
+    """Of a text of a thousand characters only pieces that names chose are sent, without the text."""
+    rng = random.Random(12)
+    letters = [chr(c) for c in range(97, 123)] + list("0123456789")
+    texts = naming.distinct_texts(
+        spark.createDataFrame([("".join(rng.choice(letters) for _ in range(1000)) + " nginx",) for _ in range(200)], "text string"), []
+    )
+    names = spark.createDataFrame([(n,) for n in ("nginx", "postgres", "redis", "kafka broker", "vault")], "name string")
+    sent = naming.postings(texts, naming.pieces_of_names(names, []), [])
+    assert sent.columns == ["tid", "piece"]
+    assert 200 <= sent.count() <= 260
+    assert {r["name"] for r in naming.names_in(texts, names).collect()} == {"nginx"}
+
+
+def test_rescan_is_one_join(spark):
+    s = spark.createDataFrame([(1, "A", "t", "a.py")], "id int, rule_id string, title string, file_path string")
+    r = spark.createDataFrame([("core", "A", "t", "a.py")], "type string, rule_id string, title string, file string")
+    plan = compare.still_present(s, r)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation") < 15
+
+
 def test_results_leave_other_findings_alone(tables):
     none = tables.orders.limit(0)
     results = none.selectExpr("o_orderkey AS id", "true AS fixed", "'s' AS summary")
