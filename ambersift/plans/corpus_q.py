@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
@@ -14,7 +17,8 @@ from ..operators import rules as R
 from ..operators.code_text import split_code_docs
 from ..operators.directives import apply_inline_suppressions
 from ..operators.rules import Rule
-from ..sources import corpus
+from ..session import shared_dir
+from ..sources import corpus, trees
 from . import duck as D
 from .registry import query
 
@@ -936,3 +940,50 @@ def _(t):
 )
 def _(t):
     return R.missing_lockfile(t.repo_files, t.projects, ROOT_LOCK_RULES, N.detect_stack(t.repo_files))
+
+
+# ---- trees with ignore files ----------------------------------------------
+
+_ROOT_IGNORES = "# left out everywhere\n*.dockerfile\ntests/\n*/notes/*.md\n!*/notes/lock.md\n!*/notes/mod.md\n*/src/h1*.go\n/proj7*/\n"
+_OWN_IGNORES = "!app.dockerfile\n/src/auth*.py\n"
+
+
+def _landed(files, spark) -> str:
+    """The files as a tree in the shared folder, with ignore files at its top and in every tenth project."""
+    root = f"{shared_dir(spark)}/tree-{uuid.uuid4().hex}"
+    plain = root.removeprefix("file://").removeprefix("file:")
+    own = files.select("project").distinct().filter(F.col("project").rlike("3$")).select(
+        F.concat("project", F.lit("/.gitignore")).alias("path"), F.lit(_OWN_IGNORES).alias("content")
+    )
+    top = spark.createDataFrame([(".gitignore", _ROOT_IGNORES)], "path string, content string")
+    rows = files.select(F.concat_ws("/", "project", "path").alias("path"), "content").unionByName(own).unionByName(top)
+
+    def land(batches):
+        for batch in batches:
+            for path, text in zip(batch["path"].to_pylist(), batch["content"].to_pylist()):
+                file = os.path.join(plain, path)
+                os.makedirs(os.path.dirname(file), exist_ok=True)
+                with open(file, "w", encoding="utf-8", newline="") as f:
+                    f.write(text or "")
+            yield batch.select(["path"])
+
+    rows.mapInArrow(land, "path string").count()
+    return root
+
+
+@query(
+    "read_corpus_tree",
+    f"""SELECT project, path, strlen(content) AS bytes FROM repo_files f WHERE NOT list_has_any(string_split(path, '/')[1:-2],
+      ['.git', 'node_modules', 'venv', '.venv', '__pycache__', '.next', 'dist', 'build', '.nuxt', 'vendor', 'tests'])
+    AND NOT regexp_matches({D.ext('path')}, '^\\.(png|jpg|jpeg|gif|ico|mp4|webm|mp3|wav|pdf|zip|tar|gz|exe|dll|so|dylib|pyc|class)$')
+    AND NOT regexp_matches(lower({D.base('path')}), '\\.min\\.js$|\\.min\\.css$|\\.bundle\\.|swagger-ui|redoc\\.standalone')
+    AND NOT starts_with(project, 'proj7') AND NOT (regexp_matches(path, '^notes/[^/]*\\.md$') AND path NOT IN ('notes/lock.md', 'notes/mod.md'))
+    AND NOT (ends_with(path, '.dockerfile') AND NOT (ends_with(project, '3') AND {D.base('path')} = 'app.dockerfile'))
+    AND NOT regexp_matches(path, '^src/h1[^/]*\\.go$') AND NOT (ends_with(project, '3') AND regexp_matches(path, '^src/auth[^/]*\\.py$'))
+    AND strlen(content) <= 10485760 AND NOT contains(left(content, 512), chr(0))
+    AND NOT ({D.ext('path')} IN ('.md', '.markdown') AND contains(left(content, 512), '<!-- generated-report -->'))""",
+)
+def _(t):
+    files = trees.read_corpus_tree(t.spark, _landed(t.repo_files, t.spark))
+    # The ignore files themselves are files of the tree, too.
+    return files.filter(c("path") != ".gitignore").select("project", "path", F.octet_length("content").cast("long").alias("bytes"))
