@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions.identity import joined, sha256_hex
-from ..session import written
+from ..session import bucketed, slice_count
 from .ordering import running_within
 from .triage import _digest_list
 
@@ -157,28 +159,34 @@ def dep_graph_stats(edges: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def dep_closure(edges: DataFrame, roots: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+def dep_closure(edges: DataFrame, roots: DataFrame, by: Sequence[str] = (), hops: int = 2) -> DataFrame:
     """Packages reachable from the roots with their depth; each is entered once.
 
-    Every round is one equi-join of the frontier and writes its new nodes to the
-    shared folder, so lineage stays short and a lost executor costs one round. It
-    ends when a round finds nothing new, however deep that is."""
-    by = list(by)
-    edges = written(edges.select(*by, "parent", "child").distinct())
-    frontier = written(roots.select(*by, "node").distinct().withColumn("depth", F.lit(0)))
-    seen, level = frontier, 0
+    Edges lie in buckets by parent and the packages found so far in buckets by node, so
+    that neither is exchanged: what moves in a round are the children of the frontier. A
+    round goes ``hops`` levels deep and appends its new packages to the table of those
+    found, so lineage stays short and a lost executor costs one round. It ends when a
+    round finds nothing new, however deep that is."""
+    by, spark, buckets = list(by), edges.sparkSession, slice_count(edges.sparkSession)
+    mark = uuid.uuid4().hex
+    links = bucketed(edges.select(*by, "parent", "child"), [*by, "parent"], f"links_{mark}", buckets)
+    first = roots.select(*by, "node").distinct().withColumn("depth", F.lit(0))
+    seen, level = bucketed(first, [*by, "node"], f"nodes_{mark}", buckets), 0
     while True:
-        level += 1
-        step = edges.join(frontier.select(*by, F.col("node").alias("parent")), [*by, "parent"], "left_semi")
-        step = step.select(*by, F.col("child").alias("node")).distinct()
+        frontier, steps = seen.filter(F.col("depth") == level), []
+        for hop in range(1, hops + 1):
+            step = links.join(frontier.select(*by, F.col("node").alias("parent")), [*by, "parent"], "left_semi")
+            frontier = step.select(*by, F.col("child").alias("node")).distinct()
+            steps.append(frontier.withColumn("depth", F.lit(level + hop)))
+        # A package that is found again, or by a longer way, drops out.
+        fresh = reduce(DataFrame.unionByName, steps).groupBy(*by, "node").agg(F.min("depth").alias("depth"))
         found = Observation()
-        fresh = step.join(seen, [*by, "node"], "left_anti").withColumn("depth", F.lit(level))
-        # The count comes from the write itself, not from another job.
-        fresh = written(fresh.observe(found, F.count(F.lit(1)).alias("n")))
+        fresh = fresh.join(seen, [*by, "node"], "left_anti").observe(found, F.count(F.lit(1)).alias("n"))
+        seen = bucketed(fresh, [*by, "node"], f"nodes_{mark}", buckets)
+        level += hops
         if found.get["n"] == 0:
+            spark.sql(f"DROP TABLE links_{mark}")
             return seen
-        seen = seen.unionByName(fresh)
-        frontier = fresh
 
 
 def dep_roots(edges: DataFrame, by: Sequence[str] = ()) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -56,6 +57,16 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, keys: Sequence[str], name: str, buckets: int) -> DataFrame:
+    """Append ``df`` to the table ``name`` in the shared folder, laid out by ``keys``, and read
+    the whole table. Joins and groups on the keys need no exchange on its side."""
+    spark = df.sparkSession
+    out = df.repartition(buckets, *keys).write.format("parquet").mode("append").bucketBy(buckets, *keys).sortBy(*keys)
+    out.option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    spark.catalog.refreshTable(name)
+    return spark.table(name)
+
+
 def slice_count(spark: SparkSession) -> int:
     """Partitions of an explicit range layout: what shuffles start with here."""
     first = spark.conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum", None)

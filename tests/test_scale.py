@@ -8,6 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ambersift.operators import compare, file_checks, merge, naming, ordering, timeline, triage
+from ambersift.session import bucketed
 from ambersift.sources import reports
 from ambersift.streaming import changes
 
@@ -242,6 +243,41 @@ def test_closure_survives_cycles_and_depth(spark):
     assert {r["project"]: r["d"] for r in got.collect()} == {"0": 23, "1": 22}
 
 
+def test_closure_moves_neither_edges_nor_packages_found(spark):
+    """Both tables of a round lie in buckets of the join keys, also after a second round is appended."""
+    edges = spark.range(400).selectExpr("CAST(id % 3 AS STRING) AS project", "CAST(id AS STRING) AS parent", "CAST(id * 7 % 400 AS STRING) AS child")
+    links = bucketed(edges, ["project", "parent"], "links_test", 8)
+    nodes = edges.selectExpr("project", "parent AS node", "0 AS depth")
+    bucketed(nodes.filter("node < '2'"), ["project", "node"], "nodes_test", 8)
+    seen = bucketed(nodes.filter("node >= '2'"), ["project", "node"], "nodes_test", 8)
+    assert seen.count() == 400
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        step = links.join(seen.select("project", F.col("node").alias("parent")), ["project", "parent"], "left_semi")
+        assert "Exchange" not in step._jdf.queryExecution().executedPlan().toString() and step.count() == 400
+        fresh = nodes.groupBy("project", "node").agg(F.min("depth").alias("depth")).join(seen, ["project", "node"], "left_anti")
+        assert fresh._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        for name in ("links_test", "nodes_test"):
+            spark.sql(f"DROP TABLE {name}")
+
+
+@pytest.mark.parametrize("hops", [1, 2, 5])
+def test_closure_against_breadth_first_search(spark, hops):
+    rng = random.Random(hops)
+    pairs = {(rng.choice("pq"), str(rng.randrange(60)), str(rng.randrange(60))) for _ in range(130)}
+    roots = {("p", "0"), ("p", "1"), ("q", "2"), ("q", "none")}
+    want, level, front = {r: 0 for r in roots}, 0, roots
+    while front:
+        level += 1
+        front = {(g, c) for g, p, c in pairs if (g, p) in front} - set(want)
+        want |= {n: level for n in front}
+    edges = spark.createDataFrame(sorted(pairs) * 2, "project string, parent string, child string")
+    got = timeline.dep_closure(edges, spark.createDataFrame(sorted(roots), "project string, node string"), ["project"], hops).collect()
+    assert len(got) == len(want) and {(r["project"], r["node"]): r["depth"] for r in got} == want
+
+
 def test_every_package_has_one_entry(spark):
     edges = spark.createDataFrame([("p", "hub", f"c{i % 40}") for i in range(50)], "project string, parent string, child string")
     deps = spark.createDataFrame([("p", "n", "1", "dev", "npm")], "project string, name string, version string, type string, ecosystem string")
