@@ -310,13 +310,14 @@ def _(t):
 
 @query(
     "debounced_changes_stream",
-    f"""WITH {SESSIONS.replace('{gap}', str(HOURS6 * 1000000))}, g AS (SELECT workspace, started_at, string_agg(DISTINCT path, ';' ORDER BY path) AS paths, count(*) AS events, max(changed_at) AS last FROM sess GROUP BY ALL)
-    SELECT workspace, started_at, paths, events FROM g""",
+    f"""WITH {SESSIONS.replace('{gap}', str(HOURS6 * 1000000))}, g AS (SELECT workspace, started_at, max(changed_at) AS last FROM sess GROUP BY ALL)
+    SELECT s.workspace, s.started_at, s.path, min(s.changed_at) AS first_change, count(*) AS events FROM sess s JOIN g ON g.workspace = s.workspace AND g.started_at = s.started_at
+    WHERE g.last + INTERVAL 6 HOUR <= (SELECT max(changed_at) FROM rel) - INTERVAL 10 SECOND GROUP BY ALL""",
 )
 def _(t):
-    out = changes.debounced_changes(_stream(t, "file_events"), "6 hours", "10 seconds")
-    final = _run(t, out, "complete")
-    return final.select("workspace", _plain("started_at"), F.array_join("paths", ";").alias("paths"), "events")
+    # Groups that the watermark has passed at the end of the input; the others are still open.
+    out = _run(t, changes.debounced_changes(_stream(t, "file_events"), HOURS6, "10 seconds", None), "append")
+    return out.select("workspace", _plain("started_at"), "path", _plain("first_change"), "events")
 
 
 @query(

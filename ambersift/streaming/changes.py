@@ -12,8 +12,10 @@ from ..functions.paths import base_name
 from ..operators.file_checks import changed_files_only
 from ..operators.ordering import lag_within, running_max_within
 from ..operators.rules import Rule, scan_rules
+from .debounce import OUTPUT, Debounce
 from .feeds import event_time
 
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 # Operations that count as a change.
 CHANGE_OPS = ("write", "create", "rename")
 NOISE_NAME = r"^\.|~\z|\.swp\z|\.tmp\z"
@@ -26,19 +28,21 @@ def relevant_changes(events: DataFrame) -> DataFrame:
     )
 
 
-def debounced_changes(events: DataFrame, gap: str = "300 milliseconds", late: str = "10 seconds") -> DataFrame:
-    """Changes grouped until a workspace is quiet for ``gap``, distinct files each.
-
-    Works on a stream; for tables ``debounced_changes_batch`` splits hot workspaces."""
-    rows = relevant_changes(events)
-    if events.isStreaming:
-        rows = event_time(rows, "changed_at").withWatermark("changed_at", late)
-    window = F.session_window("changed_at", gap)
-    out = rows.groupBy("workspace", window).agg(
-        F.collect_set("path").alias("paths"), F.count(F.lit(1)).alias("events")
-    )
-    return out.select(
-        "workspace", F.col("session_window.start").alias("started_at"), F.array_sort("paths").alias("paths"), "events"
+def debounced_changes(
+    events: DataFrame, gap_seconds: float = 0.3, late: str = "10 seconds", max_age_seconds: float | None = 3600
+) -> DataFrame:
+    """Changes of a stream, grouped until a workspace is quiet for ``gap_seconds``: a row
+    (workspace, started_at, path, first_change, events) per file, in append mode, once the
+    watermark has passed the group. A group that is never quiet ends at ``max_age_seconds``
+    (``None``: never); rows later than the watermark are dropped. State lies in RocksDB.
+    For tables there is ``debounced_changes_batch``."""
+    spark = events.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    rows = event_time(relevant_changes(events), "changed_at").withWatermark("changed_at", late)
+    rows = rows.select("workspace", "path", "changed_at", F.unix_micros("changed_at").alias("us"))
+    age = None if max_age_seconds is None else int(max_age_seconds * 1_000_000)
+    return rows.groupBy("workspace").transformWithStateInPandas(
+        Debounce(int(gap_seconds * 1_000_000), age), OUTPUT, "Append", "EventTime"
     )
 
 

@@ -1,5 +1,7 @@
 """Streams over several files: the same results as over the table."""
 
+import random
+
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -28,21 +30,70 @@ def run(stream, path, mode="append"):
     return spark.read.schema(stream.schema).parquet(out)
 
 
+def groups_of(rows, gap, age=None):
+    """(workspace, start, path) -> (first change, changes) of (workspace, path, time) rows."""
+    out, start, last = {}, {}, {}
+    for w, p, t in sorted(rows, key=lambda r: (r[0], r[2])):
+        if w not in start or t - last[w] >= gap or (age and t - start[w] >= age):
+            start[w] = t
+        last[w] = t
+        first, n = out.get((w, start[w], p), (t, 0))
+        out[w, start[w], p] = (first, n + 1)
+    return out
+
+
+def emitted(df):
+    return {(r["workspace"], r["s"], r["path"]): (r["f"], r["events"]) for r in df.select(
+        "workspace", F.unix_micros("started_at").alias("s"), "path", F.unix_micros("first_change").alias("f"), "events").collect()}
+
+
 def test_debounce_emits_closed_groups(spark, tables, tmp_path):
     static = tables.file_events
     stream = as_stream(spark, static, str(tmp_path / "ev"), 3, "changed_at")
-    got = run(changes.debounced_changes(stream, "6 hours", "10 seconds"), str(tmp_path / "ev"))
-    batch = changes.debounced_changes_batch(static, 6 * 3600)
-    last = changes.relevant_changes(static).agg(F.max("changed_at")).first()[0]
-    want = batch.groupBy("workspace", "started_at").agg(
-        F.sum("events").alias("events"), F.max("first_change").alias("late")
-    )
-    have = {(r["workspace"], r["started_at"]): r["events"] for r in got.collect()}
-    full = {(r["workspace"], r["started_at"]): r["events"] for r in want.collect()}
-    # Every emitted group is complete, and only groups near the end are still open.
-    assert have and all(full[k] == n for k, n in have.items())
-    open_groups = [k for k in full if k not in have]
-    assert all((last - k[1]).days <= 2 for k in open_groups)
+    got = emitted(run(changes.debounced_changes(stream, 6 * 3600, "10 seconds", None), str(tmp_path / "ev")))
+    rows = changes.relevant_changes(static).select("workspace", "path", F.unix_micros(F.col("changed_at").cast("timestamp")).alias("t"))
+    rows = [tuple(r) for r in rows.collect()]
+    want = groups_of(rows, 6 * 3600 * 10**6)
+    # Every emitted group is complete, and only groups that the watermark has not passed are open.
+    ends = {}
+    for w, _, t in rows:
+        s = max(k[1] for k in want if k[0] == w and k[1] <= t)
+        ends[w, s] = max(t, ends.get((w, s), 0))
+    mark = max(t for _, _, t in rows) - 10 * 10**6
+    assert got and got == {k: v for k, v in want.items() if ends[k[:2]] + 6 * 3600 * 10**6 <= mark}
+
+
+def test_debounce_out_of_order_late_and_never_quiet(spark, tmp_path):
+    """Rows in any order within the delay; a workspace without a quiet second ends its groups by age."""
+    rnd = random.Random(3)
+    base = 1_700_000_000
+    batches = []
+    for k in range(6):
+        rows = [("busy", f"f{i % 5}.py", base + k * 100 + i) for i in range(100)]
+        rows += [(f"w{rnd.randrange(4)}", f"g{rnd.randrange(3)}.py", base + k * 100 + rnd.randrange(100)) for _ in range(25)]
+        rnd.shuffle(rows)
+        batches.append(rows)
+    # Some rows come one batch later, which the delay allows; one comes far too late.
+    for k in range(5):
+        batches[k + 1] += [batches[k].pop(0) for _ in range(10)]
+    every = [r for b in batches for r in b]
+    batches[5].append(("w0", "late.py", base - 500))
+    batches.append([("end", "x.py", base + 100_000)])
+    batches.append([("end", "x.py", base + 200_000)])
+    folder = str(tmp_path / "in")
+    schema = "op string, workspace string, path string, changed_at timestamp"
+    for b in batches:
+        rows = spark.createDataFrame([("write", w, p, t) for w, p, t in b], "op string, workspace string, path string, t long")
+        rows.select("op", "workspace", "path", F.timestamp_seconds("t").alias("changed_at")).coalesce(1).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    got = emitted(run(changes.debounced_changes(stream, 20, "250 seconds", 240), str(tmp_path / "q")))
+    got = {k: v for k, v in got.items() if k[0] != "end"}
+    assert not any(k[2] == "late.py" for k in got)
+    quiet = [(w, p, t * 10**6) for w, p, t in every if w != "busy"]
+    assert {k: v for k, v in got.items() if k[0] != "busy"} == groups_of(quiet, 20 * 10**6, 240 * 10**6)
+    busy = {k: v for k, v in got.items() if k[0] == "busy"}
+    assert sum(n for _, n in busy.values()) == 600
+    assert len({k[1] for k in busy}) >= 3 and len(busy) <= 5 * len({k[1] for k in busy})
 
 
 def test_lifecycle_state_spans_batches(spark, tables, tmp_path):
