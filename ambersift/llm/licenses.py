@@ -3,8 +3,10 @@
 A text is cut into sentences, each is normalised and mapped to the identifier of a known
 licence sentence, and the sequence of identifiers is matched against licence rules:
 identifiers that must occur in this order, with other known sentences between them or
-not. Texts are read twice, once with line ends as blanks (wrapped notices) and once with
-line ends as sentence ends (one-line notices); a rule that holds in either holds.
+not. Texts are read in four ways: line ends as blanks (wrapped notices); line ends as
+sentence ends (one-line notices); copyright lines left out and lines without letters as
+sentence ends (titles without a full stop, also in comments); and list marks as sentence
+ends, too (conditions of whole licence files). A rule that holds in any holds.
 
 * Sentences end at ``.``, ``!`` or ``?`` before white space. Normal form: A-Z in lower
   case, runs of other than a-z and 0-9 as one blank; so comment marks do not matter.
@@ -58,6 +60,11 @@ SENTENCES = (
     "spdx license identifier mit",
     "spdx license identifier apache 2 0",
     "spdx license identifier gpl 3 0 or later",
+    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation "
+    "files the software to deal in the software without restriction including without limitation the rights to use copy modify "
+    "merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is "
+    "furnished to do so subject to the following conditions",
+    "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
 )
 # Licence rules, each with the sentence identifiers that it needs in order.
 RULES = (
@@ -77,15 +84,36 @@ RULES = (
     ("MIT", (2,)),
     ("MIT", (7, 8)),
     ("MIT", (22,)),
+    ("MIT", (25, 26, 8)),
     ("MPL-2.0", (16, 17)),
     ("Unlicense", (19,)),
 )
 CONTAINED = {"BSD-2-Clause": "BSD-3-Clause"}
-#: Every known sentence holds one of these words; texts without them are not cut at all.
-HINTS = "(?i)licen|redistribut|permission|warrant|software"
+
+
+def hint_words(sentences: tuple[str, ...]) -> list[str]:
+    """Words of which every sentence holds at least one, few of them: each time the longer
+    word that most of the remaining sentences hold."""
+    left, out = [set(s.split()) for s in sentences], []
+    while left:
+        words = {w for s in left for w in s if len(w) > 5 or s <= {x for x in s if len(x) <= 5}}
+        out.append(max(sorted(words), key=lambda w: sum(w in s for s in left)))
+        left = [s for s in left if out[-1] not in s]
+    return out
+
+
+#: Texts that hold no word of any known sentence are not cut at all.
+HINTS = "(?i)" + "|".join(hint_words(SENTENCES))
 
 _UPPER, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _MARK = "\x01"
+# A copyright line with its line end before it, a list mark, a line without letters.
+_COPYRIGHT = "\\n[^a-z0-9\\n]*(copyright[ \\t]*([(]c[)]|©|[0-9]|by[ \\t]|<)|[(]c[)][ \\t]*[0-9]|©)[^\\n]*"
+_LIST_MARK = "\\n[ \\t]*([*•-]|[(]?[0-9a-z][0-9a-z]?[.)])[ \\t]+"
+_BLANK_LINE = "\\n[^a-z0-9\\n]*\\n"
+
+
+READINGS = ("wrapped", "lined", "headed", "itemed")
 
 
 def rule_pattern(ids: tuple[int, ...]) -> str:
@@ -93,10 +121,19 @@ def rule_pattern(ids: tuple[int, ...]) -> str:
     return "," + ",([0-9]+,)*".join(str(i) for i in ids) + ","
 
 
-def _sequence(text: Column, lines_end: bool) -> Column:
+def _readings(low: Column) -> dict[str, Column]:
+    """The text with the marks of each way to read it."""
+    unix = F.concat(F.lit("\n"), F.regexp_replace(low, "\\r\\n?", "\n"))
+    headed = F.regexp_replace(unix, _COPYRIGHT, _MARK)
+    return {
+        "wrapped": low, "lined": F.regexp_replace(low, "[\\r\\n]+", _MARK),
+        "headed": F.regexp_replace(headed, _BLANK_LINE, _MARK),
+        "itemed": F.regexp_replace(F.regexp_replace(headed, _LIST_MARK, _MARK), _BLANK_LINE, _MARK),
+    }
+
+
+def _sequence(text: Column) -> Column:
     """``,id,id,`` of the known sentences in order."""
-    if lines_end:
-        text = F.regexp_replace(text, "[\\r\\n]+", _MARK)
     cut = F.split(F.regexp_replace(text, "([.!?])[\\x20\\x09-\\x0D]+", "$1" + _MARK), _MARK)
     known = F.create_map(*[F.lit(v) for i, s in enumerate(SENTENCES) for v in (s, str(i))])
     ids = F.transform(cut, lambda s: F.try_element_at(known, F.trim(F.regexp_replace(s, "[^a-z0-9]+", " "))))
@@ -112,8 +149,8 @@ def find_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = rows.select(
         "doc_id",
         *[
-            F.when(F.col("hinted"), _sequence(low, ends)).otherwise(F.lit(",,")).alias(name)
-            for name, ends in (("wrapped", False), ("lined", True))
+            F.when(F.col("hinted"), _sequence(text)).otherwise(F.lit(",,")).alias(name)
+            for name, text in _readings(low).items()
         ],
     )
     names = sorted({name for name, _ in RULES})
@@ -122,7 +159,8 @@ def find_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         held = F.lit(False)
         for ids in (ids for n, ids in RULES if n == name):
             pattern = rule_pattern(ids)
-            held = held | F.col("wrapped").rlike(pattern) | F.col("lined").rlike(pattern)
+            for reading in READINGS:
+                held = held | F.col(reading).rlike(pattern)
         found[name] = held
     for small, large in CONTAINED.items():
         found[small] = found[small] & ~found[large]
@@ -146,7 +184,7 @@ def license_sql(table: str = "documents") -> str:
     found = {}
     for name in names:
         tests = [
-            f"regexp_matches({c}, '{rule_pattern(ids)}')" for n, ids in RULES if n == name for c in ("wrapped", "lined")
+            f"regexp_matches({c}, '{rule_pattern(ids)}')" for n, ids in RULES if n == name for c in READINGS
         ]
         found[name] = "(" + " OR ".join(tests) + ")"
     for small, large in CONTAINED.items():
@@ -154,8 +192,11 @@ def license_sql(table: str = "documents") -> str:
     listed = ", ".join(f"CASE WHEN {found[n]} THEN '{n}' END" for n in names)
     return f"""
     WITH t AS (SELECT doc_id, translate(coalesce(text, ''), '{_UPPER}', '{_LOW}') AS low FROM {table}),
+    u AS (SELECT *, regexp_replace(chr(10) || regexp_replace(low, '\\r\\n?', chr(10), 'g'), '{_COPYRIGHT}', chr(1), 'g') AS marked FROM t),
     s AS (SELECT doc_id, {sequence("low")} AS wrapped,
-                 {sequence("regexp_replace(low, '[\\r\\n]+', chr(1), 'g')")} AS lined FROM t)
+                 {sequence("regexp_replace(low, '[\\r\\n]+', chr(1), 'g')")} AS lined,
+                 {sequence(f"regexp_replace(marked, '{_BLANK_LINE}', chr(1), 'g')")} AS headed,
+                 {sequence(f"regexp_replace(regexp_replace(marked, '{_LIST_MARK}', chr(1), 'g'), '{_BLANK_LINE}', chr(1), 'g')")} AS itemed FROM u)
     SELECT doc_id, array_to_string([x for x in [{listed}] if x IS NOT NULL], ',') AS licenses,
            trim(regexp_replace(lined, ',+', ' ', 'g')) AS sentences
     FROM s

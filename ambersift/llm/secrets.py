@@ -59,7 +59,7 @@ EXPRESSIONS = {
     "access": re.compile(rb"AKIA[A-Z0-9]+"),
     "github": re.compile(rb"gh[pousr]_([0-9A-Za-z]{30})([0-9A-Za-z]{6})(?![0-9A-Za-z])"),
     "npm": re.compile(rb"npm_([0-9A-Za-z]{30})([0-9A-Za-z]{6})(?![0-9A-Za-z])"),
-    "jwt": re.compile(rb"(eyJ[0-9A-Za-z_-]+)\.(eyJ[0-9A-Za-z_-]+)\.([0-9A-Za-z_-]+)"),
+    "jwt": re.compile(rb"(eyJ[0-9A-Za-z_-]++)\.(eyJ[0-9A-Za-z_-]++)\.([0-9A-Za-z_-]++)"),
     "pem": re.compile(
         # Header lines with their continuations up to a blank line; possessive, so that no text is read twice.
         rb"-----BEGIN ([A-Z ]*PRIVATE KEY)-----"
@@ -73,6 +73,8 @@ _BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 _OPENSSH = b"openssh-key-v1\0"
 _ENCRYPTED = re.compile(rb"(?im)^[\x20\t]*Proc-Type:[\x20\t]*4[\x20\t]*,[\x20\t]*ENCRYPTED")
 _CIPHER = re.compile(rb"(?im)^[\x20\t]*DEK-Info:[\x20\t]*([A-Z0-9-]+)[\x20\t]*,[\x20\t]*((?:[0-9A-F]{16}){1,2})(?![0-9A-F])")
+#: The run of characters that a token's first part is: what fails from one place of it fails from all later ones.
+_TOKEN_RUN = re.compile(rb"eyJ[0-9A-Za-z_-]*+")
 _IS_HEX = table(b"0123456789abcdef")
 
 
@@ -194,6 +196,8 @@ def spans_of(data: np.ndarray, rows: np.ndarray, automaton: ahocorasick.Automato
                 free[row, kind] = m.end()
                 if valid(kind, m):
                     found.setdefault(row, []).append((at - first, KINDS.index(kind), m.end() - first))
+            elif kind == "jwt" and (run := _TOKEN_RUN.match(raw, at, stop)):
+                free[row, kind] = run.end()
     runs = _hex_runs(data, rows)
     for (a, b), row in zip(runs.tolist(), (np.searchsorted(rows, runs[:, 0], "right") - 1).tolist()):
         first = int(rows[row])

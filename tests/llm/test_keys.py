@@ -1,7 +1,11 @@
 """Private key blocks of the usual kinds."""
 
 import base64
+import json
 import random
+import time
+
+import numpy as np
 
 from ambersift.llm import secrets
 
@@ -59,3 +63,40 @@ def test_private_keys_of_every_kind(spark):
 def test_unended_headers_are_read_once():
     text = b"-----BEGIN RSA PRIVATE KEY-----\n" + b"A: b\n  c\n" * 200_000 + b"\n" + b"A\n" * 200_000
     assert secrets.EXPRESSIONS["pem"].match(text) is None
+
+
+def jwt_spans(text):
+    data = np.frombuffer(text.encode(), np.uint8)
+    found = secrets.spans_of(data, np.array([0, len(data)]), secrets.keyword_automaton())
+    return sorted((s, e) for s, kind, e in found.get(0, []) if kind == secrets.KINDS.index("jwt"))
+
+
+def test_token_runs_without_dots_are_read_once():
+    """Ten times the text takes about ten times as long, not a hundred times."""
+    took = []
+    for n in (20_000, 200_000):
+        start = time.process_time()
+        assert jwt_spans("eyJ" * n) == []
+        took.append(time.process_time() - start)
+    assert took[1] < 40 * took[0] + 0.5
+
+
+def test_tokens_are_found_whatever_stands_before_them():
+    """The same as an attempt at every place."""
+    rng = random.Random(8)
+
+    def part(body):
+        return base64.urlsafe_b64encode(json.dumps(body).encode()).decode().rstrip("=")
+
+    good = f"{part({'alg': 'HS256'})}.{part({'sub': 'x'})}.c2ln"
+    pieces = ["eyJ", "EYJ", "eyJab", ".", "..", "-", " ", "x", good, part({"alg": 1}), part({"b": 2}), "eyj"]
+    for _ in range(400):
+        text = "".join(rng.choice(pieces) for _ in range(rng.randint(1, 14)))
+        want, free = [], 0
+        for at in range(len(text)):
+            m = secrets.EXPRESSIONS["jwt"].match(text.encode(), at) if at >= free else None
+            if m:
+                free = m.end()
+                if secrets.valid("jwt", m):
+                    want.append(m.span())
+        assert jwt_spans(text) == want, text

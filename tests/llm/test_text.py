@@ -7,6 +7,7 @@ import random
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 from check import compare, duck
@@ -185,3 +186,89 @@ def test_license_rules(spark, awkward, no_rows):
     }
     assert licenses.find_licenses(awkward).filter("size(licenses) > 0").count() == 0
     assert licenses.find_licenses(no_rows).count() == 0
+
+
+PERMISSION = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+{0} Redistributions of source code must retain the above copyright notice, this
+  list of conditions and the following disclaimer.
+
+{1} Redistributions in binary form must reproduce the above copyright notice,
+  this list of conditions and the following disclaimer in the documentation
+  and/or other materials provided with the distribution.
+"""
+THIRD = """
+{0} Neither the name of the copyright holder nor the names of its
+  contributors may be used to endorse or promote products derived from
+  this software without specific prior written permission.
+"""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+"""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/.
+"""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+"""
+
+
+def test_whole_license_files(spark):
+    """Files as projects carry them: titles, copyright lines and list marks without a full stop."""
+    line = "Copyright (c) 2024 Jane Doe"
+    apache = APACHE.replace("# ", "").replace("#", "")
+    texts = [
+        (f"MIT License\n\n{line}\n\n{PERMISSION}", ["MIT"]), (f"The MIT License (MIT)\n\n{PERMISSION}", ["MIT"]),
+        (f"MIT License\r\n\r\n{line}\r\n\r\n" + PERMISSION.replace("\n", "\r\n"), ["MIT"]),
+        (f"{line}\n(c) 2020 Others\n© 2019 More\n\n{PERMISSION}", ["MIT"]),
+        (f"BSD 3-Clause License\n\n{line}\nAll rights reserved.\n\n" + BSD.format("1.", "2.") + THIRD.format("3."), ["BSD-3-Clause"]),
+        (f"{line}\n\n" + BSD.format("*", "*") + THIRD.format("*"), ["BSD-3-Clause"]),
+        (f"{line}\n\n" + BSD.format("-", "-"), ["BSD-2-Clause"]), (f"{line}\n\n" + BSD.format("(a)", "(b)"), ["BSD-2-Clause"]),
+        (f"Copyright 2024 The Authors\n\n{apache}", ["Apache-2.0"]), (f"# Copyright 2024 The Authors\n#\n{APACHE}", ["Apache-2.0"]),
+        (f"A tool that does things\nCopyright (C) 2024  Jane Doe\n\n{GPL}", ["GPL-3.0-or-later"]),
+        ("/*\n * Copyright (C) 2024 Jane\n *\n" + "".join(f" * {x}\n" for x in GPL.splitlines()) + " */", ["GPL-3.0-or-later"]),
+        (f"Header notice\n\n{MPL}", ["MPL-2.0"]), (f"ISC License\n\n{line}\n\n{ISC}", ["ISC"]),
+        ("MIT License\n\n" + line + "\n\n" + PERMISSION.replace("free of charge", "for a fee"), []),
+    ]
+    docs = frame(spark, list(enumerate(t for t, _ in texts)))
+    got = {r.doc_id: list(r.licenses) for r in licenses.find_licenses(docs).collect()}
+    assert got == {i: want for i, (_, want) in enumerate(texts)}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", list(enumerate(t for t, _ in texts)))
+    sql = {r[0]: [x for x in r[1].split(",") if x] for r in con.execute(licenses.license_sql()).fetchall()}
+    assert sql == got
+
+
+def test_every_sentence_is_hinted_at(spark):
+    rows = [(k, s.upper() if k % 2 else s) for k, s in enumerate(licenses.SENTENCES)]
+    got = {r.doc_id: r.sentences for r in licenses.find_licenses(frame(spark, rows)).collect()}
+    assert got == {k: str(k) for k in range(len(rows))}
