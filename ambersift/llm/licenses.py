@@ -65,7 +65,6 @@ SENTENCES = (
     "merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is "
     "furnished to do so subject to the following conditions",
     "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
-    "you may obtain a copy of the license at http www apache org licenses license 2 0",
     "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is "
     "basis without warranties or conditions of any kind either express or implied",
 )
@@ -74,7 +73,7 @@ RULES = (
     ("Apache-2.0", (3,)),
     ("Apache-2.0", (4, 5, 6)),
     ("Apache-2.0", (23,)),
-    ("Apache-2.0", (4, 27, 28, 6)),
+    ("Apache-2.0", (4, 27, 6)),
     ("BSD-2-Clause", (9, 10)),
     ("BSD-3-Clause", (9, 10, 11)),
     ("CC-BY-4.0", (20,)),
