@@ -11,6 +11,7 @@ from ..functions.severity import (
     owasp_category, rule_category, severity_level, severity_rank,
 )
 from ..functions.text import blank_to_null, norm_lower, norm_upper
+from .paging import SHALLOW, rows_from
 
 # Status words of closed findings.
 CLOSED = ("resolved", "closed", "risk_accepted", "false_positive")
@@ -110,10 +111,10 @@ def deps_filter(deps: DataFrame, query: str) -> DataFrame:
     return deps.filter(hit)
 
 
-def list_audit_log(log: DataFrame, entity: str | None, limit: int, offset: int) -> DataFrame:
+def list_audit_log(log: DataFrame, entity: str | None, limit: int, offset: int, shallow: int = SHALLOW) -> DataFrame:
     if entity:
         log = log.filter(F.col("entity_type") == entity)
-    return log.orderBy(F.col("created_at").desc(), F.col("id").desc()).offset(offset).limit(limit)
+    return rows_from(log, [F.col("created_at").desc(), F.col("id").desc()], offset, limit, shallow)
 
 
 def unread_notifications(n: DataFrame, user: int | None, unread: bool = True) -> DataFrame:
@@ -329,8 +330,9 @@ def recent_engagements(e: DataFrame, n: int = 5) -> DataFrame:
     return e.select("id", "name", "status", day.alias("day")).orderBy(F.desc("day"), F.desc("id")).limit(n)
 
 
-def paginate(df: DataFrame, order: Sequence[Column], page: int, size: int) -> DataFrame:
-    return df.orderBy(*order).offset(page * size).limit(size)
+def paginate(df: DataFrame, order: Sequence[Column], page: int, size: int, shallow: int = SHALLOW) -> DataFrame:
+    """Page ``page`` (from 0). To turn many pages of one table, keep a ``paging.Paged`` of it."""
+    return rows_from(df, order, page * size, size, shallow)
 
 
 def sort_findings(f: DataFrame, by: str, desc: bool = False) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import compare as X
 from ..operators import dashboard as B
 from ..operators import timeline as L
+from ..operators.paging import Paged, next_page
 from ..operators.project_shape import detect_components
 from . import duck as D
 from .corpus_q import COMPONENTS_SQL
@@ -292,6 +293,35 @@ def _(t):
     return B.paginate(t.findings, [severity_rank(c("severity")), c("id")], 2, 25).select("id", "severity")
 
 
+_DEEP = "FROM findings ORDER BY {} LIMIT 40 OFFSET (SELECT count(*) // 3 * 2 FROM findings)"
+
+
+@query("paginate_deep", f"SELECT id, severity, title {_DEEP.format(D.rank('severity') + ', id')}")
+def _(t):
+    from ..functions.severity import severity_rank
+
+    pages = Paged(t.findings, [severity_rank(c("severity")), c("id")])
+    return pages.at(pages.rows // 3 * 2, 40).select("id", "severity", "title")
+
+
+@query(
+    "next_page",
+    """SELECT f.id, f.status, f.created_at FROM findings f, (SELECT id, created_at FROM findings ORDER BY id LIMIT 1 OFFSET 100) l
+    WHERE f.created_at < l.created_at OR (f.created_at = l.created_at AND f.id > l.id) ORDER BY f.created_at DESC, f.id LIMIT 30""",
+)
+def _(t):
+    last = t.findings.select("id", "created_at").orderBy("id").offset(100).first()
+    return next_page(t.findings, [("created_at", True), ("id", False)], last.asDict(), 30).select("id", "status", "created_at")
+
+
+@query(
+    "list_audit_log_deep",
+    "SELECT id, user_id, entity_type, created_at FROM audit_log WHERE entity_type = 'finding' ORDER BY created_at DESC, id DESC LIMIT 50 OFFSET 400",
+)
+def _(t):
+    return B.list_audit_log(t.audit_log, "finding", 50, 400, shallow=0).select("id", "user_id", "entity_type", "created_at")
+
+
 @query("sort_findings", f"SELECT id, severity, stack FROM findings ORDER BY {D.level('severity')} DESC, id")
 def _(t):
     return B.sort_findings(t.findings, "severity", True).select("id", "severity", "stack")
