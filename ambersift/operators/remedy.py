@@ -102,3 +102,57 @@ def suggest_fix(findings: DataFrame, files: DataFrame) -> DataFrame:
     )
     after = F.when(F.col("_kind") == "secret", secret).otherwise(debug)
     return rows.withColumn("after", after).filter(F.col("after").isNotNull()).drop("_kind")
+
+
+# What to do by hand where no rewrite applies: by rules and file kinds, the first that fits.
+BY_HAND = (
+    (SECRET_RULES, (".go",), "Read the secret with os.Getenv() and keep its value out of the code."),
+    (SECRET_RULES, (".py",), "Read the secret with os.environ.get() and keep its value out of the code."),
+    (SECRET_RULES, (".ts", ".js"), "Read the secret from process.env and keep its value out of the code."),
+    (SECRET_RULES, (), "Move the secret to an environment variable or a secret store."),
+    (DEBUG_RULES, (), "Let an environment variable switch the debug mode on."),
+    (("FAST-SSTI",), (), "Pass user input to the template as a variable; do not build the template from it."),
+    (
+        ("FAST-CORS", "FLASK-CORS"), (".py",),
+        "Add CORS middleware to the application, with the allowed origins from the environment.",
+    ),
+    (("FAST-CORS", "FLASK-CORS"), (), "Add the CORS middleware of the framework, with a list of allowed origins."),
+    (("ENTR-02",), (), "Create a lock file: pip freeze > requirements.lock, pip-compile, or uv lock."),
+)
+
+
+def fix_proposals(findings: DataFrame, files: DataFrame) -> DataFrame:
+    """At least one proposal per distinct finding (project, path, rule_id, line): ``kind`` is
+    'rewrite' (``fix_line``, ``before``, ``after``; one row per line), 'manual' (``advice``) or
+    'failed' (``advice`` says that the file is not there or has no such line). A finding
+    without a file, as project rules give, is advised on by hand."""
+    keys = ["project", "path", "rule_id", "line"]
+    todo = findings.select(*keys).distinct()
+    path = F.coalesce("path", F.lit(""))
+    own_line = F.col("rule_id").isin(*SECRET_RULES)
+    # A secret is rewritten on its line, a debug flag anywhere in the file.
+    at = F.when(own_line, F.col("line").cast("int"))
+    edits = suggest_fix(findings, files).select(
+        "project", "path", "rule_id", at.alias("_at"), F.col("line").cast("int").alias("fix_line"), "before", "after"
+    ).distinct()
+    left = todo.withColumn("_at", at)
+    same = [left[c].eqNullSafe(edits[c]) for c in ("project", "path", "rule_id", "_at")]
+    rows = left.join(edits, same, "left").select(*[left[c] for c in keys], "fix_line", "before", "after")
+    # Only files whose lines a rewrite would need are looked up.
+    needs = F.col("rule_id").isin(*SECRET_RULES, *DEBUG_RULES) & F.col("after").isNull() & (path != "")
+    asked = rows.filter(needs).select("project", "path").distinct()
+    sizes = cited_only(files.select("project", "path", "content"), asked, ["project", "path"]).groupBy("project", "path").agg(
+        F.max(F.size(lines_of(F.col("content")))).alias("_lines")
+    )
+    rows = rows.join(sizes, ["project", "path"], "left")
+    advice = F.lit(None).cast("string")
+    for rules, exts, text in reversed(BY_HAND):
+        fits = F.col("rule_id").isin(*rules)
+        advice = F.when(fits & extension(path).isin(*exts) if exts else fits, F.lit(text)).otherwise(advice)
+    advice = F.coalesce(advice, F.lit("Review the finding; no rewrite is known for its rule."))
+    outside = own_line & ~F.coalesce(F.col("line").between(1, F.col("_lines")), F.lit(False))
+    problem = first_where([(F.col("_lines").isNull(), "the file is not there"), (outside, "the file has no such line")])
+    problem = F.when(needs, problem)
+    kind = first_where([(F.col("after").isNotNull(), "rewrite"), (problem.isNotNull(), "failed")], "manual")
+    rows = rows.withColumns({"kind": kind, "advice": F.when(F.col("after").isNull(), F.coalesce(problem, advice))})
+    return rows.select(*keys, "kind", "fix_line", "before", "after", "advice")
