@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import posixpath
 import re
 from collections.abc import Sequence
 
@@ -150,6 +151,24 @@ def path_suffixes(path: Column) -> Column:
     )
 
 
+def relative_uri(path: Column, root: str | None = None) -> Column:
+    """A path as reports cite it: forward slashes, relative to the project's ``root`` if it is
+    absolute (with '..' parts where it lies outside); without a root leading slashes go."""
+    path = F.replace(path, F.lit("\\"), F.lit("/"))
+    if root is None:
+        return F.regexp_replace(path, r"^/+", "")
+    top = [p for p in posixpath.normpath(root.replace("\\", "/")).split("/") if p]
+    parts = F.filter(F.split(clean_path(path), "/"), lambda p: p != "")
+    # How many of the root's parts the path begins with.
+    same = [F.slice(parts, 1, k) == F.array(*[F.lit(p) for p in top[:k]]) for k in range(1, len(top) + 1)]
+    n = F.lit(0)
+    for k, holds in enumerate(same, 1):
+        n = F.when(holds, F.lit(k)).otherwise(n)
+    up = F.array_repeat(F.lit(".."), F.lit(len(top)) - n)
+    inside = F.array_join(F.concat(up, F.slice(parts, n + 1, F.greatest(F.size(parts), F.lit(1)))), "/")
+    return F.when(F.startswith(path, F.lit("/")), F.coalesce(F.nullif(inside, F.lit("")), F.lit("."))).otherwise(path)
+
+
 def ancestor_dirs(path: Column) -> Column:
     """Every folder above a file, '.' for the root included."""
     parts = F.split(path, "/")

@@ -69,6 +69,23 @@ def _(t):
     return results
 
 
+@query(
+    "sarif_relative_uris",
+    f"""SELECT project, rule_id, line, CASE length(p) % 4 WHEN 0 THEN p WHEN 1 THEN '../other/' || p WHEN 2 THEN '../../opt/' || p ELSE p END AS uri, count(*) AS n
+    FROM (SELECT *, regexp_replace(file, '^/+', '') AS p FROM audited WHERE {REPORTABLE}) WHERE p <> '' AND NOT contains(p, '//') AND NOT contains(p, './') GROUP BY ALL""",
+)
+def _(t):
+    """Absolute paths inside the project, beside it and elsewhere, and relative ones."""
+    file = F.regexp_replace("file", "^/+", "")
+    n, plain = F.length(file) % 4, (file != "") & ~F.contains(file, F.lit("//")) & ~F.contains(file, F.lit("./"))
+    where = F.when(n == 0, F.concat(F.lit("/srv/app/"), file)).when(n == 1, F.concat(F.lit("/srv/other/./"), file)).when(
+        n == 2, F.concat(F.lit("/opt/"), F.replace(file, F.lit("/"), F.lit("\\")))
+    ).otherwise(file)
+    found = t.audited.filter(plain).withColumns({"file": where, "own_line": c("line")})
+    uris = O.sarif_results(found, ("project", "own_line"), "/srv/app/").select("project", "rule_id", c("own_line").alias("line"), "uri")
+    return uris.groupBy("project", "rule_id", "line", "uri").agg(F.count(F.lit(1)).alias("n"))
+
+
 _RESULT_JSON = f"""SELECT project, to_json({{'ruleId': rule_id, 'message': {{'text': '[' || severity || '] ' || name || ': ' || suggestion}},
     'level': {D.case('severity', {'CRITICAL': 'error', 'HIGH': 'error', 'LOW': 'note'}, 'warning')},
     'locations': [{{'physicalLocation': {{'artifactLocation': {{'uri': regexp_replace(file, '^/+', '')}}, 'region': {{'startLine': greatest(line, 1)}}}}}}]}})::VARCHAR AS value FROM audited WHERE {REPORTABLE}"""

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.identity import purl
+from ..functions.paths import relative_uri
 from ..functions.severity import sarif_level, sarif_number
 from ..operators.ordering import rank_within
 
@@ -36,14 +37,15 @@ def _reportable(f: DataFrame) -> DataFrame:
     )
 
 
-def sarif_results(f: DataFrame, by: Sequence[str] = ("project",)) -> DataFrame:
-    """SARIF 2.1.0 result fields: absent checks, not suppressed, with a place."""
+def sarif_results(f: DataFrame, by: Sequence[str] = ("project",), root: str | None = None) -> DataFrame:
+    """SARIF 2.1.0 result fields: absent checks, not suppressed, with a place; absolute paths
+    are cited relative to ``root``."""
     text = F.concat(
         F.lit("["), F.col("severity"), F.lit("] "), F.col("name"), F.lit(": "), F.col("suggestion")
     )
     return _reportable(f).select(
         *by, "rule_id", sarif_level(F.col("severity")).alias("level"), text.alias("message"),
-        F.regexp_replace("file", r"^/+", "").alias("uri"), F.greatest(F.col("line"), F.lit(1)).alias("start_line"),
+        relative_uri(F.col("file"), root).alias("uri"), F.greatest(F.col("line"), F.lit(1)).alias("start_line"),
     )
 
 
@@ -59,7 +61,7 @@ def sarif_rules(f: DataFrame, by: Sequence[str] = ("project",)) -> DataFrame:
     )
 
 
-def to_sarif(f: DataFrame, by: Sequence[str] = ("project",)) -> tuple[DataFrame, DataFrame]:
+def to_sarif(f: DataFrame, by: Sequence[str] = ("project",), root: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(results, rules) as JSON objects of a SARIF run, one per row."""
     place = F.struct(
         F.struct(
@@ -76,7 +78,7 @@ def to_sarif(f: DataFrame, by: Sequence[str] = ("project",)) -> tuple[DataFrame,
         F.struct(F.col("help").alias("text")).alias("help"),
         F.struct(F.col("security_severity").alias("security-severity")).alias("properties"),
     )
-    results = sarif_results(f, by).select(*by, F.to_json(result).alias("value"))
+    results = sarif_results(f, by, root).select(*by, F.to_json(result).alias("value"))
     return results, sarif_rules(f, by).select(*by, F.to_json(rule).alias("value"))
 
 
@@ -95,10 +97,10 @@ def _fixed(groups: DataFrame, by: Sequence[str], section: int, text: str) -> Dat
 SARIF_SCHEMA = "https://json.schemastore.org/sarif-2.1.0.json"
 
 
-def sarif_document(f: DataFrame, tool: str, version: str, by: Sequence[str] = ("project",)) -> DataFrame:
+def sarif_document(f: DataFrame, tool: str, version: str, by: Sequence[str] = ("project",), root: str | None = None) -> DataFrame:
     """One SARIF log per project as ordered parts (by.., section, place, value): the values
     put together in this order are the document, and no task ever holds one."""
-    results, rules = to_sarif(f, by)
+    results, rules = to_sarif(f, by, root)
     groups = f.select(*by).distinct()
     driver = json.dumps({"name": tool, "version": version})[:-1]
     head = f'{{"version":"2.1.0","$schema":"{SARIF_SCHEMA}","runs":[{{"tool":{{"driver":{driver},"rules":['
@@ -189,7 +191,7 @@ def to_sbom(deps: DataFrame, edges: DataFrame | None = None, fmt: str = "cyclone
     return out
 
 
-def ci_annotations(f: DataFrame) -> DataFrame:
+def ci_annotations(f: DataFrame, root: str | None = None) -> DataFrame:
     """One workflow command per finding that is not suppressed."""
     live = f.filter(~F.coalesce("audit_status", F.lit("")).isin(*SUPPRESSED_AUDIT))
     level = F.when(F.col("severity").isin("CRITICAL", "HIGH"), F.lit("error")).otherwise(F.lit("warning"))
@@ -198,7 +200,7 @@ def ci_annotations(f: DataFrame) -> DataFrame:
     )
     file = F.coalesce("file", F.lit(""))
     line = F.greatest(F.coalesce("line", F.lit(0)), F.lit(1)).cast("string")
-    place = F.concat(F.lit(" file="), F.regexp_replace(file, r"^/+", ""), F.lit(",line="), line)
+    place = F.concat(F.lit(" file="), relative_uri(file, root), F.lit(",line="), line)
     text = F.concat(F.lit("::"), level, F.when(file == "", F.lit("")).otherwise(place), F.lit("::"), body)
     return live.select(text.alias("value"))
 

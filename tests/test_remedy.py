@@ -1,8 +1,26 @@
-"""Fix proposals: every finding gets one."""
+"""Fix proposals: every finding gets one. Paths as reports cite them."""
 
+import os.path
+import posixpath
+
+import pytest
+from pyspark.sql import functions as F
+
+from ambersift.functions.paths import relative_uri
 from ambersift.operators.remedy import fix_proposals
 
 
+@pytest.mark.parametrize("root", ["/srv/app", "/srv/app/", "/", "/srv//x/../app", "/srv/app/deep/er"])
+def test_relative_uris(spark, root):
+    paths = ["/srv/app/a.py", "/srv/app", "/srv/app/x/./y.py", "/srv/application/a.py", "/srv/b.py", "/", "/etc/x", "/srv/app/deep/a", "/srv/app//q"]
+    df = spark.createDataFrame([(p,) for p in paths], "p string")
+    got = {r.p: r.u for r in df.select("p", relative_uri(F.col("p"), root).alias("u")).collect()}
+    assert got == {p: posixpath.relpath(os.path.normpath(p), os.path.normpath(root)) for p in paths}
+    other = spark.createDataFrame([("a/b.py",), ("a\\b.py",), ("",)], "p string")
+    assert [r.u for r in other.select(relative_uri(F.col("p"), root).alias("u")).collect()] == ["a/b.py", "a/b.py", ""]
+    assert df.select(relative_uri(F.col("p")).alias("u")).first().u == "srv/app/a.py"
+
+
 def test_no_finding_is_dropped(spark):
     files = spark.createDataFrame(
         [
