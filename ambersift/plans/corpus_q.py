@@ -209,7 +209,7 @@ BRANCH_RULES = (
 
 
 def _branch_line(r: Rule) -> str:
-    ls = "string_split(content, chr(10))"
+    ls = "ls"
 
     def line(p: str, own: str) -> str:
         at = f"({D.hit_line('content', p)})"
@@ -228,7 +228,10 @@ def _branch_line(r: Rule) -> str:
     return f"CASE WHEN {line(r.pattern_not, r.id)} > 0 THEN 0 ELSE {line(r.pattern, r.id)} END"
 
 
-@query("branch_directives", "SELECT * FROM (" + _rule_rows(BRANCH_RULES, "code_files", _branch_line) + ") WHERE line > 0")
+_SPLIT = "(SELECT *, string_split(content, chr(10)) AS ls FROM code_files)"
+
+
+@query("branch_directives", "SELECT * FROM (" + _rule_rows(BRANCH_RULES, _SPLIT, _branch_line) + ") WHERE line > 0")
 def _(t):
     return R.scan_rules(t.code_files, BRANCH_RULES)
 
