@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions.paths import base_name, extension, in_any_dir
 from ..functions.severity import port_service, port_severity
-from ..functions.text import any_of, contains_any, first_where, lines_of, trimmed
+from ..functions.text import any_of, choose, contains_any, first_where, lines_of, trimmed
 from .file_checks import numbered_lines
 from .roots import json_names
 
@@ -113,11 +113,67 @@ def threat_surface(components: DataFrame) -> DataFrame:
     return components.select("project").distinct().join(per, "project", "left").fillna(0)
 
 
+# What to do about files that a project lacks.
+UNPACKED_ENV = (
+    "Environment variables loaded from .env without containerization. Ensure .env is explicitly excluded from version control."
+)
+OPEN_COMPOSE = (
+    "Docker Compose deployment lacks a reverse proxy. Consider adding Nginx/Traefik for TLS termination and routing."
+)
+
+
+def threat_recommendations(files: DataFrame, components: DataFrame) -> DataFrame:
+    """(project, recommendation): settings without containers, compose files without a proxy.
+
+    Only names of root files are looked at; partial flags per project are shuffled."""
+    path = F.col("path")
+    has = files.filter(path.isin(".env", "Dockerfile", *COMPOSE_FILES)).groupBy("project").agg(
+        F.max(path == ".env").alias("_env"), F.max(path == "Dockerfile").alias("_docker"),
+        F.max(path.isin(*COMPOSE_FILES)).alias("_compose"),
+    )
+    proxies = components.filter(F.col("type") == "proxy").select("project", F.lit(True).alias("_proxy")).distinct()
+    proxy = F.coalesce("_proxy", F.lit(False))
+    advice = F.array_compact(
+        F.array(
+            F.when(F.col("_env") & ~F.col("_docker") & ~F.col("_compose"), F.lit(UNPACKED_ENV)),
+            F.when(F.col("_compose") & ~proxy, F.lit(OPEN_COMPOSE)),
+        )
+    )
+    return has.join(proxies, "project", "left").select("project", F.explode(advice).alias("recommendation"))
+
+
 # ---- deployment files -----------------------------------------------------
 
+# Advice by issue.
+DEPLOY_ADVICE = {
+    "dockerfile_root_user": "Add USER nonroot or create a dedicated user. Running as root in containers is a security risk.",
+    "dockerfile_add_instead_of_copy": "Prefer COPY over ADD unless you need URL fetching or tar extraction.",
+    "dockerfile_hardcoded_secret": "Never hardcode secrets in Dockerfile ENV. Use --secret or runtime env injection.",
+    "compose_hardcoded_secret": "Use environment variable substitution: ${MY_PASSWORD}",
+    "compose_privileged_mode": "Remove privileged: true. Grant only specific capabilities with cap_add instead.",
+    "nginx_runs_as_root":
+        "Nginx configured to run as root. Change user directive to a non-privileged user like 'nginx' or 'www-data'.",
+    "nginx_server_tokens_on": "server_tokens on exposes Nginx version. Set to off to reduce information disclosure.",
+    "nginx_missing_server_tokens_off": "Missing 'server_tokens off;' directive. It's recommended to hide Nginx version.",
+    "nginx_missing_xframe_options":
+        "Missing 'add_header X-Frame-Options SAMEORIGIN;'. This leaves the app vulnerable to Clickjacking.",
+    "nginx_missing_csp": "Missing Content-Security-Policy header. Consider adding one to prevent XSS.",
+    "makefile_hardcoded_secret":
+        "Potential hardcoded secret found in Makefile variable assignment. Extract to .env or inject via CI/CD.",
+    "k8s_privileged_container":
+        "Container is running in privileged mode. This allows root access to the host node. "
+        "Use explicit securityContext capabilities instead.",
+    "k8s_run_as_root":
+        "SecurityContext forces container to run as root. Prefer running as non-root user for defense-in-depth.",
+}
+
 
 def deploy_audit(files: DataFrame) -> DataFrame:
-    """Dockerfile, nginx, Makefile, Compose and Kubernetes checks, line by line."""
+    """Dockerfile, nginx, Makefile, Compose and Kubernetes checks, line by line.
+
+    ``evidence`` is short for display, ``text`` the whole trimmed line (empty for a finding
+    about a whole file). With ``path`` as file the rows are a feed of ``union_scanners`` and
+    ``ingest_union`` (see ``deploy_feed``)."""
     path = F.col("path")
     name = F.lower(base_name(path))
     kind = first_where(
@@ -195,7 +251,9 @@ def deploy_audit(files: DataFrame) -> DataFrame:
     per_line = F.flatten(
         F.transform(
             lines_of(F.col("content")),
-            lambda s, i: F.transform(checks(s), lambda f: F.struct((i + 1).alias("line"), f.alias("f"))),
+            lambda s, i: F.transform(
+                checks(s), lambda f: F.struct((i + 1).alias("line"), f.alias("f"), trimmed(s).alias("text"))
+            ),
         )
     )
     low = F.lower("content")
@@ -209,17 +267,25 @@ def deploy_audit(files: DataFrame) -> DataFrame:
             *[
                 F.when(
                     (F.col("_kind") == "nginx") & ~F.contains(low, F.lit(word)),
-                    F.struct(F.lit(1).alias("line"), finding(issue, sev, F.lit("Whole file")).alias("f")),
+                    F.struct(
+                        F.lit(1).alias("line"), finding(issue, sev, F.lit("Whole file")).alias("f"), F.lit("").alias("text")
+                    ),
                 )
                 for word, issue, sev in absent
             ]
         )
     )
     return scope.select("project", "path", F.explode(F.concat(per_line, whole)).alias("h")).select(
-        "project", "path", "h.line", "h.f.issue", "h.f.severity", "h.f.evidence"
+        "project", "path", "h.line", "h.f.issue", "h.f.severity", "h.f.evidence",
+        choose(F.col("h.f.issue"), DEPLOY_ADVICE).alias("advice"), "h.text",
     )
 
 
+def deploy_feed(files: DataFrame) -> DataFrame:
+    """``deploy_audit`` as a scanner feed: project, file, line, issue, severity, advice."""
+    return deploy_audit(files).select("project", F.col("path").alias("file"), "line", "issue", "severity", "advice")
+
+
 # ---- network --------------------------------------------------------------
 
 HOST_EXTS = (".yaml", ".yml", ".env", ".conf", ".json", ".go")

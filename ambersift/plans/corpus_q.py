@@ -670,6 +670,17 @@ def _(t):
     return S.threat_surface(S.detect_components(t.repo_files, t.projects))
 
 
+@query(
+    "threat_recommendations",
+    f"""WITH comps AS ({COMPONENTS_SQL}), has AS (SELECT project, bool_or(path = '.env') AS env, bool_or(path = 'Dockerfile') AS docker,
+      bool_or(path IN ('docker-compose.yml', 'docker-compose.yaml')) AS compose FROM repo_files GROUP BY project)
+    SELECT project, {D.q(S.UNPACKED_ENV)} AS recommendation FROM has WHERE env AND NOT docker AND NOT compose
+    UNION ALL SELECT project, {D.q(S.OPEN_COMPOSE)} FROM has WHERE compose AND project NOT IN (SELECT project FROM comps WHERE type = 'proxy')""",
+)
+def _(t):
+    return S.threat_recommendations(t.repo_files, S.detect_components(t.repo_files, t.projects))
+
+
 def _deploy_sql() -> str:
     name = f"lower({D.base('path')})"
     kinds = f"""kinds AS (SELECT project, path, content, CASE WHEN {name} = 'dockerfile' OR ends_with({name}, '.dockerfile') THEN 'docker'
@@ -680,8 +691,11 @@ def _deploy_sql() -> str:
     ls = f"""ls AS (SELECT project, path, kind, CAST(u.line AS INT) AS line, {D.strip('u.text')} AS t, regexp_extract(u.text, '^\\s*(?:-\\s+)?["'']?([\\w.-]+)["'']?\\s*:', 1) AS k,
       trim(regexp_extract(u.text, '^\\s*(?:-\\s+)?["'']?[\\w.-]+["'']?\\s*:[ \\t]+["'']?([^"''#\\n]*)', 1)) AS v FROM kinds f, {D.lines()} WHERE kind IS NOT NULL)"""
 
+    def advice(issue: str) -> str:
+        return D.q(S.DEPLOY_ADVICE[issue])
+
     def row(cond: str, issue: str, sev: str, ev: str) -> str:
-        return f"SELECT project, path, line, '{issue}' AS issue, '{sev}' AS severity, {ev} AS evidence FROM ls WHERE {cond}"
+        return f"SELECT project, path, line, '{issue}' AS issue, '{sev}' AS severity, {ev} AS evidence, {advice(issue)} AS advice, t AS text FROM ls WHERE {cond}"
 
     rows = [
         row("kind = 'docker' AND (starts_with(t, 'USER root') OR (starts_with(t, 'USER') AND NOT contains(t, 'USER ')))", "dockerfile_root_user", "HIGH", "t"),
@@ -697,7 +711,7 @@ def _deploy_sql() -> str:
     ]
     for word, issue, sev in (("server_tokens off;", "nginx_missing_server_tokens_off", "LOW"), ("x-frame-options", "nginx_missing_xframe_options", "MEDIUM"),
                              ("content-security-policy", "nginx_missing_csp", "LOW")):
-        rows.append(f"SELECT project, path, 1, '{issue}', '{sev}', 'Whole file' FROM kinds WHERE kind = 'nginx' AND NOT contains(lower(content), '{word}')")
+        rows.append(f"SELECT project, path, 1, '{issue}', '{sev}', 'Whole file', {advice(issue)}, '' FROM kinds WHERE kind = 'nginx' AND NOT contains(lower(content), '{word}')")
     return f"WITH {kinds}, {ls} " + " UNION ALL ".join(rows)
 
 
