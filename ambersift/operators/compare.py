@@ -94,10 +94,10 @@ def suppress_by_content(f: DataFrame, ignored: DataFrame) -> DataFrame:
     return out.withColumn("status", F.coalesce(choose(F.col("_reason"), IGNORE_REASONS), base)).drop("_reason")
 
 
-def audit_overlay(results: DataFrame, audit: DataFrame) -> DataFrame:
-    """Audit status by (rule, file), OPEN where nothing was recorded."""
-    entries = audit.select("rule_id", "file", F.col("status").alias("audit_status"))
-    out = results.join(entries, ["rule_id", "file"], "left")
+def audit_overlay(results: DataFrame, audit: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Audit status by (rule, file), within ``by``, OPEN where nothing was recorded."""
+    keys = [*by, "rule_id", "file"]
+    out = results.join(audit.select(*keys, F.col("status").alias("audit_status")), keys, "left")
     return out.withColumn("audit_status", F.coalesce("audit_status", F.lit("OPEN")))
 
 

@@ -77,26 +77,41 @@ CRITICAL_NAMES = (
 )
 
 
+def is_large(content: Column, limit: int = GOD_FILE_LINES) -> Column:
+    return newline_count(content) > limit
+
+
+def has_residue(path: Column, content: Column, limit: int = PLACEHOLDER_LIMIT) -> Column:
+    return F.when(_is_code(path), F.regexp_count(content, F.lit(PLACEHOLDER)) > limit)
+
+
+def is_brittle(path: Column, content: Column) -> Column:
+    return (
+        extension(path).isin(*BRITTLE_EXTS)
+        & (F.octet_length(content) > BRITTLE_BYTES)
+        & ~F.contains(content, F.lit("err"))
+        & ~F.contains(content, F.lit("catch"))
+    )
+
+
+def _is_code(path: Column) -> Column:
+    return any_of([F.endswith(path, F.lit(e)) for e in CODE_EXTS]) & ~F.contains(path, F.lit("node_modules"))
+
+
 def large_files(files: DataFrame, limit: int = GOD_FILE_LINES) -> DataFrame:
     n = newline_count(F.col("content")).cast("long")
     return files.select("project", "path", n.alias("newlines")).filter(F.col("newlines") > limit)
 
 
 def placeholder_count(files: DataFrame, limit: int = PLACEHOLDER_LIMIT) -> DataFrame:
-    path = F.col("path")
-    code = any_of([F.endswith(path, F.lit(e)) for e in CODE_EXTS]) & ~F.contains(path, F.lit("node_modules"))
     n = F.regexp_count("content", F.lit(PLACEHOLDER)).cast("long")
-    return files.filter(code).select("project", "path", n.alias("placeholders")).filter(F.col("placeholders") > limit)
+    code = files.filter(_is_code(F.col("path")))
+    return code.select("project", "path", n.alias("placeholders")).filter(F.col("placeholders") > limit)
 
 
 def brittle_files(files: DataFrame) -> DataFrame:
     c = F.col("content")
-    return files.filter(
-        extension(F.col("path")).isin(*BRITTLE_EXTS)
-        & (F.octet_length(c) > BRITTLE_BYTES)
-        & ~F.contains(c, F.lit("err"))
-        & ~F.contains(c, F.lit("catch"))
-    ).select("project", "path", F.octet_length(c).cast("long").alias("bytes"))
+    return files.filter(is_brittle(F.col("path"), c)).select("project", "path", F.octet_length(c).cast("long").alias("bytes"))
 
 
 def numbered_lines(files: DataFrame, keep: Sequence[str], only: Callable[[Column], Column]) -> DataFrame:
@@ -136,43 +151,63 @@ def history_leaks(hits: DataFrame, limit: int | None = 50, by: Sequence[str] = (
     return flat.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= limit).drop("_n")
 
 
+def holds_assignments(path: Column, content: Column) -> Column:
+    """Whether a file is one that ``secret_hits`` looks at: by path, then by byte searches."""
+    return (
+        (_assigns(path) | extension(path).isin(*CONFIG_EXTS)) & ~is_test_like(path) & ~is_vendored(path)
+        & may_hold_secret(content)
+    )
+
+
+def _assigns(path: Column) -> Column:
+    return extension(path).isin(*ASSIGN_EXTS) | F.contains(F.lower(base_name(path)), F.lit(".env"))
+
+
+def secret_hits(path: Column, content: Column, directive: str | None = None) -> Column:
+    """Array of (line, var_name, kind, rule_id, preview), null for files out of scope."""
+    vendor = [(n, p) for n, p in SECRET_PATTERNS if not n.startswith("Generic")]
+    any_vendor = "|".join(f"(?:{p})" for _, p in vendor)
+
+    def detail(line: Column, text: Column, calls: Column) -> Column:
+        var, value = F.regexp_extract(text, ASSIGNMENT, 1), F.regexp_extract(text, ASSIGNMENT, 2)
+        named = _assigns(path) & (var != "") & is_high_entropy(value)
+        kind = first_where([(F.rlike(text, F.lit(p)), n) for n, p in vendor], F.when(named, F.lit("Secret Assignment")))
+        name = F.when(named, var).otherwise(F.lit(""))
+        logged = (name != "") & F.exists(calls, lambda c: F.contains(c, F.lower(name)))
+        return F.struct(
+            line.alias("line"), name.alias("var_name"), kind.alias("kind"),
+            F.when(logged, F.lit(LEAK_ID)).otherwise(F.lit(SECRET_ID)).alias("rule_id"), redact_preview(text).alias("preview"),
+        )
+
+    def of_file(b: Column) -> Column:
+        spots = F.transform(lines_of(content), lambda s, i: F.struct((i + 1).alias("line"), s.alias("text")))
+        lines = F.filter(
+            spots,
+            lambda s: may_hold_secret(s["text"]) & (F.rlike(s["text"], F.lit(any_vendor)) | F.rlike(s["text"], F.lit(ASSIGNMENT))),
+        )
+        found = F.filter(F.transform(lines, lambda s: detail(s["line"], s["text"], b["calls"])), lambda h: h["kind"].isNotNull())
+        if not directive:
+            return found
+        hidden = hidden_by(b["marks"])
+        return F.filter(found, lambda h: ~hidden(h["line"], h["rule_id"]) & ~hidden(h["line"], F.lit(SECRET_ID)))
+
+    calls = F.transform(F.regexp_extract_all(content, F.lit(LOG_CALL), F.lit(0)), lambda c: F.lower(c))
+    parts = [calls.alias("calls")]
+    if directive:
+        parts.append(directive_index(content, directive).alias("marks"))
+    # What is asked for every line is worked out once per file.
+    return F.when(holds_assignments(path, content), F.flatten(F.transform(F.array(F.struct(*parts)), of_file)))
+
+
 def secret_assignments(files: DataFrame, directive: str | None = None) -> DataFrame:
     """Vendor formats in code and configuration, named high-entropy literals in
     code and env files; escalated when the variable is also logged. A directive hides a
     secret if it names the id of the hit, or that of any secret."""
-    path, text = F.col("path"), F.col("text")
-    base = F.lower(base_name(path))
-    assigns = extension(path).isin(*ASSIGN_EXTS) | F.contains(base, F.lit(".env"))
-    signatures = assigns | extension(path).isin(*CONFIG_EXTS)
-    vendor = [(n, p) for n, p in SECRET_PATTERNS if not n.startswith("Generic")]
-    any_vendor = "|".join(f"(?:{p})" for _, p in vendor)
-    scope = files.filter(signatures & ~is_test_like(path) & ~is_vendored(path))
-    scope = scope.filter(may_hold_secret(F.col("content")))
-    calls = F.transform(F.regexp_extract_all("content", F.lit(LOG_CALL), F.lit(0)), lambda c: F.lower(c))
-    scope = scope.withColumns({"_assign": assigns, "_calls": calls})
-    kept = ["project", "path", "_assign", "_calls"]
-    if directive:
-        scope, kept = scope.withColumn("_marks", directive_index(F.col("content"), directive)), [*kept, "_marks"]
-    lines = numbered_lines(
-        scope, kept,
-        lambda t: may_hold_secret(t) & (F.rlike(t, F.lit(any_vendor)) | F.rlike(t, F.lit(ASSIGNMENT))),
-    )
-    var = F.regexp_extract(text, ASSIGNMENT, 1)
-    value = F.regexp_extract(text, ASSIGNMENT, 2)
-    named = F.col("_assign") & (var != "") & is_high_entropy(value)
-    kind = first_where([(F.rlike(text, F.lit(p)), n) for n, p in vendor], F.when(named, F.lit("Secret Assignment")))
-    found = lines.withColumns({"kind": kind, "var_name": F.when(named, var).otherwise(F.lit(""))}).filter(
-        F.col("kind").isNotNull()
-    )
-    logged = (F.col("var_name") != "") & F.exists("_calls", lambda c: F.contains(c, F.lower(F.col("var_name"))))
-    found = found.withColumn("rule_id", F.when(logged, F.lit(LEAK_ID)).otherwise(F.lit(SECRET_ID)))
-    if directive:
-        hidden = hidden_by(F.col("_marks"))
-        found = found.filter(~hidden(F.col("line"), F.col("rule_id")) & ~hidden(F.col("line"), F.lit(SECRET_ID)))
-    return found.select(
-        "project", "path", "line", "var_name", "kind", "rule_id",
-        F.lit("CRITICAL").alias("severity"),
-        redact_preview(text).alias("preview"),
+    path, content = F.col("path"), F.col("content")
+    suspects = files.filter(holds_assignments(path, content))
+    hits = suspects.select("project", "path", F.explode(secret_hits(path, content, directive)).alias("h"))
+    return hits.select(
+        "project", "path", "h.line", "h.var_name", "h.kind", "h.rule_id", F.lit("CRITICAL").alias("severity"), "h.preview"
     )
 
 

@@ -168,34 +168,30 @@ DEPLOY_ADVICE = {
 }
 
 
-def deploy_audit(files: DataFrame) -> DataFrame:
-    """Dockerfile, nginx, Makefile, Compose and Kubernetes checks, line by line.
-
-    ``evidence`` is short for display, ``text`` the whole trimmed line (empty for a finding
-    about a whole file). With ``path`` as file the rows are a feed of ``union_scanners`` and
-    ``ingest_union`` (see ``deploy_feed``)."""
-    path = F.col("path")
+def deploy_kind(path: Column, content: Column) -> Column:
+    """docker, compose, k8s, nginx or make; null for other files."""
     name = F.lower(base_name(path))
+    k8s = F.rlike(content, F.lit(r"(?m)^(?:apiVersion|kind)[ \t]*:"))
     kind = first_where(
         [
             ((name == "dockerfile") | F.endswith(name, F.lit(".dockerfile")), "docker"),
             (name.isin(*COMPOSE_FILES), "compose"),
-            (F.endswith(name, F.lit(".yaml")) | F.endswith(name, F.lit(".yml")), "yaml"),
+            (F.endswith(name, F.lit(".yaml")) | F.endswith(name, F.lit(".yml")), F.when(k8s, F.lit("k8s"))),
             (F.endswith(name, F.lit(".conf")), "nginx"),
             (name.isin("makefile", "gnumakefile"), "make"),
         ]
     )
-    scope = files.filter(~in_any_dir(path, (".git", "node_modules", "vendor"))).withColumn("_kind", kind)
-    scope = scope.filter(F.col("_kind").isNotNull())
-    k8s = F.rlike("content", F.lit(r"(?m)^(?:apiVersion|kind)[ \t]*:"))
-    scope = scope.withColumn("_kind", F.when(F.col("_kind") != "yaml", F.col("_kind")).when(k8s, F.lit("k8s")))
-    scope = scope.filter(F.col("_kind").isNotNull())
+    return F.when(~in_any_dir(path, (".git", "node_modules", "vendor")), kind)
+
+
+def deploy_hits(file_kind: Column, content: Column) -> Column:
+    """Array of (line, f: (issue, severity, evidence), text) of a file of that kind."""
 
     def finding(issue: str, severity: str, evidence: Column) -> Column:
         return F.struct(F.lit(issue).alias("issue"), F.lit(severity).alias("severity"), evidence.alias("evidence"))
 
     def checks(raw: Column) -> Column:
-        t, kind = trimmed(raw), F.col("_kind")
+        t, kind = trimmed(raw), file_kind
         low = F.lower(t)
         key = F.trim(F.regexp_extract(raw, r"""^\s*(?:-\s+)?["']?([\w.-]+)["']?\s*:""", 1))
         value = F.regexp_extract(raw, r"""^\s*(?:-\s+)?["']?[\w.-]+["']?\s*:[ \t]+["']?([^"'#\n]*?)["']?\s*(?:#.*)?\z""", 1)
@@ -250,13 +246,13 @@ def deploy_audit(files: DataFrame) -> DataFrame:
 
     per_line = F.flatten(
         F.transform(
-            lines_of(F.col("content")),
+            lines_of(content),
             lambda s, i: F.transform(
                 checks(s), lambda f: F.struct((i + 1).alias("line"), f.alias("f"), trimmed(s).alias("text"))
             ),
         )
     )
-    low = F.lower("content")
+    low = F.lower(content)
     absent = [
         ("server_tokens off;", "nginx_missing_server_tokens_off", "LOW"),
         ("x-frame-options", "nginx_missing_xframe_options", "MEDIUM"),
@@ -266,7 +262,7 @@ def deploy_audit(files: DataFrame) -> DataFrame:
         F.array(
             *[
                 F.when(
-                    (F.col("_kind") == "nginx") & ~F.contains(low, F.lit(word)),
+                    (file_kind == "nginx") & ~F.contains(low, F.lit(word)),
                     F.struct(
                         F.lit(1).alias("line"), finding(issue, sev, F.lit("Whole file")).alias("f"), F.lit("").alias("text")
                     ),
@@ -275,7 +271,19 @@ def deploy_audit(files: DataFrame) -> DataFrame:
             ]
         )
     )
-    return scope.select("project", "path", F.explode(F.concat(per_line, whole)).alias("h")).select(
+    return F.concat(per_line, whole)
+
+
+def deploy_audit(files: DataFrame) -> DataFrame:
+    """Dockerfile, nginx, Makefile, Compose and Kubernetes checks, line by line.
+
+    ``evidence`` is short for display, ``text`` the whole trimmed line (empty for a finding
+    about a whole file). With ``path`` as file the rows are a feed of ``union_scanners`` and
+    ``ingest_union`` (see ``deploy_feed``)."""
+    path, content = F.col("path"), F.col("content")
+    scope = files.withColumn("_kind", deploy_kind(path, content)).filter(F.col("_kind").isNotNull())
+    hits = scope.select("project", "path", F.explode(deploy_hits(F.col("_kind"), content)).alias("h"))
+    return hits.select(
         "project", "path", "h.line", "h.f.issue", "h.f.severity", "h.f.evidence",
         choose(F.col("h.f.issue"), DEPLOY_ADVICE).alias("advice"), "h.text",
     )

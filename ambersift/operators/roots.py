@@ -24,18 +24,14 @@ def json_names(content: Column, *sections: str) -> Column:
     return F.array_distinct(F.concat(*keys))
 
 
-def detect_stack(files: DataFrame) -> DataFrame:
-    """Winning stack of each folder by the points of its marker files.
+def imports_express(path: Column, content: Column) -> Column:
+    """An import proves the dependency wherever it stands, tests included."""
+    return extension(path).isin(*SCRIPT_EXTS) & F.rlike(content, F.lit(EXPRESS_IMPORT))
 
-    A project in which no folder wins is one root of no known stack, so none of its
-    files is lost. Manifests are scored where they are read; only points move."""
-    path, content = F.col("path"), F.col("content")
-    base, low = base_name(path), F.lower(content)
-    live = files.filter(~is_test_like(path))
 
-    # An import proves the dependency wherever it stands, tests included.
-    uses_express = files.filter(extension(path).isin(*SCRIPT_EXTS) & F.rlike(content, F.lit(EXPRESS_IMPORT)))
-    express_dirs = uses_express.select("project", F.explode(ancestor_dirs(path)).alias("dir")).distinct()
+def stack_points(path: Column, content: Column) -> Column:
+    """Array of the (stack, points) of a marker file, null for all others."""
+    base, low = base_name(path), F.lower(content)
 
     def points(stack: str, n: int) -> Column:
         return F.struct(F.lit(stack).alias("stack"), F.lit(n).alias("points"))
@@ -88,10 +84,27 @@ def detect_stack(files: DataFrame) -> DataFrame:
         | python_deps
         | F.rlike(base, F.lit(r"\.(?:csproj|fsproj)\z"))
     )
-    marked = live.filter(marker).withColumn("dir", dir_name(path))
-    scored = marked.select(
-        "project", "dir", F.explode(F.array_compact(F.array(manifest, python, entry, dotnet, *others))).alias("s")
-    ).select("project", "dir", "s.stack", "s.points")
+    return F.when(marker & ~is_test_like(path), F.array_compact(F.array(manifest, python, entry, dotnet, *others)))
+
+
+def detect_stack(files: DataFrame) -> DataFrame:
+    """Winning stack of each folder by the points of its marker files.
+
+    A project in which no folder wins is one root of no known stack, so none of its
+    files is lost. Manifests are scored where they are read; only points move."""
+    path, content = F.col("path"), F.col("content")
+    return settle_stacks(
+        files.select("project", "path", imports_express(path, content).alias("express"), stack_points(path, content).alias("points"))
+    )
+
+
+def settle_stacks(marked: DataFrame) -> DataFrame:
+    """``detect_stack`` from (project, path, express, points) of every file; no texts."""
+    path = F.col("path")
+    express_dirs = marked.filter("express").select("project", F.explode(ancestor_dirs(path)).alias("dir")).distinct()
+    scored = marked.select("project", dir_name(path).alias("dir"), F.explode("points").alias("s")).select(
+        "project", "dir", "s.stack", "s.points"
+    )
     # What moves from here on are points.
     asked, used = F.col("stack") == _EXPRESS_IF_USED, F.col("_express").isNotNull()
     settled = scored.join(express_dirs.withColumn("_express", F.lit(True)), ["project", "dir"], "left").select(
@@ -107,7 +120,7 @@ def detect_stack(files: DataFrame) -> DataFrame:
         (F.col("points") >= MIN_STACK_POINTS)
         | ((F.col("points") >= MIN_GENERIC_POINTS) & (F.col("stack") == GENERIC))
     )
-    return files.select("project").distinct().join(found, "project", "left").select(
+    return marked.select("project").distinct().join(found, "project", "left").select(
         "project", F.coalesce("root", F.lit(".")).alias("root"), F.coalesce("stack", F.lit(GENERIC)).alias("stack"),
         F.coalesce("points", F.lit(0)).cast("long").alias("points"),
     )

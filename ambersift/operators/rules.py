@@ -205,17 +205,18 @@ def _line_of(text: Column) -> Callable[[Column], Column]:
     return lambda s: F.struct(s["rule_id"].alias("rule_id"), line_at(text, s["pos"]).cast("int").alias("line"))
 
 
-def scan_rules(
+def rule_hits(
     files: DataFrame, rules: Sequence[Rule], *, compat: bool = False, directive: str | None = "scan"
 ) -> DataFrame:
-    """(project, path, content[, stack]) -> one row per (file, rule) hit at its first match."""
+    """``files`` (project, path, content[, stack], ..) with ``hits``: an array of the (rule_id,
+    line) that fire in a file, each at its first match. ``code`` and ``docs`` are taken as
+    given if the files have them."""
     active = [r for r in rules if not r.is_project_rule]
-    keep = [c for c in files.columns if c in ("project", "path", "content", "stack")]
     path = F.col("path")
-    base = files.select(
-        *keep, is_test_like(path).alias("_test"), extension(path).alias("_ext"), F.lower(base_name(path)).alias("_base")
+    base = files.withColumns(
+        {"_test": is_test_like(path), "_ext": extension(path), "_base": F.lower(base_name(path))}
     )
-    if any(_needs_views(r, compat) for r in active):
+    if any(_needs_views(r, compat) for r in active) and "code" not in files.columns:
         base = split_code_docs(base)
     # Rules share few extension lists: one expression per list.
     kinds = {e: kind_match(F.col("_ext"), F.col("_base"), e) for e in {r.extensions for r in active}}
@@ -273,10 +274,20 @@ def scan_rules(
             for r in other
         ]
         arrays.append(F.filter(F.array(*spots), lambda s: s["line"] > 0))
-    hits = F.concat(*arrays) if len(arrays) > 1 else arrays[0]
-    out_cols = [c for c in keep if c != "content"]
-    flat = base.select(*out_cols, F.explode(hits).alias("h")).select(*out_cols, "h.rule_id", "h.line")
-    return with_rule_details(flat, active)
+    none = F.array().cast("array<struct<rule_id:string,line:int>>")
+    hits = F.concat(*arrays) if len(arrays) > 1 else arrays[0] if arrays else none
+    return base.select(*files.columns, hits.alias("hits"))
+
+
+def scan_rules(
+    files: DataFrame, rules: Sequence[Rule], *, compat: bool = False, directive: str | None = "scan"
+) -> DataFrame:
+    """(project, path, content[, stack]) -> one row per (file, rule) hit at its first match."""
+    files = files.select(*[c for c in files.columns if c in ("project", "path", "content", "stack")])
+    out_cols = [c for c in files.columns if c != "content"]
+    found = rule_hits(files, rules, compat=compat, directive=directive)
+    flat = found.select(*out_cols, F.explode("hits").alias("h")).select(*out_cols, "h.rule_id", "h.line")
+    return with_rule_details(flat, [r for r in rules if not r.is_project_rule])
 
 
 def with_rule_details(hits: DataFrame, rules: Sequence[Rule]) -> DataFrame:
@@ -312,6 +323,8 @@ def _candidate(rule: Rule, is_test: Column) -> Column:
 
 def _per_project(files: DataFrame, flags: dict[str, Column], keys: Sequence[str] = ("project",)) -> DataFrame:
     """Boolean ORs per project: partial aggregates, so content never moves."""
+    if not flags:
+        return files.select(*keys).distinct()
     return files.groupBy(*keys).agg(*[F.max(F.coalesce(c, F.lit(False))).alias(n) for n, c in flags.items()])
 
 
@@ -330,16 +343,15 @@ def _fired(per: DataFrame, rules: Sequence[Rule], fires: Sequence[Column]) -> Da
     keys = [c for c in ("project", "root", "stack") if c in per.columns]
     if "stack" in keys:
         fires = [c if r.stack == "universal" else c & (F.col("stack") == r.stack) for r, c in zip(rules, fires)]
-    ids = F.array_compact(F.array(*[F.when(c, F.lit(r.id)) for r, c in zip(rules, fires)]))
+    ids = F.array_compact(F.array(*[F.when(c, F.lit(r.id)) for r, c in zip(rules, fires)]).cast("array<string>"))
     return with_rule_details(per.select(*keys, F.explode(ids).alias("rule_id")), rules)
 
 
-def required_pattern(files: DataFrame, rules: Sequence[Rule], roots: DataFrame | None = None) -> DataFrame:
-    """Projects with candidate files of which none matches; with ``roots`` (project, root,
-    stack) every root by itself, for rules of its stack."""
+def with_required_flags(files: DataFrame, rules: Sequence[Rule]) -> tuple[DataFrame, list[str]]:
+    """``files`` with two flags for each required pattern (is a candidate, matches), and their names."""
     rules = [r for r in rules if r.condition == "required_pattern"]
     base = files.withColumn("_test", is_test_like(F.col("path")))
-    if any(r.target in ("code", "docs") for r in rules):
+    if any(r.target in ("code", "docs") for r in rules) and "code" not in files.columns:
         base = split_code_docs(base)
     flags = {}
     for i, r in enumerate(rules):
@@ -347,8 +359,23 @@ def required_pattern(files: DataFrame, rules: Sequence[Rule], roots: DataFrame |
         cand = _candidate(r, F.col("_test"))
         flags[f"c{i}"] = cand
         flags[f"m{i}"] = F.when(cand, matches(text, r.pattern))
+    return base.select(*files.columns, *[F.coalesce(c, F.lit(False)).alias(n) for n, c in flags.items()]), list(flags)
+
+
+def required_missing(flagged: DataFrame, rules: Sequence[Rule], roots: DataFrame | None = None) -> DataFrame:
+    """Required patterns that no candidate of a project (or root) holds; ``flagged`` has the
+    flags of ``with_required_flags``, but needs no texts."""
+    rules = [r for r in rules if r.condition == "required_pattern"]
+    flags = {f"{n}{i}": F.col(f"{n}{i}") for i in range(len(rules)) for n in "cm"}
     fires = [F.col(f"c{i}") & ~F.col(f"m{i}") for i in range(len(rules))]
-    return _fired(_per_project(base, flags) if roots is None else _per_root(base, flags, roots), rules, fires)
+    return _fired(_per_project(flagged, flags) if roots is None else _per_root(flagged, flags, roots), rules, fires)
+
+
+def required_pattern(files: DataFrame, rules: Sequence[Rule], roots: DataFrame | None = None) -> DataFrame:
+    """Projects with candidate files of which none matches; with ``roots`` (project, root,
+    stack) every root by itself, for rules of its stack."""
+    flagged, names = with_required_flags(files, rules)
+    return required_missing(flagged.select("project", "path", *names), rules, roots)
 
 
 def missing_filename(

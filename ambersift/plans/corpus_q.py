@@ -715,7 +715,10 @@ def _deploy_sql() -> str:
     return f"WITH {kinds}, {ls} " + " UNION ALL ".join(rows)
 
 
-@query("deploy_audit", _deploy_sql())
+DEPLOY_SQL = _deploy_sql()
+
+
+@query("deploy_audit", DEPLOY_SQL)
 def _(t):
     return S.deploy_audit(t.repo_files)
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..operators import scan as W
+from ..operators.health import PROFILES
 from ..operators.rules import Rule
 from . import duck as D
 from .corpus_q import (
     _LS, _MINE, _PLACE, ASSIGN_SHOWN, ROOT_LOCK_RULES, ROOT_NAME_RULES, ROOT_RULES, SUPPRESS_RULES, _directive, _gate,
-    _head, _own, _rule_rows,
+    _head, _own, _rule_rows, DEPLOY_SQL,
 )
 from .registry import query
 
@@ -74,3 +77,52 @@ def _(t):
 )
 def _(t):
     return W.scan_summary(W.core_scan(t.repo_files, ALL_RULES))
+
+
+# ---- on to the gate ---------------------------------------------------------
+
+GATES = (PROFILES["baseline"], PROFILES["strict"])
+_AUDIT = (("T-EVAL", "IGNORED"), ("ENTROPY-SECRET", "TRIAGE"), ("dockerfile_root_user", "IGNORED"))
+_KEY = "CASE WHEN file = '' AND line = 0 THEN source || '|' || lower(rule_id) ELSE lower(rule_id) || '|' || lower(file) || '|' || CAST(line AS VARCHAR) END"
+# Every third length of a path has been audited.
+AUDITED_SQL = (
+    CORE_SQL.rstrip()
+    + f""", feed AS (SELECT *, 'core' AS source FROM core UNION ALL
+   SELECT DISTINCT project, '', '', issue, issue, severity, path, CAST(line AS INT), advice, 'deploy' FROM ({DEPLOY_SQL})),
+ notes(rule_id, status) AS (VALUES {", ".join(f"({D.q(r)}, {D.q(s)})" for r, s in _AUDIT)}),
+ audit AS (SELECT f.project, n.rule_id, f.path AS file, n.status FROM (SELECT DISTINCT project, path FROM repo_files WHERE length(path) % 3 = 0) f CROSS JOIN notes n),
+ checked AS (SELECT f.*, coalesce(a.status, 'OPEN') AS audit_status, {D.owasp('f.rule_id')} AS owasp FROM feed f LEFT JOIN audit a ON a.project = f.project AND a.rule_id = f.rule_id AND a.file = f.file) """
+)
+GATE_SQL = (
+    AUDITED_SQL.rstrip()
+    + f""", keyed AS (SELECT *, {_KEY} AS k, audit_status IN ('IGNORED', 'TRIAGE') AS ignored, {D.tenths('severity', 'source')} AS t FROM checked),
+ rep AS (SELECT * FROM keyed QUALIFY row_number() OVER (PARTITION BY project, k ORDER BY ignored, t DESC, {D.rank('severity')}, source, rule_id, severity, file, line) = 1),
+ agg AS (SELECT project, CAST(coalesce(sum(t) FILTER (WHERE NOT ignored), 0) AS BIGINT) AS t, count(*) FILTER (WHERE NOT ignored) AS active_findings, count(*) FILTER (WHERE ignored) AS ignored_findings,
+   count(*) FILTER (WHERE NOT ignored AND severity IN ('CRITICAL', 'HIGH')) AS bad, count(*) FILTER (WHERE NOT ignored AND severity = 'CRITICAL') AS critical,
+   count(*) FILTER (WHERE NOT ignored AND severity = 'HIGH') AS high, count(*) FILTER (WHERE NOT ignored AND severity = 'MEDIUM') AS medium FROM rep GROUP BY project),
+ every_project AS (SELECT p.project, coalesce(t, 0) AS t, coalesce(active_findings, 0) AS active_findings, coalesce(ignored_findings, 0) AS ignored_findings, coalesce(bad, 0) AS bad,
+   coalesce(critical, 0) AS critical, coalesce(high, 0) AS high, coalesce(medium, 0) AS medium FROM (SELECT DISTINCT project FROM repo_files) p LEFT JOIN agg a ON a.project = p.project),
+ scored AS (SELECT *, CAST(least(greatest(round(100.0::DOUBLE - 100.0::DOUBLE * (1.0::DOUBLE - exp(-(t / 10.0::DOUBLE) / 55.0::DOUBLE))), 0), 100) AS BIGINT) AS score FROM every_project),
+ gated AS (SELECT *, 'baseline' AS profile, CAST(bad > 0 AS BIGINT) AS reasons FROM scored
+   UNION ALL SELECT *, 'strict', CAST(active_findings > 0 AS BIGINT) + CAST(critical > 0 AS BIGINT) + CAST(high > 0 AS BIGINT) + CAST(medium > 0 AS BIGINT) + CAST(score < 90 AS BIGINT) FROM scored)
+SELECT project, profile, reasons, CASE WHEN reasons = 0 THEN 'passed' ELSE 'failed' END AS status, score, {D.grade('score')} AS grade, active_findings, ignored_findings FROM gated"""
+)
+
+
+def _audit(t):
+    notes = F.array(*[F.struct(F.lit(r).alias("rule_id"), F.lit(s).alias("status")) for r, s in _AUDIT])
+    noted = t.repo_files.filter(F.length("path") % 3 == 0).select("project", "path").distinct()
+    return noted.select("project", F.col("path").alias("file"), F.explode(notes).alias("n")).select("project", "file", "n.*")
+
+
+@query(
+    "core_audited",
+    AUDITED_SQL + "SELECT project, root, stack, source, rule_id, name, severity, file, line, suggestion, audit_status, owasp FROM checked",
+)
+def _(t):
+    return W.audited_scan(W.written(W.file_facts(t.repo_files, ALL_RULES)), ALL_RULES, _audit(t))
+
+
+@query("core_gate", GATE_SQL)
+def _(t):
+    return W.scan_gate(t.repo_files, ALL_RULES, _audit(t), GATES)
