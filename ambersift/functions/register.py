@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
+from .paths import VENDORED_PARTS
 from .severity import CONFIDENCE, GRADES, OWASP, RANK, SEMANTIC, UNKNOWN_WEIGHT, VULN_CODES, WEIGHT
+from .text import BLANKS, JWT_SHAPE, KNOWN_SECRET_SHAPE, NAMED_SECRET_SHAPE, SENSITIVE_SHAPES
 
 
 def _case(subject: str, mapping: dict, default: str) -> str:
@@ -19,6 +21,18 @@ def _blank(col: str) -> str:
     return f"btrim({col}, ' \\t\\n\\r')"
 
 
+def _text(value: str) -> str:
+    """A text as an SQL literal, whatever it holds."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _redacted(col: str) -> str:
+    steps = ((JWT_SHAPE, "[REDACTED_JWT]"), (KNOWN_SECRET_SHAPE, "[REDACTED_SECRET]"), (NAMED_SECRET_SHAPE, "$1[REDACTED]"))
+    for shape, mark in steps:
+        col = f"regexp_replace({col}, {_text(shape)}, {_text(mark)})"
+    return col
+
+
 def definitions() -> dict[str, tuple[str, str, str]]:
     """name -> (arguments, return type, body)."""
     keys = sorted(VULN_CODES, key=lambda k: (-len(k), k))
@@ -56,6 +70,20 @@ def definitions() -> dict[str, tuple[str, str, str]]:
             _case(f"lower({_blank('confidence')})",
                   {"high": "high", "medium": "medium", "med": "medium", "low": "low"}, "''"),
         ),
+        "redact_secrets": ("t STRING", "STRING", _redacted("t")),
+        "has_sensitive_value": (
+            "t STRING", "BOOLEAN",
+            "coalesce(contains(lower(t), '-----begin ') OR "
+            + " OR ".join(f"rlike(btrim(t, {_text(BLANKS)}), {_text(p)})" for p in SENSITIVE_SHAPES) + ", false)",
+        ),
+        "is_vendored": (
+            "path STRING", "BOOLEAN", " OR ".join(f"contains(path, {_text(p)})" for p in VENDORED_PARTS)
+        ),
+        "file_extension": ("path STRING", "STRING", f"lower(regexp_extract(path, {_text(r'(\.[^./]*)\z')}, 1))"),
+        "sarif_level": (
+            "severity STRING", "STRING",
+            _case("upper(severity)", {"CRITICAL": "error", "HIGH": "error", "LOW": "note"}, "'warning'"),
+        ),
         "shannon_entropy": (
             "t STRING", "DOUBLE",
             "CASE WHEN octet_length(t) = 0 THEN 0.0D ELSE aggregate(filter(array_distinct(split(t, '')), c -> c != ''),"
