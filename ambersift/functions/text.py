@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -60,8 +60,14 @@ def contains_any(col: Column, words: Sequence[str]) -> Column:
     return any_of([F.contains(col, F.lit(w)) for w in words])
 
 
+def once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(value)`` with ``value`` worked out a single time, however often ``f`` mentions it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def newline_count(col: Column) -> Column:
-    return F.length(col) - F.length(F.replace(col, F.lit("\n"), F.lit("")))
+    """A newline is one byte, and bytes need no decoding to be counted."""
+    return F.octet_length(col) - F.octet_length(F.replace(col, F.lit("\n"), F.lit("")))
 
 
 def lines_of(col: Column) -> Column:

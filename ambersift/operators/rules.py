@@ -19,6 +19,7 @@ from ..functions.text import all_of, any_of, contains_any, lines_of, newline_cou
 from .code_text import split_code_docs
 from .directives import Hidden, directive_index, hidden_by, never
 from .roots import assign_project
+from .unroll import unrolled
 
 PROJECT_CONDITIONS = ("missing_lockfile", "missing", "required_pattern")
 GOD_FILE_LINES = 1500
@@ -286,7 +287,7 @@ def scan_rules(
     files = files.select(*[c for c in files.columns if c in ("project", "path", "content", "stack")])
     out_cols = [c for c in files.columns if c != "content"]
     found = rule_hits(files, rules, compat=compat, directive=directive)
-    flat = found.select(*out_cols, F.explode("hits").alias("h")).select(*out_cols, "h.rule_id", "h.line")
+    flat = unrolled(found, out_cols, "hits", "h").select(*out_cols, "h.rule_id", "h.line")
     return with_rule_details(flat, [r for r in rules if not r.is_project_rule])
 
 

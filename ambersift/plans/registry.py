@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import written
+from ..session import slice_count, written
 from .views import BASE, DERIVED, duck_sql, spark_sql_text
 
 
 # Corpora: written as many files when they are stored.
 TEXT_VIEWS = ("source_files", "code_files", "project_files", "repo_files", "git_lines")
+# Tables whose short rows views make texts of.
+TEXT_SOURCES = ("orders",)
 
 
 _STORED: dict[tuple[str, str, str], DataFrame] = {}
@@ -62,7 +64,21 @@ class Tables:
         for base in BASE:
             if base in text:
                 self._mount(base)
-        return self.spark.sql(text)
+        if name not in TEXT_VIEWS:
+            return self.spark.sql(text)
+        # A short row becomes a text: rows are dealt out first, as a table may be a single
+        # row group, which one task would read and turn into all the texts.
+        made = [base for base in TEXT_SOURCES if base in text]
+        for base in made:
+            self._read(base).repartition(self._slices()).createOrReplaceTempView(base)
+        try:
+            return self.spark.sql(text)
+        finally:
+            for base in made:
+                self._read(base).createOrReplaceTempView(base)
+
+    def _slices(self) -> int:
+        return max(slice_count(self.spark), self.spark.sparkContext.defaultParallelism)
 
 
 Query = Callable[[SparkSession, str], DataFrame]
