@@ -16,6 +16,7 @@ from ..functions.text import (
 from .citations import cited_only
 from .directives import directive_index, hidden_by
 from .rules import GOD_FILE_LINES
+from .unroll import unrolled
 
 CODE_EXTS = (".go", ".ts", ".tsx", ".js", ".jsx", ".py")
 # Words that generated scaffolding leaves behind.
@@ -99,8 +100,9 @@ def _is_code(path: Column) -> Column:
 
 
 def large_files(files: DataFrame, limit: int = GOD_FILE_LINES) -> DataFrame:
-    n = newline_count(F.col("content")).cast("long")
-    return files.select("project", "path", n.alias("newlines")).filter(F.col("newlines") > limit)
+    # Counted once: a filter on the count would count again below the place where texts are made.
+    n = F.filter(F.array(newline_count(F.col("content")).cast("long")), lambda n: n > limit)
+    return unrolled(files, ["project", "path"], n, "newlines")
 
 
 def placeholder_count(files: DataFrame, limit: int = PLACEHOLDER_LIMIT) -> DataFrame:
@@ -114,26 +116,31 @@ def brittle_files(files: DataFrame) -> DataFrame:
     return files.filter(is_brittle(F.col("path"), c)).select("project", "path", F.octet_length(c).cast("long").alias("bytes"))
 
 
-def numbered_lines(files: DataFrame, keep: Sequence[str], only: Callable[[Column], Column]) -> DataFrame:
-    """(keep.., line, text) of the lines where ``only`` holds.
+def numbered_lines(
+    files: DataFrame, keep: Sequence[str], only: Callable[[Column], Column], suspect: Column | None = None
+) -> DataFrame:
+    """(keep.., line, text) of the lines where ``only`` holds, in files that are ``suspect``.
 
     The array of lines is cut before it is exploded: rows are made for hits alone."""
     spots = F.transform(lines_of(F.col("content")), lambda s, i: F.struct((i + 1).alias("line"), s.alias("text")))
     hits = F.filter(spots, lambda s: only(s["text"]))
-    return files.select(*keep, F.explode(hits).alias("s")).select(*keep, "s.line", "s.text")
+    if suspect is not None:
+        hits = F.when(suspect, hits)
+    return unrolled(files, keep, hits, "s").select(*keep, "s.line", "s.text")
 
 
 def may_hold_secret(text: Column) -> Column:
     """Byte searches that no secret format gets past; the regexes run on what is left."""
-    return contains_any(text, SECRET_MARKS) | contains_any(F.lower(text), SECRET_WORDS)
+    return contains_any(text, SECRET_MARKS) | F.exists(F.array(F.lower(text)), lambda t: contains_any(t, SECRET_WORDS))
 
 
 def secret_scan(files: DataFrame, keep: Sequence[str] = ("project", "path")) -> DataFrame:
     """Lines with a known secret format; the first format in the list wins."""
     text = F.col("text")
     # A whole-file test first: most files never become lines.
-    suspects = files.filter(may_hold_secret(F.col("content")))
-    hits = numbered_lines(suspects, keep, lambda t: may_hold_secret(t) & F.rlike(t, F.lit(ANY_SECRET)))
+    hits = numbered_lines(
+        files, keep, lambda t: may_hold_secret(t) & F.rlike(t, F.lit(ANY_SECRET)), may_hold_secret(F.col("content"))
+    )
     name = first_where([(F.rlike(text, F.lit(p)), n) for n, p in SECRET_PATTERNS])
     return hits.select(*keep, "line", name.alias("pattern"), redact_preview(text).alias("preview"))
 
@@ -168,14 +175,20 @@ def secret_hits(path: Column, content: Column, directive: str | None = None) ->
     vendor = [(n, p) for n, p in SECRET_PATTERNS if not n.startswith("Generic")]
     any_vendor = "|".join(f"(?:{p})" for _, p in vendor)
 
-    def detail(line: Column, text: Column, calls: Column) -> Column:
-        var, value = F.regexp_extract(text, ASSIGNMENT, 1), F.regexp_extract(text, ASSIGNMENT, 2)
-        named = _assigns(path) & (var != "") & is_high_entropy(value)
-        kind = first_where([(F.rlike(text, F.lit(p)), n) for n, p in vendor], F.when(named, F.lit("Secret Assignment")))
-        name = F.when(named, var).otherwise(F.lit(""))
+    def taken(s: Column) -> Column:
+        parts = [F.regexp_extract(s["text"], ASSIGNMENT, i) for i in (1, 2)]
+        return F.struct(s["line"].alias("line"), s["text"].alias("text"), parts[0].alias("var"), parts[1].alias("value"))
+
+    def named(s: Column, assigns: Column) -> Column:
+        is_secret = assigns & (s["var"] != "") & is_high_entropy(s["value"])
+        return F.struct(s["line"].alias("line"), s["text"].alias("text"), F.when(is_secret, s["var"]).otherwise(F.lit("")).alias("var"))
+
+    def detail(s: Column, calls: Column) -> Column:
+        text, name = s["text"], s["var"]
+        kind = first_where([(F.rlike(text, F.lit(p)), n) for n, p in vendor], F.when(name != "", F.lit("Secret Assignment")))
         logged = (name != "") & F.exists(calls, lambda c: F.contains(c, F.lower(name)))
         return F.struct(
-            line.alias("line"), name.alias("var_name"), kind.alias("kind"),
+            s["line"].alias("line"), name.alias("var_name"), kind.alias("kind"),
             F.when(logged, F.lit(LEAK_ID)).otherwise(F.lit(SECRET_ID)).alias("rule_id"), redact_preview(text).alias("preview"),
         )
 
@@ -185,14 +198,16 @@ def secret_hits(path: Column, content: Column, directive: str | None = None) ->
             spots,
             lambda s: may_hold_secret(s["text"]) & (F.rlike(s["text"], F.lit(any_vendor)) | F.rlike(s["text"], F.lit(ASSIGNMENT))),
         )
-        found = F.filter(F.transform(lines, lambda s: detail(s["line"], s["text"], b["calls"])), lambda h: h["kind"].isNotNull())
+        # Name and value are taken from a line once, then judged, then told.
+        judged = F.transform(F.transform(lines, taken), lambda s: named(s, b["assigns"]))
+        found = F.filter(F.transform(judged, lambda s: detail(s, b["calls"])), lambda h: h["kind"].isNotNull())
         if not directive:
             return found
         hidden = hidden_by(b["marks"])
         return F.filter(found, lambda h: ~hidden(h["line"], h["rule_id"]) & ~hidden(h["line"], F.lit(SECRET_ID)))
 
     calls = F.transform(F.regexp_extract_all(content, F.lit(LOG_CALL), F.lit(0)), lambda c: F.lower(c))
-    parts = [calls.alias("calls")]
+    parts = [calls.alias("calls"), _assigns(path).alias("assigns")]
     if directive:
         parts.append(directive_index(content, directive).alias("marks"))
     # What is asked for every line is worked out once per file.
@@ -204,8 +219,8 @@ def secret_assignments(files: DataFrame, directive: str | None = None) -> DataFr
     code and env files; escalated when the variable is also logged. A directive hides a
     secret if it names the id of the hit, or that of any secret."""
     path, content = F.col("path"), F.col("content")
-    suspects = files.filter(holds_assignments(path, content))
-    hits = suspects.select("project", "path", F.explode(secret_hits(path, content, directive)).alias("h"))
+    # Files out of scope have a null array: a filter on the text would go below the place where it is made.
+    hits = unrolled(files, ["project", "path"], secret_hits(path, content, directive), "h")
     return hits.select(
         "project", "path", "h.line", "h.var_name", "h.kind", "h.rule_id", F.lit("CRITICAL").alias("severity"), "h.preview"
     )
