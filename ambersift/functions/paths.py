@@ -9,7 +9,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import contains_any, trimmed
+from .text import contains_any, once, trimmed
 
 # Names of folders that hold test, mock, fixture or spec code.
 TEST_DIRS = (
@@ -158,15 +158,25 @@ def relative_uri(path: Column, root: str | None = None) -> Column:
     if root is None:
         return F.regexp_replace(path, r"^/+", "")
     top = [p for p in posixpath.normpath(root.replace("\\", "/")).split("/") if p]
-    parts = F.filter(F.split(clean_path(path), "/"), lambda p: p != "")
-    # How many of the root's parts the path begins with.
-    same = [F.slice(parts, 1, k) == F.array(*[F.lit(p) for p in top[:k]]) for k in range(1, len(top) + 1)]
-    n = F.lit(0)
-    for k, holds in enumerate(same, 1):
-        n = F.when(holds, F.lit(k)).otherwise(n)
-    up = F.array_repeat(F.lit(".."), F.lit(len(top)) - n)
-    inside = F.array_join(F.concat(up, F.slice(parts, n + 1, F.greatest(F.size(parts), F.lit(1)))), "/")
-    return F.when(F.startswith(path, F.lit("/")), F.coalesce(F.nullif(inside, F.lit("")), F.lit("."))).otherwise(path)
+
+    def inside(parts: Column) -> Column:
+        # How many of the root's parts the path begins with.
+        same = [F.slice(parts, 1, k) == F.array(*[F.lit(p) for p in top[:k]]) for k in range(1, len(top) + 1)]
+        n = F.lit(0)
+        for k, holds in enumerate(same, 1):
+            n = F.when(holds, F.lit(k)).otherwise(n)
+        return once(n, lambda n: F.array_join(
+            F.concat(
+                F.array_repeat(F.lit(".."), F.lit(len(top)) - n), F.slice(parts, n + 1, F.greatest(F.size(parts), F.lit(1)))
+            ), "/",
+        ))
+
+    def cited(path: Column) -> Column:
+        within = once(F.filter(F.split(clean_path(path), "/"), lambda p: p != ""), inside)
+        named = once(within, lambda w: F.when(w == "", F.lit(".")).otherwise(w))
+        return F.when(F.startswith(path, F.lit("/")), named).otherwise(path)
+
+    return once(path, cited)
 
 
 def ancestor_dirs(path: Column) -> Column:
