@@ -1,17 +1,20 @@
 """Change groups of a stream: keyed state with timers, one row per file of a closed group.
 
-A workspace's open groups are map states: spans (start -> last change, changes) and files
-((start, path) -> first change, changes). Rows of a micro-batch are taken chunk by chunk, in
-any order within the watermark's delay; a chunk's quiet-separated runs are merged into the
-spans they touch. A timer closes a span when the watermark has passed its last change by
-the quiet period, and its rows leave the state. A span that is never quiet ends at
-``max_age``: later changes open the next one. So state is bounded by the files changed
-within one such age and the delay, not by the number of changes.
+A workspace's open groups are list states: spans (start, last change, changes, id), files
+(span id, path, first change, changes) and the ids of spans that another one took over. Rows
+of a micro-batch are taken chunk by chunk, in any order within the watermark's delay; a
+chunk's quiet-separated runs are merged into the spans they touch. State is read and written
+once per workspace and batch, as every single access is a call to the state store. Rows of the
+same file are added up when the list has doubled. One timer per workspace stands for the
+span that ends first: a span closes when the watermark has passed its last change by the
+quiet period, and its rows leave the state. A span that is never quiet ends at ``max_age``:
+later changes open the next one. So state is bounded by the files changed within one such
+age and the delay, not by the number of changes.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -27,23 +30,39 @@ class Debounce(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.spans = handle.getMapState("spans", "start long", "last long, events long")
-        self.files = handle.getMapState("files", "start long, path string", "first long, events long")
-
-    def _file(self, start: int, path: str, first: int, n: int) -> None:
-        if self.files.containsKey((start, path)):
-            old = self.files.getValue((start, path))
-            first, n = min(first, old[0]), n + old[1]
-        self.files.updateValue((start, path), (first, n))
-
-    def _of_span(self, start: int) -> list[tuple]:
-        return [(k, v) for k, v in list(self.files.iterator()) if k[0] == start]
-
-    def _add(self, open_: dict[int, tuple[int, int]], at: np.ndarray, paths: np.ndarray) -> None:
-        """Put a run of sorted times without a quiet period into the open spans."""
+        self.spans = handle.getListState("spans", "start long, last long, events long, id long")
+        self.files = handle.getListState("files", "id long, path string, first long, events long")
+        self.moves = handle.getListState("moves", "id long, into long")
+        self.sizes = handle.getValueState("sizes", "rows long, summed long")
+
+    def _open(self) -> tuple[dict[int, tuple[int, int, int]], dict[int, int]]:
+        return {start: (last, n, i) for start, last, n, i in self.spans.get()}, dict(self.moves.get())
+
+    def _keep(self, open_: dict[int, tuple[int, int, int]]) -> None:
+        """Write the spans and set the timer of the one that ends first."""
+        if not open_:
+            self.spans.clear()
+            return
+        self.spans.put([(start, *span) for start, span in open_.items()])
+        self.handle.registerTimer(min(self._closes(start, span[0]) for start, span in open_.items()))
+
+    def _append(self, new: list[tuple], moved: dict[int, int]) -> None:
+        rows, summed = self.sizes.get() if self.sizes.exists() else (0, 0)
+        rows += len(new)
+        if rows > max(_ROWS, 2 * summed):
+            new = _summed([*self.files.get(), *new], moved)
+            rows = summed = len(new)
+            self.files.put(new)
+            moved.clear()
+        else:
+            self.files.appendList(new)
+        self.sizes.update((rows, summed))
+
+    def _add(self, open_: dict, moved: dict[int, int], new: list[tuple], at: np.ndarray, paths: np.ndarray) -> None:
+        """Put a run of sorted times without a quiet period into the open spans; its files become ``new`` rows."""
         while len(at):
             near = [
-                s for s, (last, _) in open_.items()
+                s for s, (last, _, _) in open_.items()
                 if at[0] - last < self.gap and s - at[-1] < self.gap and (at[0] < s + self.age) and at[0] > s - self.age
             ]
             start = min([int(at[0]), *near])
@@ -51,20 +70,15 @@ class Debounce(StatefulProcessor):
             # Spans that this run joins up move to the earliest start, as far as the age allows.
             near = [s for s in near if open_[s][0] < start + self.age]
             last, n = int(at[cut - 1]), cut
+            # A span that starts there already is kept as it is, near or not.
+            i = open_[start][2] if start in open_ else 1 + max([*moved, *(span[2] for span in open_.values())], default=0)
             for s in near:
                 last, n = max(last, open_[s][0]), n + open_[s][1]
                 if s != start:
-                    for key, (first, events) in self._of_span(s):
-                        self.files.removeKey(key)
-                        self._file(start, key[1], first, events)
-                    self.spans.removeKey((s,))
-                    del open_[s]
+                    moved |= {k: i for k, into in moved.items() if into == open_[s][2]} | {open_.pop(s)[2]: i}
             seen = pd.DataFrame({"path": paths[:cut], "at": at[:cut]}).groupby("path")["at"].agg(["min", "size"])
-            for path, first, events in zip(seen.index, seen["min"].tolist(), seen["size"].tolist()):
-                self._file(start, path, first, events)
-            open_[start] = (last, n)
-            self.spans.updateValue((start,), (last, n))
-            self.handle.registerTimer(self._closes(start, last))
+            new += zip([i] * len(seen), seen.index, seen["min"].tolist(), seen["size"].tolist())
+            open_[start] = (last, n, i)
             at, paths = at[cut:], paths[cut:]
 
     def _closes(self, start: int, last: int) -> int:
@@ -72,35 +86,61 @@ class Debounce(StatefulProcessor):
         return -(-min(last + self.gap, start + self.age) // 1000)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        open_ = {k[0]: (v[0], v[1]) for k, v in list(self.spans.iterator())}
+        open_, moved = self._open()
+        before = dict(moved)
         for chunk in rows:
+            new: list[tuple] = []
             chunk = chunk.sort_values("us", kind="stable")
             at, paths = chunk["us"].to_numpy(np.int64), chunk["path"].to_numpy()
             ends = np.flatnonzero(np.diff(at) >= self.gap) + 1
             for s, e in zip([0, *ends.tolist()], [*ends.tolist(), len(at)]):
-                self._add(open_, at[s:e], paths[s:e])
+                self._add(open_, moved, new, at[s:e], paths[s:e])
+            if new:
+                self._append(new, moved)
+        if moved != before:
+            self.moves.put(list(moved.items())) if moved else self.moves.clear()
+        self._keep(open_)
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs()
-        for (start,), (last, _) in list(self.spans.iterator()):
-            if self._closes(start, last) > now:
-                continue  # it has grown since this timer was set, and has a later one
-            rows = self._of_span(start)
-            self.spans.removeKey((start,))
-            for k, _ in rows:
-                self.files.removeKey(k)
-            for i in range(0, len(rows), _ROWS):
-                part = rows[i : i + _ROWS]
-                yield pd.DataFrame({
-                    "workspace": key[0], "started_at": _times([start] * len(part)), "path": [k[1] for k, _ in part],
-                    "first_change": _times([v[0] for _, v in part]), "events": [v[1] for _, v in part],
-                })
+        open_, moved = self._open()
+        due = {i: start for start, (last, _, i) in open_.items() if self._closes(start, last) <= now}
+        if not due:
+            return  # its span has grown since this timer was set, and has a later one
+        files = _summed(self.files.get(), moved)
+        left = [f for f in files if f[0] not in due]
+        if left:
+            self.files.put(left)
+            self.sizes.update((len(left), len(left)))
+        else:
+            self.files.clear()
+            self.sizes.clear()
+        if moved:
+            self.moves.clear()
+        self._keep({start: span for start, span in open_.items() if span[2] not in due})
+        out = [f for f in files if f[0] in due]
+        for i in range(0, len(out), _ROWS):
+            part = out[i : i + _ROWS]
+            yield pd.DataFrame({
+                "workspace": key[0], "started_at": _times([due[f[0]] for f in part]), "path": [f[1] for f in part],
+                "first_change": _times([f[2] for f in part]), "events": [f[3] for f in part],
+            })
 
     def close(self) -> None:
         pass
 
 
+def _summed(files: Iterable[tuple], moved: dict[int, int]) -> list[tuple]:
+    """One row per span and file, under the id of the span that took the row's span over."""
+    out: dict[tuple, tuple[int, int]] = {}
+    for i, path, first, events in files:
+        key = (moved.get(i, i), path)
+        old = out.get(key)
+        out[key] = (min(first, old[0]), events + old[1]) if old else (first, events)
+    return [(*key, *value) for key, value in out.items()]
+
+
 def _times(us: list[int]) -> pd.Series:
     """Microseconds as instants; Spark takes plain times to be in the session's zone."""
     return pd.Series(pd.to_datetime(us, unit="us", utc=True))

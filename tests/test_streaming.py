@@ -160,3 +160,60 @@ def test_incremental_scan_sees_changed_files_only(spark, tmp_path):
 def test_moves(spark, before, after, move):
     df = spark.createDataFrame([(before, after)], "b string, a string")
     assert df.select(lifecycle.verdict_of_move(F.col("b"), F.col("a")).alias("m")).first()["m"] == move
+
+
+def test_debounce_reads_and_writes_state_once_a_batch(monkeypatch):
+    import pandas as pd
+
+    from ambersift.streaming import debounce
+
+    class State(list):
+        def __init__(self):
+            self.calls = 0
+
+        def _call(self, rows):
+            self.calls += 1
+            self[:] = rows
+
+        put = update = _call
+
+        def get(self):
+            self.calls += 1
+            return iter(list(self))
+
+        def appendList(self, rows):
+            self._call([*self, *rows])
+
+        def clear(self):
+            self._call([])
+
+        def exists(self):
+            return False
+
+    class Handle:
+        def __init__(self):
+            self.states, self.timers = [], []
+
+        def getListState(self, name, schema):
+            self.states.append(State())
+            return self.states[-1]
+
+        getValueState = getMapState = getListState
+
+        def registerTimer(self, at):
+            self.timers.append(at)
+
+    class Now:
+        def getCurrentWatermarkInMs(self):
+            return 10**9
+
+    handle, task = Handle(), debounce.Debounce(10, None)
+    task.init(handle)
+    # Two runs that a third one joins, and three hundred spans of their own.
+    for us in ([0, 18, *range(1000, 301000, 1000)], [9]):
+        list(task.handleInputRows(("w",), iter([pd.DataFrame({"us": us, "path": ["p"] * len(us)})]), Now()))
+    assert sum(s.calls for s in handle.states) < 30 and len(handle.timers) == 2
+    out = pd.concat(task.handleExpiredTimer(("w",), Now(), None))
+    assert len(out) == 301
+    assert sorted(out["events"])[-1] == 3 and out["first_change"].min() == out["started_at"].min()
+    assert all(not s for s in handle.states[:3])
