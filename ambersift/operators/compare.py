@@ -150,7 +150,7 @@ def still_present(stored: DataFrame, rescan: DataFrame, by: Sequence[str] = ())
     own = F.array(
         key("r:", F.col("rule_id")), key("t:", F.col("_t")), F.when(F.startswith("rule_id", F.lit("gitleak-")), F.lit("leak"))
     )
-    sk = s.withColumn("tid", text_id(F.col("_t"))).join(targets, [*by, "tid"], "left")
+    sk = s.withColumn("tid", text_id(F.col("_t"))).join(targets.hint("merge"), [*by, "tid"], "left")
     named = F.transform(F.coalesce("_names", F.array().cast("array<string>")), lambda n: F.concat(F.lit("h:"), n))
     sk = sk.select(*by, "id", "_f", "_anywhere", F.explode(F.array_compact(F.concat(own, named))).alias("_k"))
 
@@ -162,7 +162,7 @@ def still_present(stored: DataFrame, rescan: DataFrame, by: Sequence[str] = ())
         F.when(kind == "network", key("h:", F.col("_rt"))),
         F.when(kind == "leak", F.lit("leak")),
     )
-    rk = r.withColumn("tid", F.when(kind == "external", text_id(F.col("_rt")))).join(titles, [*by, "tid"], "left")
+    rk = r.withColumn("tid", F.when(kind == "external", text_id(F.col("_rt")))).join(titles.hint("merge"), [*by, "tid"], "left")
     named = F.transform(F.coalesce("_names", F.array().cast("array<string>")), lambda n: F.concat(F.lit("t:"), n))
     rk = rk.select(*by, "_type", "_rf", F.explode(F.array_compact(F.concat(one, named))).alias("_k"))
 
@@ -182,7 +182,7 @@ def still_present(stored: DataFrame, rescan: DataFrame, by: Sequence[str] = ())
     mine = F.concat(F.array(token("end", F.col("_f"))), suffixes("path", F.col("_f")))
     mine = F.when(F.col("_anywhere"), F.array(token("somewhere", nowhere))).otherwise(mine)
     want = sk.select(*by, "id", "_k", F.explode(F.concat(F.array(token("free", nowhere)), mine)).alias("_token"))
-    return want.join(have, [*by, "_k", "_token"], "left_semi").select(*by, "id").distinct()
+    return want.join(have.hint("merge"), [*by, "_k", "_token"], "left_semi").select(*by, "id").distinct()
 
 
 def component_risk(components: DataFrame, f: DataFrame, by: str = "product_id") -> DataFrame:
@@ -195,9 +195,9 @@ def component_risk(components: DataFrame, f: DataFrame, by: str = "product_id")
     worst = written(worst.select(by, text_id(F.col("text")).alias("tid"), "text", "_level"))
     names = components.select(by, F.lower("component").alias("name"))
     found = names_in(worst.select(by, "tid", "text"), names, [by])
-    named = worst.select(by, "tid", "_level").join(found, [by, "tid"])
+    named = worst.select(by, "tid", "_level").join(found.hint("merge"), [by, "tid"])
     top = named.groupBy(by, F.col("name").alias("_n")).agg(F.max("_level").alias("_level"))
-    out = components.withColumn("_n", F.lower("component")).join(top, [by, "_n"], "left")
+    out = components.withColumn("_n", F.lower("component")).join(top.hint("merge"), [by, "_n"], "left")
     risk = F.coalesce(choose(F.col("_level"), {1: "MEDIUM", 2: "HIGH", 3: "CRITICAL"}), F.lit("LOW"))
     return out.select(*components.columns, risk.alias("risk"))
 

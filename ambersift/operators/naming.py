@@ -46,7 +46,7 @@ def pieces_of_names(names: DataFrame, by: Sequence[str]) -> DataFrame:
     held = names.select(*by, "name", F.explode(pieces).alias("piece"))
     common = held.groupBy(*by, "piece").agg(F.count(F.lit(1)).alias("n"))
     rarest = F.min(F.struct("n", "piece")).alias("m")
-    least = held.join(common, [*by, "piece"]).groupBy(*by, "name").agg(rarest)
+    least = held.join(common.hint("merge"), [*by, "piece"]).groupBy(*by, "name").agg(rarest)
     return written(least.select(*by, "name", F.col("m.piece").alias("piece")))
 
 
@@ -66,11 +66,13 @@ def names_in(texts: DataFrame, names: DataFrame, by: Sequence[str] = ()) -> Data
     pieces = pieces_of_names(names, by)
     found = postings(texts, pieces, by).withColumn("_salt", F.pmod(F.xxhash64("tid"), F.lit(SALT)))
     salted = pieces.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALT - 1).cast("long"))))
-    pairs = written(found.join(salted, [*by, "piece", "_salt"]).select(*by, "tid", "name"))
+    # Names are merged, not sent to every task: they are as many as there are groups, and the
+    # small files they were written to say little of their size, even less after salting.
+    pairs = written(found.join(salted.hint("merge"), [*by, "piece", "_salt"]).select(*by, "tid", "name"))
     # A short name is its own piece, so that the posting is the answer.
     short = pairs.filter(F.length("name") <= GRAM)
     asked = pairs.filter(F.length("name") > GRAM).groupBy(*by, "tid").agg(F.collect_set("name").alias("_names"))
-    met = cited_only(texts, asked, [*by, "tid"]).join(asked, [*by, "tid"])
+    met = cited_only(texts, asked, [*by, "tid"]).join(asked.hint("merge"), [*by, "tid"])
     held = F.filter("_names", lambda n: F.contains(F.col("text"), n))
     return met.select(*by, "tid", F.explode(held).alias("name")).unionByName(short)
 

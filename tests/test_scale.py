@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ambersift.operators import compare, file_checks, merge, naming, ordering, timeline, triage
-from ambersift.session import bucketed
+from ambersift.session import bucketed, written
 from ambersift.sources import reports
 from ambersift.streaming import changes
 
@@ -406,3 +406,20 @@ def test_documents_are_json(tables):
             held.setdefault(r["project"], []).append(r["value"])
         docs = [json.loads("".join(v)) for v in held.values()]
         assert docs and any(d.get("components") or d["runs"][0]["results"] for d in docs)
+
+
+def test_names_are_not_broadcast(spark, monkeypatch):
+    """The small file of the names says little of their size once they are salted."""
+    plans = []
+
+    def keep(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return written(df)
+
+    monkeypatch.setattr(naming, "written", keep)
+    texts = naming.distinct_texts(spark.createDataFrame([(1, "about nginx here")], "k int, text string"), ["k"])
+    names = spark.createDataFrame([(1, "nginx")], "k int, name string")
+    found = naming.names_in(texts, names, ["k"])
+    # One broadcast only: that of the bit table.
+    assert "SortMergeJoin" in plans[-1] and plans[-1].count("BroadcastHashJoin") == 1
+    assert [r["name"] for r in found.collect()] == ["nginx"]
