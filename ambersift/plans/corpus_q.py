@@ -969,25 +969,16 @@ _OWN_IGNORES = "!app.dockerfile\n/src/auth*.py\n"
 
 
 def _landed(files, spark) -> str:
-    """The files as a tree in the shared folder, with ignore files at its top and in every tenth project."""
+    """The files as a packed tree in the shared folder, with ignore files at its top and in every tenth project."""
     root = f"{shared_dir(spark)}/tree-{uuid.uuid4().hex}"
     plain = root.removeprefix("file://").removeprefix("file:")
     own = files.select("project").distinct().filter(F.col("project").rlike("3$")).select(
         F.concat("project", F.lit("/.gitignore")).alias("path"), F.lit(_OWN_IGNORES).alias("content")
     )
-    top = spark.createDataFrame([(".gitignore", _ROOT_IGNORES)], "path string, content string")
-    rows = files.select(F.concat_ws("/", "project", "path").alias("path"), "content").unionByName(own).unionByName(top)
-
-    def land(batches):
-        for batch in batches:
-            for path, text in zip(batch["path"].to_pylist(), batch["content"].to_pylist()):
-                file = os.path.join(plain, path)
-                os.makedirs(os.path.dirname(file), exist_ok=True)
-                with open(file, "w", encoding="utf-8", newline="") as f:
-                    f.write(text or "")
-            yield batch.select(["path"])
-
-    rows.mapInArrow(land, "path string").count()
+    rows = files.select(F.concat_ws("/", "project", "path").alias("path"), "content").unionByName(own)
+    trees.pack_tree(rows, root)
+    with open(os.path.join(plain, ".gitignore"), "w", encoding="utf-8", newline="") as f:
+        f.write(_ROOT_IGNORES)
     return root
 
 
@@ -1004,6 +995,6 @@ def _landed(files, spark) -> str:
     AND NOT ({D.ext('path')} IN ('.md', '.markdown') AND contains(left(content, 512), '<!-- generated-report -->'))""",
 )
 def _(t):
-    files = trees.read_corpus_tree(t.spark, _landed(t.repo_files, t.spark))
+    files = trees.read_corpus_tree(t.spark, _landed(t.repo_files, t.spark), packed=True)
     # The ignore files themselves are files of the tree, too.
     return files.filter(c("path") != ".gitignore").select("project", "path", F.octet_length("content").cast("long").alias("bytes"))

@@ -2,7 +2,7 @@
 
 import pytest
 
-from ambersift.sources.trees import Tree, ignore_rules, judged_tree, list_tree, read_corpus_tree
+from ambersift.sources.trees import Tree, ignore_rules, judged_tree, list_tree, pack_tree, read_corpus_tree
 
 
 def kept(text, path, folder=False):
@@ -115,3 +115,30 @@ def test_tree_reads_through_arrow(tree):
     local, arrow = Tree(str(tree / "t")), Tree(str(tree / "t"))
     arrow.fs = fs.LocalFileSystem()
     assert [e for e in arrow.entries("gen")] == local.entries("gen") and arrow.read("app/main.py") == b"print(1)"
+
+
+def test_packed_tree_is_the_same_tree_in_few_files(spark, tmp_path):
+    """Before, every file and folder took a disk block of its own."""
+    texts = {p: t for p, t in FILES.items() if p != ".gitignore"} | {f"many/d{i}/f{i}.py": f"x = {i}" for i in range(300)}
+    for root in ("plain", "packed"):
+        (tmp_path / root).mkdir()
+        (tmp_path / root / ".gitignore").write_text(FILES[".gitignore"], encoding="utf-8")
+    for path, text in texts.items():
+        file = tmp_path / "plain" / path
+        file.parent.mkdir(parents=True, exist_ok=True)
+        file.write_text(text, encoding="utf-8")
+    rows = [*texts.items(), ("app/main.py", FILES["app/main.py"]), ("many/none.py", None), ("", "no file")]
+    (tmp_path / "plain/many/none.py").write_text("")
+    packed = str(tmp_path / "packed")
+    pack_tree(spark.createDataFrame(rows, "path string, content string"), packed, pack_files=100)
+    assert len([*(tmp_path / "packed").rglob("*")]) <= 6  # archives and the top's ignore file
+
+    def read(root, **how):
+        return sorted(map(tuple, read_corpus_tree(spark, str(tmp_path / root), max_bytes=2000, **how).collect()))
+
+    assert read("packed", packed=True) == read("plain") and len(read("plain")) > 300
+    listed = [sorted(map(tuple, judged_tree(spark, str(tmp_path / r), max_bytes=2000, packed=p).select("path", "folder", "size", "skipped").collect()))
+              for r, p in (("plain", False), ("packed", True))]
+    assert listed[0] == listed[1]
+    (tmp_path / "packed/broken.zip").write_bytes(b"no archive")
+    assert ("broken.zip", "unreadable") in [(r.path, r.skipped) for r in list_tree(spark, packed, packed=True).collect()]
