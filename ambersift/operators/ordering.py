@@ -55,7 +55,8 @@ def rank_within(df: DataFrame, group: Sequence[str], order: Sequence[Column], na
     rows = ordered_slices(df, group, order)
     sizes = rows.groupBy(*group, _SLICE).agg(F.count(F.lit(1)).alias("_n"), F.min(_POS).alias("_first"))
     sizes = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(_earlier_slices(group)), F.lit(0)))
-    out = _attach(rows, sizes, group, ["_first", "_before"])
+    # Written, so that its own size decides how it is joined: if it is small, no row is shuffled.
+    out = _attach(rows, written(sizes.drop("_n")), group, ["_first", "_before"])
     rank = F.col(_POS) - F.col("_first") + F.col("_before") + 1
     return out.withColumn(name, rank.cast("long")).drop(_POS, _SLICE, "_first", "_before")
 

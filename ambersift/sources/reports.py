@@ -115,18 +115,20 @@ def sbom_document(deps: DataFrame, edges: DataFrame, serial: str) -> DataFrame:
     """One CycloneDX document per project of ``deps`` as ordered parts, as above; ``serial``
     goes before the project's name."""
     rows = to_sbom(deps, edges)
-    groups = deps.select("project").distinct()
+    # Every project has a component; the written slices tell them without working out ``deps`` again.
+    components = _listed(rows.filter("section = 'components'").select("project", "value"), ["project"], 1, ["value"])
+    groups = components.select("project").distinct()
     name = F.to_json(F.struct(F.concat(F.lit(serial), F.col("project")).alias("serialNumber")))
     head = groups.select(
         "project", F.lit(0).alias("section"), F.lit(1).cast("long").alias("place"),
         F.concat(F.lit('{"bomFormat":"CycloneDX","specVersion":"1.5","version":1,'), F.substr(name, F.lit(2), F.length(name) - 2),
                  F.lit(',"components":[')).alias("value"),
     )
-    own = rows.join(groups, "project", "left_semi")
+    needs = rows.filter("section = 'dependencies'").join(groups, "project", "left_semi")
     parts = [
-        head, _listed(own.filter("section = 'components'").select("project", "value"), ["project"], 1, ["value"]),
+        head, components.filter(F.col("project").isNotNull()),
         _fixed(groups, ["project"], 2, '],"dependencies":['),
-        _listed(own.filter("section = 'dependencies'").select("project", "value"), ["project"], 3, ["value"]),
+        _listed(needs.select("project", "value"), ["project"], 3, ["value"]),
         _fixed(groups, ["project"], 4, "]}"),
     ]
     return reduce(DataFrame.unionByName, parts)

@@ -11,6 +11,7 @@ from ambersift.operators import compare, file_checks, merge, naming, ordering, t
 from ambersift.session import bucketed, written
 from ambersift.sources import reports
 from ambersift.streaming import changes
+from conftest import SF
 
 
 @pytest.fixture(scope="module")
@@ -423,3 +424,20 @@ def test_names_are_not_broadcast(spark, monkeypatch):
     # One broadcast only: that of the bit table.
     assert "SortMergeJoin" in plans[-1] and plans[-1].count("BroadcastHashJoin") == 1
     assert [r["name"] for r in found.collect()] == ["nginx"]
+
+
+def test_bill_of_materials_works_deps_out_once(spark, tmp_path):
+    """Project names come from the written slices; before, ``deps`` was worked out again for them."""
+    rows = [("p", "a", "1", "dev", "npm"), ("q", "b", "2", "prod", "go"), (None, "c", "3", "prod", "go")]
+    spark.createDataFrame(rows, "project string, name string, version string, type string, ecosystem string").write.parquet(f"{tmp_path}/deps")
+    edges = spark.createDataFrame([("p", "a", "z"), ("other", "a", "z")], "project string, parent string, child string")
+    parts = reports.sbom_document(spark.read.parquet(f"{tmp_path}/deps"), edges, "urn:x:")
+    assert not [f for f in parts.inputFiles() if str(tmp_path / "deps") in f]
+    held = sorted((r.project, r.section, r.place) for r in parts.collect() if r.project)
+    assert held == sorted([(p, s, 1) for p in "pq" for s in (0, 1, 2, 4)] + [("p", 3, 1)])
+
+
+def test_ranked_rows_are_not_shuffled_again(hot):
+    """The table of slices is small, which a plan over the rows it was counted from does not know."""
+    plan = ordering.rank_within(hot, ["g"], [F.col("k")], "n")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
