@@ -69,7 +69,9 @@ def _(t):
     min(severity) AS severity, min(rule_id) AS rule_id FROM results GROUP BY ALL""",
 )
 def _(t):
-    return M.dedup_scan(t.results, ["scan_id"], ["severity"]).select("scan_id", "scan_key", "severity", "rule_id")
+    # Columns that the result does not show would move with every row.
+    shown = t.results.select("scan_id", "rule_id", "file", "line", "severity")
+    return M.dedup_scan(shown, ["scan_id"], ["severity"]).select("scan_id", "scan_key", "severity", "rule_id")
 
 
 _ORDER = (

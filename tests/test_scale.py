@@ -426,6 +426,14 @@ def test_names_are_not_broadcast(spark, monkeypatch):
     assert [r["name"] for r in found.collect()] == ["nginx"]
 
 
+def test_scan_keys_move_with_shown_columns_only(spark):
+    """Names, evidence and suggestions went through the shuffle of every row."""
+    from __spark_entry__ import queries
+
+    plan = queries()["dedup_scan"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "seen in" not in plan and "Fix step" not in plan and "scan_key" in plan
+
+
 def test_bill_of_materials_works_deps_out_once(spark, tmp_path):
     """Project names come from the written slices; before, ``deps`` was worked out again for them."""
     rows = [("p", "a", "1", "dev", "npm"), ("q", "b", "2", "prod", "go"), (None, "c", "3", "prod", "go")]
