@@ -426,6 +426,33 @@ def test_names_are_not_broadcast(spark, monkeypatch):
     assert [r["name"] for r in found.collect()] == ["nginx"]
 
 
+def test_git_stats_by_many_tasks(spark, monkeypatch):
+    """Rows are counted in place by as many tasks as they ask for; two distinct counts in one aggregate trebled them."""
+    monkeypatch.setattr(timeline, "STAT_ROWS", 20)
+    draw = random.Random(6)
+    rows = [
+        (draw.choice(["p", "q", None]), draw.choice([*range(6), None]), draw.choice(["a", "b", None]), draw.choice(["f", "g"]),
+         draw.choice([700, 1, None]), draw.choice([3, None]), i)
+        for i in range(600)
+    ]
+    stat = spark.createDataFrame(
+        rows, "project string, commit_id long, author_email string, file_path string, additions long, deletions long, committed_at long"
+    )
+    got = timeline.git_file_stats(stat, ["project"])
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Expand [" not in plan and plan.count("RepartitionByExpression") == 2 and plan.count(", 31\n") == 2
+    per = stat.groupBy("project", "file_path", "commit_id", "author_email").agg(
+        F.sum("additions").alias("a"), F.sum("deletions").alias("d"), F.max("committed_at").alias("at")
+    )
+    want = per.groupBy("project", "file_path").agg(
+        F.countDistinct("commit_id").alias("commits"), F.countDistinct("author_email").alias("authors"),
+        F.sum("a").alias("additions"), F.sum(F.col("a") + F.col("d")).alias("lines_changed"), F.max("at").alias("last_modified"),
+    )
+    same(got.drop("agentic_score"), want)
+    # A project's whole history may be one file of one commit.
+    assert [tuple(r)[1:4] for r in timeline.git_file_stats(stat.filter("false")).collect()] == []
+
+
 def test_scan_keys_move_with_shown_columns_only(spark):
     """Names, evidence and suggestions went through the shuffle of every row."""
     from __spark_entry__ import queries
