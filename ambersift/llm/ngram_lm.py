@@ -44,7 +44,7 @@ from .words import absent, words_of
 END = 0xE4D0E4D0E4D0E4D1  # the end token's hash
 GRID = 16 / 65535  # codes: minus log10, from 0 to 16
 SHARD_ENTRIES = 1 << 19
-MERGED_ROWS = 500_000  # n-grams a task adds up before it hands them on
+MERGED_ROWS = 1_000_000  # n-grams a task adds up before it hands them on
 _SHIFT = np.uint64(32)
 
 
@@ -52,8 +52,11 @@ def encode(p: np.ndarray) -> np.ndarray:
     return np.clip(np.round(-np.log10(np.maximum(p, 1e-16)) / GRID), 0, 65535).astype(np.uint16)
 
 
+_DECODED = 10.0 ** (-GRID * np.arange(1 << 16))
+
+
 def decode(code: np.ndarray) -> np.ndarray:
-    return 10.0 ** (-GRID * code.astype(np.float64))
+    return _DECODED[code]
 
 
 def held_out(id_col: Column, folds: int = 5, fold: int = 1) -> Column:
@@ -278,14 +281,24 @@ def _pair(left: np.ndarray, right: np.ndarray) -> np.ndarray:
 
 
 def _merged(parts: list[tuple[np.ndarray, ...]]) -> list[np.ndarray]:
-    """Rows of equal keys (all columns but the last) added up."""
+    """Rows of equal keys (all columns but the last) added up. Each part is sorted by its keys,
+    which do not repeat in it; keys after the first are below 2**32. Stable sorts merge the parts."""
+    if len(parts) == 1:
+        return [*parts[0]]
     cols = [np.concatenate(c) for c in zip(*parts)]
-    order = np.lexsort(cols[-2::-1])
-    cols = [c[order] for c in cols]
-    new = np.ones(len(order), bool)
-    new[1:] = np.any([c[1:] != c[:-1] for c in cols[:-1]], axis=0)
-    first = np.flatnonzero(new)
-    return [*(c[first] for c in cols[:-1]), np.add.reduceat(cols[-1], first) if len(first) else cols[-1]]
+    key = cols[0]
+    order = np.argsort(key, kind="stable")
+    for col in cols[1:-1]:
+        new = np.zeros(len(order), np.uint64)
+        new[1:] = key[order][1:] != key[order][:-1]
+        rank = np.empty(len(order), np.uint64)
+        rank[order] = np.cumsum(new, dtype=np.uint64)
+        key = rank << _SHIFT | col.astype(np.uint64)
+        order = np.argsort(key, kind="stable")
+    key = key[order]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else order
+    sums = np.add.reduceat(cols[-1][order], first) if len(first) else cols[-1]
+    return [*(c[order[first]] for c in cols[:-1]), sums]
 
 
 def _counted(docs: DataFrame, names: list[str], emit) -> DataFrame:
@@ -310,7 +323,8 @@ def _counted(docs: DataFrame, names: list[str], emit) -> DataFrame:
                 yield out(parts)
 
     rows = docs.select("text").mapInArrow(run, ", ".join(f"{n} long" for n in [*names, "c"]))
-    return rows.groupBy(*names).agg(F.sum("c").alias("c"))
+    # Tasks have added up what they hold: adding up again before the shuffle would find little.
+    return rows.repartition(*names).groupBy(*names).agg(F.sum("c").alias("c"))
 
 
 def _shard_bits(entries: int) -> int:
@@ -422,7 +436,11 @@ class NgramModel:
                     there = np.zeros(len(ids) + 1, bool)
                     there[spot] = (kept.find(pair)[1] >= 0)[back]
                     t = np.flatnonzero(there[:-1] & there[1:])
-                    yield _pair(ids[t], ids[t + 1]), ids[t + 2], np.ones(len(t), np.int64)
+                    # A pair's place among those of the chunk and the third word are one number.
+                    place = np.zeros(len(ids), np.uint64)
+                    place[spot] = back
+                    value, n = np.unique(place[t] << _SHIFT | ids[t + 2].astype(np.uint64), return_counts=True)
+                    yield pair[(value >> _SHIFT).astype(np.int64)], (value & np.uint64(0xFFFFFFFF)).astype(np.int64), n
 
             return each
 

@@ -200,3 +200,33 @@ def test_every_operator_has_a_query(spark):
     numbers = sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES)
     assert numbers == list(range(1, 11))
     assert queries.QUERIES["op4_toxicity"](spark, SF).count() == 200
+
+
+def test_counts_of_sorted_parts_are_merged():
+    """Rows of equal keys met twice, once in a task's sort and once before the shuffle."""
+    draw = np.random.default_rng(3)
+    for keys in (1, 2):
+        parts = []
+        for n in (0, 400, 1, 300):
+            rows, counts = np.unique(draw.integers(0, 12, (n, keys)).astype(np.uint64) + np.uint64((1 << 31) - 6), axis=0, return_counts=True)
+            parts.append((*(rows[:, k] if k else rows[:, k] << np.uint64(32) for k in range(keys)), counts))
+        want = {}
+        for part in parts:
+            for row in zip(*(c.tolist() for c in part)):
+                want[row[:-1]] = want.get(row[:-1], 0) + row[-1]
+        for some in (parts, parts[:1], parts[1:2]):
+            got = ngram_lm._merged(some)
+            assert len(got) == keys + 1 and [*zip(*(c.tolist() for c in got[:-1]))] == sorted({r for p in some for r in zip(*(c.tolist() for c in p[:-1]))})
+        assert {row[:-1]: row[-1] for row in zip(*(c.tolist() for c in ngram_lm._merged(parts)))} == want
+    assert np.array_equal(ngram_lm.decode(np.arange(1 << 16, dtype=np.uint16)), 10.0 ** (-ngram_lm.GRID * np.arange(1 << 16)))
+
+
+def test_counted_rows_are_shuffled_as_they_come(spark):
+    """A second sum before the shuffle cost as much as the one behind it and found little."""
+    def one():
+        return lambda column: iter([(np.array([1, 2], np.uint64), np.array([1, 1]))])
+
+    rows = ngram_lm._counted(spark.createDataFrame([("a",), ("b",)], "text string").repartition(2), ["h"], one)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("HashAggregate") < plan.rindex("HashAggregate") < plan.index("hashpartitioning(h")
+    assert sorted(map(tuple, rows.collect())) == [(1, 2), (2, 2)]
