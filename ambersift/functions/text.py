@@ -93,14 +93,16 @@ ENTROPY_MAX_ODD, ENTROPY_LIMIT = 0.3, 3.7
 
 
 def is_high_entropy(col: Column) -> Column:
-    t = F.btrim(col, F.lit(" \"'`\t\n\r"))
-    odd = F.length(F.regexp_replace(t, r"[\p{L}\p{Nd}\-_+=/]", ""))
-    return F.when(
-        F.octet_length(t).between(ENTROPY_MIN_BYTES, ENTROPY_MAX_BYTES)
-        & ~F.rlike(t, F.lit(r"[^\p{L}\p{M}\p{N}\p{P}\p{S} ]"))
-        & (odd / F.octet_length(t) <= ENTROPY_MAX_ODD),
-        shannon_entropy(t) > ENTROPY_LIMIT,
-    ).otherwise(F.lit(False))
+    def judged(t: Column) -> Column:
+        odd = F.length(F.regexp_replace(t, r"[\p{L}\p{Nd}\-_+=/]", ""))
+        return F.when(
+            F.octet_length(t).between(ENTROPY_MIN_BYTES, ENTROPY_MAX_BYTES)
+            & ~F.rlike(t, F.lit(r"[^\p{L}\p{M}\p{N}\p{P}\p{S} ]"))
+            & (odd / F.octet_length(t) <= ENTROPY_MAX_ODD),
+            shannon_entropy(t) > ENTROPY_LIMIT,
+        ).otherwise(F.lit(False))
+
+    return once(F.btrim(col, F.lit(" \"'`\t\n\r")), judged)
 
 
 def redact_preview(col: Column, limit: int = 80) -> Column:

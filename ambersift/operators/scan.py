@@ -62,7 +62,7 @@ def file_facts(files: DataFrame, rules: Sequence[Rule], directive: str | None =
         )
     ]
     secrets = F.transform(
-        file_checks.secret_hits(path, content, directive), lambda h: _hit("core", h["rule_id"], "CRITICAL", h["line"])
+        file_checks.secret_hits(path, content, directive, preview=False), lambda h: _hit("core", h["rule_id"], "CRITICAL", h["line"])
     )
     deploy = F.transform(
         F.when(F.col("_kind").isNotNull(), deploy_hits(F.col("_kind"), content)),

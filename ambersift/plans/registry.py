@@ -13,7 +13,7 @@ from .views import BASE, DERIVED, duck_sql, spark_sql_text
 # Corpora: written as many files when they are stored.
 TEXT_VIEWS = ("source_files", "code_files", "project_files", "repo_files", "git_lines")
 # Tables whose short rows views make texts of.
-TEXT_SOURCES = ("orders",)
+TEXT_SOURCES = ("orders", "customer")
 
 
 _STORED: dict[tuple[str, str, str], DataFrame] = {}

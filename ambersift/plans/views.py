@@ -80,104 +80,110 @@ CODE_PATH = (
 _C = "CAST(c_custkey AS STRING)"
 
 
-def _project_file(path: str, content: str) -> str:
-    return f"SELECT 'proj' || {_C} AS project, {path} AS path, {content} AS content FROM customer"
-
-
-PROJECT_FILES = "\nUNION ALL\n".join(
-    [
-        _project_file(
-            "CASE c_mktsegment WHEN 'BUILDING' THEN 'package.json' WHEN 'MACHINERY' THEN 'web/package.json' "
-            "WHEN 'HOUSEHOLD' THEN 'tests/package.json' ELSE 'notes/package.txt' END",
-            "CASE c_nationkey % 4 "
-            "WHEN 0 THEN '{\"name\":\"a\",\"dependencies\":{\"next\":\"14\",\"react\":\"18\"},\"devDependencies\":{\"vite\":\"5\"}}' "
-            "WHEN 1 THEN '{\"dependencies\":{\"express\":\"4\",\"react\":\"18\"}}' "
-            "WHEN 2 THEN '{\"dependencies\":{\"lodash\":\"4\"},\"devDependencies\":{\"tailwindcss\":\"3\"}}' "
-            "ELSE '{\"name\":' END",
-        ),
-        _project_file(
-            "CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 'requirements.txt' WHEN 'FURNITURE' THEN 'requirements/base.txt' "
-            "ELSE 'notes/requirements.md' END",
-            "CASE c_nationkey % 4 WHEN 0 THEN 'fastapi==0.1' WHEN 1 THEN 'Django>=4' WHEN 2 THEN 'flask' ELSE 'numpy' END",
-        ),
-        _project_file(
-            "CASE c_nationkey % 5 WHEN 0 THEN 'go.mod' WHEN 1 THEN 'cmd/tool/main.go' ELSE 'notes/mod.md' END",
-            "'module example.com/m' || " + _C,
-        ),
-        _project_file(
-            "CASE WHEN c_acctbal > 5000 THEN 'Dockerfile' WHEN c_acctbal > 0 THEN 'docker/app.dockerfile' "
-            "ELSE 'notes/docker.md' END",
-            _lines(
-                "'FROM python:latest'",
-                "CASE c_nationkey % 3 WHEN 0 THEN 'ADD . /app' WHEN 1 THEN 'ADD app.tar /app' ELSE 'COPY . /app' END",
-                "CASE c_nationkey % 4 WHEN 0 THEN 'ENV DB_PASSWORD=hunter2hunter2hunter2 MORE=1234567890123456789012345' "
-                "ELSE 'ENV MODE=prod' END",
-                "CASE c_nationkey % 2 WHEN 0 THEN '  USER root' ELSE 'USER app' END",
-            ),
-        ),
-        _project_file(
-            "CASE WHEN c_nationkey % 4 = 3 THEN 'notes/compose.md' ELSE 'docker-compose.yml' END",
-            _lines(
-                "'services:'",
-                "'  db:'",
-                "CASE c_custkey % 4 WHEN 0 THEN '    image: postgres:15' WHEN 1 THEN '    image: mariadb' "
-                "WHEN 2 THEN '    image: mongo' ELSE '    image: busybox' END",
-                "'    ports:'",
-                "CASE c_custkey % 5 WHEN 0 THEN '      - \"5432:5432\"' WHEN 1 THEN '      - 127.0.0.1:6379:6379' "
-                "WHEN 2 THEN '      - \"8080\"' WHEN 3 THEN '      - 21:21/tcp' ELSE '      - \"9999:80\"' END",
-                "CASE c_custkey % 3 WHEN 0 THEN '    POSTGRES_PASSWORD: plain-text' "
-                "WHEN 1 THEN '    DB_SECRET: \"' || '$' || '{DB_SECRET}\"' ELSE '    restart: always' END",
-                "CASE c_custkey % 7 WHEN 0 THEN '    privileged: true' ELSE '    privileged: false' END",
-                "CASE c_custkey % 6 WHEN 0 THEN '  cache: redis' WHEN 1 THEN '  proxy: nginx' WHEN 2 THEN '  bus: kafka' "
-                "WHEN 3 THEN '  store: minio' ELSE '  worker: app' END",
-            ),
+def _project_file(path: str, content: str) -> tuple[str, str]:
+    return path, content
+
+
+_PROJECT_PARTS = (
+    _project_file(
+        "CASE c_mktsegment WHEN 'BUILDING' THEN 'package.json' WHEN 'MACHINERY' THEN 'web/package.json' "
+        "WHEN 'HOUSEHOLD' THEN 'tests/package.json' ELSE 'notes/package.txt' END",
+        "CASE c_nationkey % 4 "
+        "WHEN 0 THEN '{\"name\":\"a\",\"dependencies\":{\"next\":\"14\",\"react\":\"18\"},\"devDependencies\":{\"vite\":\"5\"}}' "
+        "WHEN 1 THEN '{\"dependencies\":{\"express\":\"4\",\"react\":\"18\"}}' "
+        "WHEN 2 THEN '{\"dependencies\":{\"lodash\":\"4\"},\"devDependencies\":{\"tailwindcss\":\"3\"}}' "
+        "ELSE '{\"name\":' END",
+    ),
+    _project_file(
+        "CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 'requirements.txt' WHEN 'FURNITURE' THEN 'requirements/base.txt' "
+        "ELSE 'notes/requirements.md' END",
+        "CASE c_nationkey % 4 WHEN 0 THEN 'fastapi==0.1' WHEN 1 THEN 'Django>=4' WHEN 2 THEN 'flask' ELSE 'numpy' END",
+    ),
+    _project_file(
+        "CASE c_nationkey % 5 WHEN 0 THEN 'go.mod' WHEN 1 THEN 'cmd/tool/main.go' ELSE 'notes/mod.md' END",
+        "'module example.com/m' || " + _C,
+    ),
+    _project_file(
+        "CASE WHEN c_acctbal > 5000 THEN 'Dockerfile' WHEN c_acctbal > 0 THEN 'docker/app.dockerfile' "
+        "ELSE 'notes/docker.md' END",
+        _lines(
+            "'FROM python:latest'",
+            "CASE c_nationkey % 3 WHEN 0 THEN 'ADD . /app' WHEN 1 THEN 'ADD app.tar /app' ELSE 'COPY . /app' END",
+            "CASE c_nationkey % 4 WHEN 0 THEN 'ENV DB_PASSWORD=hunter2hunter2hunter2 MORE=1234567890123456789012345' "
+            "ELSE 'ENV MODE=prod' END",
+            "CASE c_nationkey % 2 WHEN 0 THEN '  USER root' ELSE 'USER app' END",
         ),
-        _project_file(
-            "CASE WHEN c_nationkey % 6 = 0 THEN 'notes/nginx.md' WHEN c_nationkey % 6 = 1 THEN 'etc/site.conf' "
-            "ELSE 'nginx.conf' END",
-            _lines(
-                "CASE c_custkey % 4 WHEN 0 THEN 'user root;' WHEN 1 THEN 'User ROOT staff;' ELSE 'user www-data;' END",
-                "CASE c_custkey % 3 WHEN 0 THEN '  server_tokens on;' WHEN 1 THEN '  server_tokens off;' ELSE '' END",
-                "CASE c_custkey % 5 WHEN 0 THEN 'add_header X-Frame-Options DENY;' ELSE '# none' END",
-                "CASE c_custkey % 7 WHEN 0 THEN 'add_header Content-Security-Policy \"default-src\";' "
-                "ELSE 'proxy_pass http://backend.local:3000;' END",
-            ),
+    ),
+    _project_file(
+        "CASE WHEN c_nationkey % 4 = 3 THEN 'notes/compose.md' ELSE 'docker-compose.yml' END",
+        _lines(
+            "'services:'",
+            "'  db:'",
+            "CASE c_custkey % 4 WHEN 0 THEN '    image: postgres:15' WHEN 1 THEN '    image: mariadb' "
+            "WHEN 2 THEN '    image: mongo' ELSE '    image: busybox' END",
+            "'    ports:'",
+            "CASE c_custkey % 5 WHEN 0 THEN '      - \"5432:5432\"' WHEN 1 THEN '      - 127.0.0.1:6379:6379' "
+            "WHEN 2 THEN '      - \"8080\"' WHEN 3 THEN '      - 21:21/tcp' ELSE '      - \"9999:80\"' END",
+            "CASE c_custkey % 3 WHEN 0 THEN '    POSTGRES_PASSWORD: plain-text' "
+            "WHEN 1 THEN '    DB_SECRET: \"' || '$' || '{DB_SECRET}\"' ELSE '    restart: always' END",
+            "CASE c_custkey % 7 WHEN 0 THEN '    privileged: true' ELSE '    privileged: false' END",
+            "CASE c_custkey % 6 WHEN 0 THEN '  cache: redis' WHEN 1 THEN '  proxy: nginx' WHEN 2 THEN '  bus: kafka' "
+            "WHEN 3 THEN '  store: minio' ELSE '  worker: app' END",
         ),
-        _project_file(
-            "CASE WHEN c_nationkey % 3 = 0 THEN 'Makefile' ELSE 'notes/make.md' END",
-            _lines(
-                "'all: build'",
-                "CASE c_custkey % 3 WHEN 0 THEN 'DB_PASSWORD=s3cret-value' "
-                "WHEN 1 THEN 'TOKEN=' || '$' || '(shell cat token)' ELSE 'OUT=bin' END",
-            ),
+    ),
+    _project_file(
+        "CASE WHEN c_nationkey % 6 = 0 THEN 'notes/nginx.md' WHEN c_nationkey % 6 = 1 THEN 'etc/site.conf' "
+        "ELSE 'nginx.conf' END",
+        _lines(
+            "CASE c_custkey % 4 WHEN 0 THEN 'user root;' WHEN 1 THEN 'User ROOT staff;' ELSE 'user www-data;' END",
+            "CASE c_custkey % 3 WHEN 0 THEN '  server_tokens on;' WHEN 1 THEN '  server_tokens off;' ELSE '' END",
+            "CASE c_custkey % 5 WHEN 0 THEN 'add_header X-Frame-Options DENY;' ELSE '# none' END",
+            "CASE c_custkey % 7 WHEN 0 THEN 'add_header Content-Security-Policy \"default-src\";' "
+            "ELSE 'proxy_pass http://backend.local:3000;' END",
         ),
-        _project_file(
-            "CASE WHEN c_nationkey % 5 = 4 THEN 'notes/k8s.md' ELSE 'deploy/app.yaml' END",
-            _lines(
-                "CASE c_custkey % 5 WHEN 0 THEN 'settings: none' ELSE 'apiVersion: v1' END",
-                "CASE c_custkey % 5 WHEN 0 THEN 'values: []' ELSE 'kind: Pod' END",
-                "'spec:'",
-                "CASE c_custkey % 3 WHEN 0 THEN '    privileged: True' ELSE '    privileged: false' END",
-                "CASE c_custkey % 4 WHEN 0 THEN '    runAsUser: 0' ELSE '    runAsUser: 1000' END",
-                "'    host: db.internal.local'",
-            ),
+    ),
+    _project_file(
+        "CASE WHEN c_nationkey % 3 = 0 THEN 'Makefile' ELSE 'notes/make.md' END",
+        _lines(
+            "'all: build'",
+            "CASE c_custkey % 3 WHEN 0 THEN 'DB_PASSWORD=s3cret-value' "
+            "WHEN 1 THEN 'TOKEN=' || '$' || '(shell cat token)' ELSE 'OUT=bin' END",
         ),
-        _project_file(
-            "CASE c_custkey % 3 WHEN 0 THEN '.env' WHEN 1 THEN '.env.example' ELSE 'notes/env.md' END",
-            "'API_TOKEN=\"' || md5(" + _C + ") || '\"' || chr(10) || 'addr=localhost'",
+    ),
+    _project_file(
+        "CASE WHEN c_nationkey % 5 = 4 THEN 'notes/k8s.md' ELSE 'deploy/app.yaml' END",
+        _lines(
+            "CASE c_custkey % 5 WHEN 0 THEN 'settings: none' ELSE 'apiVersion: v1' END",
+            "CASE c_custkey % 5 WHEN 0 THEN 'values: []' ELSE 'kind: Pod' END",
+            "'spec:'",
+            "CASE c_custkey % 3 WHEN 0 THEN '    privileged: True' ELSE '    privileged: false' END",
+            "CASE c_custkey % 4 WHEN 0 THEN '    runAsUser: 0' ELSE '    runAsUser: 1000' END",
+            "'    host: db.internal.local'",
         ),
-        _project_file(
-            "CASE c_custkey % 4 WHEN 0 THEN 'server.js' WHEN 1 THEN 'web/server.js' WHEN 2 THEN 'src/main.tsx' "
-            "ELSE 'app/api/route.ts' END",
-            "CASE c_custkey % 3 WHEN 0 THEN 'const e = require(\"express\");' WHEN 1 THEN 'import e from \"express\"' "
-            "ELSE 'let a = 1' END",
-        ),
-        _project_file(
-            "CASE c_custkey % 5 WHEN 0 THEN 'package-lock.json' WHEN 1 THEN 'poetry.lock' "
-            "WHEN 2 THEN 'web/middleware.ts' WHEN 3 THEN 'App/App.csproj' ELSE 'notes/lock.md' END",
-            "CASE c_custkey % 2 WHEN 0 THEN '<Project Sdk=\"Microsoft.NET.Sdk.Web\">' ELSE '<!-- generated-report -->' END",
-        ),
-    ]
+    ),
+    _project_file(
+        "CASE c_custkey % 3 WHEN 0 THEN '.env' WHEN 1 THEN '.env.example' ELSE 'notes/env.md' END",
+        "'API_TOKEN=\"' || md5(" + _C + ") || '\"' || chr(10) || 'addr=localhost'",
+    ),
+    _project_file(
+        "CASE c_custkey % 4 WHEN 0 THEN 'server.js' WHEN 1 THEN 'web/server.js' WHEN 2 THEN 'src/main.tsx' "
+        "ELSE 'app/api/route.ts' END",
+        "CASE c_custkey % 3 WHEN 0 THEN 'const e = require(\"express\");' WHEN 1 THEN 'import e from \"express\"' "
+        "ELSE 'let a = 1' END",
+    ),
+    _project_file(
+        "CASE c_custkey % 5 WHEN 0 THEN 'package-lock.json' WHEN 1 THEN 'poetry.lock' "
+        "WHEN 2 THEN 'web/middleware.ts' WHEN 3 THEN 'App/App.csproj' ELSE 'notes/lock.md' END",
+        "CASE c_custkey % 2 WHEN 0 THEN '<Project Sdk=\"Microsoft.NET.Sdk.Web\">' ELSE '<!-- generated-report -->' END",
+    ),
+)
+PROJECT_FILES = "\nUNION ALL\n".join(
+    f"SELECT 'proj' || {_C} AS project, {path} AS path, {content} AS content FROM customer" for path, content in _PROJECT_PARTS
+)
+# The same rows from one reading of the customers.
+PROJECT_FILES_STACKED = (
+    f"SELECT 'proj' || {_C} AS project, stack({len(_PROJECT_PARTS)}, "
+    + ", ".join(f"{path}, {content}" for path, content in _PROJECT_PARTS) + ") AS (path, content) FROM customer"
 )
 
 _FILE_KEY = "(event_id - event_id % 3)"
@@ -395,8 +401,8 @@ def needed(sql: str, known: dict[str, str] = DERIVED) -> list[str]:
     return out
 
 
-def _with(sql: str, names: list[str], sha) -> str:
-    ctes = [f"{n} AS ({sha(DERIVED[n]).strip()})" for n in names]
+def _with(sql: str, names: list[str], sha, known: dict[str, str] = DERIVED) -> str:
+    ctes = [f"{n} AS ({sha(known[n]).strip()})" for n in names]
     body = sql.strip()
     head = "WITH RECURSIVE" if body.upper().startswith("WITH RECURSIVE") else "WITH"
     if body.upper().startswith("WITH"):
@@ -424,6 +430,10 @@ def _spark_sha(text: str) -> str:
     return text
 
 
+# Views that Spark is given in another form.
+_SPARK_FORMS = DERIVED | {"project_files": PROJECT_FILES_STACKED}
+
+
 def spark_sql_text(name: str) -> str:
     text = f"SELECT * FROM {name}"
-    return _with(text, needed(text), _spark_sha)
+    return _with(text, needed(text), _spark_sha, _SPARK_FORMS)
