@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import ancestor_dirs, base_name, dir_name, extension, is_test_like
 from ..functions.text import first_where
+from ..session import written
 
 # Stack names and the points of their marker files.
 GENERIC = "unknown"
@@ -26,7 +27,7 @@ def json_names(content: Column, *sections: str) -> Column:
 
 def imports_express(path: Column, content: Column) -> Column:
     """An import proves the dependency wherever it stands, tests included."""
-    return extension(path).isin(*SCRIPT_EXTS) & F.rlike(content, F.lit(EXPRESS_IMPORT))
+    return extension(path).isin(*SCRIPT_EXTS) & F.contains(content, F.lit("express")) & F.rlike(content, F.lit(EXPRESS_IMPORT))
 
 
 def stack_points(path: Column, content: Column) -> Column:
@@ -91,11 +92,11 @@ def detect_stack(files: DataFrame) -> DataFrame:
     """Winning stack of each folder by the points of its marker files.
 
     A project in which no folder wins is one root of no known stack, so none of its
-    files is lost. Manifests are scored where they are read; only points move."""
+    files is lost. Manifests are scored where they are read, once: what is written and asked
+    from then on are paths and points."""
     path, content = F.col("path"), F.col("content")
-    return settle_stacks(
-        files.select("project", "path", imports_express(path, content).alias("express"), stack_points(path, content).alias("points"))
-    )
+    marked = files.select("project", "path", imports_express(path, content).alias("express"), stack_points(path, content).alias("points"))
+    return settle_stacks(written(marked))
 
 
 def settle_stacks(marked: DataFrame) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import base_name, dir_name, exclude_paths, ext_match, extension, is_test_like, kind_match
 from ..functions.text import all_of, any_of, contains_any, lines_of, newline_count
+from ..session import written
 from .code_text import split_code_docs
 from .directives import Hidden, directive_index, hidden_by, never
 from .roots import assign_project
@@ -374,9 +375,12 @@ def required_missing(flagged: DataFrame, rules: Sequence[Rule], roots: DataFrame
 
 def required_pattern(files: DataFrame, rules: Sequence[Rule], roots: DataFrame | None = None) -> DataFrame:
     """Projects with candidate files of which none matches; with ``roots`` (project, root,
-    stack) every root by itself, for rules of its stack."""
+    stack) every root by itself, for rules of its stack.
+
+    Flags and roots are asked more than once there, so both are written."""
     flagged, names = with_required_flags(files, rules)
-    return required_missing(flagged.select("project", "path", *names), rules, roots)
+    flagged = flagged.select("project", "path", *names)
+    return required_missing(flagged, rules) if roots is None else required_missing(written(flagged), rules, written(roots))
 
 
 def missing_filename(
