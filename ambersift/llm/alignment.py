@@ -10,7 +10,8 @@ differences give each group's range of A and of B tokens. All pairs of a group a
 A text is read in units: it is cut before a blank that stands alone between visible
 characters and before a line end that follows one, where neither tokenizer can have a token
 across (that no piece of B holds such a place is checked; else a whole text is one unit). Different units of a block of texts are
-encoded once. A block's units, links and pairs of ids are one row of a table; pair counts
+encoded once, a slice of them at a time, and the pairs of its texts are gathered slice by
+slice: lists of tokens and links never stand there for a whole block. A block's units, links and pairs of ids are one row of a table; pair counts
 go from blocks to Spark, which adds them up, and come back only for the pairs of a block.
 
 * Null and empty texts, and texts whose tokens do not spell them, have no tokens: zeros
@@ -40,6 +41,7 @@ from .tables import join_counted
 from .words import row_chunks, table, text_bytes
 
 BLOCK = 1 << 23  # bytes of text of a block
+SLICE = 1 << 18  # bytes of units, or of texts, that are worked on at once
 STRIDE = 64
 #: How a byte-level vocabulary of this kind cuts a text before merging (fixed).
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -163,8 +165,8 @@ def _runs(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(start - before, size) + np.arange(int(size.sum()))
 
 
-class Units:
-    """Tokens, groups and links of different units of text."""
+class _Slice:
+    """Tokens, groups and links of some units."""
 
     def __init__(self, units: list[str], tok: Tokenizers):
         lists_a, lists_b = tok.encode(units)
@@ -204,7 +206,7 @@ class Units:
         return ["".join(out[s:e]) for s, e in zip(ends, ends[1:])]
 
     def _pairs(self, a, b, size_a, start_b, size_b, group_at) -> None:
-        """Different pairs of ids: ``pairs``; ``pair``, ``times`` of each unit from ``pair_at``."""
+        """Different pairs of ids: ``pairs``; ``pair``, ``times`` of each unit, which has ``n_pairs``."""
         unit = np.repeat(np.arange(len(group_at) - 1), np.diff(group_at))
         # Every A token of a group meets all B tokens of it.
         group = np.repeat(np.arange(len(size_a)), size_a)
@@ -212,9 +214,30 @@ class Units:
         codes = np.repeat(a, size_b[group]) * _PAIR + b[right]
         self.pairs, code = np.unique(codes, return_inverse=True)
         key = np.repeat(unit[group], size_b[group]) * max(len(self.pairs), 1) + code
-        key, self.times = np.unique(key, return_counts=True)
-        owner, self.pair = np.divmod(key, max(len(self.pairs), 1))
-        self.pair_at = np.searchsorted(owner, np.arange(len(group_at)))
+        key, times = np.unique(key, return_counts=True)
+        owner, pair = np.divmod(key, max(len(self.pairs), 1))
+        self.pair, self.times = pair.astype(np.int32), times.astype(np.int32)
+        self.n_pairs = np.bincount(owner, minlength=len(group_at) - 1)
+
+
+class Units:
+    """Tokens, groups and links of different units of text, made slice by slice."""
+
+    def __init__(self, units: pa.Array, tok: Tokenizers):
+        sizes = np.array(pc.binary_length(units), np.int64)
+        parts = [_Slice(units.slice(s, e - s).to_pylist(), tok) for s, e in row_chunks(np.r_[0, np.cumsum(sizes)], SLICE)]
+
+        def whole(name: str, kind: type) -> np.ndarray:
+            return np.concatenate([np.zeros(0, kind), *[getattr(p, name) for p in parts]])
+
+        self.good = whole("good", bool)
+        self.n_a, self.n_b, self.n_groups, self.n_links = (whole(n, np.int64) for n in ("n_a", "n_b", "n_groups", "n_links"))
+        self.digests = [d for p in parts for d in p.digests]
+        self.pairs = np.unique(whole("pairs", np.int64))
+        for p in parts:
+            p.pair = np.searchsorted(self.pairs, p.pairs).astype(np.int32)[p.pair]
+        self.pair, self.times = whole("pair", np.int32), whole("times", np.int32)
+        self.pair_at = np.r_[0, np.cumsum(whole("n_pairs", np.int64))]
 
 
 def unit_starts(data: np.ndarray, starts: np.ndarray, cuts: bool) -> np.ndarray:
@@ -248,12 +271,11 @@ def read_block(ids: pa.Array, texts: pa.Array, tok: Tokenizers) -> dict:
     units = pa.Array.from_buffers(
         pa.large_string(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data)]
     ).dictionary_encode()
-    of = units.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    known = Units(units.dictionary.to_pylist(), tok)
+    of = units.indices.to_numpy(zero_copy_only=False)
+    known = Units(units.dictionary, tok)
     first = np.searchsorted(starts, at)  # units of each text
-    text = np.repeat(np.arange(len(kept)), np.diff(first))
     bad = np.zeros(len(kept), bool)
-    bad[text[~known.good[of]]] = True
+    bad[np.searchsorted(first, np.flatnonzero(~known.good[of]), "right") - 1] = True
 
     def total(values: np.ndarray) -> list[int]:
         out = np.zeros(rows, np.int64)
@@ -264,9 +286,29 @@ def read_block(ids: pa.Array, texts: pa.Array, tok: Tokenizers) -> dict:
     digest = [""] * rows
     for k, row in enumerate(np.flatnonzero(here).tolist()):
         if not bad[k]:
-            whole = "".join([known.digests[u] for u in of[first[k] : first[k + 1]].tolist()])
-            digest[row] = hashlib.sha256(whole[:-1].encode()).hexdigest()
-    # Pairs of a text: those of its different units, as often as the units occur.
+            text = "".join([known.digests[u] for u in of[first[k] : first[k + 1]].tolist()])
+            digest[row] = hashlib.sha256(text[:-1].encode()).hexdigest()
+    n_held = np.zeros(len(kept), np.int64)
+    held, times = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+    for s, e in row_chunks(at, SLICE):
+        n_held[s:e], *new = _held(known, of[first[s] : first[e]], first[s : e + 1] - first[s], bad[s:e])
+        held.append(new[0])
+        times.append(new[1])
+    held, times = np.concatenate(held), np.concatenate(times)
+    held_at = np.zeros(rows + 1, np.int64)
+    held_at[1:][here] = n_held
+    np.cumsum(held_at, out=held_at)
+    return {
+        "doc_id": ids.to_pylist(), "n_a": total(known.n_a), "n_b": total(known.n_b), "n_groups": total(known.n_groups),
+        "n_links": total(known.n_links), "digest": digest, "held": held, "held_at": held_at, "times": times,
+        "pairs": known.pairs, "docs": np.bincount(held, minlength=len(known.pairs)),
+    }
+
+
+def _held(known: Units, of: np.ndarray, first: np.ndarray, bad: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of texts with the units ``of`` from ``first``: those of a text's different units,
+    as often as the units occur. How many each text has, the pairs, and their numbers."""
+    text = np.repeat(np.arange(len(bad)), np.diff(first))
     seen, often = np.unique((text * len(known.good) + of)[~bad[text]], return_counts=True)
     text_of, unit_of = np.divmod(seen, max(len(known.good), 1))
     size = np.diff(known.pair_at)[unit_of]
@@ -276,13 +318,7 @@ def read_block(ids: pa.Array, texts: pa.Array, tok: Tokenizers) -> dict:
     key, inverse = np.unique(key, return_inverse=True)
     times = np.bincount(inverse, known.times[spot] * np.repeat(often, size), len(key)).astype(np.int64)
     owner, held = np.divmod(key, n)
-    held_at = np.zeros(rows + 1, np.int64)
-    held_at[1:] = np.cumsum(np.bincount(np.flatnonzero(here)[owner], minlength=rows))
-    return {
-        "doc_id": ids.to_pylist(), "n_a": total(known.n_a), "n_b": total(known.n_b), "n_groups": total(known.n_groups),
-        "n_links": total(known.n_links), "digest": digest, "held": held, "held_at": held_at, "times": times,
-        "pairs": known.pairs, "docs": np.bincount(held, minlength=len(known.pairs)),
-    }
+    return np.bincount(owner, minlength=len(bad)), held.astype(np.int32), times
 
 
 _TYPES = [

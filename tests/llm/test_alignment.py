@@ -95,3 +95,20 @@ def test_awkward_rows(spark, awkward, no_rows, paths):
         if r.doc_id == 4:
             assert r.n_a > 0 and r.groups_sha256
     assert align(no_rows, *paths).count() == 0
+
+
+def test_block_is_worked_on_in_slices(paths, monkeypatch):
+    """Tokens of a whole block never stand there at once, and slices give the same row."""
+    import pyarrow as pa
+
+    texts = [None, *ODD, *[t for _, t in awkward_rows() if t and len(t) < 5000], ""]
+    texts += [" ".join(f"word{i * k % 997} é{k}" for i in range(200)) for k in range(40)]
+    tok, most = Tokenizers(*paths), []
+    monkeypatch.setattr(alignment, "SLICE", 1 << 30, raising=False)
+    whole = alignment.read_block(pa.array(range(len(texts))), pa.array(texts), tok)
+    encode = tok.encode
+    monkeypatch.setattr(alignment, "SLICE", 1 << 14, raising=False)
+    monkeypatch.setattr(tok, "encode", lambda units: most.append(sum(len(u.encode()) for u in units)) or encode(units))
+    row = alignment.read_block(pa.array(range(len(texts))), pa.array(texts), tok)
+    assert all(np.array_equal(row[k], whole[k]) for k in whole)
+    assert len(most) > 1 and max(most) <= 1 << 14
