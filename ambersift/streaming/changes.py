@@ -12,7 +12,7 @@ from ..functions.paths import base_name
 from ..operators.file_checks import changed_files_only
 from ..operators.ordering import lag_within, running_max_within
 from ..operators.rules import Rule, scan_rules
-from .debounce import OUTPUT, Debounce
+from .debounce import NO_TIME, OUTPUT, Debounce
 from .feeds import event_time
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -29,19 +29,25 @@ def relevant_changes(events: DataFrame) -> DataFrame:
 
 
 def debounced_changes(
-    events: DataFrame, gap_seconds: float = 0.3, late: str = "10 seconds", max_age_seconds: float | None = 3600
+    events: DataFrame, gap_seconds: float = 0.3, late: str = "10 seconds", max_age_seconds: float | None = 3600,
+    buckets: int = 512,
 ) -> DataFrame:
     """Changes of a stream, grouped until a workspace is quiet for ``gap_seconds``: a row
     (workspace, started_at, path, first_change, events) per file, in append mode, once the
     watermark has passed the group. A group that is never quiet ends at ``max_age_seconds``
-    (``None``: never); rows later than the watermark are dropped. State lies in RocksDB.
+    (``None``: never); rows later than the watermark are dropped. State lies in RocksDB,
+    a key for each of ``buckets`` of workspaces, a number that a checkpoint has to keep; a
+    batch reads and writes the open groups of the buckets it touches.
     For tables there is ``debounced_changes_batch``."""
     spark = events.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     rows = event_time(relevant_changes(events), "changed_at").withWatermark("changed_at", late)
-    rows = rows.select("workspace", "path", "changed_at", F.unix_micros("changed_at").alias("us"))
+    rows = rows.select(
+        F.pmod(F.xxhash64("workspace"), F.lit(buckets)).alias("bucket"), "workspace", "path", "changed_at",
+        F.coalesce(F.unix_micros("changed_at"), F.lit(NO_TIME)).alias("us"),
+    )
     age = None if max_age_seconds is None else int(max_age_seconds * 1_000_000)
-    return rows.groupBy("workspace").transformWithStateInPandas(
+    return rows.groupBy("bucket").transformWithStateInPandas(
         Debounce(int(gap_seconds * 1_000_000), age), OUTPUT, "Append", "EventTime"
     )
 

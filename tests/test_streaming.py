@@ -217,3 +217,74 @@ def test_debounce_reads_and_writes_state_once_a_batch(monkeypatch):
     assert len(out) == 301
     assert sorted(out["events"])[-1] == 3 and out["first_change"].min() == out["started_at"].min()
     assert all(not s for s in handle.states[:3])
+
+
+@pytest.mark.parametrize("rows, age", [(100_000, None), (40, None), (40, 60), (100_000, 8)])
+def test_debounce_takes_many_workspaces_at_once(monkeypatch, rows, age):
+    """A key stands for many workspaces: state is read and written once for all of them."""
+    import pandas as pd
+
+    from ambersift.streaming import debounce
+
+    class State(list):
+        calls, value = 0, None
+
+        def _call(self, rows):
+            self.calls += 1
+            self[:] = rows
+
+        def appendList(self, rows):
+            self._call([*self, *rows])
+
+        def get(self):
+            self.calls += 1
+            return self.value or iter(list(self))
+
+        def update(self, value):
+            self.value = value
+
+        def clear(self):
+            self._call([])
+            self.value = None
+
+        def exists(self):
+            return self.value is not None
+
+        put = _call
+
+    class Handle:
+        states = []
+
+        def getListState(self, name, schema):
+            self.states.append(State())
+            return self.states[-1]
+
+        getValueState = getListState
+
+        def registerTimer(self, at):
+            pass
+
+    class Now:
+        def getCurrentWatermarkInMs(self):
+            return 10**9
+
+    monkeypatch.setattr(debounce, "_ROWS", rows)
+    rnd = random.Random(5)
+    batches = [[(rnd.choice([None, *(f"w{i}" for i in range(40))]), f"p{rnd.randrange(3)}", 100 * k + rnd.randrange(100)) for _ in range(200)]
+               for k in range(3)]
+    handle, Handle.states = Handle(), []
+    task = debounce.Debounce(10, age)
+    task.init(handle)
+    for b in batches:
+        if age:  # the age's ends depend on the order in which changes come
+            b.sort(key=lambda r: r[2])
+        list(task.handleInputRows((7,), iter([pd.DataFrame(b, columns=["workspace", "path", "us"])]), Now()))
+    if rows > 600:
+        assert sum(s.calls for s in handle.states) < 30
+    out = pd.concat(task.handleExpiredTimer((7,), Now(), None))
+    micros = [pd.DatetimeIndex(out[c]).as_unit("us").asi8.tolist() for c in ("started_at", "first_change")]
+    names = [w if isinstance(w, str) else "" for w in out["workspace"]]
+    got = {(w, s, p): (f, n) for w, s, p, f, n in zip(names, micros[0], out["path"], micros[1], out["events"])}
+    every = [(w or "", p, t) for b in batches for w, p, t in b]
+    assert len(got) == len(out) and got == groups_of(every, 10, age)
+    assert all(not s for s in handle.states[:3])
