@@ -24,6 +24,8 @@ go from blocks to Spark, which adds them up, and come back only for the pairs of
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import hashlib
 import json
 import os
@@ -254,12 +256,12 @@ def unit_starts(data: np.ndarray, starts: np.ndarray, cuts: bool) -> np.ndarray:
 
 BLOCK_FIELDS = (
     "part long, doc_id array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, "
-    "digest array<string>, held array<int>, held_at array<long>, times array<int>, pairs array<long>, docs array<int>"
+    "digest array<string>, held binary, held_at array<long>, times binary, pairs array<long>, docs array<int>"
 )
 
 
 def read_block(ids: pa.Array, texts: pa.Array, tok: Tokenizers) -> dict:
-    """One row of ``blocks``: digests of the texts, the pairs they hold (``held`` from
+    """One row of ``blocks``, before ``_pressed``: digests of the texts, the pairs they hold (``held`` from
     ``held_at``, ``times``), the block's different pairs and in how many texts each is."""
     rows = len(texts)
     here = np.array(pc.greater(pc.fill_null(pc.binary_length(texts), 0), 0))
@@ -322,12 +324,31 @@ def _held(known: Units, of: np.ndarray, first: np.ndarray, bad: np.ndarray) -> t
 
 
 _TYPES = [
-    pa.int64(), *[pa.list_(pa.int64())] * 5, pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int64()),
-    pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32()),
+    pa.int64(), *[pa.list_(pa.int64())] * 5, pa.list_(pa.string()), pa.binary(), pa.list_(pa.int64()),
+    pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()),
 ]
 _NAMES = [f.split()[0] for f in BLOCK_FIELDS.split(", ")]
 
 
+def _pressed(values: np.ndarray) -> bytes:
+    """A long list of a block, which Spark moves as a few bytes a value less than as an array."""
+    return pa.compress(np.ascontiguousarray(values, np.int32), codec="zstd", asbytes=True)
+
+
+def _unpressed(data: pa.Scalar, n: int) -> np.ndarray:
+    return np.frombuffer(pa.decompress(data.as_buffer(), 4 * n, codec="zstd"), np.int32)
+
+
+def _let_go() -> None:
+    """Give free memory back; an idle worker would keep it while later stages fill the heap."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not this C library
+        pass
+
+
 def blocks(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The texts as rows of up to ``BLOCK`` bytes, tokenized, aligned and counted."""
 
@@ -338,8 +359,12 @@ def blocks(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", te
             sizes = np.array(pc.fill_null(pc.binary_length(batch["text"]), 0), np.int64)
             for s, e in row_chunks(np.r_[0, np.cumsum(sizes)], BLOCK):
                 row = read_block(batch["id"].slice(s, e - s), batch["text"].slice(s, e - s), tok) | {"part": part}
+                row |= {"held": _pressed(np.diff(row["held"], prepend=0)), "times": _pressed(row["times"])}
                 part += 1
+                _let_go()
                 yield pa.RecordBatch.from_arrays([pa.array([row[n]], t) for n, t in zip(_NAMES, _TYPES)], _NAMES)
+        batch = row = tok = None
+        _let_go()
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, BLOCK_FIELDS)
@@ -352,13 +377,14 @@ DOC_FIELDS = (
 
 def _finish(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
     """Documents of one block, with the corpus counts of its pairs."""
-    block = {n: left[n][0].values for n in _NAMES[1:]}
+    block = {n: left[n][0].values for n in _NAMES[1:] if n not in ("held", "times")}
     size = len(block["pairs"])
     count, best = np.zeros(size, np.int64), np.zeros(size, bool)
     spot = right["spot"].to_numpy()
     count[spot], best[spot] = right["n"].to_numpy(), right["best"].to_numpy()
-    held, times = block["held"].to_numpy(), block["times"].to_numpy().astype(np.int64)
     at = block["held_at"].to_numpy()
+    held = np.cumsum(_unpressed(left["held"][0], at[-1]), dtype=np.int64)
+    times = _unpressed(left["times"][0], at[-1]).astype(np.int64)
 
     def total(values: np.ndarray) -> np.ndarray:
         sums = np.r_[0, np.cumsum(values)]

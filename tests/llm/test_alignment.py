@@ -112,3 +112,13 @@ def test_block_is_worked_on_in_slices(paths, monkeypatch):
     row = alignment.read_block(pa.array(range(len(texts))), pa.array(texts), tok)
     assert all(np.array_equal(row[k], whole[k]) for k in whole)
     assert len(most) > 1 and max(most) <= 1 << 14
+
+
+def test_long_lists_of_a_block_are_pressed(spark, paths):
+    docs = frame(spark, [(k, " ".join(f"word{i * (k + 1) % 97} and more" for i in range(200))) for k in range(20)])
+    row = blocks(docs.coalesce(1), *paths).first()
+    assert isinstance(row.held, bytes | bytearray) and len(row.held) + len(row.times) < 4 * row.held_at[-1]
+    for n in (0, 1, 9):
+        values = np.arange(n) * 7 - 3
+        pressed = alignment.pa.scalar(alignment._pressed(values), alignment.pa.binary())
+        assert alignment._unpressed(pressed, n).tolist() == values.tolist()
